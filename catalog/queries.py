@@ -44,6 +44,11 @@ def r(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
 
 
+def single(df: DataFrame, *names: str) -> DataFrame:
+    """To single precision: unlike decimal rounding it has no ties at means of decimal values."""
+    return df.withColumns({n: F.round(F.col(n).cast("double"), 12).cast("float").cast("double") for n in names})
+
+
 # sources and sinks ------------------------------------------------------------
 
 RAW_NAMES = {
@@ -275,7 +280,7 @@ def cohort_membership(spark, sf):
 @query
 def cohort_halfhour_load(spark, sf):
     df = cohorts.cohort_load(halfhour_readings(spark, sf))
-    return r(df, 6, "load_kwh", "load_mean_kwh", "load_std_kwh")
+    return single(df, "load_kwh", "load_mean_kwh", "load_std_kwh")
 
 
 @query
@@ -376,7 +381,7 @@ def feature_row_lags(spark, sf):
 def feature_origin_statistics(spark, sf):
     df = features.lag_features(cohort_series(spark, sf), KEYS, chunk=512)
     cols = [c for c in features.load_feature_names() if "24h" in c or "7d" in c]
-    return r(df.select("cohort", "ts", *cols), 6, *cols)
+    return single(df.select("cohort", "ts", *cols), *cols)
 
 
 @query
@@ -400,7 +405,7 @@ def feature_table(spark, sf):
     df = features.forecasting_table(cohort_series(spark, sf), KEYS)
     cols = features.feature_names()
     real = [c for c in cols if c not in ("half_hour_idx", "hour", "day_of_week", "month", "day_of_year")]
-    return r(df.select("cohort", "ts", "load_kwh", *cols), 6, "load_kwh", *real)
+    return single(df.select("cohort", "ts", "load_kwh", *cols), "load_kwh", *real)
 
 
 @query
@@ -408,7 +413,7 @@ def feature_table_per_split(spark, sf):
     tagged = splits.tag_splits(cohort_series(spark, sf), PER_SPLIT)
     df = features.forecasting_table(tagged, KEYS, lags=(48, 96), warmup="per_split")
     cols = features.load_feature_names((48, 96))
-    return r(df.select("cohort", "split", "ts", *cols), 6, *cols)
+    return single(df.select("cohort", "split", "ts", *cols), *cols)
 
 
 SCALED = ("load_lag_48", "origin_mean_24h_h48", "day_of_week", "is_bank_holiday")
@@ -617,7 +622,7 @@ def conformal_quantile_large_groups(spark, sf):
 
 
 def interval_rows(df: DataFrame) -> DataFrame:
-    return r(df.select("cohort", "ts", "lower", "upper"), 6, "lower", "upper")
+    return single(df.select("cohort", "ts", "lower", "upper"), "lower", "upper")
 
 
 @query
@@ -661,9 +666,8 @@ def conformal_rolling_uneven_window(spark, sf):
 def conformal_aci(spark, sf):
     cal, test = backtest.place_rows(forecasts(spark, sf), KEYS)
     df = adaptive.aci_intervals(cal, test, KEYS)
-    return r(
-        df.select("cohort", "ts", "alpha_block", "conformal_quantile", "lower", "upper"),
-        6, "alpha_block", "conformal_quantile", "lower", "upper",
+    return single(
+        df.select("cohort", "ts", "alpha_block", "conformal_quantile", "lower", "upper"), "alpha_block", "conformal_quantile", "lower", "upper",
     )
 
 
@@ -696,7 +700,7 @@ def conformal_shift_aware(spark, sf):
     df = sa_rows(spark, sf).select(
         "cohort", "ts", "alpha_t", "gamma_t", "shift_score", "shift_flag", "lower", "upper"
     )
-    return r(df, 6, "alpha_t", "gamma_t", "shift_score", "lower", "upper")
+    return single(df, "alpha_t", "gamma_t", "shift_score", "lower", "upper")
 
 
 @query
@@ -705,9 +709,8 @@ def conformal_shift_aware_trace(spark, sf):
     packed = conformal.pack_calibration(cal, KEYS, {"_abs": C.absolute_residual("y", "y_pred")})
     scored = backtest.with_shift_scores(cal, test, KEYS, packed, SETTINGS)
     df = adaptive.step_trace(adaptive.shift_aware_intervals(cal, scored, KEYS, [SETTINGS.sa_acp]))
-    return r(
-        df.select("cohort", "ts", "alpha_t", "err_t", "covered", "interval_width"),
-        6, "alpha_t", "err_t", "covered", "interval_width",
+    return single(
+        df.select("cohort", "ts", "alpha_t", "err_t", "covered", "interval_width"), "alpha_t", "err_t", "covered", "interval_width",
     )
 
 
@@ -715,7 +718,7 @@ def conformal_shift_aware_trace(spark, sf):
 def conformal_detector_off(spark, sf):
     df = sa_rows(spark, sf, replace(SETTINGS.sa_acp, enable_detector=False))
     out = df.select("cohort", "ts", "alpha_t", "gamma_t", "shift_score", "shift_flag", "lower", "upper")
-    return r(out, 6, "alpha_t", "gamma_t", "shift_score", "lower", "upper")
+    return single(out, "alpha_t", "gamma_t", "shift_score", "lower", "upper")
 
 
 # shift detection ---------------------------------------------------------------------------
@@ -791,14 +794,14 @@ def shift_characterisation(spark, sf):
 def backtest_intervals(spark, sf):
     methods = ["uncalibrated", "static", "cqr", "rolling", "aci"]
     df = backtest.run_backtest(forecasts(spark, sf), KEYS, SETTINGS, methods)
-    return r(df.select("cohort", "ts", "method", "y", "y_pred", "lower", "upper"), 6, "y", "y_pred", "lower", "upper")
+    return single(df.select("cohort", "ts", "method", "y", "y_pred", "lower", "upper"), "y", "y_pred", "lower", "upper")
 
 
 @query
 def backtest_wide(spark, sf):
     df = backtest.wide_trajectory(backtest.run_backtest(forecasts(spark, sf), KEYS, SETTINGS), KEYS)
     real = [c for c in df.columns if c not in ("cohort", "ts", "shift_flag")]
-    return r(df, 6, *real)
+    return single(df, *real)
 
 
 @query
@@ -842,7 +845,7 @@ def interval_method_table(spark, sf):
 @query
 def interval_daily_sums(spark, sf):
     df = metrics.daily_sums(supplier_bands(spark, sf), ["l_suppkey"], 0.10)
-    return r(df, 3, "sum_width", "sum_score")
+    return r(df, 7, "sum_width", "sum_score")
 
 
 @query
@@ -931,6 +934,9 @@ def methods_stacked(spark, sf):
 
 # bootstrap ----------------------------------------------------------------------------------
 
+BOOT = ("mean_a", "mean_b", "mean_diff", "ci_lower", "ci_upper", "p_value")
+
+
 def static_and_cqr_days(spark, sf) -> DataFrame:
     df = backtest.run_backtest(forecasts(spark, sf), KEYS, SETTINGS, ["static", "cqr"])
     return metrics.daily_sums(df, ["cohort", "method"], 0.10)
@@ -951,15 +957,16 @@ def bootstrap_samples(spark, sf):
 @query
 def bootstrap_comparison(spark, sf):
     daily = static_and_cqr_days(spark, sf)
-    return bootstrap.paired_bootstrap(daily, KEYS, "cqr", "static", 0.10, 2000, 42)
+    return single(bootstrap.paired_bootstrap(daily, KEYS, "cqr", "static", 0.10, 2000, 42, digits=None), *BOOT)
 
 
 @query
 def bootstrap_unrounded(spark, sf):
     daily = static_and_cqr_days(spark, sf)
-    return bootstrap.paired_bootstrap(
-        daily, KEYS, "cqr", "static", 0.10, 500, 7, round_before_diff=False
+    df = bootstrap.paired_bootstrap(
+        daily, KEYS, "cqr", "static", 0.10, 500, 7, round_before_diff=False, digits=None
     )
+    return single(df, *BOOT)
 
 
 @query
@@ -969,7 +976,8 @@ def bootstrap_suppliers(spark, sf):
     wide = bands.withColumn("method", F.lit("wide")).withColumn("upper", F.col("upper") * 1.1)
     both = bands.withColumn("method", F.lit("narrow")).unionByName(wide)
     daily = metrics.daily_sums(both, ["l_suppkey", "method"], 0.10)
-    return bootstrap.paired_bootstrap(daily, ["l_suppkey"], "narrow", "wide", 0.10, 100, 1)
+    df = bootstrap.paired_bootstrap(daily, ["l_suppkey"], "narrow", "wide", 0.10, 100, 1, digits=None)
+    return single(df, *BOOT)
 
 
 # ablations ----------------------------------------------------------------------------------
@@ -1029,7 +1037,7 @@ def stream_cohort_load(spark, sf):
         F.when(F.col("user_id") % 3 == 0, "dToU").otherwise("Std").alias("tariff_group"),
     )
     df = drained(spark, stream.cohort_load_stream(e, "2 hours"), "stream-load")
-    return r(df.select("cohort", "ts", "load_kwh", "load_mean_kwh"), 6, "load_kwh", "load_mean_kwh")
+    return single(df.select("cohort", "ts", "load_kwh", "load_mean_kwh"), "load_kwh", "load_mean_kwh")
 
 
 @query
@@ -1053,4 +1061,4 @@ def stream_online_intervals(spark, sf):
         replay, KEYS, "1 day", sa_acp=SETTINGS.sa_acp, window=240, detector_window=96, reference_length=240
     )
     df = drained(spark, out, "stream-online")
-    return r(df.select("cohort", "ts", "method", "lower", "upper"), 6, "lower", "upper")
+    return single(df.select("cohort", "ts", "method", "lower", "upper"), "lower", "upper")

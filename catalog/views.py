@@ -28,7 +28,7 @@ PER_SPLIT = {
 }
 KEYS = ["cohort"]
 SETTINGS = BacktestSettings(
-    rolling_window=240, detector_window=96, reference_length=240, sa_acp=ShiftAwareVariant(threshold=1.0)
+    rolling_window=240, detector_window=96, reference_length=240, sa_acp=ShiftAwareVariant(threshold=0.15)
 )
 
 
