@@ -19,7 +19,7 @@ from loadshape.functions.columns import (
     point_band,
     quantile_band,
 )
-from loadshape.operators.ordering import HOT_MIN, exact_quantiles, lookup
+from loadshape.operators.ordering import CHUNK, HOT_MIN, chunked, exact_quantiles, lookup
 
 # Largest calibration sample packed into one array (8 MB); larger ones raise.
 MAX_PACKED = 1_000_000
@@ -119,56 +119,60 @@ def rolling_quantiles(
     cal: DataFrame,
     test: DataFrame,
     keys: Sequence[str],
-    window: int = 1344,
+    windows: Sequence[int] = (1344,),
     block: int = 48,
-    alphas: Mapping[str, float] | None = None,
+    alpha: float = 0.10,
     y: str = "y",
     pred: str = "y_pred",
     pos: str = "pos",
     cal_pos: str = "cal_pos",
+    chunk: int = CHUNK,
 ) -> DataFrame:
-    """Conformal quantile per (series, test block) of the last ``window`` scores before it.
+    """Conformal quantile per (series, test block, window) of the last ``window`` scores before the block.
 
     ``pos`` counts test rows from 0, ``cal_pos`` counts calibration rows
-    backwards from -1.  Scores are packed per block first, and whole packs are
-    sent to the at most ceil(window / block) + 1 later blocks they serve, so
-    each (series, block) group holds at most ``window + block`` scores.
+    backwards from -1.  Scores are packed per chunk together with the longest
+    window before it, and every block's window is a slice of its pack: a score
+    is shuffled at most twice, whatever the number of blocks and windows.
     """
-    alphas = dict(alphas or {"conformal_quantile": 0.10})
+    windows = sorted(set(windows))
+    longest = windows[-1]
+    whole = -(-max(chunk, longest) // block) * block  # chunks hold whole blocks
     score = absolute_residual(y, pred)
-    seeds = cal.where(F.col(cal_pos) >= -window).select(
+    seeds = cal.where(F.col(cal_pos) >= -longest).select(
         *keys, F.col(cal_pos).alias("_rel"), score.alias("_score")
     )
     seen = test.select(*keys, F.col(pos).alias("_rel"), score.alias("_score"))
-    packs = pack_blocks(seeds.unionByName(seen), keys, "_rel", block, {"_scores": F.col("_score")})
-    blocks = test.groupBy(*keys).agg(
-        F.floor(F.max(pos) / block).cast("long").alias("_last_block")
+    parts = chunked(seeds.unionByName(seen), longest, "_rel", whole).where("_chunk >= 0")
+    packs = parts.groupBy(*keys, "_chunk").agg(
+        F.sort_array(F.collect_list(F.struct("_rel", "_score"))).alias("_rows"), F.max("_rel").alias("_last")
     )
-    # a pack holding positions up to b*block + block - 1 serves blocks b+1 ..
-    last_served = F.floor((F.element_at("_pos", -1) + window) / block).cast("long")
-    first_served = F.greatest(F.col("block") + 1, F.lit(0))
-    until = F.least(last_served, F.col("_last_block"))
-    sent = lookup(packs, blocks, keys, F.col("block")).select(
+    first_block = (F.col("_chunk") * (whole // block)).cast("long")
+    last_block = F.floor(F.col("_last") / block).cast("long")
+    cells = packs.where(F.col("_last") >= F.col("_chunk") * whole).select(
         *keys,
-        "_pos",
-        "_scores",
-        F.explode(
-            F.when(first_served <= until, F.sequence(first_served, until)).otherwise(
-                F.array().cast("array<bigint>")
-            )
-        ).alias("block"),
+        F.get("_rows._rel", F.lit(0)).alias("_start"),
+        F.col("_rows._score").alias("_scores"),
+        F.explode(F.sequence(first_block, last_block)).alias("block"),
     )
-    # drop the scores of a pack that are already older than the window
-    stale = F.greatest(F.lit(0), F.col("block") * block - window - F.get("_pos", F.lit(0)))
-    kept = F.slice("_scores", (stale + 1).cast("int"), F.size("_scores"))
-    pooled = sent.groupBy(*keys, "block").agg(
-        F.sort_array(F.flatten(F.collect_list(kept))).alias("_window")
+    # a window of the pack: from (block start - window), or the first score there is, to the block start
+    end = F.col("block") * block - F.col("_start")
+    begin = F.greatest(end - F.col("window"), F.lit(0))
+    sliced = cells.withColumn("window", F.explode(F.array(*[F.lit(int(w)) for w in windows]))).select(
+        *keys, "block", "window",
+        F.sort_array(F.slice("_scores", (begin + 1).cast("int"), (end - begin).cast("int"))).alias("_window"),
     )
-    return pooled.select(
-        *keys, "block", *[conformal_quantile("_window", a).alias(n) for n, a in alphas.items()]
+    return sliced.select(
+        *keys, "block", "window", conformal_quantile("_window", alpha).alias("conformal_quantile")
     )
 
 
+def rolling_bands(test: DataFrame, quantiles: DataFrame, keys: Sequence[str], block: int, pred: str, pos: str) -> DataFrame:
+    placed = test.withColumn("block", F.floor(F.col(pos) / block).cast("long"))
+    lower, upper = point_band(pred, "conformal_quantile")
+    return placed.join(quantiles, [*keys, "block"]).withColumns({"lower": lower, "upper": upper})
+
+
 def rolling_intervals(
     cal: DataFrame,
     test: DataFrame,
@@ -182,12 +186,5 @@ def rolling_intervals(
     cal_pos: str = "cal_pos",
 ) -> DataFrame:
     """Rolling conformal: the quantile is refreshed per block from strictly earlier scores."""
-    q = rolling_quantiles(
-        cal, test, keys, window, block, {"conformal_quantile": alpha}, y, pred, pos, cal_pos
-    )
-    placed = test.withColumn("block", F.floor(F.col(pos) / block).cast("long"))
-    out = placed.join(q, [*keys, "block"], "left").withColumn(
-        "conformal_quantile", F.coalesce(F.col("conformal_quantile"), F.lit(0.0))
-    )
-    lower, upper = point_band(pred, "conformal_quantile")
-    return out.withColumns({"lower": lower, "upper": upper})
+    q = rolling_quantiles(cal, test, keys, [window], block, alpha, y, pred, pos, cal_pos)
+    return rolling_bands(test, q.drop("window"), keys, block, pred, pos)

@@ -111,7 +111,12 @@ def wasserstein_scores(
         .withColumn("_std", F.greatest(F.sqrt(spread), F.lit(1e-6)))
         .drop("_mean")
     )
-    joined = lookup(packed.where(F.size("_own") > 0), refs, keys, F.col("_chunk"), "left")
+    # the reference goes to the chunks of its series only
+    lengths = test.groupBy(*keys).agg(F.floor(F.max(pos) / max(chunk, window - 1)).alias("_last_chunk"))
+    refs = refs.join(lengths, list(keys))
+    joined = lookup(
+        packed.where(F.size("_own") > 0), refs, keys, F.col("_chunk"), "left", last_salt=F.col("_last_chunk")
+    )
     empty = F.array().cast("array<double>")
     halo = F.size("_scores") - F.size("_own")
     scored = joined.withColumn(

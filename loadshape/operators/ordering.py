@@ -3,7 +3,7 @@
 One series, or one sample, may hold a large share of all rows, so nothing here
 sorts a whole group in one task:
 
-* ``positions``      numbers the rows of a series through per-month counts;
+* ``positions``      numbers the rows of a series through per-day counts;
 * ``chunked``        splits a numbered series into chunks with a halo of the
                      preceding rows, so that window functions see at most
                      ``chunk + halo`` rows;
@@ -28,7 +28,8 @@ SALTS = 32
 # HOT_SHARE groups can be hot, which bounds every broadcast made for them.
 HOT_SHARE = 200
 HOT_MIN = 200_000
-SLICES = 256
+SLICES = 1024
+SLICE_STEP = 32
 
 
 def _all(conditions: Sequence[Column]) -> Column:
@@ -36,27 +37,28 @@ def _all(conditions: Sequence[Column]) -> Column:
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], ts: str = "ts", out: str = "seq"
+    df: DataFrame, keys: Sequence[str], ts: str = "ts", out: str = "seq", span: str = "day"
 ) -> DataFrame:
     """0-based position of each row in its series, ordered by ``ts``.
 
-    Rows are numbered inside (series, month) and shifted by the count of all
-    earlier months; only the month counts are ordered per series.  ``ts`` must
-    be unique within a series.
+    Rows are numbered inside (series, ``span``) and shifted by the count of all
+    earlier spans; only the span counts are ordered per series.  ``ts`` must be
+    unique within a series, so a day holds at most 86,400 rows at one-second
+    resolution; use ``span='hour'`` for finer data.
     """
     keys = list(keys)
-    month = F.trunc(F.col(ts), "month")
-    counts = df.groupBy(*keys, month.alias("_month")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_month").rowsBetween(
+    part = F.date_trunc(span, F.col(ts))
+    counts = df.groupBy(*keys, part.alias("_span")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = counts.select(
-        *keys, "_month", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+        *keys, "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    local = F.row_number().over(Window.partitionBy(*keys, "_month").orderBy(ts))
-    numbered = df.withColumn("_month", month).withColumn("_local", local)
+    local = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(ts))
+    numbered = df.withColumn("_span", part).withColumn("_local", local)
     left, right = numbered.alias("l"), offsets.alias("r")
-    on = _all([F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_month"]])
+    on = _all([F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_span"]])
     return left.join(right, on).select(
         *[F.col(f"l.{c}") for c in df.columns if c != out],
         (F.col("r._before") + F.col("l._local") - 1).cast("long").alias(out),
@@ -102,13 +104,19 @@ def lookup(
     salt: Column,
     how: str = "inner",
     salts: int = SALTS,
+    last_salt: Column | None = None,
 ) -> DataFrame:
-    """Join ``table`` (one row per group) to ``df``; a large group spreads over ``salts`` tasks."""
+    """Join ``table`` (one row per group) to ``df``; a large group spreads over ``salts`` tasks.
+
+    Every row of ``table`` is copied to all salts.  Where its rows are wide,
+    pass an integer ``salt`` counting up from 0 in each group and the group's
+    largest one as ``last_salt`` of the table: only salts in use get a copy.
+    """
     keys = list(keys)
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
-    right = table.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+    slot = F.xxhash64(salt) if last_salt is None else salt
+    last = F.lit(salts - 1) if last_salt is None else F.least(last_salt.cast("int"), F.lit(salts - 1))
+    left = df.withColumn("_salt", F.pmod(slot, F.lit(salts)).cast("int"))
+    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -129,6 +137,17 @@ def _checked(df: DataFrame, n: Column, max_group: int) -> DataFrame:
     return df.where(ok.isNull())
 
 
+def _slice_of(value: str) -> Column:
+    """Number of cuts at or below the value, found in two steps; -1 where there are none."""
+    def at_most(cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda c: c <= F.col(value)))
+
+    group = F.greatest(at_most(F.col("_coarse")) - 1, F.lit(0)) * SLICE_STEP
+    return F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(
+        group + at_most(F.slice("_cuts", group + 1, F.lit(SLICE_STEP)))
+    )
+
+
 def ranked_values(
     df: DataFrame,
     keys: Sequence[str],
@@ -177,15 +196,9 @@ def ranked_values(
     sampled = merged.select(*keys, "value").join(hot, keys).where(
         F.pmod(F.xxhash64("value"), F.col("_every")) == 0
     )
-    cuts = F.broadcast(
-        sampled.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("_cuts"))
-    )
-    sliced = merged.join(cuts, keys, "left").withColumn(
-        "_slice",
-        F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(
-            F.size(F.filter("_cuts", lambda c: c <= F.col("value")))
-        ),
-    ).drop("_cuts")
+    cuts = sampled.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("_cuts"))
+    cuts = F.broadcast(cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % SLICE_STEP == 0)))
+    sliced = merged.join(cuts, keys, "left").withColumn("_slice", _slice_of("value")).drop("_cuts", "_coarse")
     # slice totals exist for hot groups only: HOT_SHARE * (SLICES + few) rows
     slice_sums = sliced.where("_slice >= 0").groupBy(*keys, "_slice").agg(
         F.min("value").alias("_first"),

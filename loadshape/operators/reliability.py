@@ -82,26 +82,17 @@ def conditional_reliability(
     max_group: int | None = None,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Interval metrics per (series, dimension, subgroup).
+    """Interval metrics per (series, dimension, subgroup), all dimensions in one pass.
 
-    Rows are first summed per combination of all labels, with partial sums
-    before the shuffle; each dimension is then read off that small table, so no
-    row is copied per dimension.
+    Rows are fanned out to their subgroups right before the partial sums, so
+    the shuffle carries one row per subgroup and task.
     """
     labelled, dims = reliability_keys(df, keys, y, ts, seq, max_group, chunk)
-    cells = interval_sums(
-        labelled.withColumns({f"_dim_{n}": c for n, c in dims.items()}),
-        [*keys, *[f"_dim_{n}" for n in dims]], alpha, y, lower, upper,
-    )
-    long = cells.select(
-        *keys, "n_obs", "n_covered", "sum_width", "sum_score",
-        F.inline(F.array(*[
-            F.struct(F.lit(n).alias("dimension"), F.col(f"_dim_{n}").alias("subgroup")) for n in dims
-        ])),
-    )
-    sums = long.where(F.col("subgroup").isNotNull()).groupBy(*keys, "dimension", "subgroup").agg(
-        *[F.sum(c).alias(c) for c in ("n_obs", "n_covered", "sum_width", "sum_score")]
-    )
+    fanned = labelled.select(
+        *keys, y, lower, upper,
+        F.inline(F.array(*[F.struct(F.lit(n).alias("dimension"), c.alias("subgroup")) for n, c in dims.items()])),
+    ).where(F.col("subgroup").isNotNull())
+    sums = interval_sums(fanned, [*keys, "dimension", "subgroup"], alpha, y, lower, upper)
     metrics = metrics_from_sums(alpha, digits)
     return sums.select(*keys, "dimension", "subgroup", "n_obs", *[c.alias(n) for n, c in metrics.items()])
 

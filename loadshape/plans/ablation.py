@@ -15,7 +15,13 @@ from loadshape.operators.adaptive import (
     aci_intervals,
     shift_aware_intervals,
 )
-from loadshape.operators.conformal import calibration_quantiles, pack_calibration, rolling_quantiles
+from loadshape.operators.conformal import (
+    calibration_quantiles,
+    pack_calibration,
+    rolling_bands,
+    rolling_intervals,
+    rolling_quantiles,
+)
 from loadshape.operators.metrics import interval_metrics
 from loadshape.operators.ordering import lookup
 from loadshape.plans.backtest import BacktestSettings, place_rows, with_shift_scores
@@ -65,13 +71,8 @@ def core_methods(
     static = _static_levels(placed, keys, {"l": s.alpha}, seq, max_group).select(
         F.lit("Static Conformal (P1)").alias("configuration"), *cols
     )
-    rq = rolling_quantiles(cal, test, keys, s.rolling_window, s.block, {"q": s.alpha})
-    lower, upper = point_band("y_pred", "q")
-    rolling = (
-        test.withColumn("block", F.floor(F.col("pos") / s.block).cast("long"))
-        .join(rq, [*keys, "block"])
-        .withColumns({"lower": lower, "upper": upper})
-        .select(F.lit("Rolling Conformal (P3)").alias("configuration"), *cols)
+    rolling = rolling_intervals(cal, test, keys, s.alpha, s.rolling_window, s.block).select(
+        F.lit("Rolling Conformal (P3)").alias("configuration"), *cols
     )
     aci = aci_intervals(cal, test, keys, [s.aci], s.block).select(
         F.lit("Adaptive Conformal Inference (P4)").alias("configuration"), *cols
@@ -104,15 +105,9 @@ def window_lengths(
 ) -> DataFrame:
     """Rolling conformal at several window lengths."""
     cal, test = place_rows(forecasts, keys, seq)
-    q = None
-    for d in days:
-        one = rolling_quantiles(
-            cal, test, keys, d * steps_per_day, settings.block, {"q": settings.alpha}
-        ).withColumn("window_days", F.lit(int(d)))
-        q = one if q is None else q.unionByName(one)
-    placed = test.withColumn("block", F.floor(F.col("pos") / settings.block).cast("long"))
-    lower, upper = point_band("y_pred", "q")
-    intervals = placed.join(q, [*keys, "block"]).withColumns({"lower": lower, "upper": upper})
+    q = rolling_quantiles(cal, test, keys, [d * steps_per_day for d in days], settings.block, settings.alpha)
+    q = q.withColumn("window_days", (F.col("window") / steps_per_day).cast("int")).drop("window")
+    intervals = rolling_bands(test, q, keys, settings.block, "y_pred", "pos")
     return interval_metrics(intervals, [*keys, "window_days"], settings.alpha)
 
 

@@ -21,7 +21,7 @@ from loadshape.operators.adaptive import (
     aci_intervals,
     shift_aware_intervals,
 )
-from loadshape.operators.conformal import pack_calibration, rolling_quantiles
+from loadshape.operators.conformal import pack_calibration, rolling_intervals
 from loadshape.operators.drift import mean_shift_scores, wasserstein_scores
 from loadshape.operators.ordering import lookup
 from loadshape.session import cut_lineage
@@ -135,19 +135,9 @@ def run_backtest(
         tables.append(joined.select(*core, F.inline(F.array(*entries))))
 
     if "rolling" in methods:
-        rq = rolling_quantiles(
-            cal, test, keys, s.rolling_window, s.block, {"conformal_quantile": s.alpha}
-        )
-        placed = test.withColumn("block", F.floor(F.col("pos") / s.block).cast("long"))
-        rolled = placed.join(rq, [*keys, "block"], "left").withColumn(
-            "conformal_quantile", F.coalesce("conformal_quantile", F.lit(0.0))
-        )
-        lower, upper = point_band("y_pred", "conformal_quantile")
+        rolled = rolling_intervals(cal, test, keys, s.alpha, s.rolling_window, s.block)
         tables.append(
-            rolled.select(
-                *core, F.lit("rolling").alias("method"), lower.alias("lower"), upper.alias("upper"),
-                "conformal_quantile",
-            )
+            rolled.select(*core, F.lit("rolling").alias("method"), "lower", "upper", "conformal_quantile")
         )
 
     sorted_cal = packed.select(*keys, F.sort_array("_abs").alias("_cal"))

@@ -79,14 +79,17 @@ def test_rolling(frame, result, k):
     np.testing.assert_allclose(bounds(result, k, "rolling")[0], brute.rolling(scores, y, p, 0.1, 64, BLOCK))
 
 
-@pytest.mark.parametrize("window", [1, 7, 10, 25, 500])
-def test_rolling_windows_of_any_length(frame, forecasts, window):
+@pytest.mark.parametrize("chunk", [10, 64, 4096])
+def test_rolling_windows_of_any_length(frame, forecasts, chunk):
     cal, test = backtest.place_rows(forecasts, ["k"])
-    got = conformal.rolling_intervals(cal, test, ["k"], window=window, block=BLOCK).toPandas().sort_values(["k", "ts"])
+    windows = [1, 7, 10, 25, 500]
+    q = conformal.rolling_quantiles(cal, test, ["k"], windows, BLOCK, chunk=chunk)
+    got = conformal.rolling_bands(test, q, ["k"], BLOCK, "y_pred", "pos").toPandas().sort_values(["k", "ts"])
     for k in "ab":
         scores, _, y, p, _ = parts(frame, k)
-        own = got[got["k"] == k][["lower", "upper"]].to_numpy()
-        np.testing.assert_allclose(own, brute.rolling(scores, y, p, 0.1, window, BLOCK))
+        for w in windows:
+            own = got[(got["k"] == k) & (got["window"] == w)][["lower", "upper"]].to_numpy()
+            np.testing.assert_allclose(own, brute.rolling(scores, y, p, 0.1, w, BLOCK))
 
 
 @pytest.mark.parametrize("k", ["a", "b"])
