@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 CHUNK = 4096
 SALTS = 32
-# A group counts as hot above this share of all distinct values; at most
-# HOT_SHARE groups can be hot, which bounds every broadcast made for them.
+# A group counts as hot above 1 / HOT_SHARE of all rows; at most HOT_SHARE
+# groups can be hot, which bounds every broadcast made for them.
 HOT_SHARE = 200
-HOT_MIN = 200_000
+# Groups of up to this many rows are never cut.
+HOT_MIN = 50_000
 SLICES = 1024
-SLICE_STEP = 32
 
 
 def _all(conditions: Sequence[Column]) -> Column:
@@ -137,14 +137,22 @@ def _checked(df: DataFrame, n: Column, max_group: int) -> DataFrame:
     return df.where(ok.isNull())
 
 
-def _slice_of(value: str) -> Column:
-    """Number of cuts at or below the value, found in two steps; -1 where there are none."""
-    def at_most(cuts: Column) -> Column:
-        return F.size(F.filter(cuts, lambda c: c <= F.col(value)))
+def _with_slice(df: DataFrame, value: str) -> DataFrame:
+    """Add ``_slice``: the number of ``_cuts`` at or below the value, -1 where there are none.
 
-    group = F.greatest(at_most(F.col("_coarse")) - 1, F.lit(0)) * SLICE_STEP
-    return F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(
-        group + at_most(F.slice("_cuts", group + 1, F.lit(SLICE_STEP)))
+    A binary search written as a chain of column aliases, so it stays in
+    generated code; reads past the end are NULL and move nothing.
+    """
+    steps = [SLICES >> i for i in range(SLICES.bit_length())]
+    columns, at = [], F.lit(0)
+    for i, step in enumerate(steps):
+        probe = F.get("_cuts", at + (step - 1))
+        name = f"_at_{i}"
+        columns.append((at + F.when(probe <= F.col(value), step).otherwise(0)).alias(name))
+        at = F.col(name)
+    found = df.select("*", *columns)
+    return found.withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(at)).drop(
+        "_cuts", *[f"_at_{i}" for i in range(len(steps))]
     )
 
 
@@ -186,21 +194,24 @@ def ranked_values(
             *[F.sum(n).over(whole).alias(f"total_{n}") for n in counts],
         )
         return _checked(out, reduce(lambda a, b: a + b, [F.col(f"total_{n}") for n in counts]), max_group)
-    sizes = merged.groupBy(*keys).agg(F.count("*").alias("_distinct"))
-    share = sizes.agg(F.sum("_distinct") / HOT_SHARE).scalar()
-    hot = sizes.where(
-        (F.col("_distinct") > F.lit(hot_min)) & (F.col("_distinct") > share)
-    ).withColumn("_every", F.ceil(F.col("_distinct") / SLICES).cast("long"))
+    # every branch below uses all columns of ``merged``, so they share its shuffle
+    rows = reduce(lambda a, b: a + b, [F.col(f"_all_{n}") for n in counts])
+    sizes = merged.groupBy(*keys).agg(
+        F.count("*").alias("_distinct"), *[F.sum(n).alias(f"_all_{n}") for n in counts]
+    )
+    share = sizes.agg(F.sum(rows) / HOT_SHARE).scalar()
+    hot = sizes.where((F.col("_distinct") > F.lit(hot_min)) & (rows > share)).select(
+        *keys, F.ceil(F.col("_distinct") / SLICES).cast("long").alias("_every"), *[f"_all_{n}" for n in counts]
+    )
     # at most HOT_SHARE rows, so these broadcasts are bounded whatever the data
-    hot = F.broadcast(hot.drop("_distinct"))
-    sampled = merged.select(*keys, "value").join(hot, keys).where(
+    sampled = merged.join(F.broadcast(hot.select(*keys, "_every")), keys).where(
         F.pmod(F.xxhash64("value"), F.col("_every")) == 0
     )
-    cuts = sampled.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("_cuts"))
-    cuts = F.broadcast(cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % SLICE_STEP == 0)))
-    sliced = merged.join(cuts, keys, "left").withColumn("_slice", _slice_of("value")).drop("_cuts", "_coarse")
+    points = sampled.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("value", *counts))).alias("_p"))
+    cuts = F.broadcast(points.select(*keys, F.col("_p.value").alias("_cuts")))
+    sliced = _with_slice(merged.join(cuts, keys, "left"), "value")
     # slice totals exist for hot groups only: HOT_SHARE * (SLICES + few) rows
-    slice_sums = sliced.where("_slice >= 0").groupBy(*keys, "_slice").agg(
+    slice_sums = _with_slice(merged.join(cuts, keys), "value").groupBy(*keys, "_slice").agg(
         F.min("value").alias("_first"),
         *[F.sum(name).alias(f"_sum_{name}") for name in counts],
     )

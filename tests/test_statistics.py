@@ -65,7 +65,7 @@ def samples():
     return np.round(rng.normal(10, 2, 700), 1), np.round(rng.normal(11, 3, 450), 1)
 
 
-@pytest.mark.parametrize("hot_min", [200_000, 20])
+@pytest.mark.parametrize("hot_min", [50_000, 20])
 def test_two_sample_statistics(spark, samples, hot_min):
     a, b = samples
     df = frame(spark, {"k": "x", "v": np.concatenate([a, b]), "period": ["pre"] * len(a) + ["post"] * len(b)})
