@@ -945,7 +945,8 @@ def static_and_cqr_days(spark, sf) -> DataFrame:
 @query
 def bootstrap_draws(spark, sf):
     counts = split_series(spark, sf).groupBy("split").agg(F.count_distinct(F.to_date("ts")).alias("n_days"))
-    return bootstrap.day_draws(counts, 200, 42).select("n_days", "day_idx", F.inline("_draws"))
+    draws = bootstrap.unpack_draws(bootstrap.day_draws(counts, 200, 42), "n_days", "day_idx")
+    return draws.withColumn("times", F.col("times").cast("bigint"))
 
 
 @query

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from loadshape.functions.columns import rounded
 from loadshape.operators.metrics import metrics_from_sums
-from loadshape.operators.ordering import lookup
 
 METRICS = ("ace", "interval_score", "mpiw", "empirical_coverage")
 MIN_DAYS = 5
@@ -30,8 +29,17 @@ def day_draws(day_counts: DataFrame, n_resamples: int, seed: int, n_days: str =
     times = draws.groupBy(n_days, "b", (number % F.col(n_days)).alias("day_idx")).agg(
         F.count("*").alias("times")
     )
-    # at most n_resamples entries per day
-    return times.groupBy(n_days, "day_idx").agg(F.collect_list(F.struct("b", "times")).alias("_draws"))
+    # at most n_resamples entries per day, kept as two plain arrays of 4-byte numbers
+    entry = F.struct("b", F.col("times").cast("int").alias("times"))
+    packed = times.groupBy(n_days, "day_idx").agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    return packed.select(n_days, "day_idx", F.col("_e.b").alias("_b"), F.col("_e.times").alias("_times"))
+
+
+def unpack_draws(draws: DataFrame, *columns: str) -> DataFrame:
+    """One row per (day, resample that draws it)."""
+    return draws.select(*columns, "_times", F.posexplode("_b").alias("_i", "b")).select(
+        *columns, "b", F.get("_times", F.col("_i")).alias("times")
+    )
 
 
 def resampled_metrics(
@@ -67,10 +75,11 @@ def resampled_metrics(
     )
     draws = day_draws(indexed, n_resamples, seed)
     sums_of = [f"{c}_{s}" for s in "ab" for c in sums]
-    joined = lookup(indexed, draws, ["n_days", "day_idx"], F.struct(*keys), salts=8).select(
-        *keys, "n_days", *sums_of, F.inline("_draws")
-    )
-    drawn = joined.groupBy(*keys, "n_days", "b").agg(
+    # The draws are 8 bytes per resample and day.  While Spark measures them below its
+    # broadcast limit, the days stay partitioned by series and no shuffle follows; larger
+    # draws have correspondingly more (n_days, day) keys to spread a shuffled join over.
+    drawn = unpack_draws(indexed.join(draws, ["n_days", "day_idx"]), *keys, "n_days", *sums_of)
+    drawn = drawn.groupBy(*keys, "n_days", "b").agg(
         *[F.sum(F.col(c) * F.col("times")).alias(c) for c in sums_of]
     )
     out = []

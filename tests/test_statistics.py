@@ -198,7 +198,7 @@ def daily(spark, n_days=12, keys=("a", "b")):
 
 def test_bootstrap_draws_whole_days_evenly(spark):
     counts = spark.createDataFrame([(30,)], "n_days long")
-    draws = bootstrap.day_draws(counts, 500, 42).select("day_idx", F.inline("_draws"))
+    draws = bootstrap.unpack_draws(bootstrap.day_draws(counts, 500, 42), "day_idx")
     per_b = draws.groupBy("b").agg(F.sum("times").alias("n"), F.count("*").alias("distinct")).toPandas()
     assert (per_b["n"] == 30).all() and len(per_b) == 500
     assert per_b["distinct"].mean() == pytest.approx(30 * (1 - (29 / 30) ** 30), abs=0.4)
@@ -210,7 +210,7 @@ def test_bootstrap_statistics_match_a_loop(spark):
     got = bootstrap.paired_bootstrap(df, ["k"], "x", "z", 0.1, n, seed, round_before_diff=False, digits=None).toPandas()
     draws = bootstrap.day_draws(spark.createDataFrame([(12,)], "n_days long"), n, seed)
     times = np.zeros((n, 12))
-    for r in draws.select("day_idx", F.inline("_draws")).collect():
+    for r in bootstrap.unpack_draws(draws, "day_idx").collect():
         times[r["b"], r["day_idx"]] = r["times"]
     pdf = df.toPandas().sort_values("day")
     for k in "ab":
