@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadshape.operators.ordering import lookup
+
 KEY = ("household_id", "timestamp")
 
 
@@ -59,16 +61,15 @@ def households_with_history(df: DataFrame, min_days: float, household: str = "ho
     return household_history(df, household, **kw).where(F.col("duration_days") >= min_days).select(household)
 
 
-def keep_households(df: DataFrame, ids: DataFrame, household: str = "household_id") -> DataFrame:
+def keep_households(
+    df: DataFrame, ids: DataFrame, household: str = "household_id", ts: str = "timestamp"
+) -> DataFrame:
     """Readings of the listed households.
 
     The id list has one row per household, so the join is salted on the reading
     side to spread a household that holds a large share of the rows.
     """
-    from loadshape.operators.ordering import lookup
-
-    other = next(c for c in df.columns if c != household)
-    return lookup(df, ids.select(household), [household], F.col(other), "left_semi")
+    return lookup(df, ids.select(household), [household], F.col(ts), "left_semi")
 
 
 def clean_readings(

@@ -181,7 +181,8 @@ def two_sample_statistics(
     both = df.where(F.col(period).isin(pre, post))
     side = {"a": F.when(F.col(period) == pre, 1).otherwise(0), "b": F.when(F.col(period) == post, 1).otherwise(0)}
     ranked = ranked_values(both, keys, value, side, hot_min, max_group)
-    gap = F.abs(F.col("cum_a") / F.col("total_a") - F.col("cum_b") / F.col("total_b"))
+    # a series with one period only has no statistics
+    gap = F.abs(F.try_divide("cum_a", "total_a") - F.try_divide("cum_b", "total_b"))
     ties = (F.col("a") + F.col("b")).cast("double")
     before = (F.col("cum_a") + F.col("cum_b")).cast("double") - ties
     sums = ranked.groupBy(*keys).agg(
@@ -195,7 +196,7 @@ def two_sample_statistics(
     n1, n2 = F.col("n_pre").cast("double"), F.col("n_post").cast("double")
     n = n1 + n2
     u1 = F.col("_rank_sum") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("tie_term"), n * (n - 1))))
     lam = F.sqrt(F.round(n1 * n2 / n)) * F.col("ks_statistic")
     terms = F.transform(
         F.sequence(F.lit(1), F.lit(100)),
@@ -205,11 +206,11 @@ def two_sample_statistics(
 
     @F.pandas_udf("double")
     def two_sided(z: pd.Series) -> pd.Series:
-        return z.map(lambda x: min(1.0, math.erfc(x / math.sqrt(2.0))))
+        return z.map(lambda x: min(1.0, math.erfc(x / math.sqrt(2.0))), na_action="ignore")
 
     return (
         sums.withColumn("u_statistic", u1)
-        .withColumn("mann_whitney_z", (F.greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / sd)
+        .withColumn("mann_whitney_z", F.try_divide(F.greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5, sd))
         .withColumn("_lam", lam)
         # below 0.2 the alternating series is 1 to machine precision but slow to settle
         .withColumn("ks_p_value", F.when(F.col("_lam") < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ks_p))))
@@ -265,7 +266,7 @@ def ramps_and_autocorrelation(
     return lagged.groupBy(*group).agg(
         F.avg("_ramp").alias("mean_absolute_ramp"),
         reach.alias("_reach"),
-        *[(F.sum(f"_p{k}") / F.sum(F.col("_d") * F.col("_d"))).alias(f"acf_{k}") for k in lags],
+        *[F.try_divide(F.sum(f"_p{k}"), F.sum(F.col("_d") * F.col("_d"))).alias(f"acf_{k}") for k in lags],
     )
 
 
@@ -298,7 +299,7 @@ def characterise_shift(
     reach = F.least("_reach_pre", "_reach_post")
 
     def change(c: str):
-        return F.round((F.col(f"{c}_post") - F.col(f"{c}_pre")) / F.col(f"{c}_pre") * 100.0, 2)
+        return F.round(F.try_divide(F.col(f"{c}_post") - F.col(f"{c}_pre"), F.col(f"{c}_pre")) * 100.0, 2)
 
     out = [F.col("n_pre"), F.col("n_post")]
     for c in ("mean", "std", "median", "p95", "p99", "mean_absolute_ramp"):

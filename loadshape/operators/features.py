@@ -107,7 +107,8 @@ def calendar_features(
         return out.withColumn("is_bank_holiday", F.lit(0.0))
     if isinstance(holidays, DataFrame):
         days = holidays.select(F.col("date").cast("date").alias("_day")).distinct()
-        hit = days.withColumn("_hit", F.lit(True))
+        # distinct days: at most 366 rows a year
+        hit = F.broadcast(days.withColumn("_hit", F.lit(True)))
         return (
             out.withColumn("_day", F.to_date(t))
             .join(hit, "_day", "left")

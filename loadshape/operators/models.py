@@ -220,7 +220,7 @@ def quantile_forest_predict(
 
     def mean(name: str) -> Column:
         values = F.filter(F.transform("_hits", lambda s: s[name]), lambda v: v.isNotNull())
-        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
+        return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values))
 
     return scored.withColumns({n: non_negative(mean(n)) for n in names}).drop(
         "_x", "_p", "_leaf", "_tables", "_hits"

@@ -54,6 +54,7 @@ def reliability_keys(
     ramp_cuts = exact_quantiles(ramped, keys, "ramp", TERTILES, max_group=max_group)
     labelled = lookup(ramped, cuts.join(ramp_cuts, list(keys)), keys, F.col(seq))
     hour = F.hour(ts)
+    # Names of the dimensions and subgroups
     dims: dict[str, Column] = {
         "by_hour": hour.cast("string"),
         "by_peak_status": peak_status(hour),

@@ -26,6 +26,7 @@ from loadshape.operators.metrics import interval_metrics
 from loadshape.operators.ordering import lookup
 from loadshape.plans.backtest import BacktestSettings, place_rows, with_shift_scores
 
+# The grids, and below the configuration labels of their result tables.
 GAMMAS = (0.005, 0.01, 0.02, 0.05)
 WINDOW_DAYS = (14, 28, 56)
 LEVELS = (0.80, 0.90, 0.95)

@@ -241,3 +241,15 @@ def test_formatted_bootstrap(spark):
     out = bootstrap.formatted_bootstrap(bootstrap.paired_bootstrap(daily(spark), ["k"], "x", "z", n_resamples=50), ["k"])
     row = out.first()
     assert row["ci_95"].startswith("[") and row["significant"] in ("Yes", "No")
+
+
+def test_degenerate_samples_give_nulls(spark):
+    rows = [("one", "pre", 1.0), ("one", "pre", 2.0), ("flat", "pre", 0.0), ("flat", "post", 0.0), ("flat", "post", 0.0)]
+    pdf = pd.DataFrame(rows, columns=["k", "period", "v"])
+    pdf["ts"] = [START + dt.timedelta(minutes=30 * i) for i in range(len(pdf))]
+    df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {r["k"]: r for r in drift.two_sample_statistics(df, ["k"], "v", "period", "pre", "post").collect()}
+    assert got["one"]["wasserstein_1d"] is None and got["one"]["mann_whitney_p_value"] is None
+    assert got["flat"]["ks_statistic"] == 0.0 and got["flat"]["mann_whitney_z"] is None
+    flat = {r["k"]: r for r in drift.characterise_shift(df, ["k"], "v", "period", "pre", "post").collect()}["flat"]
+    assert flat["mean_pct_change"] is None and flat["acf_48_pre"] is None
