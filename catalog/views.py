@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadshape.operators.adaptive import ShiftAwareVariant
-from loadshape.operators.cohorts import cohort_load
+from loadshape.operators.cohorts import cohort_load, tariff_cohorts
 from loadshape.operators.features import lag_features, regularise
 from loadshape.operators.models import add_seasonal_naive, seasonal_quantile_fit, seasonal_quantile_predict
 from loadshape.operators.ordering import grid_rows
@@ -100,7 +100,8 @@ def cohort_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cohort, ts, load_kwh, seq) on the full half-hour grid, 0 where nothing was metered."""
     r = readings(spark, sf_dir).withColumn("slot", F.window("timestamp", "30 minutes")["start"])
     load = cohort_load(r, ts="slot").select("cohort", "ts", "load_kwh")
-    return regularise(load, KEYS, 30, fill="zero", start=GRID[0], end=GRID[1])
+    names = spark.createDataFrame([(c,) for c in tariff_cohorts()], "cohort string")
+    return regularise(load, KEYS, 30, fill="zero", start=GRID[0], end=GRID[1], series=names)
 
 
 def typed_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,18 +55,24 @@ def regularise(
     fill: str = "null",
     start=None,
     end=None,
+    series: DataFrame | None = None,
 ) -> DataFrame:
     """Put every series on a gap-free grid and number it.
 
     The grid runs from ``start`` to ``end``, or from the first to the last row
     of each series.  ``fill`` is ``null`` or ``zero``.  ``seq`` is the step
-    number, so chunked windows need no further numbering.
+    number, so chunked windows need no further numbering.  With ``start``,
+    ``end`` and a table of the ``series`` (one row each), ``df`` is read once;
+    otherwise a first pass finds the series and their ends.
     """
     keys = list(keys)
     step = F.expr(f"interval {int(step_minutes)} minutes")
     lo = F.min(ts) if start is None else F.lit(start).cast("timestamp_ntz")
     hi = F.max(ts) if end is None else F.lit(end).cast("timestamp_ntz")
-    bounds = df.groupBy(*keys).agg(lo.alias("_lo"), hi.alias("_hi"))
+    if series is not None and start is not None and end is not None:
+        bounds = series.select(*keys, lo.alias("_lo"), hi.alias("_hi"))
+    else:
+        bounds = df.groupBy(*keys).agg(lo.alias("_lo"), hi.alias("_hi"))
     grid = bounds.select(
         *keys, F.posexplode(F.sequence("_lo", "_hi", step)).alias("_pos", ts)
     )
