@@ -946,13 +946,14 @@ def static_and_cqr_days(spark, sf) -> DataFrame:
 def bootstrap_draws(spark, sf):
     counts = split_series(spark, sf).groupBy("split").agg(F.count_distinct(F.to_date("ts")).alias("n_days"))
     draws = bootstrap.unpack_draws(bootstrap.day_draws(counts, 200, 42), "n_days", "day_idx")
-    return draws.withColumn("times", F.col("times").cast("bigint"))
+    return draws.withColumns({c: F.col(c).cast("bigint") for c in ("b", "times")})
 
 
 @query
 def bootstrap_samples(spark, sf):
     daily = static_and_cqr_days(spark, sf)
-    return bootstrap.resampled_metrics(daily, KEYS, "cqr", "static", 0.10, 300, 42)
+    df = bootstrap.resampled_metrics(daily, KEYS, "cqr", "static", 0.10, 300, 42)
+    return df.withColumn("b", F.col("b").cast("bigint"))
 
 
 @query
