@@ -1,3 +1,47 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+# fixed values: the patterns of the secret rules, group 1 the value that a rule's least length holds for
+_SECRETS = (
+    ("assign", r"""[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]""", 6),
+    ("access", r"AKIA[A-Z0-9]+", 20),
+    ("hex", r"[0-9a-f]+", 24),
+    ("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 27),
+    ("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
+)
+
+
+def _secrets() -> str:
+    parts = []
+    for rank, (kind, pattern, least) in enumerate(_SECRETS):
+        if kind == "assign":
+            pattern = f"""(?:{pattern})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+            value = f"regexp_extract_all(t, '{pattern}', 1)"
+        else:
+            value = f"regexp_extract_all(t, '{pattern}', 0)"
+        parts.append(
+            f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, {least} AS least, "
+            f"regexp_extract_all(t, '{pattern}', 0) AS found, {value} AS vals, string_split_regex(t, '{pattern}') AS gaps "
+            f"FROM d WHERE regexp_matches(t, '{pattern}')"
+        )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+s AS (
+  SELECT doc_id, rank, kind, least, unnest(found) AS f, unnest(vals) AS v,
+    unnest(list_transform(range(1, len(found) + 1), lambda k: list_sum(list_transform(gaps[1:k], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0))) AS a
+  FROM m WHERE len(found) > 0),
+k AS (SELECT doc_id, rank, kind, CAST(a AS BIGINT) AS a, CAST(a AS BIGINT) + length(f) AS b FROM s WHERE length(v) >= least),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < 3), '') AS base,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans
+  FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op2_secret_scan": _secrets()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadshape.llm import simhash
+from loadshape.llm import language, secret_scan, simhash
 
 QUERIES: dict = {}
 
@@ -19,6 +19,41 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def held_out(doc_id: str = "doc_id"):
+    """A quarter of the rows, by doc_id; a NULL doc_id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 4 == 2
+
+
+@query
+def op1_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language.fit(docs.where(~held_out()), "lang", "text")
+    return language.predict(docs.select("doc_id", "text", held_out().alias("held_out")), model, "text").drop("text")
+
+
+def of_kinds(spans: str, *kinds: str):
+    return F.filter(spans, lambda x: x["kind"].isin(*kinds))
+
+
+def spans_text(spans: str, kinds: tuple[str, ...] | None = None):
+    """Spans as kind:start:end, comma-joined; of some kinds only, where given."""
+    chosen = F.col(spans) if kinds is None else of_kinds(spans, *kinds)
+    one = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    return F.concat_ws(",", F.transform(chosen, one))
+
+
+@query
+def op2_secret_scan(spark, sf):
+    base = tuple(r.kind for r in secret_scan.BASE_RULES)
+    found = secret_scan.scan(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return found.select(
+        "doc_id",
+        *[F.size(of_kinds("spans", k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(spans_text("spans", base), 256).alias("base_sha256"),
+        spans_text("spans").alias("spans"),
+    )
+
+
 @query
 def op10_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"), "doc_id", "text", 3, 3)
