@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadshape.llm import language, secret_scan, simhash
+from loadshape.llm import language, mixing, secret_scan, sharding, simhash
 
 QUERIES: dict = {}
 
@@ -54,6 +54,27 @@ def op2_secret_scan(spark, sf):
     )
 
 
+@query
+def op5_sharding(spark, sf):
+    docs = table(spark, sf, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("copies"),
+    )
+    placed = sharding.assign_shards(docs, F.col("size"), F.col("copies"), F.col("doc_id"), shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op7_mixing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", mixing.count_tokens("text").alias("n"))
+    mixed = mixing.mix(docs, "source", F.col("n"), F.col("doc_id"), max_repetition=2.0, block_tokens=1 << 16)
+    return mixed.select("doc_id", "source", "epoch", "block", "block_rank", "tokens")
+
+
 @query
 def op10_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"), "doc_id", "text", 3, 3)
