@@ -44,4 +44,10 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN g USING (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op2_secret_scan": _secrets()}
+ORACLES: dict[str, str] = {
+    "op2_secret_scan": _secrets(),
+    "op8_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadshape.llm import language, mixing, secret_scan, sharding, simhash
+from loadshape.llm import exact, language, mixing, secret_scan, sharding, simhash
 
 QUERIES: dict = {}
 
@@ -75,6 +75,14 @@ def op7_mixing(spark, sf):
     return mixed.select("doc_id", "source", "epoch", "block", "block_rank", "tokens")
 
 
+@query
+def op8_exact_dedup(spark, sf):
+    found = exact.deduplicate_files(spark, f"{sf}/documents.parquet", "doc_id", "text")
+    return found.select(
+        "doc_id", F.col("keep").alias("keep_id"), "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
 @query
 def op10_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"), "doc_id", "text", 3, 3)
