@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadshape.llm import exact, language, mixing, secret_scan, sharding, simhash
+from loadshape.llm import exact, language, mixing, secret_scan, sharding, simhash, warc
+from loadshape.llm.common import cut, shared_path
 
 QUERIES: dict = {}
 
@@ -54,6 +55,18 @@ def op2_secret_scan(spark, sf):
     )
 
 
+@query
+def op3_warc(spark, sf):
+    plan = warc.plan_records(table(spark, sf, "pages"), "page_id", "url", "html")
+    record = warc.record_text(*[F.col(c) for c in ("key", "url", "payload", "digest", "refers_to")])
+    raw, target = shared_path(spark, "warc-raw"), shared_path(spark, "warc")
+    warc.write_monolithic(plan.select(record), raw)
+    warc.normalise(spark, raw, target)
+    return warc.resolve_revisits(cut(warc.read_archives(spark, f"{target}/archives"))).select(
+        F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query
 def op5_sharding(spark, sf):
     docs = table(spark, sf, "documents").select(
