@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadshape.llm import exact, language, mixing, secret_scan, sharding, simhash, warc
+from loadshape.llm import exact, extract, language, mixing, secret_scan, sharding, simhash, warc
 from loadshape.llm.common import cut, shared_path
 
 QUERIES: dict = {}
@@ -88,6 +88,12 @@ def op7_mixing(spark, sf):
     return mixed.select("doc_id", "source", "epoch", "block", "block_rank", "tokens")
 
 
+@query
+def op6_html_extraction(spark, sf):
+    found = extract.extract(table(spark, sf, "pages"), "url", "html", "text")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op8_exact_dedup(spark, sf):
     found = exact.deduplicate_files(spark, f"{sf}/documents.parquet", "doc_id", "text")
