@@ -98,26 +98,22 @@ def fold(symbols: Sequence[str], longest: int = 24) -> list[str]:
     out = list(symbols)
     length = 1
     while length <= min(longest, len(out) // 2):
-        at, changed = 0, False
-        while at + 2 * length <= len(out):
-            group = out[at : at + length]
-            if length == 1 and (group[0] == "#" or not group[0].endswith(")+")):
-                again = at + 1
-                if out[at] == out[again] == "#":
-                    del out[again]
-                    continue
-                at += 1
-                continue
+        folded: list[str] = []
+        at = 0
+        while at < len(out):
             end = at + length
-            while out[end : end + length] == group:
-                end += length
-            if end > at + length:
-                out[at:end] = ["( " + " ".join(group) + " )+"] if length > 1 else group
-                changed = True
-            elif length > 1 and group[0].endswith(")+") and length == 1:
-                pass
-            at += 1
-        length = 1 if changed and length > 1 else length + 1
+            if end < len(out) and out[at] == out[end] and out[at:end] == (group := out[end : end + length]):
+                while out[end : end + length] == group:
+                    end += length
+                # text beside text is one slot, a group beside itself one group
+                folded += group if length == 1 and (group[0] == "#" or group[0][0] == "(") else ["( " + " ".join(group) + " )+"]
+                at = end
+            else:
+                folded.append(out[at])
+                at += 1
+        # a group may make shorter repeats
+        length = 1 if len(folded) < len(out) and length > 1 else length + 1
+        out = folded
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadshape.llm import exact, extract, language, mixing, secret_scan, sharding, simhash, warc
+from loadshape.llm import decontaminate, exact, extract, language, mixing, secret_scan, sharding, simhash, warc
 from loadshape.llm.common import cut, shared_path
 
 QUERIES: dict = {}
@@ -67,6 +67,13 @@ def op3_warc(spark, sf):
     )
 
 
+@query
+def op4_decontamination(spark, sf):
+    return decontaminate.find(
+        table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text"
+    )
+
+
 @query
 def op5_sharding(spark, sf):
     docs = table(spark, sf, "documents").select(
