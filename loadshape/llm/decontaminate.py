@@ -142,10 +142,17 @@ def _search(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, index: Inde
     # bands of 2 (k + 1) diagonals that overlap by half: the k + 1 an alignment can take lie in one of them
     band = diagonal // (index.budgets[owner] + 1) + (1 << 21)
     pair = doc << 42 | owner << 22
-    keys, counts = np.unique(np.concatenate([pair | band, pair | (band - 1)]), return_counts=True)
-    passing = keys[counts >= index.least[keys >> 22 & (1 << 20) - 1]]
+    both = np.concatenate([pair | band, pair | (band - 1)])
+    order = np.argsort(both, kind="stable")
+    keys, first, counts = np.unique(both[order], return_index=True, return_counts=True)
+    enough = counts >= index.least[keys >> 22 & (1 << 20) - 1]
     seen: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for key in passing.tolist():
+    for key, f, n in zip(keys[enough].tolist(), first[enough].tolist(), counts[enough].tolist()):
+        # a q-gram that repeats makes more pairs than there are shared q-grams
+        met = order[f : f + n] % len(pick)
+        shared = min(len(set(index.place[pick[met]].tolist())), len(set(hit[met].tolist())))
+        if shared < index.least[key >> 22 & (1 << 20) - 1]:
+            continue
         doc, item, b = key >> 42, key >> 22 & (1 << 20) - 1, (key & (1 << 22) - 1) - (1 << 21)
         k = int(index.budgets[item])
         low, high = b * (k + 1), (b + 2) * (k + 1) - 1
