@@ -13,11 +13,15 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadshape.llm.common import cut
+
 # fixed values of the format
 CRLF = "\r\n"
 RECORD_END = CRLF * 2
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 1000
+#: Digests with copies are broadcast up to this number (50 bytes each), and joined by shuffle beyond.
+BROADCAST_DIGESTS = 500_000
 #: Records in one archive file: bounds what a task holds, as an archive is read whole.
 RECORDS_PER_FILE = 10_000
 _INFLATE_STEP = 1 << 20
@@ -35,14 +39,15 @@ def plan_records(df: DataFrame, key: str, url: str, payload: str, least: int = M
     """
     held = F.coalesce(F.col(payload), F.lit(""))
     rows = df.select(F.col(key).alias("key"), F.col(url).alias("url"), held.alias("payload"), F.sha1(held).alias("digest"))
-    copies = (
+    copies = cut(
         rows.where(F.octet_length("payload") >= least)
         .groupBy("digest")
         .agg(F.max("key").alias("holder"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select("digest", "holder")
     )
-    return rows.join(copies, "digest", "left").select(
+    side = F.broadcast(copies) if copies.count() <= BROADCAST_DIGESTS else copies
+    return rows.join(side, "digest", "left").select(
         "key", "url", "payload", "digest", F.when(F.col("key") < F.col("holder"), F.col("holder")).alias("refers_to")
     )
 
