@@ -85,7 +85,8 @@ def links(prints: DataFrame, max_distance: int = 3) -> DataFrame:
     """
     if not 0 <= max_distance <= 3:
         raise ValueError("the chain keys hold for 0 to 3 differing bits")
-    prints = cut(prints)
+    # each fingerprint becomes 64 rows below: the table is small, its partitions must not be few
+    prints = cut(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     empty = prints.where("false").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     if max_distance == 0:
         return empty
