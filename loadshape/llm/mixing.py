@@ -9,10 +9,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadshape.llm.common import without
+from loadshape.llm.common import cut, without
 
 #: Sources are weighed on the driver, with one number each.
 MAX_SOURCES = 1_000_000
+#: Blocks (some 60 bytes each) that are broadcast at most.
+BROADCAST_BLOCKS = 300_000
 
 
 @dataclass(frozen=True)
@@ -136,6 +138,9 @@ def mix(
     turn = turn.withColumn("block_rank", F.col("_before") / F.greatest(F.col("_budget"), F.lit(1.0)))
     turn = turn.select(F.col("_name").alias("_n"), F.col("block").alias("_b"), F.col("epoch").cast("int").alias("epoch"), "_left", "block_rank", "_held")
 
+    # a row per block and epoch: some millions for 100 TB; broadcast while they are few
+    turn = cut(turn)
+    turn = F.broadcast(turn) if turn.count() <= BROADCAST_BLOCKS else turn
     read = dealt.join(turn, F.col("_name").eqNullSafe(F.col("_n")) & (F.col("block") == F.col("_b")))
     # only a block at the edge of a budget needs the order of its rows
     edge = Window.partitionBy("_n", "block", "epoch").orderBy(F.xxhash64("_id", "epoch"), "_id").rowsBetween(

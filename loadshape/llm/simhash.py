@@ -128,6 +128,15 @@ def links(prints: DataFrame, max_distance: int = 3) -> DataFrame:
     return near.unionByName(far)
 
 
+def classes(prints: DataFrame, max_distance: int = 3) -> DataFrame:
+    """(fp, component) for every distinct fingerprint of ``prints``: the smallest one reachable over links."""
+    distinct = prints.select("fp").distinct()
+    found = components(links(distinct, max_distance))
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component")
+    )
+
+
 def near_duplicates(
     df: DataFrame, key: str, text: str = "text", words_per_shingle: int = 3, max_distance: int = 3
 ) -> DataFrame:
@@ -137,12 +146,71 @@ def near_duplicates(
     one entry.  Rows with NULL ``key`` take part; a class without any key has a NULL component.  Repeated
     rows come out as often as they come in.  An empty table gives an empty result.
     """
-    rows = cut(fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", words_per_shingle).select("key", "fp"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = cut(fingerprints(rows, "text", words_per_shingle).select("key", "fp"))
     distinct = rows.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
-    found = components(links(distinct.select("fp"), max_distance))
-    linked = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
-    classes = linked.groupBy("component").agg(F.min("least").alias("first"), F.sum("n").alias("n_copies"))
-    by_print = linked.join(classes, "component").select("fp", "first", "n_copies")
+    linked = distinct.join(classes(distinct, max_distance), "fp")
+    totals = linked.groupBy("component").agg(F.min("least").alias("first"), F.sum("n").alias("n_copies"))
+    by_print = linked.join(totals, "component").select("fp", "first", "n_copies")
     return rows.join(by_print, "fp").select(F.col("key").alias(key), "fp", F.col("first").alias("component"), "n_copies")
+
+
+def _shingles(text: str, words_per_shingle: int) -> set[tuple[bytes, ...]]:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return {tuple(words[i : i + words_per_shingle]) for i in range(max(1, len(words) - words_per_shingle + 1))}
+
+
+def deduplicate(
+    df: DataFrame,
+    key: str,
+    text: str = "text",
+    words_per_shingle: int = 5,
+    max_distance: int = 3,
+    similarity: float = 0.8,
+) -> DataFrame:
+    """``df`` with one row of each group of copies and near copies, columns as they are.
+
+    Groups are classes of linked fingerprints; a member stays with its group only if the Jaccard similarity of
+    its shingles and those of the group's first row is at least ``similarity``, else it stands alone, with its exact
+    copies.  Of each group the row with the smallest ``key`` stays (a NULL key comes last, ties by the text's
+    hash), and of rows equal in key and text one.  NULL and empty texts are equal.  Texts are compared for members
+    whose text differs from the first row's: each with that one text, never with each other.
+    """
+    held = F.coalesce(F.col(text), F.lit(""))
+    digest = F.unhex(F.sha2(held, 256))
+    rows = df.select(F.col(key).alias("key"), held.alias("text"), digest.alias("digest"))
+    rows = cut(fingerprints(rows, "text", words_per_shingle).select("key", "digest", "fp"))
+    rank = F.struct(F.col("key").isNull().alias("none"), "key", "digest")
+    members = cut(rows.join(classes(rows, max_distance), "fp").select("key", "digest", "component").distinct())
+    firsts = members.groupBy("component").agg(F.min(rank).alias("first"))
+    pairs = cut(
+        members.join(firsts, "component")
+        .where(F.col("digest") != F.col("first.digest"))
+        .select("digest", F.col("first.digest").alias("other"))
+        .distinct()
+    )
+
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        both = [(_shingles(x, words_per_shingle), _shingles(y, words_per_shingle)) for x, y in zip(a, b)]
+        return pd.Series([len(x & y) / len(x | y) for x, y in both], dtype="float64")
+
+    wanted = pairs.select("digest").union(pairs.select("other")).distinct()
+    texts = df.select(digest.alias("digest"), held.alias("text")).join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+    texts = cut(texts)
+    apart = (
+        pairs.join(texts, "digest")
+        .join(texts.select(F.col("digest").alias("other"), F.col("text").alias("text_other")), "other")
+        .where(jaccard("text", "text_other") < similarity)
+        .select("digest", F.lit(True).alias("alone"))
+        .distinct()
+    )
+    kept = (
+        members.join(apart, "digest", "left")
+        .groupBy("component", F.when(F.col("alone"), F.col("digest")).alias("own"))
+        .agg(F.min(rank).alias("first"))
+        .select(F.col("first.key").alias("_key"), F.col("first.digest").alias("_first"))
+    )
+    rows = without(df, "_digest").withColumn("_digest", digest)
+    rows = rows.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_first")), "left_semi")
+    return rows.dropDuplicates([key, "_digest"]).drop("_digest")
