@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadshape.llm import decontaminate, exact, extract, language, mixing, secret_scan, sharding, simhash, warc
+from loadshape.llm import decontaminate, exact, extract, language, mixing, secret_scan, sharding, simhash, substring, warc
 from loadshape.llm.common import cut, shared_path
 
 QUERIES: dict = {}
@@ -109,6 +109,13 @@ def op8_exact_dedup(spark, sf):
     )
 
 
+@query
+def op9_substring_dedup(spark, sf):
+    found = substring.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", 50)
+    covered = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select("doc_id", "n_words", covered.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op10_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"), "doc_id", "text", 3, 3)
