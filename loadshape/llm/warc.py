@@ -7,6 +7,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
@@ -24,7 +26,7 @@ MIN_REVISIT_BYTES = 1000
 BROADCAST_DIGESTS = 500_000
 #: Records in one archive file: bounds what a task holds, as an archive is read whole.
 RECORDS_PER_FILE = 10_000
-_INFLATE_STEP = 1 << 20
+_READ_STEP, _INFLATE_STEP = 1 << 14, 1 << 20
 _GZIP_HEADER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff"
 #: A gzip member without content: Spark's text writer puts it after every record, where it adds nothing.
 EMPTY_MEMBER = _GZIP_HEADER + b"\x03\x00" + bytes(8)
@@ -111,17 +113,20 @@ class _Splitter:
         self.rest = self.rest[at:]
 
 
-def _inflated(content: bytes) -> Iterator[bytes]:
-    """The content of all members of a gzip file, a step at a time."""
-    while content:
-        stream = zlib.decompressobj(31)
-        data = stream.decompress(content, _INFLATE_STEP)
-        while data:
-            yield data
-            data = stream.decompress(stream.unconsumed_tail, _INFLATE_STEP)
-        if not stream.eof:
-            raise ValueError("a gzip stream that ends early")
-        content = stream.unused_data
+def _inflated(content: memoryview) -> Iterator[tuple[int, bytes]]:
+    """(offset of the member, next bytes of its content) of a gzip file, read and inflated a step at a time."""
+    at = 0
+    while at < len(content):
+        begin, stream = at, zlib.decompressobj(31)
+        while not stream.eof:
+            if at >= len(content):
+                raise ValueError("a gzip stream that ends early")
+            data = stream.decompress(content[at : at + _READ_STEP], _INFLATE_STEP)
+            at = min(at + _READ_STEP, len(content))
+            while data:
+                yield begin, data
+                data = stream.decompress(stream.unconsumed_tail, _INFLATE_STEP) if stream.unconsumed_tail else b""
+        at -= len(stream.unused_data)
 
 
 def _headers(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -161,7 +166,7 @@ def normalise(spark: SparkSession, source: str, target: str, records_per_file: i
         for batch in batches:
             for content in batch.column("content"):
                 splitter = _Splitter()
-                for data in _inflated(content.as_py()):
+                for _, data in _inflated(memoryview(content.as_buffer())):
                     for record in splitter.feed(data):
                         member, key = _member(record), _record_key(_headers(record)[0].get("warc-record-id"))
                         if n % records_per_file == 0:
@@ -213,13 +218,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                rows, data, at = [], memoryview(content.as_buffer()), 0
-                while at < len(data):
-                    stream = zlib.decompressobj(31)
-                    record = stream.decompress(data[at:])
-                    begin, at = at, len(data) - len(stream.unused_data)
-                    if not record:
-                        continue
+                rows, parts = [], groupby(_inflated(memoryview(content.as_buffer())), key=itemgetter(0))
+                for begin, steps in parts:
+                    record = b"".join(data for _, data in steps)
                     fields, block = _headers(record)
                     rows.append((
                         path, begin, _record_key(fields.get("warc-record-id")), fields["warc-type"],
