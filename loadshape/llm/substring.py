@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadshape.llm.common import cut, without
@@ -151,43 +151,41 @@ def _is_set(bits: np.ndarray, power: int, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def earlier_windows(docs: DataFrame, window: int) -> DataFrame:
+def _candidates(texts: list[str | None], window: int, filtered: tuple[np.ndarray, int]) -> list[np.ndarray]:
+    """Per text the distinct hashes of its windows whose anchor passes the filter."""
+    found = []
+    for text in texts:
+        hashes, anchors = _hashes(text, window)
+        found.append(np.unique(hashes[_is_set(*filtered, anchors)]))
+    return found
+
+
+def earlier_windows(docs: DataFrame, window: int, sent) -> DataFrame:
     """(key, earlier): per document the hashes of its windows that a document with a smaller key has too.
 
-    Equal windows have equal anchors, so only windows whose anchor repeats are looked at; the anchors come as a bitmap
-    of bounded size.  Per window hash the least key is found with partial minima, so a passage that a third of
-    all documents share costs one row per task, and the documents look it up by a join that Spark can split.
+    Equal windows have equal anchors, so only windows whose anchor passes the broadcast filter ``sent`` are looked
+    at.  Of the documents of a batch that share a window all but the smallest key have an earlier one
+    already; only that one is sent on, to be compared with the smallest of other batches.  So a passage
+    that a third of all documents share costs a row per batch, not one per document.
     """
-    spark = docs.sparkSession
-    bits, power = bitmap(repeated_anchors(docs, window), "anchor")
-    sent = spark.sparkContext.broadcast((bits, power))
-
-    def candidates(batch: pa.RecordBatch) -> list[np.ndarray]:
-        found = []
-        for text in batch.column("text").to_pylist():
-            hashes, anchors = _hashes(text, window)
-            found.append(np.unique(hashes[_is_set(*sent.value, anchors)]))
-        return found
-
-    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _extremes(candidates(batch), batch.column("key").to_pylist(), ("hash", "low", "high"))
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = candidates(batch)
-            every = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            owner = np.repeat(np.array(batch.column("key").to_pylist(), np.int64), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(owner)], names=["hash", "key"])
-
-    first = (
-        docs.mapInArrow(extremes, "hash long, low long, high long")
-        .groupBy("hash")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        .where("low < high")
-        .select("hash", "low")
-    )
-    met = docs.mapInArrow(occurrences, "hash long, key long").join(first, "hash").where("low < key")
+    def split(smallest: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = _candidates(batch.column("text").to_pylist(), window, sent.value)
+                every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+                owner = np.repeat(np.array(batch.column("key").to_pylist(), np.int64), [len(x) for x in found])
+                order = np.lexsort((owner, every))
+                every, owner = every[order], owner[order]
+                first = np.concatenate([[True], every[1:] != every[:-1]])[: len(every)]
+                least = owner[first][np.cumsum(first) - 1] if len(every) else owner
+                pick = first if smallest else owner > least
+                yield pa.RecordBatch.from_arrays([pa.array(every[pick].view(np.int64)), pa.array(owner[pick])], names=["hash", "key"])
+
+        return docs.mapInArrow(run, "hash long, key long")
+
+    across = split(smallest=True).withColumn("low", F.min("key").over(Window.partitionBy("hash")))
+    met = across.where("low < key").select("hash", "key").unionByName(split(smallest=False))
     return met.groupBy("key").agg(F.collect_set("hash").alias("earlier"))
 
 
@@ -203,7 +201,9 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = 50
     """
     rows = without(df, "kept", "n_words", "removed", "_earlier", "_of")
     keyed = rows.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    earlier = earlier_windows(keyed, window).select(F.col("key").alias("_of"), F.col("earlier").alias("_earlier"))
+    # documents without a window whose anchor repeats lose nothing and need not meet the others
+    sent = df.sparkSession.sparkContext.broadcast(bitmap(repeated_anchors(keyed, window), "anchor"))
+    earlier = earlier_windows(keyed, window, sent).select(F.col("key").alias("_of"), F.col("earlier").alias("_earlier"))
 
     @F.pandas_udf("kept string, n_words long, removed array<struct<start:long,end:long>>")
     def trimmed(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -231,7 +231,14 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = 50
             out.append((b" ".join(kept).decode("utf-8", "surrogatepass"), len(parts), ranges))
         return pd.DataFrame(out, columns=["kept", "n_words", "removed"])
 
-    joined = rows.join(earlier, F.col(key).cast("long") == F.col("_of"), "left").drop("_of")
-    return joined.withColumn("_trimmed", trimmed(F.col(text), F.col("_earlier"))).select(
-        *[joined[c] for c in rows.columns], "_trimmed.*"
+    @F.pandas_udf("boolean")
+    def shares(texts: pd.Series) -> pd.Series:
+        return pd.Series([_is_set(*sent.value, _hashes(t, window)[1]).any() for t in texts], dtype="bool")
+
+    names = rows.columns
+    meeting = rows.where(shares(F.col(text))).join(earlier, F.col(key).cast("long") == F.col("_of"), "left").drop("_of")
+    alone = rows.where(~shares(F.col(text))).withColumn("_earlier", F.lit(None).cast("array<long>"))
+    every = meeting.unionByName(alone)
+    return every.withColumn("_trimmed", trimmed(F.col(text), F.col("_earlier"))).select(
+        *[every[c] for c in names], "_trimmed.*"
     )
