@@ -892,10 +892,9 @@ FROM (SELECT cohort, 48 AS k, load_kwh AS y, greatest(0.0, lag48) AS p FROM lagg
 
 oracle("stream_cohort_load", """
 SELECT cohort, time_bucket(INTERVAL 30 MINUTE, timestamp) AS ts, CAST(CAST(round(sum(energy_kwh), 12) AS FLOAT) AS DOUBLE) AS load_kwh, CAST(CAST(round(avg(energy_kwh), 12) AS FLOAT) AS DOUBLE) AS load_mean_kwh
-FROM members GROUP BY 1, 2
-HAVING time_bucket(INTERVAL 30 MINUTE, min(timestamp)) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+FROM members GROUP BY 1, 2""")
 oracle("stream_dedup", """
 SELECT DISTINCT user_id AS household_id, date_trunc('hour', ts) AS timestamp FROM events""")
 oracle("stream_online_intervals", f"""
 SELECT cohort, ts, method, {single('lower', 'upper')} FROM six
-WHERE method IN ('rolling', 'aci', 'sa_acp') AND ts <= (SELECT max(ts) FROM test) - INTERVAL 1 DAY""")
+WHERE method IN ('rolling', 'aci', 'sa_acp')""")

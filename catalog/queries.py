@@ -468,7 +468,7 @@ def scalar_labels(spark, sf):
 def scalar_tertiles(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
     df = reliability.add_regime(
-        li, ["l_returnflag"], "l_extendedprice", "regime", ("Low", "Medium", "High"), salt="l_orderkey"
+        li, ["l_returnflag"], "l_extendedprice", "regime", ("Low", "Medium", "High")
     )
     return df.select("l_orderkey", "l_linenumber", "l_returnflag", "regime")
 
@@ -1020,9 +1020,11 @@ def ablation_lag_choice(spark, sf):
 
 # streams ------------------------------------------------------------------------------------
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+def replayed(spark: SparkSession, rows: DataFrame, ts: str) -> DataFrame:
+    """Rows as a bounded stream, with the closing row that lets all of them out."""
+    path = fresh_path(spark, "replay")
+    stream.with_closing_row(rows, ts).write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
 
 
 def drained(spark, df: DataFrame, name: str) -> DataFrame:
@@ -1033,7 +1035,7 @@ def drained(spark, df: DataFrame, name: str) -> DataFrame:
 
 @query
 def stream_cohort_load(spark, sf):
-    e = event_stream(spark, sf).select(
+    e = replayed(spark, table(spark, sf, "events").select("user_id", "ts", "value"), "ts").select(
         F.col("user_id").cast("string").alias("household_id"), F.col("ts").alias("timestamp"),
         (F.col("value") / 100).alias("energy_kwh"),
         F.when(F.col("user_id") % 3 == 0, "dToU").otherwise("Std").alias("tariff_group"),
@@ -1044,11 +1046,12 @@ def stream_cohort_load(spark, sf):
 
 @query
 def stream_dedup(spark, sf):
-    e = event_stream(spark, sf).select(
-        F.col("user_id").alias("household_id"), F.date_trunc("hour", F.col("ts")).alias("timestamp"),
+    schema = table(spark, sf, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select(
+        F.col("user_id").alias("household_id"), F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("timestamp"),
     )
     return drained(spark, stream.dedup_stream(e, "40 days"), "stream-dedup").select(
-        "household_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp")
+        "household_id", stream.zone_free(F.unix_micros("timestamp")).alias("timestamp")
     )
 
 
@@ -1057,10 +1060,8 @@ def stream_online_intervals(spark, sf):
     f = forecasts(spark, sf).where("split in ('calibration', 'test')").select(
         "cohort", "ts", "y", "y_pred", (F.col("split") == "calibration").alias("is_calibration")
     )
-    rows = cut_lineage(f, "replay")
-    replay = spark.readStream.schema(rows.schema).parquet(*[rows.inputFiles()[0].rsplit("/", 1)[0]])
     out = calibrator.online_intervals(
-        replay, KEYS, "1 day", sa_acp=SETTINGS.sa_acp, window=240, detector_window=96, reference_length=240
+        replayed(spark, f, "ts"), KEYS, "1 day", sa_acp=SETTINGS.sa_acp, window=240, detector_window=96, reference_length=240
     )
     df = drained(spark, out, "stream-online")
     return single(df.select("cohort", "ts", "method", "lower", "upper"), "lower", "upper")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadshape.functions.columns import absolute_residual, covers, point_band, quantile_band
-from loadshape.operators.conformal import pack_blocks, pack_calibration
+from loadshape.operators.conformal import calibration_pieces, pack_blocks
 
 
 @dataclass(frozen=True)
@@ -131,9 +131,7 @@ def walk_series(
     lo, hi = band or (pred, pred)
     score = absolute_residual(y, pred) if cal_score is None else cal_score
     if cal_packed is None:
-        cal_packed = pack_calibration(cal, keys, {"_scores": score}, seq).select(
-            *keys, F.sort_array("_scores").alias("_cal")
-        )
+        cal_packed = calibration_pieces(cal, keys, score, seq)
     values = {
         "_row": F.struct(*columns),
         "_y": F.col(y).cast("double"),
@@ -143,7 +141,7 @@ def walk_series(
     }
     blocks = pack_blocks(test, keys, pos, block, values).drop("_pos")
     header = cal_packed.withColumn("block", F.lit(HEADER).cast("long"))
-    # one header row with the calibration sample, then the blocks in order
+    # header rows with the calibration sample in pieces, then the blocks in order
     lines = blocks.unionByName(header, allowMissingColumns=True)
     ordered = lines.repartition(*keys).sortWithinPartitions(*keys, "block")
 
@@ -166,7 +164,7 @@ def walk_series(
         return np.split(flat, np.cumsum(sizes)[:-1])
 
     def walk(batches):
-        current, cal_scores, alphas = None, np.empty(0), {}
+        current, pieces, cal_scores, alphas = None, [], np.empty(0), {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -178,11 +176,13 @@ def walk_series(
             at, names, starts, quantiles, traces = [], [], [], [], []
             for i, key in enumerate(ids):
                 if key != current:
-                    current, cal_scores = key, np.empty(0)
+                    current, pieces, cal_scores = key, [], np.empty(0)
                     alphas = {v.name: v.alpha for v in variants}
                 if number[i] == HEADER:
-                    cal_scores = cal_col[i]
+                    pieces.append(cal_col[i])
                     continue
+                if pieces:
+                    cal_scores, pieces = np.sort(np.concatenate(pieces)), []
                 for v in variants:
                     start = alphas[v.name]
                     q, before, alphas[v.name] = walk_block(

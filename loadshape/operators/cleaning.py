@@ -64,12 +64,8 @@ def households_with_history(df: DataFrame, min_days: float, household: str = "ho
 def keep_households(
     df: DataFrame, ids: DataFrame, household: str = "household_id", ts: str = "timestamp"
 ) -> DataFrame:
-    """Readings of the listed households.
-
-    The id list has one row per household, so the join is salted on the reading
-    side to spread a household that holds a large share of the rows.
-    """
-    return lookup(df, ids.select(household), [household], F.col(ts), "left_semi")
+    """Readings of the listed households; the id list has one row per household."""
+    return lookup(df, ids.select(household), [household], "left_semi")
 
 
 def clean_readings(

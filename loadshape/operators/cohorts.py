@@ -94,7 +94,7 @@ def step_profile(
 
 
 def density_histogram(
-    df: DataFrame, keys: Sequence[str], value: str = "load_kwh", bins: int = 35, salt: str = "ts"
+    df: DataFrame, keys: Sequence[str], value: str = "load_kwh", bins: int = 35
 ) -> DataFrame:
     """Equal-width density histogram of each group between its own minimum and maximum.
 
@@ -117,7 +117,7 @@ def density_histogram(
     width = (F.col("_hi") - F.col("_lo")) / bins
     at = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
     counts = (
-        lookup(present, ranges, keys, F.col(salt))
+        lookup(present, ranges, keys)
         .groupBy(*keys, at.alias("bin"))
         .agg(F.count("*").alias("n"))
     )

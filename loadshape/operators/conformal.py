@@ -21,8 +21,13 @@ from loadshape.functions.columns import (
 )
 from loadshape.operators.ordering import CHUNK, HOT_MIN, chunked, exact_quantiles, lookup
 
-# Largest calibration sample packed into one array (8 MB); larger ones raise.
-MAX_PACKED = 1_000_000
+# Calibration scores in one row of a sample that is handed over in pieces.
+PIECE = 65_536
+
+
+def is_score(c: Column) -> Column:
+    """Whether a score counts: a missing outcome or forecast has none."""
+    return c.isNotNull() & ~F.isnan(c)
 
 
 def calibration_quantiles(
@@ -38,14 +43,14 @@ def calibration_quantiles(
     Works on ranked distinct scores, so the sample of one series may be of any
     size; ``max_group`` states a proven bound, see ``exact_quantiles``.
     """
-    scored = cal.select(*keys, score.alias("_score"))
+    scored = cal.select(*keys, score.cast("double").alias("_score")).where(is_score(F.col("_score")))
     levels = {name: (lambda n, a=a: conformal_level(n, a)) for name, a in alphas.items()}
     return exact_quantiles(scored, keys, "_score", levels, hot_min=hot_min, max_group=max_group)
 
 
-def _with_quantile(test, cal, keys, score, alpha, salt, max_group):
+def _with_quantile(test, cal, keys, score, alpha, max_group):
     q = calibration_quantiles(cal, keys, score, {"conformal_quantile": alpha}, max_group=max_group)
-    joined = lookup(test, q, keys, F.col(salt), "left")
+    joined = lookup(test, q, keys, "left")
     # a series without calibration scores has quantile 0
     return joined.withColumn(
         "conformal_quantile", F.coalesce(F.col("conformal_quantile"), F.lit(0.0))
@@ -60,43 +65,51 @@ def uncalibrated_intervals(test: DataFrame, lo: str = "q_lo", hi: str = "q_hi")
 
 def static_intervals(
     cal: DataFrame, test: DataFrame, keys: Sequence[str], alpha: float = 0.10,
-    y: str = "y", pred: str = "y_pred", salt: str = "ts", max_group: int | None = None,
+    y: str = "y", pred: str = "y_pred", max_group: int | None = None,
 ) -> DataFrame:
     """Split conformal: [max(0, p - q), p + q] with q from absolute calibration residuals."""
-    out = _with_quantile(test, cal, keys, absolute_residual(y, pred), alpha, salt, max_group)
+    out = _with_quantile(test, cal, keys, absolute_residual(y, pred), alpha, max_group)
     lower, upper = point_band(pred, "conformal_quantile")
     return out.withColumns({"lower": lower, "upper": upper})
 
 
 def cqr_intervals(
     cal: DataFrame, test: DataFrame, keys: Sequence[str], alpha: float = 0.10,
-    y: str = "y", lo: str = "q_lo", hi: str = "q_hi", salt: str = "ts", max_group: int | None = None,
+    y: str = "y", lo: str = "q_lo", hi: str = "q_hi", max_group: int | None = None,
 ) -> DataFrame:
     """Conformalised quantile regression; the correction may be negative."""
-    out = _with_quantile(test, cal, keys, band_violation(y, lo, hi), alpha, salt, max_group)
+    out = _with_quantile(test, cal, keys, band_violation(y, lo, hi), alpha, max_group)
     lower, upper = quantile_band(lo, hi, "conformal_quantile")
     return out.withColumns({"lower": lower, "upper": upper})
 
 
 def pack_calibration(
-    cal: DataFrame, keys: Sequence[str], scores: Mapping[str, Column], seq: str = "seq",
-    max_packed: int = MAX_PACKED,
+    cal: DataFrame, keys: Sequence[str], scores: Mapping[str, Column], seq: str = "seq", last: int | None = None
 ) -> DataFrame:
-    """One row per series: calibration scores as arrays in time order, and their count.
+    """One row per series: calibration scores as arrays in time order, missing ones left out.
 
-    The online calibrators need any quantile of the sample at any step, so they
-    carry it as an array.  Its size is checked, larger samples raise an error.
+    A detector's reference is the end of the sample: ``last`` bounds the arrays to that many steps.
     """
-    # sizes are known before any array is built, so an oversized sample fails early
-    sizes = cal.groupBy(*keys).agg(F.count("*").alias("_n"))
-    scored = cal.select(*keys, seq, *[c.alias(name) for name, c in scores.items()])
-    checked = lookup(scored, sizes, keys, F.col(seq)).where(
-        F.assert_true(F.col("_n") <= max_packed, "calibration sample too large to pack").isNull()
+    if last is not None:
+        ends = cal.groupBy(*keys).agg(F.max(seq).alias("_end"))
+        cal = lookup(cal, ends, keys).where(F.col(seq) > F.col("_end") - last)
+    packed = cal.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(seq, *[c.cast("double").alias(n) for n, c in scores.items()]))).alias("_rows")
     )
-    packed = checked.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(seq, *scores))).alias("_rows")
+    return packed.select(*keys, *[F.filter(F.col(f"_rows.{name}"), is_score).alias(name) for name in scores])
+
+
+def calibration_pieces(
+    cal: DataFrame, keys: Sequence[str], score: Column, seq: str = "seq", out: str = "_cal", piece: int = PIECE
+) -> DataFrame:
+    """The calibration scores of each series, sorted within rows of at most ``piece`` steps."""
+    scored = cal.select(*keys, F.floor(F.col(seq) / piece).alias("_piece"), score.cast("double").alias("_score"))
+    return (
+        scored.where(is_score(F.col("_score")))
+        .groupBy(*keys, "_piece")
+        .agg(F.sort_array(F.collect_list("_score")).alias(out))
+        .drop("_piece")
     )
-    return packed.select(*keys, *[F.col(f"_rows.{name}").alias(name) for name in scores])
 
 
 def pack_blocks(

@@ -111,12 +111,7 @@ def wasserstein_scores(
         .withColumn("_std", F.greatest(F.sqrt(spread), F.lit(1e-6)))
         .drop("_mean")
     )
-    # the reference goes to the chunks of its series only
-    lengths = test.groupBy(*keys).agg(F.floor(F.max(pos) / max(chunk, window - 1)).alias("_last_chunk"))
-    refs = refs.join(lengths, list(keys))
-    joined = lookup(
-        packed.where(F.size("_own") > 0), refs, keys, F.col("_chunk"), "left", last_salt=F.col("_last_chunk")
-    )
+    joined = lookup(packed.where(F.size("_own") > 0), refs, keys, "left")
     empty = F.array().cast("array<double>")
     halo = F.size("_scores") - F.size("_own")
     scored = joined.withColumn(
@@ -148,7 +143,7 @@ def mean_shift_scores(
     trailing = unchunk(
         parts.withColumn("_m", F.avg(score).over(w)).withColumn("_n", F.count(score).over(w))
     )
-    joined = lookup(trailing, ref, keys, F.col(pos), "left")
+    joined = lookup(trailing, ref, keys, "left")
     z = F.abs(F.col("_m") - F.col("_mu")) / (F.col("_sigma") / F.sqrt("_n"))
     return joined.withColumn(out, F.when(F.col("_n") >= 24, z)).drop("_m", "_n", "_mu", "_sigma")
 
@@ -253,7 +248,7 @@ def ramps_and_autocorrelation(
     group = [*keys, period]
     rows = positions(df.where(F.col(value).isNotNull()).select(*group, ts, value), group, ts)
     centre = rows.groupBy(*group).agg(F.avg(value).alias("_mu"))
-    centred = lookup(rows, centre, group, F.col("seq")).withColumn("_d", F.col(value) - F.col("_mu"))
+    centred = lookup(rows, centre, group).withColumn("_d", F.col(value) - F.col("_mu"))
     parts = chunked(centred, max(lags), "seq", chunk)
     w = chunk_window(group, "seq")
     lagged = unchunk(

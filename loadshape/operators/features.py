@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadshape.functions.columns import TRIAL_BANK_HOLIDAYS, cyclic, step_of_day
@@ -46,6 +46,11 @@ def check_lags(lags: Sequence[int], horizon: int) -> None:
         )
 
 
+def _minutes(c: Column) -> Column:
+    """Minutes since 1970 on the clock, whatever the session zone."""
+    return F.unix_date(c.cast("date")).cast("long") * 1440 + F.hour(c) * 60 + F.minute(c)
+
+
 def regularise(
     df: DataFrame,
     keys: Sequence[str],
@@ -59,26 +64,37 @@ def regularise(
 ) -> DataFrame:
     """Put every series on a gap-free grid and number it.
 
-    The grid runs from ``start`` to ``end``, or from the first to the last row
-    of each series.  ``fill`` is ``null`` or ``zero``.  ``seq`` is the step
-    number, so chunked windows need no further numbering.  With ``start``,
-    ``end`` and a table of the ``series`` (one row each), ``df`` is read once;
-    otherwise a first pass finds the series and their ends.
+    The grid has a step every ``step_minutes`` from midnight on, between ``start`` and ``end``, or
+    from the first to the last row of each series.  A reading between two steps
+    belongs to the earlier one, and readings of one step are added up (NULLs
+    count as missing, other columns take their least value); rows outside an explicit ``start`` or ``end``
+    are not asked for.  ``fill`` is ``null`` or ``zero``.  ``seq`` is the step number, so chunked
+    windows need no further numbering.  With ``start``, ``end`` and a table of
+    the ``series`` (one row each), ``df`` is read once; otherwise a first pass
+    finds the series and their ends.  A NULL key is a series like any other.
     """
     keys = list(keys)
     step = F.expr(f"interval {int(step_minutes)} minutes")
+    rest = [c for c in df.columns if c not in (*keys, ts, value, "seq")]
+    day = F.date_trunc("day", F.col(ts)).cast("timestamp_ntz")
+    passed = F.floor((F.hour(ts) * 60 + F.minute(ts)) / F.lit(step_minutes))
+    df = df.withColumn(ts, F.timestamp_add("MINUTE", (passed * step_minutes).cast("int"), day))
+    df = df.groupBy(*keys, ts).agg(F.sum(value).alias(value), *[F.min(c).alias(c) for c in rest])
     lo = F.min(ts) if start is None else F.lit(start).cast("timestamp_ntz")
     hi = F.max(ts) if end is None else F.lit(end).cast("timestamp_ntz")
     if series is not None and start is not None and end is not None:
         bounds = series.select(*keys, lo.alias("_lo"), hi.alias("_hi"))
     else:
         bounds = df.groupBy(*keys).agg(lo.alias("_lo"), hi.alias("_hi"))
-    grid = bounds.select(
-        *keys, F.posexplode(F.sequence("_lo", "_hi", step)).alias("_pos", ts)
-    )
-    joined = grid.join(df, [*keys, ts], "left")
+    # a day at a time, so that no cell holds a whole series
+    first, last = (F.date_trunc("day", F.col(c)).cast("timestamp_ntz") for c in ("_lo", "_hi"))
+    days = bounds.select(*keys, "_lo", "_hi", F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("_day"))
+    steps = F.sequence("_day", F.timestamp_add("MICROSECOND", F.lit(86_399_999_999), F.col("_day")), step)
+    grid = days.select(*keys, "_lo", "_hi", F.explode(steps).alias(ts)).where((F.col(ts) >= F.col("_lo")) & (F.col(ts) <= F.col("_hi")))
+    gap = (_minutes(F.col(ts)) - _minutes(F.col("_lo"))) / F.lit(step_minutes)
+    grid = grid.select(*keys, ts, F.floor(gap).cast("long").alias("_pos"))
+    joined = lookup(grid, df, [*keys, ts], "left")
     v = F.col(value) if fill == "null" else F.coalesce(F.col(value), F.lit(0.0))
-    rest = [c for c in df.columns if c not in (*keys, ts, value, "seq")]
     return joined.select(*keys, ts, v.alias(value), *rest, F.col("_pos").cast("long").alias("seq"))
 
 
@@ -208,9 +224,9 @@ def fit_scaler(train: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
     return train.groupBy(*keys).agg(*aggs)
 
 
-def scale(df: DataFrame, scaler: DataFrame, keys: Sequence[str], columns: Sequence[str], salt: str = "ts") -> DataFrame:
+def scale(df: DataFrame, scaler: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Standardise ``columns`` with a fitted scaler."""
-    joined = lookup(df, scaler, keys, F.col(salt))
+    joined = lookup(df, scaler, keys)
     return joined.select(
         *[
             ((F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_scale_{c}")).alias(c) if c in columns else F.col(c)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -103,9 +104,9 @@ def ridge_fit(
 
 def ridge_predict(
     df: DataFrame, fitted: DataFrame, keys: Sequence[str], features: Sequence[str],
-    out: str = "y_pred", salt: str = "ts",
+    out: str = "y_pred",
 ) -> DataFrame:
-    joined = lookup(df, fitted.select(*keys, "intercept", "coefficients"), keys, F.col(salt))
+    joined = lookup(df, fitted.select(*keys, "intercept", "coefficients"), keys)
     pred = F.col("intercept")
     for i, f in enumerate(features):
         pred = pred + F.get("coefficients", F.lit(i)) * F.col(f)
@@ -157,8 +158,13 @@ def quantile_interval(df: DataFrame, fitted: Mapping[str, float], alpha: float =
 
 # tree ensembles (MLlib) ------------------------------------------------------
 
-def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(df)
+def _assembled(df: DataFrame, features: Sequence[str], invalid: str) -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid=invalid).transform(df)
+
+
+def _complete(features: Sequence[str]) -> Column:
+    """Whether a row has all its features."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in features])
 
 
 def boosted_trees_fit(
@@ -170,12 +176,13 @@ def boosted_trees_fit(
         featuresCol="_x", labelCol=target, predictionCol="_p", lossType="squared", maxIter=max_iter,
         maxDepth=max_depth, stepSize=learning_rate, minInstancesPerNode=min_leaf, maxBins=255, seed=seed,
     )
-    return gbt.fit(_assembled(train, features))
+    return gbt.fit(_assembled(train, features, "skip"))
 
 
 def boosted_trees_predict(df: DataFrame, model, features: Sequence[str], out: str = "y_pred") -> DataFrame:
-    scored = model.transform(_assembled(df, features))
-    return scored.withColumn(out, non_negative(F.col("_p"))).drop("_x", "_p")
+    """``df`` with the prediction; NULL where a feature is missing."""
+    scored = model.transform(_assembled(df, features, "keep"))
+    return scored.withColumn(out, F.when(_complete(features), non_negative(F.col("_p")))).drop("_x", "_p")
 
 
 def quantile_forest_fit(
@@ -190,7 +197,7 @@ def quantile_forest_fit(
         featuresCol="_x", labelCol=target, predictionCol="_p", leafCol="_leaf", numTrees=num_trees,
         maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=255, seed=seed,
     )
-    x = _assembled(train, features)
+    x = _assembled(train, features, "skip")
     model = forest.fit(x)
     leaves = model.transform(x).select(
         F.posexplode(vector_to_array("_leaf")).alias("tree", "_l"), F.col(target).alias("_target")
@@ -201,7 +208,10 @@ def quantile_forest_fit(
 def quantile_forest_predict(
     df: DataFrame, fitted, features: Sequence[str], levels: Mapping[str, float] = QUANTILES
 ) -> DataFrame:
-    """Leaf quantiles averaged over the trees: an array lookup per row, no join of the rows."""
+    """Leaf quantiles averaged over the trees: an array lookup per row, no join of the rows.
+
+    NULL where a feature is missing.
+    """
     model, table = fitted
     names = list(levels)
     entry = F.struct("leaf", F.struct(*names).alias("q"))
@@ -213,7 +223,7 @@ def quantile_forest_predict(
     )
     # bounded: num_trees arrays of at most 2**max_depth entries
     nested = per_tree.agg(F.sort_array(F.collect_list(F.struct("tree", "_q"))).alias("_t")).select("_t._q")
-    scored = model.transform(_assembled(df, features)).withColumn("_tables", nested.scalar())
+    scored = model.transform(_assembled(df, features, "keep")).withColumn("_tables", nested.scalar())
     leaf = vector_to_array("_leaf")
     hit = F.transform(leaf, lambda l, t: F.get(F.get(F.col("_tables"), t), l.cast("int")))
     scored = scored.withColumn("_hits", hit)
@@ -222,7 +232,7 @@ def quantile_forest_predict(
         values = F.filter(F.transform("_hits", lambda s: s[name]), lambda v: v.isNotNull())
         return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values))
 
-    return scored.withColumns({n: non_negative(mean(n)) for n in names}).drop(
+    return scored.withColumns({n: F.when(_complete(features), non_negative(mean(n))) for n in names}).drop(
         "_x", "_p", "_leaf", "_tables", "_hits"
     )
 

@@ -7,7 +7,7 @@ sorts a whole group in one task:
 * ``chunked``        splits a numbered series into chunks with a halo of the
                      preceding rows, so that window functions see at most
                      ``chunk + halo`` rows;
-* ``lookup``         joins one row per group to many, on a salted key;
+* ``lookup``         joins one row per group to many, NULL keys included;
 * ``ranked_values``  running counts over the distinct values of a group, with
                      large groups cut into value slices;
 * ``exact_quantiles`` linear-interpolation quantiles from those counts.
@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096
-SALTS = 32
 # A group counts as hot above 1 / HOT_SHARE of all rows; at most HOT_SHARE
 # groups can be hot, which bounds every broadcast made for them.
 HOT_SHARE = 200
@@ -97,27 +96,18 @@ def unchunk(df: DataFrame) -> DataFrame:
     return df.where(~F.col("_halo")).drop("_chunk", "_halo")
 
 
-def lookup(
-    df: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    salt: Column,
-    how: str = "inner",
-    salts: int = SALTS,
-    last_salt: Column | None = None,
-) -> DataFrame:
-    """Join ``table`` (one row per group) to ``df``; a large group spreads over ``salts`` tasks.
+def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join ``table`` (one row per group) to ``df``; a NULL key is a group like any other.
 
-    Every row of ``table`` is copied to all salts.  Where its rows are wide,
-    pass an integer ``salt`` counting up from 0 in each group and the group's
-    largest one as ``last_salt`` of the table: only salts in use get a copy.
+    Plain equality on all keys, so Spark broadcasts a side that it has measured to be small, and
+    cuts the partition of a group with very many rows when it joins by shuffle.
     """
     keys = list(keys)
-    slot = F.xxhash64(salt) if last_salt is None else salt
-    last = F.lit(salts - 1) if last_salt is None else F.least(last_salt.cast("int"), F.lit(salts - 1))
-    left = df.withColumn("_salt", F.pmod(slot, F.lit(salts)).cast("int"))
-    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    left, right = df.alias("_l"), table.alias("_r")
+    joined = left.join(right, _all([F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys]), how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    return joined.select("_l.*", *[F.col(f"_r.{c}") for c in table.columns if c not in keys])
 
 
 def grid_rows(ranges, steps_per_day: int = 48) -> int:

@@ -35,11 +35,11 @@ def add_ramps(
 
 def add_regime(
     df: DataFrame, keys: Sequence[str], value: str, out: str, labels: tuple[str, str, str],
-    salt: str = "ts", max_group: int | None = None,
+    max_group: int | None = None,
 ) -> DataFrame:
     """Tertile label of ``value`` within its series."""
     cuts = exact_quantiles(df, keys, value, TERTILES, max_group=max_group)
-    return lookup(df, cuts, keys, F.col(salt)).withColumn(out, tertile(value, "_t1", "_t2", labels)).drop("_t1", "_t2")
+    return lookup(df, cuts, keys).withColumn(out, tertile(value, "_t1", "_t2", labels)).drop("_t1", "_t2")
 
 
 def reliability_keys(
@@ -52,7 +52,7 @@ def reliability_keys(
         {"_t1": "_l1", "_t2": "_l2"}
     )
     ramp_cuts = exact_quantiles(ramped, keys, "ramp", TERTILES, max_group=max_group)
-    labelled = lookup(ramped, cuts.join(ramp_cuts, list(keys)), keys, F.col(seq))
+    labelled = lookup(ramped, cuts.join(ramp_cuts, list(keys)), keys)
     hour = F.hour(ts)
     # Names of the dimensions and subgroups
     dims: dict[str, Column] = {

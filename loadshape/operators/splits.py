@@ -64,7 +64,7 @@ def relative_position(df: DataFrame, keys: Sequence[str], seq: str = "seq", out:
     """Position within the group, for rows whose ``seq`` runs without gaps in the group."""
     first = df.groupBy(*keys).agg(F.min(seq).alias("_first"))
     return (
-        lookup(df, first, keys, F.col(seq))
+        lookup(df, first, keys)
         .withColumn(out, F.col(seq) - F.col("_first"))
         .drop("_first")
     )
@@ -82,7 +82,7 @@ def series_slice(
     Parts follow integer division as in ``y[: n // 3]`` and ``y[2 * n // 3 :]``.
     """
     stats = df.groupBy(*keys).agg(F.min(seq).alias("_first"), F.count("*").alias("_n"))
-    placed = lookup(df, stats, keys, F.col(seq)).withColumn("_pos", F.col(seq) - F.col("_first"))
+    placed = lookup(df, stats, keys).withColumn("_pos", F.col(seq) - F.col("_first"))
     if rows is not None:
         keep = (F.col("_pos") >= rows[0]) & (F.col("_pos") < rows[1])
     else:

@@ -40,17 +40,16 @@ SA_VARIATIONS: Mapping[str, tuple[float, float]] = {
 
 def _sa_intervals(placed, keys, variants, settings, seq):
     cal, test = placed
-    packed = pack_calibration(cal, keys, {"_abs": absolute_residual("y", "y_pred")}, seq)
+    packed = pack_calibration(cal, keys, {"_abs": absolute_residual("y", "y_pred")}, seq, settings.reference_length)
     scored = with_shift_scores(cal, test, keys, packed, settings)
-    sorted_cal = packed.select(*keys, F.sort_array("_abs").alias("_cal"))
-    return shift_aware_intervals(cal, scored, keys, variants, block=settings.block, cal_packed=sorted_cal)
+    return shift_aware_intervals(cal, scored, keys, variants, block=settings.block, seq=seq)
 
 
 def _static_levels(placed, keys, alphas: Mapping[str, float], seq, max_group):
     """Static bounds for several alphas: one row per test step and level."""
     cal, test = placed
     q = calibration_quantiles(cal, keys, absolute_residual("y", "y_pred"), alphas, max_group=max_group)
-    long = lookup(test, q, keys, F.col(seq)).select(
+    long = lookup(test, q, keys).select(
         *keys, "ts", "y", "y_pred",
         F.inline(F.array(*[
             F.struct(F.lit(n).alias("level"), F.lit(a).alias("alpha"), F.col(n).alias("q"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from loadshape.functions.columns import (
     absolute_residual,
     band_violation,
-    conformal_quantile,
     point_band,
     quantile_band,
 )
@@ -21,7 +20,7 @@ from loadshape.operators.adaptive import (
     aci_intervals,
     shift_aware_intervals,
 )
-from loadshape.operators.conformal import pack_calibration, rolling_intervals
+from loadshape.operators.conformal import calibration_pieces, calibration_quantiles, pack_calibration, rolling_intervals
 from loadshape.operators.drift import mean_shift_scores, wasserstein_scores
 from loadshape.operators.ordering import lookup
 from loadshape.session import cut_lineage
@@ -64,7 +63,7 @@ def place_rows(
         F.max(F.when(~is_test, F.col(seq))).alias("_last"), F.min(F.when(is_test, F.col(seq))).alias("_first")
     )
     at = F.when(is_test, F.col(seq) - F.col("_first")).otherwise(F.col(seq) - F.col("_last") - 1)
-    placed = lookup(used, edges, keys, F.col(seq)).withColumn("pos", at).drop("_first", "_last")
+    placed = lookup(used, edges, keys).withColumn("pos", at).drop("_first", "_last")
     if cut:
         placed = cut_lineage(placed, "placed")
     cal = placed.where(~is_test).withColumnRenamed("pos", "cal_pos")
@@ -105,19 +104,13 @@ def run_backtest(
     scores = {"_abs": absolute_residual("y", "y_pred")}
     if "cqr" in methods:
         scores["_cqr"] = band_violation("y", "q_lo", "q_hi")
-    packed = pack_calibration(cal, keys, scores, seq)
     tables = []
 
     fixed = [m for m in methods if m in ("uncalibrated", "static", "cqr")]
     if fixed:
-        q = packed.select(
-            *keys,
-            *[
-                conformal_quantile(F.sort_array(c), s.alpha).alias(f"{c}_q")
-                for c in scores
-            ],
-        )
-        joined = lookup(test, q, keys, F.col("pos"), "left")
+        joined = test
+        for name, score in scores.items():
+            joined = lookup(joined, calibration_quantiles(cal, keys, score, {f"{name}_q": s.alpha}), keys, "left")
         bands = {
             "uncalibrated": lambda: (*quantile_band("q_lo", "q_hi"), F.lit(None).cast("double")),
             "static": lambda: (*point_band("y_pred", F.coalesce("_abs_q", F.lit(0.0))), F.col("_abs_q")),
@@ -140,7 +133,7 @@ def run_backtest(
             rolled.select(*core, F.lit("rolling").alias("method"), "lower", "upper", "conformal_quantile")
         )
 
-    sorted_cal = packed.select(*keys, F.sort_array("_abs").alias("_cal"))
+    sorted_cal = calibration_pieces(cal, keys, scores["_abs"], seq)
     if "aci" in methods:
         adaptive = aci_intervals(
             cal, test.select(*core), keys, [s.aci], s.block, cal_packed=sorted_cal
@@ -152,6 +145,7 @@ def run_backtest(
             )
         )
     if "sa_acp" in methods:
+        packed = pack_calibration(cal, keys, {"_abs": scores["_abs"]}, seq, s.reference_length)
         scored = with_shift_scores(cal, test.select(*core), keys, packed, s)
         adaptive = shift_aware_intervals(
             cal, scored, keys, [s.sa_acp], block=s.block, cal_packed=sorted_cal

@@ -24,7 +24,7 @@ from loadshape.operators.adaptive import (
     shift_aware_next,
 )
 from loadshape.operators.drift import transport_distances
-from loadshape.streaming.ingest import event_time
+from loadshape.streaming.ingest import event_time, zone_free
 
 STATE = (
     "cal array<double>, recent array<double>, trailing array<double>, pos bigint, "
@@ -144,15 +144,15 @@ def online_intervals(
         methods.append(("sa_acp", sa_acp))
     timed = rows if delay is None else event_time(rows, ts).withWatermark(ts, delay)
     base = timed.select(
-        *keys, ts, F.unix_millis(ts).alias("_ms"), F.col("y").cast("double"), F.col("y_pred").cast("double"),
+        *keys, ts, F.unix_micros(ts).alias("_us"), F.col("y").cast("double"), F.col("y_pred").cast("double"),
         F.col(is_calibration).alias("_cal"),
     )
-    out_columns = ["_ms", "y", "y_pred", "method", "lower", "upper", "conformal_quantile", "alpha_t",
+    out_columns = ["_us", "y", "y_pred", "method", "lower", "upper", "conformal_quantile", "alpha_t",
                    "gamma_t", "shift_score", "shift_flag"]
     output = T.StructType(
         [base.schema[k] for k in keys]
         + T._parse_datatype_string(
-            "_ms bigint, y double, y_pred double, method string, lower double, upper double, "
+            "_us bigint, y double, y_pred double, method string, lower double, upper double, "
             "conformal_quantile double, alpha_t double, gamma_t double, shift_score double, shift_flag boolean"
         ).fields
     )
@@ -162,12 +162,12 @@ def online_intervals(
         series = SeriesCalibrator(methods, window, detector_window, reference_length, block, held)
         if not state.hasTimedOut:
             for pdf in batches:
-                series.hold(pdf["_ms"].tolist(), pdf["y"].tolist(), pdf["y_pred"].tolist(), pdf["_cal"].tolist())
+                series.hold(pdf["_us"].tolist(), pdf["y"].tolist(), pdf["y_pred"].tolist(), pdf["_cal"].tolist())
         now = state.getCurrentWatermarkMs()
-        done = series.release(now)
+        done = series.release(now * 1000)  # the watermark is in milliseconds
         state.update(series.values())
         if series.wait_ts:
-            state.setTimeoutTimestamp(max(min(series.wait_ts), now) + 1)
+            state.setTimeoutTimestamp(max(min(series.wait_ts) // 1000, now) + 1)
         if done:
             pdf = pd.DataFrame(done, columns=out_columns)
             for i, k in enumerate(keys):
@@ -178,5 +178,5 @@ def online_intervals(
         advance, output, STATE, "append", "EventTimeTimeout"
     )
     return walked.select(
-        *keys, F.timestamp_millis("_ms").cast("timestamp_ntz").alias(ts), *out_columns[1:]
+        *keys, zone_free(F.col("_us")).alias(ts), *out_columns[1:]
     )

@@ -7,15 +7,32 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import TimestampNTZType
 
 from loadshape.operators.cohorts import LOAD_COLUMNS, cohort_aggregates, tariff_cohorts
 
 
 def event_time(df: DataFrame, ts: str) -> DataFrame:
-    """Event-time columns are instants; zone-free times are read in the session zone."""
+    """Event-time columns are instants; zone-free times are taken as UTC, whatever the session zone."""
+    if isinstance(df.schema[ts].dataType, TimestampNTZType):
+        return df.withColumn(ts, F.concat(F.col(ts).cast("string"), F.lit("Z")).cast("timestamp"))
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
+def zone_free(micros: Column) -> Column:
+    """Zone-free UTC time of microseconds since 1970; the inverse of ``event_time``."""
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def with_closing_row(rows: DataFrame, ts: str, ahead_days: int = 3650) -> DataFrame:
+    """A bounded replay with one row more, NULL but for a far later ``ts``.
+
+    It moves the watermark past every other row, so that all of them come out; it stays in state itself.
+    """
+    last = rows.agg(F.max(ts).alias(ts)).select((F.col(ts) + F.expr(f"interval {int(ahead_days)} days")).alias(ts))
+    return rows.unionByName(last, allowMissingColumns=True)
+
+
 def dedup_stream(
     df: DataFrame, delay: str, keys: Sequence[str] = ("household_id", "timestamp"), ts: str = "timestamp"
 ) -> DataFrame:
@@ -45,7 +62,7 @@ def cohort_load_stream(
     timed = event_time(df, ts).withWatermark(ts, delay)
     wide = timed.groupBy(F.window(ts, slot).alias("_slot")).agg(entries.alias("_cohorts"))
     return (
-        wide.select(F.col("_slot.start").cast("timestamp_ntz").alias("ts"), F.inline("_cohorts"))
+        wide.select(zone_free(F.unix_micros("_slot.start")).alias("ts"), F.inline("_cohorts"))
         .where("_rows > 0")
         .select("cohort", "ts", *LOAD_COLUMNS)
     )

@@ -185,11 +185,28 @@ def test_small_walk_batches_change_nothing(spark, forecasts, result):
     np.testing.assert_array_equal(again["lower"], result[result["method"] == "aci"]["lower"])
 
 
-def test_oversized_calibration_raises(forecasts):
+def test_calibration_in_many_pieces_changes_nothing(forecasts, result, monkeypatch):
+    monkeypatch.setattr(conformal.calibration_pieces, "__defaults__", ("seq", "_cal", 7))
+    again = backtest.run_backtest(forecasts, ["k"], SETTINGS, ["aci"]).toPandas().sort_values(["k", "ts"])
+    np.testing.assert_array_equal(again["lower"], result[result["method"] == "aci"]["lower"])
+
+
+def test_reference_is_the_end_of_the_sample(forecasts):
     cal, _ = backtest.place_rows(forecasts, ["k"])
-    packed = conformal.pack_calibration(cal, ["k"], {"s": C.absolute_residual("y", "y_pred")}, max_packed=50)
-    with pytest.raises(Exception, match="too large to pack"):
-        packed.collect()
+    score = {"s": C.absolute_residual("y", "y_pred")}
+    whole = {r.k: r.s for r in conformal.pack_calibration(cal, ["k"], score).collect()}
+    ends = {r.k: r.s for r in conformal.pack_calibration(cal, ["k"], score, last=9).collect()}
+    assert ends == {k: v[-9:] for k, v in whole.items()}
+
+
+def test_missing_outcomes_have_no_score_in_either_form(spark):
+    rows = [("a", i, float(i % 7) if i % 5 else None, 1.0, "calibration" if i < 60 else "test") for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, seq long, y double, y_pred double, split string")
+    df = df.withColumns({"ts": F.timestamp_add("HOUR", F.col("seq").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")), "q_lo": F.lit(0.0), "q_hi": F.lit(2.0)})
+    cal, test = df.where("split = 'calibration'"), df.where("split = 'test'")
+    alone = conformal.static_intervals(cal, test, ["k"]).first()["conformal_quantile"]
+    backtested = backtest.run_backtest(df, ["k"], methods=["static", "aci"]).where("seq = 60").collect()
+    assert {r["conformal_quantile"] for r in backtested} == {alone}
 
 
 def test_aci_directions_and_clipping():

@@ -126,3 +126,14 @@ def test_series_sink_writes_only_present_cohorts(spark, tmp_path):
     df = spark.createDataFrame([("dtou", T0, 1.0)], "cohort string, ts timestamp_ntz, load_kwh double")
     sinks.write_series(df, str(tmp_path / "out"))
     assert [p.name for p in (tmp_path / "out").glob("cohort=*")] == ["cohort=dtou"]
+
+
+def test_null_keys_are_kept(spark):
+    from loadshape.operators.ordering import lookup
+
+    df = spark.createDataFrame([(None, 1.0), ("a", 2.0), ("a", None)], "k string, v double")
+    table = spark.createDataFrame([(None, 10.0), ("a", 20.0)], "k string, w double")
+    assert sorted((r.k or "", r.w) for r in lookup(df, table, ["k"]).collect()) == [("", 10.0), ("a", 20.0), ("a", 20.0)]
+    households = spark.createDataFrame([(None,)], "household_id string")
+    readings = spark.createDataFrame([(None, 1), ("h", 2)], "household_id string, timestamp int")
+    assert [r.timestamp for r in cleaning.keep_households(readings, households).collect()] == [1]

@@ -134,3 +134,13 @@ def test_series_slices(spark):
     assert table(S.series_slice(df, ["k"], rows=(7, 14)))["seq"].tolist() == list(range(7, 14))
     assert table(S.series_slice(df, ["k"], part=(0, 3)))["seq"].max() == 32
     assert table(S.series_slice(df, ["k"], part=(2, 3)))["seq"].min() == 66
+
+
+def test_readings_off_the_grid_are_added_to_their_step(spark):
+    import datetime as dt
+
+    at = [dt.datetime(2024, 1, 1, 0, 30), dt.datetime(2024, 1, 1, 0, 40), dt.datetime(2024, 1, 2, 1, 0), dt.datetime(2024, 1, 1, 0, 30)]
+    df = spark.createDataFrame([("a", at[0], 1.0), ("a", at[1], 5.0), ("a", at[2], 1.0), (None, at[3], 2.0)], "k string, ts timestamp_ntz, load_kwh double")
+    rows = X.regularise(df, ["k"], fill="zero").orderBy("k", "seq").collect()
+    assert [(r.k, r.seq, r.load_kwh) for r in rows if r.load_kwh] == [(None, 0, 2.0), ("a", 0, 6.0), ("a", 49, 1.0)]
+    assert len(rows) == 51 and rows[-1].ts == at[2]

@@ -71,3 +71,12 @@ def test_levels():
     assert M.outer_levels({"m": 0.5, "h": 0.95, "l": 0.05}) == ("l", "h")
     assert M.primary_model(["ridge", "hist_gradient_boosting"]) == "hist_gradient_boosting"
     assert M.primary_model(["ridge"]) == "ridge"
+
+
+def test_rows_without_a_feature_are_kept_without_a_prediction(spark):
+    rows = [(float(i), float(i % 3), 2.0 * i) for i in range(80)] + [(None, 1.0, 1.0), (3.0, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    trees = M.boosted_trees_predict(df, M.boosted_trees_fit(df, ["a", "b"], "y", max_iter=2, min_leaf=1), ["a", "b"])
+    assert trees.count() == 82 and trees.where("y_pred IS NULL").count() == 2
+    forest = M.quantile_forest_predict(df, M.quantile_forest_fit(df, ["a", "b"], "y", num_trees=2, min_leaf=1), ["a", "b"])
+    assert forest.count() == 82 and forest.where("q_mid IS NULL").count() == 2

@@ -62,7 +62,7 @@ def test_chunk_windows_stay_small(spark):
 def test_lookup_keeps_every_row_once(spark):
     _, df = irregular(spark)
     sizes = df.groupBy("k").count()
-    joined = O.lookup(df, sizes, ["k"], F.col("ts"), salts=7)
+    joined = O.lookup(df, sizes, ["k"])
     assert joined.count() == 3000
     assert joined.where("count is null").count() == 0
 

@@ -152,3 +152,17 @@ def test_stream_dedup(spark, tmp_path):
     stream = feed(spark, arriving, str(tmp_path / "in"), 3, SCHEMA)
     got = drain(spark, G.dedup_stream(stream, "2 days"), tmp_path)
     assert got.count() == 100
+
+
+def test_zone_free_times_are_utc_in_any_session_zone(spark, tmp_path):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    at = [dt.datetime(2013, 3, 31, 0, 30), dt.datetime(2013, 3, 31, 1, 30), dt.datetime(2013, 3, 31, 2, 30)]
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        path = str(tmp_path / "in")
+        spark.createDataFrame([("h", t) for t in at + at], "household_id string, timestamp timestamp_ntz").write.parquet(path)
+        rows = spark.readStream.schema("household_id string, timestamp timestamp_ntz").parquet(path)
+        kept = drain(spark, G.dedup_stream(rows, "1 day").withColumn("timestamp", G.zone_free(F.unix_micros("timestamp"))), tmp_path)
+        assert sorted(r.timestamp for r in kept.collect()) == at
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
