@@ -17,7 +17,6 @@ from catalog.views import (
     forecasts,
     halfhour_readings,
     readings,
-    rows_of,
     split_series,
     table,
     typed_series,
@@ -305,7 +304,7 @@ def cohort_hourly_profile(spark, sf):
 @query
 def cohort_step_profile(spark, sf):
     df = cohorts.step_profile(
-        cohort_series(spark, sf), max_group=ordering.grid_rows([("2024-01-01", "2024-01-30")])
+        cohort_series(spark, sf)
     )
     return r(df, 6, "mean", "std", "p10", "p90")
 
@@ -431,7 +430,7 @@ def feature_scaled(spark, sf):
 def feature_rolling_coverage(spark, sf):
     f = forecasts(spark, sf)
     cal, test = f.where("split = 'calibration'"), f.where("split = 'test'")
-    bounds = conformal.static_intervals(cal, test, KEYS, max_group=rows_of("calibration"))
+    bounds = conformal.static_intervals(cal, test, KEYS)
     covered = bounds.withColumn("covered", C.covers("y", "lower", "upper"))
     df = features.rolling_coverage(covered, KEYS, window=96, chunk=128)
     return r(df.select("cohort", "ts", "rolling_coverage"), 6, "rolling_coverage")
@@ -606,7 +605,7 @@ def conformal_quantile_by_alpha(spark, sf):
     cal = forecasts(spark, sf).where("split = 'calibration'")
     alphas = {"q05": 0.05, "q10": 0.10, "q20": 0.20, "q50": 0.50}
     df = conformal.calibration_quantiles(
-        cal, KEYS, C.absolute_residual("y", "y_pred"), alphas, max_group=rows_of("calibration")
+        cal, KEYS, C.absolute_residual("y", "y_pred"), alphas
     )
     return r(df, 6, *alphas)
 
@@ -616,7 +615,7 @@ def conformal_quantile_large_groups(spark, sf):
     """Scores of unbounded groups, ranked in value slices."""
     li = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice"), F.lit(30000.0).alias("p"))
     df = conformal.calibration_quantiles(
-        li, ["l_returnflag"], C.absolute_residual("l_extendedprice", "p"), {"q10": 0.10, "q30": 0.30}, hot_min=1000
+        li, ["l_returnflag"], C.absolute_residual("l_extendedprice", "p"), {"q10": 0.10, "q30": 0.30}
     )
     return r(df, 4, "q10", "q30")
 
@@ -635,7 +634,7 @@ def conformal_static(spark, sf):
     f = forecasts(spark, sf)
     return interval_rows(
         conformal.static_intervals(
-            f.where("split = 'calibration'"), f.where("split = 'test'"), KEYS, max_group=rows_of("calibration")
+            f.where("split = 'calibration'"), f.where("split = 'test'"), KEYS
         )
     )
 
@@ -645,7 +644,7 @@ def conformal_cqr(spark, sf):
     f = forecasts(spark, sf)
     return interval_rows(
         conformal.cqr_intervals(
-            f.where("split = 'calibration'"), f.where("split = 'test'"), KEYS, max_group=rows_of("calibration")
+            f.where("split = 'calibration'"), f.where("split = 'test'"), KEYS
         )
     )
 
@@ -745,7 +744,7 @@ def shift_mean_detector(spark, sf):
 @query
 def shift_two_sample(spark, sf):
     df = drift.two_sample_statistics(
-        split_series(spark, sf), KEYS, "load_kwh", "split", "train", "test", max_group=rows_of("train", "test")
+        split_series(spark, sf), KEYS, "load_kwh", "split", "train", "test"
     )
     cols = ["wasserstein_1d", "ks_statistic", "ks_p_value", "u_statistic", "mann_whitney_z"]
     out = df.select("cohort", "n_pre", "n_post", "tie_term", *cols, "significant_shift")
@@ -766,7 +765,7 @@ def shift_two_sample_large_groups(spark, sf):
 @query
 def shift_moments(spark, sf):
     df = drift.period_moments(
-        split_series(spark, sf), KEYS, "load_kwh", "split", max_group=rows_of(*SPLITS)
+        split_series(spark, sf), KEYS, "load_kwh", "split"
     )
     return r(df, 6, "mean", "std", "median", "p95", "p99")
 
@@ -783,7 +782,6 @@ def shift_ramps_autocorrelation(spark, sf):
 def shift_characterisation(spark, sf):
     df = drift.characterise_shift(
         split_series(spark, sf), KEYS, "load_kwh", "split", "train", "test", digits=4,
-        max_group=rows_of("train", "test"),
     )
     return r(df.drop("mann_whitney_p_value"), 4, "ks_p_value")
 
@@ -859,10 +857,10 @@ def interval_daily_diagnostics(spark, sf):
 def conditional_reliability(spark, sf):
     f = forecasts(spark, sf)
     df = conformal.static_intervals(
-        f.where("split = 'calibration'"), f.where("split = 'test'"), KEYS, max_group=rows_of("calibration")
+        f.where("split = 'calibration'"), f.where("split = 'test'"), KEYS
     )
     df = cut_lineage(df.withColumn("shift_flag", F.hour("ts") < 6))
-    return reliability.conditional_reliability(df, KEYS, max_group=rows_of("test"))
+    return reliability.conditional_reliability(df, KEYS)
 
 
 @query
@@ -926,9 +924,8 @@ def worst_days_by_coverage(spark, sf):
 def methods_stacked(spark, sf):
     f = forecasts(spark, sf)
     cal, test = f.where("split = 'calibration'"), f.where("split = 'test'")
-    bound = rows_of("calibration")
-    static = conformal.static_intervals(cal, test, KEYS, max_group=bound).withColumn("method", F.lit("static"))
-    cqr = conformal.cqr_intervals(cal, test, KEYS, max_group=bound).withColumn("method", F.lit("cqr"))
+    static = conformal.static_intervals(cal, test, KEYS).withColumn("method", F.lit("static"))
+    cqr = conformal.cqr_intervals(cal, test, KEYS).withColumn("method", F.lit("cqr"))
     return metrics.interval_metrics(static.unionByName(cqr), ["cohort", "method"], 0.10)
 
 
@@ -986,7 +983,7 @@ def bootstrap_suppliers(spark, sf):
 
 @query
 def ablation_core_methods(spark, sf):
-    return ablation.core_methods(forecasts(spark, sf), KEYS, SETTINGS, max_group=rows_of("calibration"))
+    return ablation.core_methods(forecasts(spark, sf), KEYS, SETTINGS)
 
 
 @query
@@ -1002,7 +999,7 @@ def ablation_window_lengths(spark, sf):
 @query
 def ablation_coverage_levels(spark, sf):
     return ablation.coverage_levels(
-        forecasts(spark, sf), KEYS, settings=SETTINGS, max_group=rows_of("calibration")
+        forecasts(spark, sf), KEYS, settings=SETTINGS
     )
 
 

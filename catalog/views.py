@@ -9,7 +9,6 @@ from loadshape.operators.adaptive import ShiftAwareVariant
 from loadshape.operators.cohorts import cohort_load, tariff_cohorts
 from loadshape.operators.features import lag_features, regularise
 from loadshape.operators.models import add_seasonal_naive, seasonal_quantile_fit, seasonal_quantile_predict
-from loadshape.operators.ordering import grid_rows
 from loadshape.operators.splits import tag_splits
 from loadshape.plans.backtest import BacktestSettings
 
@@ -32,11 +31,6 @@ SETTINGS = BacktestSettings(
 )
 
 
-def rows_of(*splits: str) -> int:
-    """Most rows of one cohort in the splits: cohort series sit on the half-hour grid."""
-    return grid_rows([SPLITS[s] for s in splits])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -124,5 +118,5 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = add_seasonal_naive(rows).select(
         "cohort", "ts", "seq", "split", F.col("load_kwh").alias("y"), "y_pred"
     )
-    fitted = seasonal_quantile_fit(points.where("split = 'train'"), KEYS, "y", max_group=rows_of("train"))
+    fitted = seasonal_quantile_fit(points.where("split = 'train'"), KEYS, "y")
     return seasonal_quantile_predict(points, fitted, KEYS)

@@ -81,7 +81,6 @@ def step_profile(
     ts: str = "ts",
     value: str = "load_kwh",
     steps_per_day: int = 48,
-    max_group: int | None = None,
 ) -> DataFrame:
     """Mean, std (ddof 1), p10 and p90 by step of day."""
     group = [*keys, "half_hour_idx"]
@@ -89,7 +88,7 @@ def step_profile(
     moments = stepped.groupBy(*group).agg(
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")
     )
-    band = exact_quantiles(stepped, group, value, {"p10": 0.1, "p90": 0.9}, max_group=max_group)
+    band = exact_quantiles(stepped, group, value, {"p10": 0.1, "p90": 0.9})
     return moments.join(band, group)
 
 

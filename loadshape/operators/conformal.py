@@ -19,7 +19,7 @@ from loadshape.functions.columns import (
     point_band,
     quantile_band,
 )
-from loadshape.operators.ordering import CHUNK, HOT_MIN, chunked, exact_quantiles, lookup
+from loadshape.operators.ordering import CHUNK, chunked, exact_quantiles, lookup
 
 # Calibration scores in one row of a sample that is handed over in pieces.
 PIECE = 65_536
@@ -35,21 +35,18 @@ def calibration_quantiles(
     keys: Sequence[str],
     score: Column,
     alphas: Mapping[str, float],
-    hot_min: int = HOT_MIN,
-    max_group: int | None = None,
 ) -> DataFrame:
     """Finite-sample conformal quantile of the calibration scores, one column per alpha.
 
-    Works on ranked distinct scores, so the sample of one series may be of any
-    size; ``max_group`` states a proven bound, see ``exact_quantiles``.
+    The sample of one series may be of any size, see ``exact_quantiles``.
     """
     scored = cal.select(*keys, score.cast("double").alias("_score")).where(is_score(F.col("_score")))
     levels = {name: (lambda n, a=a: conformal_level(n, a)) for name, a in alphas.items()}
-    return exact_quantiles(scored, keys, "_score", levels, hot_min=hot_min, max_group=max_group)
+    return exact_quantiles(scored, keys, "_score", levels)
 
 
-def _with_quantile(test, cal, keys, score, alpha, max_group):
-    q = calibration_quantiles(cal, keys, score, {"conformal_quantile": alpha}, max_group=max_group)
+def _with_quantile(test, cal, keys, score, alpha):
+    q = calibration_quantiles(cal, keys, score, {"conformal_quantile": alpha})
     joined = lookup(test, q, keys, "left")
     # a series without calibration scores has quantile 0
     return joined.withColumn(
@@ -65,20 +62,20 @@ def uncalibrated_intervals(test: DataFrame, lo: str = "q_lo", hi: str = "q_hi")
 
 def static_intervals(
     cal: DataFrame, test: DataFrame, keys: Sequence[str], alpha: float = 0.10,
-    y: str = "y", pred: str = "y_pred", max_group: int | None = None,
+    y: str = "y", pred: str = "y_pred",
 ) -> DataFrame:
     """Split conformal: [max(0, p - q), p + q] with q from absolute calibration residuals."""
-    out = _with_quantile(test, cal, keys, absolute_residual(y, pred), alpha, max_group)
+    out = _with_quantile(test, cal, keys, absolute_residual(y, pred), alpha)
     lower, upper = point_band(pred, "conformal_quantile")
     return out.withColumns({"lower": lower, "upper": upper})
 
 
 def cqr_intervals(
     cal: DataFrame, test: DataFrame, keys: Sequence[str], alpha: float = 0.10,
-    y: str = "y", lo: str = "q_lo", hi: str = "q_hi", max_group: int | None = None,
+    y: str = "y", lo: str = "q_lo", hi: str = "q_hi",
 ) -> DataFrame:
     """Conformalised quantile regression; the correction may be negative."""
-    out = _with_quantile(test, cal, keys, band_violation(y, lo, hi), alpha, max_group)
+    out = _with_quantile(test, cal, keys, band_violation(y, lo, hi), alpha)
     lower, upper = quantile_band(lo, hi, "conformal_quantile")
     return out.withColumns({"lower": lower, "upper": upper})
 

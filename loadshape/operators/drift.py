@@ -165,7 +165,6 @@ def two_sample_statistics(
     pre: str,
     post: str,
     hot_min: int = HOT_MIN,
-    max_group: int | None = None,
 ) -> DataFrame:
     """1-Wasserstein, Kolmogorov-Smirnov and Mann-Whitney statistics from one ranked pass.
 
@@ -175,7 +174,7 @@ def two_sample_statistics(
     """
     both = df.where(F.col(period).isin(pre, post))
     side = {"a": F.when(F.col(period) == pre, 1).otherwise(0), "b": F.when(F.col(period) == post, 1).otherwise(0)}
-    ranked = ranked_values(both, keys, value, side, hot_min, max_group)
+    ranked = ranked_values(both, keys, value, side, hot_min)
     # a series with one period only has no statistics
     gap = F.abs(F.try_divide("cum_a", "total_a") - F.try_divide("cum_b", "total_b"))
     ties = (F.col("a") + F.col("b")).cast("double")
@@ -215,10 +214,7 @@ def two_sample_statistics(
     )
 
 
-def period_moments(
-    df: DataFrame, keys: Sequence[str], value: str, period: str, hot_min: int = HOT_MIN,
-    max_group: int | None = None,
-) -> DataFrame:
+def period_moments(df: DataFrame, keys: Sequence[str], value: str, period: str) -> DataFrame:
     """Count, mean, std (ddof 0), median, p95 and p99 per series and period."""
     group = [*keys, period]
     base = df.where(F.col(value).isNotNull())
@@ -226,8 +222,8 @@ def period_moments(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")
     )
     tails = {"median": 0.5, "p95": 0.95, "p99": 0.99}
-    quantiles = exact_quantiles(base, group, value, tails, hot_min, max_group=max_group)
-    return moments.join(quantiles, group)
+    quantiles = exact_quantiles(base, group, value, tails)
+    return lookup(moments, quantiles, group)
 
 
 def ramps_and_autocorrelation(
@@ -275,12 +271,11 @@ def characterise_shift(
     ts: str = "ts",
     digits: int | None = 4,
     hot_min: int = HOT_MIN,
-    max_group: int | None = None,
 ) -> DataFrame:
     """One row per series comparing two periods: moments, tails, ramps, autocorrelation, distances, tests."""
     both = df.where(F.col(period).isin(pre, post)).select(*keys, period, ts, value)
     lags = (48, 336)
-    per_period = period_moments(both, keys, value, period, hot_min, max_group).join(
+    per_period = period_moments(both, keys, value, period).join(
         ramps_and_autocorrelation(both, keys, value, period, lags, ts), [*keys, period]
     )
     names = ["n", "mean", "std", "median", "p95", "p99", "mean_absolute_ramp", "acf_48", "acf_336", "_reach"]
@@ -289,7 +284,7 @@ def characterise_shift(
         return [F.max(F.when(F.col(period) == label, F.col(c))).alias(f"{c}_{suffix}") for c in names]
 
     wide = per_period.groupBy(*keys).agg(*pick(pre, "pre"), *pick(post, "post"))
-    tests = two_sample_statistics(both, keys, value, period, pre, post, hot_min, max_group)
+    tests = two_sample_statistics(both, keys, value, period, pre, post, hot_min)
     joined = wide.join(tests.drop("n_pre", "n_post"), list(keys))
     reach = F.least("_reach_pre", "_reach_post")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadshape.functions.columns import step_of_day
-from loadshape.operators.ordering import HOT_MIN, exact_quantiles, lookup
+from loadshape.operators.ordering import exact_quantiles, lookup
 
 QUANTILES: Mapping[str, float] = {"q_lo": 0.05, "q_mid": 0.50, "q_hi": 0.95}
 
@@ -117,7 +117,7 @@ def ridge_predict(
 
 def seasonal_quantile_fit(
     train: DataFrame, keys: Sequence[str], target: str, levels: Mapping[str, float] = QUANTILES,
-    ts: str = "ts", steps_per_day: int = 48, max_group: int | None = None,
+    ts: str = "ts", steps_per_day: int = 48,
 ) -> DataFrame:
     """Empirical target quantiles per series, step of day and weekend flag."""
     stepped = train.select(
@@ -126,7 +126,7 @@ def seasonal_quantile_fit(
         (F.weekday(ts) >= 5).alias("_weekend"),
         target,
     )
-    return exact_quantiles(stepped, [*keys, "_step", "_weekend"], target, levels, max_group=max_group)
+    return exact_quantiles(stepped, [*keys, "_step", "_weekend"], target, levels)
 
 
 def seasonal_quantile_predict(
@@ -187,7 +187,7 @@ def boosted_trees_predict(df: DataFrame, model, features: Sequence[str], out: st
 
 def quantile_forest_fit(
     train: DataFrame, features: Sequence[str], target: str, levels: Mapping[str, float] = QUANTILES,
-    num_trees: int = 20, max_depth: int = 6, min_leaf: int = 20, seed: int = 42, hot_min: int = HOT_MIN,
+    num_trees: int = 20, max_depth: int = 6, min_leaf: int = 20, seed: int = 42,
 ):
     """Random forest plus the empirical target quantiles of the training rows in every leaf.
 
@@ -202,7 +202,7 @@ def quantile_forest_fit(
     leaves = model.transform(x).select(
         F.posexplode(vector_to_array("_leaf")).alias("tree", "_l"), F.col(target).alias("_target")
     ).select("tree", F.col("_l").cast("int").alias("leaf"), "_target")
-    return model, exact_quantiles(leaves, ["tree", "leaf"], "_target", levels, hot_min)
+    return model, exact_quantiles(leaves, ["tree", "leaf"], "_target", levels)
 
 
 def quantile_forest_predict(

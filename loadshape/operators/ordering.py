@@ -10,25 +10,28 @@ sorts a whole group in one task:
 * ``lookup``         joins one row per group to many, NULL keys included;
 * ``ranked_values``  running counts over the distinct values of a group, with
                      large groups cut into value slices;
-* ``exact_quantiles`` linear-interpolation quantiles from those counts.
+* ``exact_quantiles`` linear-interpolation quantiles: a sketch brackets them, only
+                     values inside the brackets are ordered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096
-# A group counts as hot above 1 / HOT_SHARE of all rows; at most HOT_SHARE
-# groups can be hot, which bounds every broadcast made for them.
-HOT_SHARE = 200
-# Groups of up to this many rows are never cut.
+# Distinct values that one task orders, about: larger groups are cut into slices of this many.
 HOT_MIN = 50_000
-SLICES = 1024
+# Slices of one group at most (its distinct values then exceed HOT_MIN by this factor).
+MAX_SLICES = 1 << 20
+# Of a sample of n values the sketch knows ranks to n / ACCURACY; MARGIN allows for four times that.
+ACCURACY = 10_000
+MARGIN = 4 / ACCURACY
+# Steps in which a level that depends on the sample's size is bracketed.
+GRID = 128
 
 
 def _all(conditions: Sequence[Column]) -> Column:
@@ -110,40 +113,16 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inn
     return joined.select("_l.*", *[F.col(f"_r.{c}") for c in table.columns if c not in keys])
 
 
-def grid_rows(ranges, steps_per_day: int = 48) -> int:
-    """Most rows one series can have in (first day, last day) ranges on its time grid.
-
-    A proven bound for ``max_group``: it follows from the dates alone.
-    """
-    days = 0
-    for first, last in ranges:
-        days += (date.fromisoformat(str(last)) - date.fromisoformat(str(first))).days + 1
-    return days * steps_per_day
-
-
-def _checked(df: DataFrame, n: Column, max_group: int) -> DataFrame:
-    """Raise where a group is larger than its stated bound."""
-    ok = F.assert_true(n <= max_group, F.lit(f"a group has more than the stated {max_group} rows"))
-    return df.where(ok.isNull())
-
-
 def _with_slice(df: DataFrame, value: str) -> DataFrame:
     """Add ``_slice``: the number of ``_cuts`` at or below the value, -1 where there are none.
 
-    A binary search written as a chain of column aliases, so it stays in
-    generated code; reads past the end are NULL and move nothing.
+    A binary search by halving steps; reads past the end are NULL and move nothing.
     """
-    steps = [SLICES >> i for i in range(SLICES.bit_length())]
-    columns, at = [], F.lit(0)
-    for i, step in enumerate(steps):
-        probe = F.get("_cuts", at + (step - 1))
-        name = f"_at_{i}"
-        columns.append((at + F.when(probe <= F.col(value), step).otherwise(0)).alias(name))
-        at = F.col(name)
-    found = df.select("*", *columns)
-    return found.withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(at)).drop(
-        "_cuts", *[f"_at_{i}" for i in range(len(steps))]
+    steps = F.array(*[F.lit(MAX_SLICES >> i) for i in range(MAX_SLICES.bit_length())])
+    found = F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) <= F.col(value), at + step).otherwise(at)
     )
+    return df.withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(found)).drop("_cuts")
 
 
 def ranked_values(
@@ -152,17 +131,15 @@ def ranked_values(
     value: str,
     counts: Mapping[str, Column] | None = None,
     hot_min: int = HOT_MIN,
-    max_group: int | None = None,
 ) -> DataFrame:
     """Distinct values of each group with counts, running counts and totals.
 
     For every name ``c`` in ``counts`` (default ``n`` = rows) the result has
     ``c``, ``cum_c`` (through this value) and ``total_c``, plus ``next_value``.
-    Equal values are merged before anything is ordered.  A hot group is cut
-    into about ``SLICES`` slices of its value range at a hash sample of its own
-    values; the sample is a pure function of the data, so recomputed tasks cut
-    at the same places.  With a proven bound ``max_group`` of at most
-    ``hot_min`` rows per group no group can be hot, and one window suffices.
+    Equal values are merged before anything is ordered.  A group of more than ``hot_min`` distinct
+    values is cut into slices of about that many at a hash sample of its own values, so
+    no task orders more, whatever the group's size; the sample is a pure function of
+    the data, so recomputed tasks cut at the same places.
     """
     keys = list(keys)
     counts = dict(counts or {"n": F.lit(1)})
@@ -171,51 +148,28 @@ def ranked_values(
         .groupBy(*keys, F.col(value).alias("value"))
         .agg(*[F.sum(c).cast("long").alias(name) for name, c in counts.items()])
     )
-    if max_group is not None and max_group <= hot_min:
-        ordered = Window.partitionBy(*keys).orderBy("value")
-        run = ordered.rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*keys)
-        out = merged.select(
-            *keys,
-            "value",
-            F.lead("value").over(ordered).alias("next_value"),
-            *counts,
-            *[F.sum(n).over(run).alias(f"cum_{n}") for n in counts],
-            *[F.sum(n).over(whole).alias(f"total_{n}") for n in counts],
-        )
-        return _checked(out, reduce(lambda a, b: a + b, [F.col(f"total_{n}") for n in counts]), max_group)
     # every branch below uses all columns of ``merged``, so they share its shuffle
-    rows = reduce(lambda a, b: a + b, [F.col(f"_all_{n}") for n in counts])
     sizes = merged.groupBy(*keys).agg(
         F.count("*").alias("_distinct"), *[F.sum(n).alias(f"_all_{n}") for n in counts]
     )
-    share = sizes.agg(F.sum(rows) / HOT_SHARE).scalar()
-    hot = sizes.where((F.col("_distinct") > F.lit(hot_min)) & (rows > share)).select(
-        *keys, F.ceil(F.col("_distinct") / SLICES).cast("long").alias("_every"), *[f"_all_{n}" for n in counts]
-    )
-    # at most HOT_SHARE rows, so these broadcasts are bounded whatever the data
-    sampled = merged.join(F.broadcast(hot.select(*keys, "_every")), keys).where(
-        F.pmod(F.xxhash64("value"), F.col("_every")) == 0
-    )
+    hot = sizes.where(F.col("_distinct") > hot_min)
+    sampled = lookup(merged, hot.select(*keys), keys, "left_semi").where(F.pmod(F.xxhash64("value"), F.lit(hot_min)) == 0)
     points = sampled.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("value", *counts))).alias("_p"))
-    cuts = F.broadcast(points.select(*keys, F.col("_p.value").alias("_cuts")))
-    sliced = _with_slice(merged.join(cuts, keys, "left"), "value")
-    # slice totals exist for hot groups only: HOT_SHARE * (SLICES + few) rows
-    slice_sums = _with_slice(merged.join(cuts, keys), "value").groupBy(*keys, "_slice").agg(
+    cuts = points.select(*keys, F.col("_p.value").alias("_cuts"))
+    sliced = _with_slice(lookup(merged, cuts, keys, "left"), "value")
+    slice_sums = sliced.where("_slice >= 0").groupBy(*keys, "_slice").agg(
         F.min("value").alias("_first"),
         *[F.sum(name).alias(f"_sum_{name}") for name in counts],
     )
     over = Window.partitionBy(*keys).orderBy("_slice")
     earlier = over.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    offsets = F.broadcast(
-        slice_sums.select(
-            *keys,
-            "_slice",
-            F.lead("_first").over(over).alias("_next_first"),
-            *[F.sum(f"_sum_{n}").over(earlier).alias(f"_off_{n}") for n in counts],
-            *[F.sum(f"_sum_{n}").over(whole).alias(f"_all_{n}") for n in counts],
-        )
+    offsets = slice_sums.select(
+        *keys,
+        "_slice",
+        F.lead("_first").over(over).alias("_next_first"),
+        *[F.sum(f"_sum_{n}").over(earlier).alias(f"_off_{n}") for n in counts],
+        *[F.sum(f"_sum_{n}").over(whole).alias(f"_all_{n}") for n in counts],
     )
     part = Window.partitionBy(*keys, "_slice")
     run = part.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
@@ -228,7 +182,7 @@ def ranked_values(
         *[F.sum(n).over(run).alias(f"_run_{n}") for n in counts],
         *[F.sum(n).over(part).alias(f"_tot_{n}") for n in counts],
     )
-    return local.join(offsets, [*keys, "_slice"], "left").select(
+    return lookup(local, offsets, [*keys, "_slice"], "left").select(
         *keys,
         "value",
         F.coalesce("_next", "_next_first").alias("next_value"),
@@ -244,74 +198,87 @@ def ranked_values(
 Level = float | Callable[[Column], Column]
 
 
-def _small_quantiles(df, keys, value, levels, count, max_group) -> DataFrame:
-    present = df.where(F.col(value).isNotNull())
-    if any(callable(lv) for lv in levels.values()):
-        packed = present.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_v"))
-        n = F.size("_v")
-        out = {}
-        for name, lv in levels.items():
-            h = (n - 1) * (lv(n) if callable(lv) else F.lit(float(lv)))
-            low = F.get("_v", F.floor(h).cast("int"))
-            out[name] = low + (h - F.floor(h)) * (F.get("_v", F.ceil(h).cast("int")) - low)
-    else:
-        wanted = F.array(*[F.lit(float(lv)) for lv in levels.values()])
-        packed = present.groupBy(*keys).agg(
-            F.percentile(value, wanted).alias("_q"), F.count("*").alias("_n")
-        )
-        n = F.col("_n")
-        out = {name: F.get("_q", F.lit(i)) for i, name in enumerate(levels)}
-    return _checked(packed, n, max_group).select(
-        *keys,
-        *[c.alias(name) for name, c in out.items()],
-        *([n.cast("long").alias(count)] if count else []),
-    )
-
-
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    levels: Mapping[str, Level],
-    hot_min: int = HOT_MIN,
-    count: str | None = None,
-    max_group: int | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, levels: Mapping[str, Level], count: str | None = None
 ) -> DataFrame:
     """Linear-interpolation quantiles per group; a level may depend on the group size.
 
-    Groups of any size by default.  A proven bound ``max_group`` of at most
-    ``hot_min`` rows per group allows a single aggregate; it is checked.
+    A mergeable sketch brackets the ranks that are wanted, the values below each bracket are counted, and
+    only the values inside are ordered: a thousandth of the group for a plain level, a
+    64th for one that depends on the size, equal values merged.  A group too small
+    for the sketch to tell its ranks apart lies in its brackets as a whole.
     """
-    keys = list(keys)
-    if max_group is not None and max_group <= hot_min:
-        return _small_quantiles(df, keys, value, levels, count, max_group)
-    total = F.col("total_n")
-    ranks = {}
-    for name, level in levels.items():
-        lv = level(total) if callable(level) else F.lit(float(level))
-        ranks[name] = (total - 1) * lv
-    ranked = ranked_values(df, keys, value, hot_min=hot_min)
-    before = F.col("cum_n") - F.col("n")
+    keys, names = list(keys), list(levels)
+    present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    points = sorted(
+        {min(1.0, max(0.0, float(lv) + d)) for lv in levels.values() if not callable(lv) for d in (-MARGIN, MARGIN)}
+        | ({i / GRID for i in range(GRID + 1)} if any(callable(lv) for lv in levels.values()) else set())
+    )
+    total = F.col("_n")
+    sketch = present.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(x) for x in points]), F.lit(ACCURACY)).alias("_q")
+    )
+    sure = total > ACCURACY
+    ends, ranks = {}, {}
+    for i, (name, level) in enumerate(levels.items()):
+        if callable(level):
+            where = {x: points.index(x / GRID) for x in range(GRID + 1)}
+            at = F.array(*[F.lit(where[x]) for x in range(GRID + 1)])
+            share = level(total)
+            low, high = F.floor(share * GRID) - 1, F.ceil(share * GRID) + 1
+            low_end = F.when(low >= 0, F.get("_q", F.get(at, F.greatest(low, F.lit(0)).cast("int"))))
+            high_end = F.when(high <= GRID, F.get("_q", F.get(at, F.least(high, F.lit(GRID)).cast("int"))))
+        else:
+            share, low, high = F.lit(float(level)), float(level) - MARGIN, float(level) + MARGIN
+            low_end = F.get("_q", F.lit(points.index(low))) if low > 0 else F.lit(None)
+            high_end = F.get("_q", F.lit(points.index(high))) if high < 1 else F.lit(None)
+        ends[f"_low_{i}"], ends[f"_high_{i}"] = F.when(sure, low_end), F.when(sure, high_end)
+        ranks[f"_rank_{i}"] = (total - 1) * share
+    brackets = sketch.select(*keys, "_n", *[c.alias(n) for n, c in {**ends, **ranks}.items()])
+    placed = lookup(present, brackets.drop("_n", *ranks), keys)
+    each = range(len(names))
+    under = [F.coalesce(F.col("_v") < F.col(f"_low_{i}"), F.lit(False)) for i in each]
+    over = [F.coalesce(F.col("_v") > F.col(f"_high_{i}"), F.lit(False)) for i in each]
+    below = placed.groupBy(*keys).agg(*[F.count_if(under[i]).alias(f"_below_{i}") for i in each])
+    inside = F.filter(F.array(*[F.when(~under[i] & ~over[i], F.lit(i)) for i in each]), lambda x: x.isNotNull())
+    merged = (
+        placed.select(*keys, "_v", inside.alias("_in"))
+        .where(F.size("_in") > 0)
+        .groupBy(*keys, "_v", "_in")
+        .agg(F.count("*").alias("_c"))
+        .withColumn("_i", F.explode("_in"))
+        .drop("_in")
+    )
+    # a value can be inside under several sets of brackets, which are the same for all its rows
+    upto = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = merged.withColumn("_upto", F.sum("_c").over(upto))
+    facts = lookup(brackets.drop(*ends), below, keys)
+    known = lookup(ordered, facts, keys)
+
+    def pick(columns: str) -> Column:
+        return F.element_at(F.array(*[F.col(f"{columns}_{i}") for i in each]), F.col("_i") + 1)
+
+    known = known.withColumns({"_h": pick("_rank"), "_through": F.col("_upto") + pick("_below")})
+    before = F.col("_through") - F.col("_c")
 
     def at(rank: Column) -> Column:
-        return (before <= rank) & (rank < F.col("cum_n"))
-
-    hits, aggs = [], [F.max("total_n").alias("_count")]
-    for name, h in ranks.items():
-        lo, hi = F.floor(h), F.ceil(h)
-        hits += [at(lo), at(hi)]
-        aggs += [
-            F.max(F.when(at(lo), F.col("value"))).alias(f"_lo_{name}"),
-            F.max(F.when(at(hi), F.col("value"))).alias(f"_hi_{name}"),
-            F.max(h - lo).alias(f"_frac_{name}"),
-        ]
-    wanted = ranked.where(reduce(lambda a, b: a | b, hits))
-    found = wanted.groupBy(*keys).agg(*aggs)
-    return found.select(
-        *keys,
+        return (before <= rank) & (rank < F.col("_through"))
+
+    lo, hi = F.floor("_h"), F.ceil("_h")
+    found = known.where(at(lo) | at(hi)).groupBy(*keys).agg(
+        F.max("_n").alias("_count"),
         *[
-            (F.col(f"_lo_{n}") + F.col(f"_frac_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
-            for n in ranks
+            c
+            for i in each
+            for c in (
+                F.max(F.when((F.col("_i") == i) & at(lo), F.col("_v"))).alias(f"_lo_{i}"),
+                F.max(F.when((F.col("_i") == i) & at(hi), F.col("_v"))).alias(f"_hi_{i}"),
+                F.max(F.when(F.col("_i") == i, F.col("_h") - lo)).alias(f"_frac_{i}"),
+            )
         ],
+    )
+    return found.select(
+        *keys,
+        *[(F.col(f"_lo_{i}") + F.col(f"_frac_{i}") * (F.col(f"_hi_{i}") - F.col(f"_lo_{i}"))).alias(n) for i, n in enumerate(names)],
         *([F.col("_count").alias(count)] if count else []),
     )

@@ -35,23 +35,21 @@ def add_ramps(
 
 def add_regime(
     df: DataFrame, keys: Sequence[str], value: str, out: str, labels: tuple[str, str, str],
-    max_group: int | None = None,
 ) -> DataFrame:
     """Tertile label of ``value`` within its series."""
-    cuts = exact_quantiles(df, keys, value, TERTILES, max_group=max_group)
+    cuts = exact_quantiles(df, keys, value, TERTILES)
     return lookup(df, cuts, keys).withColumn(out, tertile(value, "_t1", "_t2", labels)).drop("_t1", "_t2")
 
 
 def reliability_keys(
-    df: DataFrame, keys: Sequence[str], y: str = "y", ts: str = "ts", seq: str = "seq",
-    max_group: int | None = None, chunk: int = CHUNK,
+    df: DataFrame, keys: Sequence[str], y: str = "y", ts: str = "ts", seq: str = "seq", chunk: int = CHUNK,
 ) -> tuple[DataFrame, dict[str, Column]]:
     """Rows with every subgroup label, and the dimensions available for them."""
     ramped = add_ramps(df, keys, y, seq, "ramp", chunk)
-    cuts = exact_quantiles(ramped, keys, y, TERTILES, max_group=max_group).withColumnsRenamed(
+    cuts = exact_quantiles(ramped, keys, y, TERTILES).withColumnsRenamed(
         {"_t1": "_l1", "_t2": "_l2"}
     )
-    ramp_cuts = exact_quantiles(ramped, keys, "ramp", TERTILES, max_group=max_group)
+    ramp_cuts = exact_quantiles(ramped, keys, "ramp", TERTILES)
     labelled = lookup(ramped, cuts.join(ramp_cuts, list(keys)), keys)
     hour = F.hour(ts)
     # Names of the dimensions and subgroups
@@ -80,7 +78,6 @@ def conditional_reliability(
     ts: str = "ts",
     seq: str = "seq",
     digits: int | None = 4,
-    max_group: int | None = None,
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Interval metrics per (series, dimension, subgroup), all dimensions in one pass.
@@ -88,7 +85,7 @@ def conditional_reliability(
     Rows are fanned out to their subgroups right before the partial sums, so
     the shuffle carries one row per subgroup and task.
     """
-    labelled, dims = reliability_keys(df, keys, y, ts, seq, max_group, chunk)
+    labelled, dims = reliability_keys(df, keys, y, ts, seq, chunk)
     fanned = labelled.select(
         *keys, y, lower, upper,
         F.inline(F.array(*[F.struct(F.lit(n).alias("dimension"), c.alias("subgroup")) for n, c in dims.items()])),

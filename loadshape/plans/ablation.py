@@ -45,10 +45,10 @@ def _sa_intervals(placed, keys, variants, settings, seq):
     return shift_aware_intervals(cal, scored, keys, variants, block=settings.block, seq=seq)
 
 
-def _static_levels(placed, keys, alphas: Mapping[str, float], seq, max_group):
+def _static_levels(placed, keys, alphas: Mapping[str, float], seq):
     """Static bounds for several alphas: one row per test step and level."""
     cal, test = placed
-    q = calibration_quantiles(cal, keys, absolute_residual("y", "y_pred"), alphas, max_group=max_group)
+    q = calibration_quantiles(cal, keys, absolute_residual("y", "y_pred"), alphas)
     long = lookup(test, q, keys).select(
         *keys, "ts", "y", "y_pred",
         F.inline(F.array(*[
@@ -62,13 +62,12 @@ def _static_levels(placed, keys, alphas: Mapping[str, float], seq, max_group):
 
 def core_methods(
     forecasts: DataFrame, keys: Sequence[str], settings: BacktestSettings = BacktestSettings(), seq: str = "seq",
-    max_group: int | None = None,
 ) -> DataFrame:
     """Static, rolling, ACI, and shift-aware with the detector off and on."""
     s = settings
     placed = cal, test = place_rows(forecasts, keys, seq)
     cols = [*keys, "y", "lower", "upper"]
-    static = _static_levels(placed, keys, {"l": s.alpha}, seq, max_group).select(
+    static = _static_levels(placed, keys, {"l": s.alpha}, seq).select(
         F.lit("Static Conformal (P1)").alias("configuration"), *cols
     )
     rolling = rolling_intervals(cal, test, keys, s.alpha, s.rolling_window, s.block).select(
@@ -114,7 +113,6 @@ def window_lengths(
 def coverage_levels(
     forecasts: DataFrame, keys: Sequence[str], levels: Sequence[float] = LEVELS,
     settings: BacktestSettings = BacktestSettings(), methods: Sequence[str] = ("static", "sa_acp"), seq: str = "seq",
-    max_group: int | None = None,
 ) -> DataFrame:
     """Static and shift-aware calibration at several nominal levels."""
     alphas = {f"{int(round(lv * 100))}%": round(1.0 - lv, 2) for lv in levels}
@@ -123,7 +121,7 @@ def coverage_levels(
     cols = [*keys, "method", "nominal_level", "alpha", "y", "lower", "upper"]
     if "static" in methods:
         tables.append(
-            _static_levels(placed, keys, alphas, seq, max_group)
+            _static_levels(placed, keys, alphas, seq)
             .withColumn("method", F.lit("Static Conformal"))
             .withColumnRenamed("level", "nominal_level")
             .select(*cols)

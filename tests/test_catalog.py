@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from catalog.oracle import ORACLES
+from catalog.queries import QUERIES
 from check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +20,8 @@ SAMPLE = (
 
 
 def test_every_query_has_sql():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
+    assert set(ORACLES) <= set(QUERIES) <= set(registry.queries())
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 

@@ -67,11 +67,13 @@ def test_lookup_keeps_every_row_once(spark):
     assert joined.where("count is null").count() == 0
 
 
-@pytest.mark.parametrize("hot_min", [O.HOT_MIN, 50])
-def test_quantiles_match_numpy(spark, hot_min):
+@pytest.mark.parametrize("accuracy", [O.ACCURACY, 100])
+def test_quantiles_match_numpy(spark, accuracy, monkeypatch):
+    monkeypatch.setattr(O, "ACCURACY", accuracy)
+    monkeypatch.setattr(O, "MARGIN", 4 / accuracy)
     pdf, df = irregular(spark)
     levels = {"a": 0.0, "b": 0.333, "c": 0.5, "d": 0.99, "e": 1.0}
-    got = O.exact_quantiles(df, ["k"], "v", levels, hot_min=hot_min).toPandas().set_index("k")
+    got = O.exact_quantiles(df, ["k"], "v", levels).toPandas().set_index("k")
     for k, part in pdf.groupby("k"):
         np.testing.assert_allclose(got.loc[k, list(levels)].astype(float), np.quantile(part["v"], list(levels.values())))
 
@@ -88,19 +90,42 @@ def test_sliced_groups_really_are_sliced(spark):
     assert np.isnan(ranked["next_value"].iloc[-1])
 
 
-def test_stated_bound_gives_the_same_quantiles(spark):
+def test_levels_may_depend_on_the_size(spark, monkeypatch):
     pdf, df = irregular(spark)
-    levels = {"a": 0.25, "b": lambda n: F.least(F.lit(1.0), (n + 1) * 0.9 / n)}
-    free = O.exact_quantiles(df, ["k"], "v", levels).orderBy("k").collect()
-    bounded = O.exact_quantiles(df, ["k"], "v", levels, max_group=10_000).orderBy("k").collect()
-    for x, y in zip(free, bounded, strict=True):
-        assert x["a"] == pytest.approx(y["a"]) and x["b"] == pytest.approx(y["b"])
-
-
-def test_broken_bound_raises(spark):
-    _, df = irregular(spark)
-    with pytest.raises(Exception, match="more than the stated"):
-        O.exact_quantiles(df, ["k"], "v", {"a": 0.5}, max_group=100).collect()
+    levels = {"a": 0.25, "b": lambda n: F.least(F.lit(1.0), F.ceil((n + 1) * 0.9) / n)}
+    for accuracy in (O.ACCURACY, 100):
+        monkeypatch.setattr(O, "ACCURACY", accuracy)
+        monkeypatch.setattr(O, "MARGIN", 4 / accuracy)
+        for row in O.exact_quantiles(df, ["k"], "v", levels).collect():
+            v = pdf[pdf["k"] == row["k"]]["v"]
+            assert row["a"] == pytest.approx(np.quantile(v, 0.25))
+            assert row["b"] == pytest.approx(np.quantile(v, min(1.0, np.ceil((len(v) + 1) * 0.9) / len(v))))
+
+
+def test_only_values_in_the_brackets_are_ordered(spark):
+    df = spark.range(200_000).select(F.lit(None).cast("string").alias("k"), (F.col("id") * 7919 % 200_003).alias("v"))
+    want = np.quantile(np.arange(200_000) * 7919 % 200_003, [0.5, 0.99])
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    plain = O.lookup
+
+    def spy(left, table, keys, how="inner"):
+        if "_upto" in left.columns:
+            left = left.withColumn("_c", counted("_c"))
+        return plain(left, table, keys, how)
+
+    O.lookup = spy
+    try:
+        row = O.exact_quantiles(df, ["k"], "v", {"m": 0.5, "t": 0.99}).first()
+    finally:
+        O.lookup = plain
+    assert [row["m"], row["t"]] == pytest.approx(list(want))
+    assert 0 < seen.value < 2_000
 
 
 def test_quantiles_ignore_nulls_and_merge_ties(spark):
@@ -112,10 +137,6 @@ def test_quantiles_ignore_nulls_and_merge_ties(spark):
 def test_partition_count_does_not_matter(spark):
     _, df = irregular(spark)
     results = [
-        O.exact_quantiles(df.repartition(n), ["k"], "v", {"m": 0.37}, hot_min=50).orderBy("k").collect() for n in (1, 8)
+        O.exact_quantiles(df.repartition(n), ["k"], "v", {"m": 0.37}).orderBy("k").collect() for n in (1, 8)
     ]
     assert results[0] == results[1]
-
-
-def test_grid_rows():
-    assert O.grid_rows([("2024-01-01", "2024-01-30")]) == 30 * 48
