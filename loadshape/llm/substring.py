@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from loadshape.llm.common import cut, without
 
 #: Bytes of text, and words, worked on at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Documents whose windows are compared at a time.
+SLICE_ROWS = 2000
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -97,6 +99,40 @@ def _hashes(text: str | None, window: int) -> tuple[np.ndarray, np.ndarray]:
     return grams(ids, window), least_of(grams(ids, half), window - half + 1)
 
 
+def _many(texts: list[str | None], window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_hashes`` of each text; short texts are worked on side by side in one buffer."""
+    half = (window + 1) // 2
+
+    def together(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        edge = np.diff(np.concatenate([[True], _SPACE[data]]).astype(np.int8))
+        begins, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        ids = _slices(_BYTE[data], begins, ends)
+        owner = np.searchsorted(np.cumsum([0] + [len(x) + 1 for x in raw]), begins, side="right") - 1
+        if len(ids) < window:
+            yield from ((np.zeros(0, np.uint64), np.zeros(0, np.uint64)) for _ in raw)
+            return
+        own = owner[: len(ids) - window + 1]
+        whole = own == owner[window - 1 :]  # not across two texts
+        hashes, anchors = grams(ids, window)[whole], least_of(grams(ids, half), window - half + 1)[whole]
+        cuts = np.searchsorted(own[whole], np.arange(len(raw) + 1))
+        yield from ((hashes[i:j], anchors[i:j]) for i, j in zip(cuts[:-1], cuts[1:]))
+
+    held, size = [], 0
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if held and size + len(raw) + 1 > CHUNK:
+            yield from together(held)
+            held, size = [], 0
+        if len(raw) + 1 > CHUNK:
+            yield _hashes(text, window)
+        else:
+            held.append(raw)
+            size += len(raw) + 1
+    if held:
+        yield from together(held)
+
+
 def _extremes(hashes: list[np.ndarray], keys: list[int], names: tuple[str, str, str]) -> pa.RecordBatch:
     """Per distinct hash of a batch the least and greatest key."""
     every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -114,8 +150,8 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
     """(anchor): half-windows that anchor a window in documents of different keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(_hashes(t, window)[1]) for t in batch.column("text").to_pylist()]
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
+            found = [np.unique(anchors) for _, anchors in _many(batch.column("text").to_pylist(), window)]
             yield _extremes(found, batch.column("key").to_pylist(), ("anchor", "low", "high"))
 
     return (
@@ -153,11 +189,7 @@ def _is_set(bits: np.ndarray, power: int, hashes: np.ndarray) -> np.ndarray:
 
 def _candidates(texts: list[str | None], window: int, filtered: tuple[np.ndarray, int]) -> list[np.ndarray]:
     """Per text the distinct hashes of its windows whose anchor passes the filter."""
-    found = []
-    for text in texts:
-        hashes, anchors = _hashes(text, window)
-        found.append(np.unique(hashes[_is_set(*filtered, anchors)]))
-    return found
+    return [np.unique(hashes[_is_set(*filtered, anchors)]) for hashes, anchors in _many(texts, window)]
 
 
 def earlier_windows(docs: DataFrame, window: int, sent) -> DataFrame:
@@ -171,10 +203,11 @@ def earlier_windows(docs: DataFrame, window: int, sent) -> DataFrame:
 
     def split(smallest: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
                 found = _candidates(batch.column("text").to_pylist(), window, sent.value)
                 every = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 owner = np.repeat(np.array(batch.column("key").to_pylist(), np.int64), [len(x) for x in found])
+                del found
                 order = np.lexsort((owner, every))
                 every, owner = every[order], owner[order]
                 first = np.concatenate([[True], every[1:] != every[:-1]])[: len(every)]
@@ -233,12 +266,16 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = 50
 
     @F.pandas_udf("boolean")
     def shares(texts: pd.Series) -> pd.Series:
-        return pd.Series([_is_set(*sent.value, _hashes(t, window)[1]).any() for t in texts], dtype="bool")
+        return pd.Series([_is_set(*sent.value, anchors).any() for _, anchors in _many(texts.tolist(), window)], dtype="bool")
 
     names = rows.columns
     meeting = rows.where(shares(F.col(text))).join(earlier, F.col(key).cast("long") == F.col("_of"), "left").drop("_of")
-    alone = rows.where(~shares(F.col(text))).withColumn("_earlier", F.lit(None).cast("array<long>"))
-    every = meeting.unionByName(alone)
-    return every.withColumn("_trimmed", trimmed(F.col(text), F.col("_earlier"))).select(
-        *[every[c] for c in names], "_trimmed.*"
+    meeting = meeting.withColumn("_trimmed", trimmed(F.col(text), F.col("_earlier"))).select(*names, "_trimmed.*")
+    held = F.coalesce(F.col(text), F.lit(""))
+    alone = rows.where(~shares(F.col(text))).select(
+        *names,
+        F.trim(F.regexp_replace(held, r"[\x20\x09-\x0D]+", " ")).alias("kept"),
+        F.regexp_count(held, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"),
+        F.array().cast("array<struct<start:long,end:long>>").alias("removed"),
     )
+    return meeting.unionByName(alone)

@@ -188,6 +188,10 @@ def test_words_and_grams_in_chunks(monkeypatch):
     small = np.array([i for i, w in enumerate(text.split()) if len(w) < 256])
     assert (cut[small] == whole[small]).all()
     assert (substring.grams(whole, 5) == grams).all()
+    texts = ["a b c d e f", None, " ", "x " * 300, "c d e f a b c", "d e", text.decode(), "a b c"] * 3
+    for (hashes, anchors), one in zip(substring._many(texts, 3), texts, strict=True):
+        want = substring._hashes(one, 3)
+        assert (hashes == want[0]).all() and (anchors == want[1]).all()
 
 
 # WARC ----------------------------------------------------------------------------
