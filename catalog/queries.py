@@ -869,7 +869,7 @@ def conditional_reliability_suppliers(spark, sf):
     bands = supplier_bands(spark, sf).withColumn("ts", F.col("ts") + F.make_dt_interval(
         F.lit(0), (F.col("l_orderkey") % 24).cast("int")))
     keyed = bands.withColumn("region", (F.col("l_suppkey") % 5).cast("int"))
-    df = reliability.add_regime(keyed, ["region"], "y", "load_regime", ("Low Demand", "Medium Demand", "High Demand"), "l_orderkey")
+    df = reliability.add_regime(keyed, ["region"], "y", "load_regime", ("Low Demand", "Medium Demand", "High Demand"))
     return metrics.interval_metrics(df, ["region", "load_regime"], 0.10)
 
 
