@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from loadshape.operators.features import feature_names
+
 ORACLES: dict[str, str] = {}
 
 
@@ -581,6 +583,14 @@ FROM (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 *
                    covar_pop(l_quantity, l_discount) * count(*) AS s12, covar_pop(l_quantity, l_extendedprice) * count(*) AS s1y,
                    covar_pop(l_discount, l_extendedprice) * count(*) AS s2y
             FROM lineitem GROUP BY l_returnflag))""")
+oracle("model_ridge_normal_equations", f"""
+SELECT cohort, unnest([{', '.join(repr(n) for n in feature_names())}]) AS feature, 0.0::DOUBLE AS rest FROM (SELECT DISTINCT cohort FROM ridge_rows)""")
+oracle("model_boosted_trees_facts", """
+SELECT cohort, count(*) AS n, count(*) FILTER (load_kwh IS NULL) AS n_missing, count(*) FILTER (load_kwh < 0) AS n_negative
+FROM ridge_rows WHERE split = 'test' GROUP BY 1""")
+oracle("model_quantile_forest_facts", """
+SELECT cohort, count(*) AS n, count(*) FILTER (load_kwh IS NULL) AS n_disordered, count(*) FILTER (load_kwh < 0) AS n_outside
+FROM ridge_rows WHERE split = 'test' GROUP BY 1""")
 oracle("model_seasonal_quantiles", f"""
 SELECT cohort, ts, {rounded(6, 'q_lo', 'q_mid', 'q_hi')} FROM forecasts WHERE split = 'test'""")
 oracle("model_quantile_interval", """

@@ -544,6 +544,51 @@ def model_quantile_forest(spark, sf):
     return r(out, 4, "load_kwh", "q_lo", "q_mid", "q_hi")
 
 
+@query
+def model_ridge_normal_equations(spark, sf):
+    """What is left of the normal equations per feature: nothing, if the fit is the ridge solution."""
+    rows, names = scaled_rows(spark, sf)
+    train = rows.where("split = 'train'")
+    fitted = models.ridge_fit(train, KEYS, names, "load_kwh", 1.0)
+    error = F.col("load_kwh") - F.col("intercept")
+    for i, name in enumerate(names):
+        error = error - F.get("coefficients", F.lit(i)) * F.col(name)
+    each = F.array(*[
+        F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("x"), F.get("coefficients", F.lit(i)).alias("b"))
+        for i, n in enumerate(names)
+    ])
+    left = train.join(fitted.drop("n_rows"), KEYS).withColumn("e", error).select("cohort", "e", F.inline(each))
+    sums = left.groupBy("cohort", "feature").agg((F.sum(F.col("x") * F.col("e")) - F.first("b")).alias("rest"))
+    return sums.select("cohort", "feature", (F.round("rest", 4) + F.lit(0.0)).alias("rest"))
+
+
+@query
+def model_boosted_trees_facts(spark, sf):
+    """Every test row has a prediction that is a load."""
+    df = model_boosted_trees(spark, sf)
+    return df.groupBy("cohort").agg(
+        F.count("*").alias("n"), F.count_if(F.col("y_pred").isNull()).alias("n_missing"),
+        F.count_if(F.col("y_pred") < 0).alias("n_negative"),
+    )
+
+
+@query
+def model_quantile_forest_facts(spark, sf):
+    """Quantiles are in order and within the loads of the training rows."""
+    train = split_series(spark, sf).where("split = 'train'").agg(
+        F.min("load_kwh").alias("least"), F.max("load_kwh").alias("most")
+    )
+    df = model_quantile_forest(spark, sf).withColumns({
+        "least": train.select("least").scalar(), "most": train.select("most").scalar(),
+    })
+    ordered = (F.col("q_lo") <= F.col("q_mid")) & (F.col("q_mid") <= F.col("q_hi"))
+    inside = (F.col("q_lo") >= F.round("least", 4)) & (F.col("q_hi") <= F.round("most", 4))
+    return df.groupBy("cohort").agg(
+        F.count("*").alias("n"), F.count_if(~F.coalesce(ordered, F.lit(False))).alias("n_disordered"),
+        F.count_if(~F.coalesce(inside, F.lit(False))).alias("n_outside"),
+    )
+
+
 @query
 def model_seasonal_quantiles(spark, sf):
     f = forecasts(spark, sf).where("split = 'test'")
