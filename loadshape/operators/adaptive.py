@@ -260,6 +260,14 @@ def _per_variant(variants, attribute: str):
     return out
 
 
+def shift_columns(v: ShiftAwareVariant, shift: str) -> tuple:
+    """Effective detector score, flag and rate of a variant, as columns."""
+    enabled = F.lit(v.enable_detector)
+    score = F.when(enabled, F.coalesce(F.col(shift), F.lit(0.0))).otherwise(F.lit(0.0))
+    flag = enabled & F.coalesce(F.col(shift) >= v.threshold, F.lit(False))
+    return score, flag, F.when(flag, F.lit(v.gamma_fast)).otherwise(F.lit(v.gamma_slow))
+
+
 def shift_aware_intervals(
     cal: DataFrame,
     test: DataFrame,

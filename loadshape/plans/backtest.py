@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +17,8 @@ from loadshape.functions.columns import (
 from loadshape.operators.adaptive import (
     AciVariant,
     ShiftAwareVariant,
-    aci_intervals,
-    shift_aware_intervals,
+    shift_columns,
+    walk_series,
 )
 from loadshape.operators.conformal import calibration_pieces, calibration_quantiles, pack_calibration, rolling_intervals
 from loadshape.operators.drift import mean_shift_scores, wasserstein_scores
@@ -133,27 +133,27 @@ def run_backtest(
             rolled.select(*core, F.lit("rolling").alias("method"), "lower", "upper", "conformal_quantile")
         )
 
-    sorted_cal = calibration_pieces(cal, keys, scores["_abs"], seq)
-    if "aci" in methods:
-        adaptive = aci_intervals(
-            cal, test.select(*core), keys, [s.aci], s.block, cal_packed=sorted_cal
-        )
-        tables.append(
-            adaptive.select(
-                *core, F.lit("aci").alias("method"), "lower", "upper", "conformal_quantile",
-                F.col("alpha_block").alias("alpha_t"),
-            )
-        )
-    if "sa_acp" in methods:
-        packed = pack_calibration(cal, keys, {"_abs": scores["_abs"]}, seq, s.reference_length)
-        scored = with_shift_scores(cal, test.select(*core), keys, packed, s)
-        adaptive = shift_aware_intervals(
-            cal, scored, keys, [s.sa_acp], block=s.block, cal_packed=sorted_cal
-        )
+    walks = [(m, v) for m, v in (("aci", s.aci), ("sa_acp", s.sa_acp)) if m in methods]
+    if walks:  # one walk for all adaptive methods
+        scored, shift = test.select(*core), None
+        if "sa_acp" in methods:
+            packed = pack_calibration(cal, keys, {"_abs": scores["_abs"]}, seq, s.reference_length)
+            scored, shift = with_shift_scores(cal, scored, keys, packed, s), "shift_score"
+        pieces = calibration_pieces(cal, keys, scores["_abs"], seq)
+        variants = [replace(v, name=m) for m, v in walks]
+        walked = walk_series(scored, cal, keys, variants, s.block, seq=seq, shift=shift, cal_packed=pieces)
+        lower, upper = point_band("y_pred", "conformal_quantile")
+        shown = {"alpha_t": F.col("alpha_block")}
+        if "sa_acp" in methods:
+            aware = F.col("variant") == "sa_acp"
+            shift_score, flag, rate = shift_columns(s.sa_acp, shift)
+            shown |= {
+                "gamma_t": F.when(aware, rate), "shift_score": F.when(aware, shift_score), "shift_flag": F.when(aware, flag),
+            }
         tables.append(
-            adaptive.select(
-                *core, F.lit("sa_acp").alias("method"), "lower", "upper", "conformal_quantile",
-                F.col("alpha_block").alias("alpha_t"), "gamma_t", "shift_score", "shift_flag",
+            walked.select(
+                *core, F.col("variant").alias("method"), lower.alias("lower"), upper.alias("upper"), "conformal_quantile",
+                *[c.alias(n) for n, c in shown.items()],
             )
         )
     out = tables[0]
