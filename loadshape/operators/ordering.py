@@ -235,30 +235,30 @@ def exact_quantiles(
         ends[f"_low_{i}"], ends[f"_high_{i}"] = F.when(sure, low_end), F.when(sure, high_end)
         ranks[f"_rank_{i}"] = (total - 1) * share
     brackets = sketch.select(*keys, "_n", *[c.alias(n) for n, c in {**ends, **ranks}.items()])
-    placed = lookup(present, brackets.drop("_n", *ranks), keys)
+    placed = lookup(present, brackets, keys)
     each = range(len(names))
     under = [F.coalesce(F.col("_v") < F.col(f"_low_{i}"), F.lit(False)) for i in each]
     over = [F.coalesce(F.col("_v") > F.col(f"_high_{i}"), F.lit(False)) for i in each]
-    below = placed.groupBy(*keys).agg(*[F.count_if(under[i]).alias(f"_below_{i}") for i in each])
     inside = F.filter(F.array(*[F.when(~under[i] & ~over[i], F.lit(i)) for i in each]), lambda x: x.isNotNull())
+    # values inside a bracket one by one, all others merged by the brackets that they lie below
     merged = (
-        placed.select(*keys, "_v", inside.alias("_in"))
-        .where(F.size("_in") > 0)
-        .groupBy(*keys, "_v", "_in")
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_i", F.explode("_in"))
-        .drop("_in")
+        placed.select(
+            *keys, "_n", *ranks, F.when(F.size(inside) > 0, F.col("_v")).alias("_v"), inside.alias("_in"), F.array(*under).alias("_under")
+        )
+        .groupBy(*keys, "_v", "_in", "_under")
+        .agg(F.count("*").alias("_c"), *[F.first(c).alias(c) for c in ("_n", *ranks)])
     )
-    # a value can be inside under several sets of brackets, which are the same for all its rows
+    group = Window.partitionBy(*keys)
     upto = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = merged.withColumn("_upto", F.sum("_c").over(upto))
-    facts = lookup(brackets.drop(*ends), below, keys)
-    known = lookup(ordered, facts, keys)
-
-    def pick(columns: str) -> Column:
-        return F.element_at(F.array(*[F.col(f"{columns}_{i}") for i in each]), F.col("_i") + 1)
-
-    known = known.withColumns({"_h": pick("_rank"), "_through": F.col("_upto") + pick("_below")})
+    known = (
+        merged.withColumn(
+            "_below", F.array(*[F.sum(F.when(F.get("_under", F.lit(i)), F.col("_c")).otherwise(0)).over(group) for i in each])
+        )
+        .withColumn("_i", F.explode("_in"))
+        .withColumn("_upto", F.sum("_c").over(upto))
+        .withColumn("_h", F.get(F.array(*[F.col(r) for r in ranks]), F.col("_i")))
+        .withColumn("_through", F.col("_upto") + F.get("_below", F.col("_i")))
+    )
     before = F.col("_through") - F.col("_c")
 
     def at(rank: Column) -> Column:
