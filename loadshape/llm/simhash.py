@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadshape.llm import jaccard
 from loadshape.llm.common import components, cut, without
 
 BITS = 64
@@ -155,60 +156,28 @@ def near_duplicates(
     return rows.join(by_print, "fp").select(F.col("key").alias(key), "fp", F.col("first").alias("component"), "n_copies")
 
 
-def _shingles(text: str, words_per_shingle: int) -> set[tuple[bytes, ...]]:
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return {tuple(words[i : i + words_per_shingle]) for i in range(max(1, len(words) - words_per_shingle + 1))}
-
-
 def deduplicate(
-    df: DataFrame,
-    key: str,
-    text: str = "text",
-    words_per_shingle: int = 5,
-    max_distance: int = 3,
-    similarity: float = 0.8,
+    df: DataFrame, key: str, text: str = "text", words_per_shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``df`` with one row of each group of copies and near copies, columns as they are.
 
-    Groups are classes of linked fingerprints; a member stays with its group only if the Jaccard similarity of
-    its shingles and those of the group's first row is at least ``similarity``, else it stands alone, with its exact
-    copies.  Of each group the row with the smallest ``key`` stays (a NULL key comes last, ties by the text's
-    hash), and of rows equal in key and text one.  NULL and empty texts are equal.  Texts are compared for members
-    whose text differs from the first row's: each with that one text, never with each other.
+    Two texts are linked if the Jaccard similarity of their sets of shingles is at least ``similarity`` (``jaccard.links``
+    finds all such links, whatever their fingerprints); a group is what links connect, so which key is smallest
+    has no part in it and no two rows that stay are that similar.  Of each group the row with the smallest ``key``
+    stays (a NULL key comes last, ties by the text's hash), and of rows equal in key and text one.  NULL and empty
+    texts are equal.
     """
     held = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(held, 256))
-    rows = df.select(F.col(key).alias("key"), held.alias("text"), digest.alias("digest"))
-    rows = cut(fingerprints(rows, "text", words_per_shingle).select("key", "digest", "fp"))
+    groups = components(jaccard.links(df.select(digest.alias("id"), held.alias("text")), words_per_shingle, similarity))
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "digest")
-    members = cut(rows.join(classes(rows, max_distance), "fp").select("key", "digest", "component").distinct())
-    firsts = members.groupBy("component").agg(F.min(rank).alias("first"))
-    pairs = cut(
-        members.join(firsts, "component")
-        .where(F.col("digest") != F.col("first.digest"))
-        .select("digest", F.col("first.digest").alias("other"))
-        .distinct()
-    )
-
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        both = [(_shingles(x, words_per_shingle), _shingles(y, words_per_shingle)) for x, y in zip(a, b)]
-        return pd.Series([len(x & y) / len(x | y) for x, y in both], dtype="float64")
-
-    wanted = pairs.select("digest").union(pairs.select("other")).distinct()
-    texts = df.select(digest.alias("digest"), held.alias("text")).join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
-    texts = cut(texts)
-    apart = (
-        pairs.join(texts, "digest")
-        .join(texts.select(F.col("digest").alias("other"), F.col("text").alias("text_other")), "other")
-        .where(jaccard("text", "text_other") < similarity)
-        .select("digest", F.lit(True).alias("alone"))
-        .distinct()
-    )
     kept = (
-        members.join(apart, "digest", "left")
-        .groupBy("component", F.when(F.col("alone"), F.col("digest")).alias("own"))
+        df.select(F.col(key).alias("key"), digest.alias("digest"))
+        .groupBy("digest")
         .agg(F.min(rank).alias("first"))
+        .join(groups.withColumnRenamed("node", "digest"), "digest", "left")
+        .groupBy(F.coalesce("component", "digest"))
+        .agg(F.min("first").alias("first"))
         .select(F.col("first.key").alias("_key"), F.col("first.digest").alias("_first"))
     )
     rows = without(df, "_digest").withColumn("_digest", digest)
