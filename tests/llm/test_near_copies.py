@@ -46,3 +46,17 @@ def test_every_pair_of_the_similarity_is_found(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [r.doc_id for r in simhash.deduplicate(df, "doc_id").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_chains_leave_no_two_similar_rows(spark):
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    text = draw.sample(words, 100)
+    rows = []
+    for key in range(12):  # each differs from the next in two words, from the first in more and more
+        rows.append((key, " ".join(text)))
+        text[8 * key + 1], text[8 * key + 4] = f"x{key}", f"y{key}"
+    want, pairs = brute(rows)
+    assert want == {0} and pairs < 66
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in simhash.deduplicate(df, "doc_id").collect()] == [0]
