@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +123,8 @@ class Wrapper:
     """What the pages of a host have in common.
 
     ``items`` is the expression: symbols, groups ``( ... )+`` and, marked ``?``, what not all pages have.
-    ``slots`` are its text slots by path: characters of text, and the least and greatest text (equal: always the same).
+    ``slots`` are its text slots by path: characters of text, and the least and greatest hash of a
+    whole text (equal: always the same).
     """
 
     items: list[str] = field(default_factory=list)
@@ -220,9 +222,10 @@ def wrap(page: str) -> Wrapper:
         value = " ".join(text.split())
         if value:
             symbols.append("#")
-            slot = slots.setdefault(path, [0, value[:64], value[:64]])
+            whole = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"))
+            slot = slots.setdefault(path, [0, whole, whole])
             slot[0] += len(value)
-            slot[1], slot[2] = min(slot[1], value[:64]), max(slot[2], value[:64])
+            slot[1], slot[2] = min(slot[1], whole), max(slot[2], whole)
     return Wrapper(fold(symbols), 1, slots)
 
 

@@ -274,3 +274,14 @@ def test_extraction_edge_cases(spark):
     rows = extract.extract(df, out="text").collect()
     assert sorted((r.page_id or 0, r.text) for r in rows) == [(0, "text only"), (1, ""), (2, ""), (3, "hello <world"), (3, "hello <world")]
     assert extract.extract(df.where("false")).count() == 0
+
+
+def test_bodies_that_begin_alike_are_no_template():
+    greeting = "Dear readers of the evening edition, welcome back to our pages on all that happened today: "
+    page = "<body><div class=byline><p>{d}</p></div><div class=c><p>{t}</p></div><div class=end><p>Same foot</p></div></body>"
+    pages = [page.format(d=f"{i} May", t=greeting + f"story {i} " * 30) for i in range(4)]
+    wrapper = extract.Wrapper()
+    for p in pages:
+        wrapper.align(extract.wrap(p))
+    assert len(greeting) > 64 and wrapper.main() == ["body/div.c/p"]
+    assert extract.main_text(pages[2], frozenset(wrapper.main())) == " ".join((greeting + "story 2 " * 30).split())
