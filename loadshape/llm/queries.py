@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadshape.llm import decontaminate, exact, extract, language, mixing, secret_scan, sharding, simhash, substring, warc
+from loadshape.llm import (
+    decontaminate, exact, extract, language, metric_join, mixing, negatives, secret_scan, sharding, simhash, substring, warc,
+    whitening,
+)
 from loadshape.llm.common import cut, shared_path
 
 QUERIES: dict = {}
@@ -122,3 +125,23 @@ def op10_simhash(spark, sf):
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+@query
+def op11_embedding_whitening(spark, sf):
+    found = whitening.whiten(table(spark, sf, "embeddings"), "vec_id", "embedding", scale=1024, offset=100_000, components=8)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query
+def op12_hard_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(
+        table(spark, sf, "embeddings"), "vec_id", label, "embedding", F.col("vec_id") % 50 == 0, positives=5, negatives=3,
+        scale=256, lowest=50, highest=95,
+    )
+
+
+@query
+def op13_embedding_near_dedup(spark, sf):
+    return metric_join.near_duplicates(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", similarity=0.93)
