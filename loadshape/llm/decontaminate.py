@@ -259,5 +259,6 @@ def keep_clean(
     row = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     named = docs.select(row.alias("_k"), F.col(text).alias("_t"))
     items = benchmark.select(F.lit(0).alias("_i"), F.col(item_text).alias("_p"))
-    dirty = find(named, items, "_k", "_t", "_i", "_p", edit_rate).select(F.col("_k").alias("_dirty")).distinct()
-    return docs.join(dirty, row == F.col("_dirty"), "left_anti")
+    dirty = find(named, items, "_k", "_t", "_i", "_p", edit_rate).select(F.col("_k").alias("dirty")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row.alias("digest"))
+    return rows.join(dirty, F.col("digest") == F.col("dirty"), "left_anti").select("row.*")

@@ -14,7 +14,11 @@ STATE = {
     # one bound for all state partitions of an executor, however many there are
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # files as large as what is in them: a store of a few rows would take some 4 MB otherwise
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Bytes of input per state partition, about; a document's state is some hundred bytes.
+STATE_BYTES = 8 << 30
 #: Digests with copies are broadcast up to this number (44 bytes each), and joined by shuffle beyond.
 BROADCAST_DIGESTS = 500_000
 
@@ -46,20 +50,22 @@ def locator() -> Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def keep_state(stream: DataFrame, key: str, text: str, folder: str) -> DataFrame:
+def keep_state(stream: DataFrame, key: str, text: str, folder: str, input_bytes: int = 0) -> DataFrame:
     """Run ``stream`` (a streaming read of files) through the keyed state in ``folder`` and return the state.
 
     Per digest the state holds the number of texts met, the largest ``key`` and that row's locator, never
     content.  It is RocksDB on the executors' disks with its change files in ``folder``, has no expiry, and is
     taken up again by the next call with the same folder: only files that have come since are read then.
+    The state has a partition per ``STATE_BYTES`` of ``input_bytes``, and one per core at least; the first call decides.
     """
     spark = stream.sparkSession
+    partitions = max(spark.sparkContext.defaultParallelism, -(-input_bytes // STATE_BYTES))
     met = (
         stream.select(*digests(text), F.col(key).alias("key"), locator().alias("at"))
         .groupBy("digest", "second")
         .agg(F.max(F.struct("key", "at")).alias("keep"), F.count(F.lit(1)).alias("n"))
     )
-    with _settings(spark, STATE):
+    with _settings(spark, STATE | {"spark.sql.shuffle.partitions": str(partitions)}):
         run = (
             met.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
             .option("checkpointLocation", folder).start()
@@ -78,9 +84,11 @@ def exact_duplicates(docs: DataFrame, stream: DataFrame, key: str, text: str, fo
     whose locator is largest.  NULL texts count as empty; a NULL key is smaller than any other.  Hits - rows
     whose digest has copies - are compared by their full bytes: grouped by the text itself, with copies merged
     before the shuffle.  Should two texts share SHA-256, the second hash keeps them apart; should they share both,
-    an error is raised rather than a text lost.  An empty table gives an empty result.
+    an error is raised rather than a text lost.  Texts of any length are hashed and compared whole.  Other columns of
+    ``docs`` play no part, whatever their names.  An empty table gives an empty result.
     """
-    groups = keep_state(stream, key, text, folder)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    groups = keep_state(stream, key, text, folder, size)
     copied = groups.where("n > 1").select("digest", "second")
     rows = docs.select(*digests(text), F.col(key).alias("key"), content(text).alias("text"), locator().alias("at"))
     if copied.count() <= BROADCAST_DIGESTS:

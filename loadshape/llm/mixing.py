@@ -100,10 +100,15 @@ def mix(
 
     A NULL source is a source.  Rows without tokens go with the first block of each epoch they hash to.  Ties and
     repeated rows are read like others (equal rows stay in one block).  An empty table gives an empty result.
-    Columns of the names added are replaced, all others kept.
+    Columns of the names added are replaced, all others kept, whatever their names.
     """
     names = "epoch", "block", "block_rank", "tokens"
-    rows = without(df, *names).withColumns({"tokens": tokens, "_source": F.col(source), "_id": F.xxhash64(identity, F.lit(seed))})
+    kept = without(df, *names).columns
+    # packed, so that no column of ``df`` meets one of those below
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), tokens.alias("tokens"), F.col(source).alias("_source"),
+        F.xxhash64(identity, F.lit(seed)).alias("_id"),
+    )
     sums = rows.groupBy("_source").agg(F.sum("tokens").alias("t")).orderBy("_source").limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -149,5 +154,4 @@ def mix(
     cutting = F.col("_left") < F.col("_held")
     part = read.where(cutting).withColumn("_passed", F.coalesce(F.sum("tokens").over(edge), F.lit(0))).where("_passed < _left")
     out = read.where(~cutting).unionByName(part.drop("_passed"))
-    kept = [c for c in rows.columns if c not in ("_source", "_id", "tokens")]
-    return out.select(*kept, "epoch", "block", "block_rank", "tokens")
+    return out.select("_row.*", *names)

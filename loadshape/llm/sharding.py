@@ -31,18 +31,20 @@ def assign_shards(
 
     ``size`` is a row's size, above 0.  Rows are laid out by a 64-bit hash of ``group``, so rows of one group
     are neighbours; splitters are quantiles of a sample in which a row's chance grows with its size.  The
-    exact sizes of the ranges between splitters are then measured, ranges above ``overfull`` times the mean
-    (a group with very many rows) are subdivided by a hash of ``tie``, and the pieces in order are dealt to shards
+    exact sizes of the ranges between splitters are then measured, ranges above ``overfull`` times the mean size, or times
+    ``RANGE_ROWS`` rows (a group with very many rows, however small) are subdivided by a hash of ``tie``, and the pieces in order are dealt to shards
     by their exact running total.  A shard so differs from the mean by a piece at most.  Rows are numbered within a
     piece, whose number of rows is bounded, and pieces are numbered by their exact counts.
 
     NULL is a value like any other in ``group`` and ``tie``; rows equal in both can't be told apart and stay in one
     piece, in an order of no meaning.  An empty table gives an empty result; with fewer rows than shards some shards
-    are empty.  Columns named ``shard`` or ``slot`` are replaced, all others kept.
+    are empty.  Columns named ``shard`` or ``slot`` are replaced, all others kept, whatever their names.
     """
-    added = "_size", "_key", "_tie", "_range", "_piece", "_at"
-    rows = without(df, "shard", "slot", *added).withColumns(
-        {"_size": size.cast("long"), "_key": F.xxhash64(group), "_tie": F.xxhash64(tie, F.lit(1))}
+    kept = without(df, "shard", "slot").columns
+    # packed, so that no column of ``df`` meets one of those below
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), size.cast("long").alias("_size"), F.xxhash64(group).alias("_key"),
+        F.xxhash64(tie, F.lit(1)).alias("_tie"),
     )
     keys = cut(rows.select("_size", "_key", "_tie"))
     n, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
@@ -56,9 +58,11 @@ def assign_shards(
 
     keys = keys.withColumn("_range", _range_of(F.col("_key"), splitters))
     share = total / ranges
+    row_share = max(n / ranges, RANGE_ROWS)
+    sizes = keys.groupBy("_range").agg(F.sum("_size").alias("s"), F.count(F.lit(1)).alias("n"))
     pieces_of = {
-        r: math.ceil(s / share)
-        for r, s in keys.groupBy("_range").agg(F.sum("_size")).where(F.col("sum(_size)") > overfull * share).collect()
+        r: max(math.ceil(s / share), math.ceil(k / row_share))
+        for r, s, k in sizes.where((F.col("s") > overfull * share) | (F.col("n") > overfull * row_share)).collect()
     }
 
     def piece(r: Column, t: Column) -> Column:
@@ -86,8 +90,8 @@ def assign_shards(
     rows = rows.withColumn("_piece", piece(F.col("_range"), F.col("_tie")))
     within = F.row_number().over(Window.partitionBy("_range", "_piece").orderBy("_key", "_tie"))
     # the plan has a row per piece: at most twice the number of ranges, and ranges hold a quarter million rows
-    placed = rows.withColumn("_row", within).join(F.broadcast(plan) if len(measured) <= 1 << 20 else plan, ["_range", "_piece"])
-    return placed.withColumn("slot", F.col("_at") + F.col("_row") - 1).drop(*added, "_row")
+    placed = rows.withColumn("_place", within).join(F.broadcast(plan) if len(measured) <= 1 << 20 else plan, ["_range", "_piece"])
+    return placed.select("_row.*", "shard", (F.col("_at") + F.col("_place") - 1).alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard", slot: str = "slot", rows_per_file: int = 1_000_000) -> None:

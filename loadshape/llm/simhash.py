@@ -10,7 +10,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadshape.llm import jaccard
 from loadshape.llm.common import components, cut, without
 
 BITS = 64
@@ -157,29 +156,25 @@ def near_duplicates(
 
 
 def deduplicate(
-    df: DataFrame, key: str, text: str = "text", words_per_shingle: int = 5, similarity: float = 0.8
+    df: DataFrame, key: str, text: str = "text", words_per_shingle: int = 3, max_distance: int = 3
 ) -> DataFrame:
-    """``df`` with one row of each group of copies and near copies, columns as they are.
+    """``df`` with one row of each class of copies and near copies, columns as they are, whatever their names.
 
-    Two texts are linked if the Jaccard similarity of their sets of shingles is at least ``similarity`` (``jaccard.links``
-    finds all such links, whatever their fingerprints); a group is what links connect, so which key is smallest
-    has no part in it and no two rows that stay are that similar.  Of each group the row with the smallest ``key``
-    stays (a NULL key comes last, ties by the text's hash), and of rows equal in key and text one.  NULL and empty
-    texts are equal.
+    Two rows are linked if their fingerprints differ in at most ``max_distance`` bits; a class is what links connect.  Of
+    each class the row with the smallest ``key`` stays (a NULL key comes last, ties by the text's hash), and of rows equal
+    in key and text one.  NULL and empty texts are equal.  An empty table gives an empty result.
     """
-    held = F.coalesce(F.col(text), F.lit(""))
-    digest = F.unhex(F.sha2(held, 256))
-    groups = components(jaccard.links(df.select(digest.alias("id"), held.alias("text")), words_per_shingle, similarity))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest")
+    named = df.select(F.col(key).alias("key"), F.col(text).alias("text"), digest)
+    prints = cut(fingerprints(named, "text", words_per_shingle).select("key", "digest", "fp"))
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "digest")
+    by_print = prints.groupBy("fp").agg(F.min(rank).alias("first"))
     kept = (
-        df.select(F.col(key).alias("key"), digest.alias("digest"))
-        .groupBy("digest")
-        .agg(F.min(rank).alias("first"))
-        .join(groups.withColumnRenamed("node", "digest"), "digest", "left")
-        .groupBy(F.coalesce("component", "digest"))
+        by_print.join(classes(by_print, max_distance), "fp")
+        .groupBy("component")
         .agg(F.min("first").alias("first"))
-        .select(F.col("first.key").alias("_key"), F.col("first.digest").alias("_first"))
+        .select(F.col("first.key").alias("kept_key"), F.col("first.digest").alias("kept_digest"))
     )
-    rows = without(df, "_digest").withColumn("_digest", digest)
-    rows = rows.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_first")), "left_semi")
-    return rows.dropDuplicates([key, "_digest"]).drop("_digest")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("key"), digest)
+    rows = rows.join(kept, F.col("key").eqNullSafe(F.col("kept_key")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    return rows.dropDuplicates(["key", "digest"]).select("row.*")
