@@ -289,16 +289,17 @@ def build(body: str, **override: str) -> str:
     """Prefix ``body`` with the named queries it needs."""
     available = CTES | override
     names = set(available)
-    needed: set[str] = set()
+    chosen: list[str] = []
+    met: set[str] = set()
 
     def visit(text: str) -> None:
-        for name in names & set(re.findall(r"\w+", text)):
-            if name not in needed:
-                needed.add(name)
+        for name in sorted(names & set(re.findall(r"\w+", re.sub(r"'[^']*'", "", text))) - met):
+            if name not in met:
+                met.add(name)
                 visit(available[name])
+                chosen.append(name)  # after all that it reads
 
     visit(body)
-    chosen = [n for n in available if n in needed]
     if not chosen:
         return body
     recursive = "RECURSIVE " if any(n in RECURSIVE for n in chosen) else ""
@@ -583,11 +584,30 @@ FROM (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 *
                    covar_pop(l_quantity, l_discount) * count(*) AS s12, covar_pop(l_quantity, l_extendedprice) * count(*) AS s1y,
                    covar_pop(l_discount, l_extendedprice) * count(*) AS s2y
             FROM lineitem GROUP BY l_returnflag))""")
+oracle("model_ridge_large_means", """
+SELECT l_returnflag, count(*) AS n_rows, round(covar_pop(x, l_extendedprice) * count(*) / (var_pop(x) * count(*) + 10.0), 3) AS b
+FROM (SELECT l_returnflag, l_quantity + 1e8 AS x, l_extendedprice FROM lineitem WHERE l_orderkey % 11 <> 0) GROUP BY 1""")
 oracle("model_ridge_normal_equations", f"""
 SELECT cohort, unnest([{', '.join(repr(n) for n in feature_names())}]) AS feature, 0.0::DOUBLE AS rest FROM (SELECT DISTINCT cohort FROM ridge_rows)""")
 oracle("model_boosted_trees_facts", """
-SELECT cohort, count(*) AS n, count(*) FILTER (load_kwh IS NULL) AS n_missing, count(*) FILTER (load_kwh < 0) AS n_negative
+SELECT cohort, count(*) AS n, count(*) FILTER (load_kwh IS NULL) AS n_missing, count(*) FILTER (load_kwh < 0) AS n_negative,
+       round(avg(abs(load_kwh - greatest(0.0, lag48))), 4) AS naive_mae, true AS below_naive
 FROM ridge_rows WHERE split = 'test' GROUP BY 1""")
+oracle("model_boosted_quantiles_facts", """
+SELECT cohort, count(*) AS n, 0::BIGINT AS n_disordered,
+       round(avg(greatest(0.05 * (y - q_lo), -0.95 * (y - q_lo))) + avg(greatest(0.5 * (y - q_mid), -0.5 * (y - q_mid)))
+             + avg(greatest(0.95 * (y - q_hi), -0.05 * (y - q_hi))), 4) AS seasonal_pinball, true AS below_seasonal
+FROM forecasts WHERE split = 'test' GROUP BY 1""")
+oracle("point_four_models_facts", """
+SELECT cohort, 'seasonal_naive_day' AS model, round(avg(abs(load_kwh - greatest(0.0, lag48))), 4) AS naive_mae, NULL::BOOLEAN AS below_day
+FROM ridge_rows WHERE split = 'test' GROUP BY 1
+UNION ALL SELECT cohort, 'seasonal_naive_week', round(avg(abs(load_kwh - greatest(0.0, lag336))), 4), NULL FROM ridge_rows WHERE split = 'test' GROUP BY 1
+UNION ALL SELECT DISTINCT cohort, 'ridge', NULL::DOUBLE, NULL::BOOLEAN FROM ridge_rows
+UNION ALL SELECT DISTINCT cohort, 'hist_gradient_boosting', NULL::DOUBLE, true FROM ridge_rows""")
+oracle("backtest_boosted_facts", """
+SELECT cohort, method, count(*) AS n, 0::BIGINT AS n_disordered, 0::BIGINT AS n_missing, true AS covers
+FROM forecasts CROSS JOIN (SELECT unnest(['uncalibrated', 'static', 'cqr', 'rolling', 'aci', 'sa_acp']) AS method)
+WHERE split = 'test' GROUP BY ALL""")
 oracle("model_quantile_forest_facts", """
 SELECT cohort, count(*) AS n, count(*) FILTER (load_kwh IS NULL) AS n_disordered, count(*) FILTER (load_kwh < 0) AS n_outside
 FROM ridge_rows WHERE split = 'test' GROUP BY 1""")
@@ -635,12 +655,60 @@ SA = f"""
 SELECT cohort, ts, CAST(CAST(round(alpha_block, 12) AS FLOAT) AS DOUBLE) AS alpha_t, CAST(CAST(round(gamma_t, 12) AS FLOAT) AS DOUBLE) AS gamma_t, CAST(CAST(round(shift_score, 12) AS FLOAT) AS DOUBLE) AS shift_score, shift_flag,
        {single('lower', 'upper')} FROM sa_bounds"""
 oracle("conformal_shift_aware", SA)
-oracle("conformal_shift_aware_trace", """
-SELECT cohort, ts, CAST(CAST(round(alpha, 12) AS FLOAT) AS DOUBLE) AS alpha_t, CASE WHEN y >= lower AND y <= upper THEN 0.0 ELSE 1.0 END::DOUBLE AS err_t,
+oracle("conformal_shift_aware_trace", f"""
+SELECT cohort, ts, CAST(CAST(round(alpha, 12) AS FLOAT) AS DOUBLE) AS alpha_t,
+       CAST(CAST(round({list_quantile('c.s', 'c.n', 'b.alpha')}, 12) AS FLOAT) AS DOUBLE) AS conformal_quantile, CASE WHEN y >= lower AND y <= upper THEN 0.0 ELSE 1.0 END::DOUBLE AS err_t,
        CASE WHEN y >= lower AND y <= upper THEN 1.0 ELSE 0.0 END::DOUBLE AS covered, CAST(CAST(round(upper - lower, 12) AS FLOAT) AS DOUBLE) AS interval_width
-FROM sa_bounds""")
+FROM sa_bounds b JOIN cal_lists c USING (cohort)""")
 oracle("conformal_detector_off", SA, sa_walk=sa_walk("'off'"))
 
+# missing outcomes: ranks count scores, and steps without one move nothing
+UNSETTLED = {
+    "settled": CTES["forecasts"],
+    "forecasts": """
+    SELECT * EXCLUDE (y, score, violation), CASE WHEN known THEN y END AS y, CASE WHEN known THEN score END AS score, NULL::DOUBLE AS violation
+    FROM (SELECT *, (day(ts) * 24 + hour(ts)) % 5 <> 0 AND ts::DATE <> DATE '2024-01-27' AS known FROM settled)
+    WHERE split IN ('calibration', 'test')""",
+    "cal": """
+    SELECT *, -row_number() OVER (PARTITION BY cohort ORDER BY ts DESC) AS pos FROM forecasts WHERE split = 'calibration' AND score IS NOT NULL""",
+    "test": """
+    SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY ts) - 1 AS pos, (row_number() OVER (PARTITION BY cohort ORDER BY ts) - 1) // 48 AS block,
+           count(score) OVER (PARTITION BY cohort ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rank
+    FROM forecasts WHERE split = 'test'""",
+    "scored": "SELECT cohort, rank AS pos, score FROM test WHERE score IS NOT NULL",
+    "aci_walk": CTES["aci_walk"].replace("t.block = a.block))))", "t.block = a.block AND t.y IS NOT NULL))))").replace(
+        "greatest(0.01::DOUBLE, least(0.5::DOUBLE, a.alpha +", "greatest(0.01::DOUBLE, least(0.5::DOUBLE, a.alpha + coalesce("
+    ).replace("t.y IS NOT NULL))))", "t.y IS NOT NULL)), 0.0::DOUBLE)))"),
+    "sa_steps": f"""
+    SELECT t.*, s.delta, coalesce(s.ready AND s.delta >= {THRESHOLD}, false) AS flagged
+    FROM test t LEFT JOIN shift_{WINDOW}_{REFERENCE} s ON s.cohort = t.cohort AND s.pos = t.rank AND t.score IS NOT NULL""",
+    "sa_walk": sa_walk("'main'").replace(".alpha + CASE WHEN", ".alpha + CASE WHEN t.y IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END * (CASE WHEN").replace(
+        " - CASE WHEN (v.enabled", ") - CASE WHEN t.y IS NOT NULL AND (v.enabled"
+    ),
+}
+for w in (130, 240):
+    UNSETTLED[f"pool_{w}"] = f"""
+    SELECT t.cohort, t.block, list(s.score ORDER BY s.score) AS s, count(*) AS n
+    FROM (SELECT cohort, block, min(rank) AS start FROM test GROUP BY ALL) t
+    JOIN (SELECT cohort, pos, score FROM cal UNION ALL SELECT cohort, pos, score FROM scored) s
+      ON s.cohort = t.cohort AND s.pos < t.start AND s.pos >= t.start - {w}
+    GROUP BY ALL"""
+_scored = transport(WINDOW, REFERENCE)
+_key = f"masses_{WINDOW}_{REFERENCE}"
+UNSETTLED |= _scored | {_key: _scored[_key].replace("FROM test t", "FROM scored t").replace("JOIN test x", "JOIN scored x")}
+ONLINE = f"""
+SELECT cohort, ts, method, {single('lower', 'upper')} FROM (
+    SELECT cohort, ts, method, lower, upper FROM rolling_240 UNION ALL SELECT cohort, ts, method, lower, upper FROM b_aci
+    UNION ALL SELECT cohort, ts, method, lower, upper FROM b_sa_acp)"""
+oracle("rolling_with_missing_outcomes", f"SELECT cohort, ts, {single('lower', 'upper')} FROM rolling_130", **UNSETTLED)
+oracle("adaptive_with_missing_outcomes", f"""
+SELECT cohort, ts, method, {single('alpha_t', 'lower', 'upper')} FROM (
+    SELECT cohort, ts, method, NULL::DOUBLE AS alpha_t, lower, upper FROM rolling_240
+    UNION ALL SELECT cohort, ts, 'aci', alpha, lower, upper FROM aci_bounds WHERE gamma = 0.01::DOUBLE
+    UNION ALL SELECT cohort, ts, 'sa_acp', alpha_block, lower, upper FROM sa_bounds WHERE variant = 'main')""", **UNSETTLED)
+oracle("stream_with_missing_outcomes", ONLINE, **UNSETTLED)
+oracle("stream_joined_intervals", ONLINE)
+
 # shift detection ---------------------------------------------------------------------------
 
 oracle("shift_wasserstein_detector", """

@@ -20,11 +20,12 @@ from catalog.views import (
     split_series,
     table,
     typed_series,
+    unsettled,
 )
 from loadshape.functions import columns as C
-from loadshape.operators import adaptive, audit, bootstrap, cleaning, cohorts, conformal, drift, features
+from loadshape.operators import adaptive, audit, boosting, bootstrap, cleaning, cohorts, conformal, drift, features
 from loadshape.operators import metrics, models, ordering, reliability, splits
-from loadshape.plans import ablation, backtest
+from loadshape.plans import ablation, backtest, experiment
 from loadshape.session import cut_lineage, fresh_path
 from loadshape.sources import readings as source
 from loadshape.sources import sinks
@@ -507,6 +508,17 @@ def model_ridge_two_features(spark, sf):
     return r(df, 4, "intercept", "b_quantity", "b_discount")
 
 
+@query
+def model_ridge_large_means(spark, sf):
+    """A feature far from 0, missing in some rows."""
+    li = table(spark, sf, "lineitem").select(
+        "l_returnflag", F.when(F.col("l_orderkey") % 11 != 0, F.col("l_quantity") + 1e8).alias("x"), "l_extendedprice"
+    )
+    fitted = models.ridge_fit(li, ["l_returnflag"], ["x"], "l_extendedprice", 10.0)
+    df = fitted.select("l_returnflag", "n_rows", F.get("coefficients", F.lit(0)).alias("b"))
+    return r(df, 3, "b")
+
+
 def feature_rows(spark, sf) -> DataFrame:
     tagged = splits.tag_splits(features.forecasting_table(cohort_series(spark, sf), KEYS), SPLITS)
     return cut_lineage(tagged, "features")
@@ -527,14 +539,32 @@ def model_ridge_all_features(spark, sf):
     return r(df.select("cohort", "ts", "load_kwh", "y_pred"), 4, "load_kwh", "y_pred")
 
 
+def boosted_points(spark, sf) -> DataFrame:
+    """Test rows with the boosted forecast of their cohort's own model, default rounds."""
+    rows, names = feature_rows(spark, sf), features.feature_names()
+    fitted = boosting.boosted_fit(rows.where("split = 'train'"), KEYS, names, "load_kwh")
+    return boosting.boosted_predict(rows.where("split = 'test'"), fitted, KEYS, names)
+
+
 @query
 def model_boosted_trees(spark, sf):
-    rows, names = feature_rows(spark, sf), features.feature_names()
-    model = models.boosted_trees_fit(rows.where("split = 'train'"), names, "load_kwh", max_iter=10)
-    df = models.boosted_trees_predict(rows.where("split = 'test'"), model, names)
+    df = boosted_points(spark, sf)
     return r(df.select("cohort", "ts", "load_kwh", "y_pred"), 4, "load_kwh", "y_pred")
 
 
+def boosted_quantiles(spark, sf) -> DataFrame:
+    """Test rows with the levels of their cohort's own pinball-loss model, default rounds."""
+    rows, names = feature_rows(spark, sf), features.feature_names()
+    fitted = boosting.boosted_fit(rows.where("split = 'train'"), KEYS, names, "load_kwh", models.QUANTILES)
+    return boosting.boosted_predict(rows.where("split = 'test'"), fitted, KEYS, names, list(models.QUANTILES))
+
+
+@query
+def model_boosted_quantiles(spark, sf):
+    out = boosted_quantiles(spark, sf).select("cohort", "ts", "load_kwh", *models.QUANTILES)
+    return r(out, 4, "load_kwh", *models.QUANTILES)
+
+
 @query
 def model_quantile_forest(spark, sf):
     rows, names = feature_rows(spark, sf), features.feature_names()
@@ -564,11 +594,27 @@ def model_ridge_normal_equations(spark, sf):
 
 @query
 def model_boosted_trees_facts(spark, sf):
-    """Every test row has a prediction that is a load."""
-    df = model_boosted_trees(spark, sf)
+    """Every test row has a prediction that is a load, and the error is below that of the seasonal naive forecast."""
+    df = boosted_points(spark, sf)
+    naive = F.avg(F.abs(F.col("load_kwh") - models.seasonal_naive(df.columns, 48)))
     return df.groupBy("cohort").agg(
         F.count("*").alias("n"), F.count_if(F.col("y_pred").isNull()).alias("n_missing"),
-        F.count_if(F.col("y_pred") < 0).alias("n_negative"),
+        F.count_if(F.col("y_pred") < 0).alias("n_negative"), F.round(naive, 4).alias("naive_mae"),
+        (F.avg(F.abs(F.col("load_kwh") - F.col("y_pred"))) < naive).alias("below_naive"),
+    )
+
+
+@query
+def model_boosted_quantiles_facts(spark, sf):
+    """Levels in order, and a pinball loss below that of the seasonal quantiles, summed over the levels."""
+    df = boosted_quantiles(spark, sf)
+    seasonal = forecasts(spark, sf).where("split = 'test'").select("cohort", "ts", *[F.col(q).alias(f"s_{q}") for q in models.QUANTILES])
+    both = df.join(seasonal, ["cohort", "ts"])
+    loss = lambda prefix: sum(F.avg(C.pinball("load_kwh", f"{prefix}{q}", tau)) for q, tau in models.QUANTILES.items())
+    ordered = (F.col("q_lo") <= F.col("q_mid")) & (F.col("q_mid") <= F.col("q_hi"))
+    return both.groupBy("cohort").agg(
+        F.count("*").alias("n"), F.count_if(~F.coalesce(ordered, F.lit(False))).alias("n_disordered"),
+        F.round(loss("s_"), 4).alias("seasonal_pinball"), (loss("") < loss("s_")).alias("below_seasonal"),
     )
 
 
@@ -621,6 +667,50 @@ def point_model_comparison(spark, sf):
     return metrics.point_metrics(model_table(spark, sf), ["cohort", "model"])
 
 
+def experiment_forecasts(spark, sf) -> DataFrame:
+    return experiment.model_forecasts(cohort_series(spark, sf), KEYS, SPLITS)
+
+
+@query
+def point_four_models(spark, sf):
+    """All point models side by side: two seasonal naives, ridge on all features, boosted trees."""
+    return experiment.point_table(experiment_forecasts(spark, sf), KEYS)
+
+
+@query
+def point_four_models_facts(spark, sf):
+    """A row per cohort and model, the errors of the naive models, and whether the trees stay below the day's."""
+    df = point_four_models(spark, sf)
+    day = df.where(F.col("model") == experiment.SEASONAL_DAY).select("cohort", F.col("mae").alias("day_mae"))
+    naive = F.col("model").isin(experiment.SEASONAL_DAY, experiment.SEASONAL_WEEK)
+    return df.join(day, "cohort").select(
+        "cohort", "model", F.when(naive, F.col("mae")).alias("naive_mae"),
+        F.when(F.col("model") == experiment.BOOSTED, F.col("mae") < F.col("day_mae")).alias("below_day"),
+    )
+
+
+@query
+def backtest_boosted(spark, sf):
+    """The whole run: the boosted point model and pinball quantiles under all six interval methods."""
+    forecast = cut_lineage(experiment_forecasts(spark, sf), "forecasts")
+    return metrics.interval_metrics(
+        backtest.labelled(experiment.backtest_forecasts(forecast, KEYS, SETTINGS)), ["cohort", "method"], 0.10
+    )
+
+
+@query
+def backtest_boosted_facts(spark, sf):
+    """What holds of the run whatever the fits: rows per method, bounds in order and not negative, misses near alpha."""
+    forecast = cut_lineage(experiment_forecasts(spark, sf), "forecasts")
+    df = experiment.backtest_forecasts(forecast, KEYS, SETTINGS)
+    covered = F.avg(C.covers("y", "lower", "upper").cast("double"))
+    return df.groupBy("cohort", "method").agg(
+        F.count("*").alias("n"), F.count_if((F.col("lower") > F.col("upper")) | (F.col("lower") < 0)).alias("n_disordered"),
+        F.count_if(F.col("lower").isNull() | F.col("upper").isNull()).alias("n_missing"),
+        (covered > 0.6).alias("covers"),
+    )
+
+
 @query
 def point_primary_model(spark, sf):
     chosen = models.primary_model(["seasonal_naive_day", "seasonal_naive_week", "ridge"], "ridge")
@@ -752,10 +842,10 @@ def conformal_shift_aware_trace(spark, sf):
     cal, test = backtest.place_rows(forecasts(spark, sf), KEYS)
     packed = conformal.pack_calibration(cal, KEYS, {"_abs": C.absolute_residual("y", "y_pred")})
     scored = backtest.with_shift_scores(cal, test, KEYS, packed, SETTINGS)
-    df = adaptive.step_trace(adaptive.shift_aware_intervals(cal, scored, KEYS, [SETTINGS.sa_acp]))
-    return single(
-        df.select("cohort", "ts", "alpha_t", "err_t", "covered", "interval_width"), "alpha_t", "err_t", "covered", "interval_width",
-    )
+    df = adaptive.step_trace(adaptive.shift_aware_intervals(cal, scored, KEYS, [SETTINGS.sa_acp], rows=test))
+    shown = ["alpha_t", "conformal_quantile", "err_t", "covered", "interval_width"]
+    # the quantile of the trace is that of the step's own alpha
+    return single(df.withColumn("conformal_quantile", F.col("quantile_t")).select("cohort", "ts", *shown), *shown)
 
 
 @query
@@ -765,6 +855,20 @@ def conformal_detector_off(spark, sf):
     return single(out, "alpha_t", "gamma_t", "shift_score", "lower", "upper")
 
 
+@query
+def rolling_with_missing_outcomes(spark, sf):
+    """Windows of the last scores; an outcome that is not there takes up no place."""
+    cal, test = backtest.place_rows(unsettled(spark, sf), KEYS)
+    return interval_rows(conformal.rolling_intervals(cal, test, KEYS, window=130))
+
+
+@query
+def adaptive_with_missing_outcomes(spark, sf):
+    """Steps without an outcome move neither alpha nor the detector, and whole days of them leave alpha as it was."""
+    df = backtest.run_backtest(unsettled(spark, sf), KEYS, SETTINGS, ["rolling", "aci", "sa_acp"])
+    return single(df.select("cohort", "ts", "method", "alpha_t", "lower", "upper"), "alpha_t", "lower", "upper")
+
+
 # shift detection ---------------------------------------------------------------------------
 
 @query
@@ -1062,10 +1166,10 @@ def ablation_lag_choice(spark, sf):
 
 # streams ------------------------------------------------------------------------------------
 
-def replayed(spark: SparkSession, rows: DataFrame, ts: str) -> DataFrame:
+def replayed(spark: SparkSession, rows: DataFrame, ts: str, keys=()) -> DataFrame:
     """Rows as a bounded stream, with the closing row that lets all of them out."""
     path = fresh_path(spark, "replay")
-    stream.with_closing_row(rows, ts).write.parquet(path)
+    stream.with_closing_row(rows, ts, keys).write.parquet(path)
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
@@ -1107,3 +1211,27 @@ def stream_online_intervals(spark, sf):
     )
     df = drained(spark, out, "stream-online")
     return single(df.select("cohort", "ts", "method", "lower", "upper"), "lower", "upper")
+
+
+def two_streams(spark, sf, rows: DataFrame) -> DataFrame:
+    """Forecasts and outcomes as streams of their own, joined and calibrated in one query."""
+    f = rows.select("cohort", "ts", "y_pred", (F.col("split") == "calibration").alias("is_calibration"))
+    outcomes = rows.where("y IS NOT NULL").select("cohort", "ts", "y")
+    out = calibrator.online_intervals_of(
+        replayed(spark, f, "ts", KEYS), replayed(spark, outcomes, "ts", KEYS), KEYS, "1 day", sa_acp=SETTINGS.sa_acp, window=240,
+        detector_window=96, reference_length=240,
+    )
+    return drained(spark, out, "stream-joined")
+
+
+@query
+def stream_joined_intervals(spark, sf):
+    df = two_streams(spark, sf, forecasts(spark, sf).where("split in ('calibration', 'test')"))
+    return single(df.select("cohort", "ts", "method", "lower", "upper"), "lower", "upper")
+
+
+@query
+def stream_with_missing_outcomes(spark, sf):
+    """Outcomes that never come: the forecasts still get their bounds, in the order of time."""
+    df = two_streams(spark, sf, unsettled(spark, sf))
+    return single(df.select("cohort", "ts", "method", "lower", "upper"), "lower", "upper")

@@ -1,9 +1,9 @@
 """Adaptive calibrators: the only state that runs through a series is one alpha per variant.
 
-Everything else (scores, shift scores, blocks) is prepared by set-based
-operators.  The remaining recursion walks the blocks of a series in order; it
-streams Arrow batches with constant state, so memory does not grow with the
-length of a series, and all variants of a grid share one walk.
+Everything else (scores, shift scores, blocks) is prepared by set-based operators.  What remains walks the blocks of a
+series in order: Arrow batches of arrays, one row per block, with constant state and all variants of a grid in one walk.
+Inside a block the bounds are fixed, so the steps of alpha are known beforehand: they are added up in one go until one
+meets a limit.  Results are joined back on (series, block); the rows themselves never pass through Python.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from loadshape.functions.columns import absolute_residual, covers, point_band, quantile_band
 from loadshape.operators.conformal import calibration_pieces, pack_blocks
+from loadshape.operators.ordering import lookup
 
 
 @dataclass(frozen=True)
@@ -52,14 +53,18 @@ class ShiftAwareVariant:
     penalty: str = "flagged"
 
 
-def sample_quantile(ascending: np.ndarray, alpha: float) -> float:
-    """Finite-sample conformal quantile with linear interpolation; 0 for an empty sample."""
+def sample_quantiles(ascending: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+    """Finite-sample conformal quantiles with linear interpolation; 0 for an empty sample."""
     n = ascending.size
     if n == 0:
-        return 0.0
-    h = (n - 1) * min(1.0, math.ceil((n + 1) * (1.0 - alpha)) / n)
-    lo, hi = math.floor(h), math.ceil(h)
-    return float(ascending[lo] + (h - lo) * (ascending[hi] - ascending[lo]))
+        return np.zeros(len(alphas))
+    h = (n - 1) * np.minimum(1.0, np.ceil((n + 1) * (1.0 - alphas)) / n)
+    lo, hi = np.floor(h).astype(int), np.ceil(h).astype(int)
+    return ascending[lo] + (h - lo) * (ascending[hi] - ascending[lo])
+
+
+def sample_quantile(ascending: np.ndarray, alpha: float) -> float:
+    return float(sample_quantiles(ascending, np.array([alpha]))[0])
 
 
 def clip(x: float, low: float, high: float) -> float:
@@ -76,35 +81,58 @@ def aci_next(alpha: float, err: float, v: AciVariant) -> float:
     return clip(alpha + v.gamma * (v.alpha - err), v.alpha_min, v.alpha_max)
 
 
-def shift_aware_next(alpha: float, err: float, shift: float, v: ShiftAwareVariant) -> tuple[float, float, bool]:
-    """Next alpha, the rate used and the flag; ``shift`` is NaN while the detector fills."""
-    ready = v.enable_detector and not math.isnan(shift)
-    score = shift if ready else 0.0
-    flag = ready and score >= v.threshold
-    rate = v.gamma_fast if flag else v.gamma_slow
-    penalised = flag or v.penalty == "always"
-    moved = alpha + rate * (v.alpha - err) - (v.eta * score * err if penalised else 0.0)
-    return clip(moved, v.alpha_min, v.alpha_max), rate, flag
-
+def alpha_path(alpha: float, gains: np.ndarray, losses: np.ndarray, low: float, high: float) -> tuple[np.ndarray, float]:
+    """Alpha before every step and after the last, where a step adds its gain, subtracts its loss and is clipped.
 
-def walk_block(v, alpha: float, cal: np.ndarray, y, lo, hi, shift, band: bool):
-    """One block under fixed bounds: (quantile, alphas before each step, alpha after)."""
-    q = sample_quantile(cal, alpha)
-    miss = ~block_coverage(y, lo, hi, q, band)
+    Sums are taken in the order of the steps, as far as no limit is met, and from there anew: the digits are those of
+    one step after the other.
+    """
+    before = np.empty(len(gains))
+    moves = np.column_stack([gains, -losses]).ravel()
+    at = 0
+    while at < len(gains):
+        after = np.add.accumulate(np.concatenate([[alpha], moves[2 * at :]]))[2::2]
+        out = np.nonzero((after < low) | (after > high))[0]
+        stop = at + (out[0] if len(out) else len(after) - 1)
+        before[at] = alpha
+        before[at + 1 : stop + 1] = after[: stop - at]
+        alpha, at = clip(float(after[stop - at]), low, high), stop + 1
+    return before, alpha
+
+
+def shift_aware_moves(miss: np.ndarray, shift: np.ndarray, scored: np.ndarray, v: ShiftAwareVariant):
+    """(gains, losses, rates, flags) per step; ``shift`` is NaN while the detector fills, steps not ``scored`` move nothing."""
+    ready = ~np.isnan(shift) if v.enable_detector else np.zeros(len(shift), bool)
+    score = np.where(ready, shift, 0.0)
+    flag = ready & (score >= v.threshold)
+    rate = np.where(flag, v.gamma_fast, v.gamma_slow)
+    penalised = scored & (flag if v.penalty == "flagged" else True)
+    gains = np.where(scored, rate * (v.alpha - miss), 0.0)
+    return gains, np.where(penalised, v.eta * score * miss, 0.0), rate, flag
+
+
+def walk_block(v, alpha: float, q: float, y, lo, hi, shift, band: bool, scored=None):
+    """A block, or a part of it, under fixed bounds: (misses, alphas before each step, alpha after).
+
+    A step without an outcome or a forecast is no miss and moves nothing.  The alpha of ACI moves at the end of the block:
+    by the mean over the steps that have an outcome, and not at all if none has.
+    """
+    scored = ~(np.isnan(y) | np.isnan(lo) | np.isnan(hi)) if scored is None else scored
+    with np.errstate(invalid="ignore"):
+        miss = scored & ~block_coverage(y, lo, hi, q, band)
     if isinstance(v, AciVariant):
-        return q, np.full(y.size, alpha), aci_next(alpha, float(np.mean(miss)), v)
-    before = np.empty(y.size)
-    for i in range(y.size):
-        before[i] = alpha
-        alpha, _, _ = shift_aware_next(alpha, float(miss[i]), float(shift[i]), v)
-    return q, before, alpha
+        after = aci_next(alpha, float(np.mean(miss[scored])), v) if scored.any() else alpha
+        return miss, np.full(y.size, alpha), after
+    gains, losses, _, _ = shift_aware_moves(miss, shift, scored, v)
+    return miss, *alpha_path(alpha, gains, losses, v.alpha_min, v.alpha_max)
 
 
 HEADER = -1
+WALKED = "variant string, alpha_block double, conformal_quantile double, _at array<long>, _alphas array<double>, _steps array<double>, _shifts array<double>"
 
 
-def walk_series(
-    test: DataFrame,
+def walk_blocks(
+    steps: DataFrame,
     cal: DataFrame,
     keys: Sequence[str],
     variants: Sequence[AciVariant | ShiftAwareVariant],
@@ -118,43 +146,27 @@ def walk_series(
     cal_score=None,
     cal_packed: DataFrame | None = None,
 ) -> DataFrame:
-    """Alpha and conformal quantile per (series, variant, test row).
+    """Per (series, block, variant): alpha and quantile at its start, and arrays over its steps.
 
-    Adds ``variant``, ``alpha_block`` (at the start of the block, the one used
-    for the bounds), ``conformal_quantile`` and ``alpha_t`` (before the update
-    of that row) to the rows of ``test``.  ``band`` names a quantile band to
-    adjust instead of the point forecast.
+    The arrays are positions, alphas and conformal quantiles before the update of each step, and shift scores; those of
+    alphas and quantiles are NULL for variants whose alpha is one per block.  A task holds the calibration scores of one
+    series, eight bytes a time step, and one batch of blocks.
     """
-    keys = list(keys)
-    variants = list(variants)
-    columns = [c for c in test.columns if c not in keys]
+    keys, variants = list(keys), list(variants)
     lo, hi = band or (pred, pred)
     score = absolute_residual(y, pred) if cal_score is None else cal_score
     if cal_packed is None:
         cal_packed = calibration_pieces(cal, keys, score, seq)
-    values = {
-        "_row": F.struct(*columns),
-        "_y": F.col(y).cast("double"),
-        "_lo": F.col(lo).cast("double"),
-        "_hi": F.col(hi).cast("double"),
-        "_shift": F.coalesce(F.col(shift).cast("double"), F.lit(float("nan"))) if shift else F.lit(float("nan")),
-    }
-    blocks = pack_blocks(test, keys, pos, block, values).drop("_pos")
-    header = cal_packed.withColumn("block", F.lit(HEADER).cast("long"))
+    missing = F.lit(float("nan"))
+    values = {n: F.coalesce(F.col(c).cast("double"), missing) for n, c in {"_y": y, "_lo": lo, "_hi": hi}.items()}
+    values["_shift"] = F.coalesce(F.col(shift).cast("double"), missing) if shift else missing
     # header rows with the calibration sample in pieces, then the blocks in order
+    blocks = pack_blocks(steps, keys, pos, block, values)
+    header = cal_packed.withColumn("block", F.lit(HEADER).cast("long"))
     lines = blocks.unionByName(header, allowMissingColumns=True)
     ordered = lines.repartition(*keys).sortWithinPartitions(*keys, "block")
-
-    row_type = T.ArrayType(T.StructType([test.schema[c] for c in columns]))
     schema = T.StructType(
-        [test.schema[k] for k in keys]
-        + [
-            T.StructField("variant", T.StringType()),
-            T.StructField("_rows", row_type),
-            T.StructField("alpha_block", T.DoubleType()),
-            T.StructField("conformal_quantile", T.DoubleType()),
-            T.StructField("_alphas", T.ArrayType(T.DoubleType())),
-        ]
+        [steps.schema[k] for k in keys] + T._parse_datatype_string(f"block long, {WALKED}").fields
     )
     is_band = band is not None
 
@@ -170,10 +182,8 @@ def walk_series(
                 continue
             ids = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
             number = batch.column("block").to_pylist()
-            cal_col, ys, los, his, shifts = (
-                doubles(batch.column(c)) for c in ("_cal", "_y", "_lo", "_hi", "_shift")
-            )
-            at, names, starts, quantiles, traces = [], [], [], [], []
+            cal_col, ys, los, his, shifts = (doubles(batch.column(c)) for c in ("_cal", "_y", "_lo", "_hi", "_shift"))
+            at, found = [], []
             for i, key in enumerate(ids):
                 if key != current:
                     current, pieces, cal_scores = key, [], np.empty(0)
@@ -185,33 +195,44 @@ def walk_series(
                     cal_scores, pieces = np.sort(np.concatenate(pieces)), []
                 for v in variants:
                     start = alphas[v.name]
-                    q, before, alphas[v.name] = walk_block(
-                        v, start, cal_scores, ys[i], los[i], his[i], shifts[i], is_band
-                    )
+                    q = sample_quantile(cal_scores, start)
+                    _, before, alphas[v.name] = walk_block(v, start, q, ys[i], los[i], his[i], shifts[i], is_band)
+                    moves = isinstance(v, ShiftAwareVariant)
                     at.append(i)
-                    names.append(v.name)
-                    starts.append(start)
-                    quantiles.append(q)
-                    traces.append(before)
+                    found.append((v.name, start, q, before if moves else None, sample_quantiles(cal_scores, before) if moves else None))
             if at:
                 take = pa.array(at, pa.int32())
+                names, starts, quantiles, traces, steps_q = zip(*found, strict=True)
+                many = pa.list_(pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).take(take) for k in keys]
+                    [batch.column(k).take(take) for k in [*keys, "block"]]
                     + [
-                        pa.array(names, pa.string()),
-                        batch.column("_row").take(take),
-                        pa.array(starts, pa.float64()),
-                        pa.array(quantiles, pa.float64()),
-                        pa.array(traces, pa.list_(pa.float64())),
+                        pa.array(names, pa.string()), pa.array(starts, pa.float64()), pa.array(quantiles, pa.float64()),
+                        batch.column("_pos").take(take).cast(pa.list_(pa.int64())), pa.array(traces, many), pa.array(steps_q, many),
+                        batch.column("_shift").take(take),
                     ],
-                    names=[*keys, "variant", "_rows", "alpha_block", "conformal_quantile", "_alphas"],
+                    names=[*keys, "block", "variant", "alpha_block", "conformal_quantile", "_at", "_alphas", "_steps", "_shifts"],
                 )
 
-    walked = ordered.select(*keys, "block", "_row", "_y", "_lo", "_hi", "_shift", "_cal").mapInArrow(walk, schema)
-    zipped = F.arrays_zip(F.col("_rows").alias("row"), F.col("_alphas").alias("alpha"))
-    return walked.select(
-        *keys, "variant", "alpha_block", "conformal_quantile", F.explode(zipped).alias("_z")
-    ).select(*keys, "_z.row.*", "variant", "alpha_block", "conformal_quantile", F.col("_z.alpha").alias("alpha_t"))
+    return ordered.select(*keys, "block", "_pos", "_y", "_lo", "_hi", "_shift", "_cal").mapInArrow(walk, schema)
+
+
+def with_walk(
+    rows: DataFrame, walked: DataFrame, keys: Sequence[str], block: int = 48, pos: str = "pos", shift: str | None = None
+) -> DataFrame:
+    """``rows`` once per variant with ``variant``, ``alpha_block`` and ``conformal_quantile`` (those of the bounds), and per
+    step ``alpha_t`` and ``quantile_t`` (before its update); with ``shift``, the step's shift score under that name too."""
+    placed = rows.withColumn("_block", F.floor(F.col(pos) / block).cast("long"))
+    joined = lookup(placed, walked.withColumnRenamed("block", "_block"), [*keys, "_block"])
+    at = (F.array_position("_at", F.col(pos).cast("long")) - 1).cast("int")
+    out = {
+        "alpha_t": F.coalesce(F.get("_alphas", at), "alpha_block"),
+        "quantile_t": F.coalesce(F.get("_steps", at), "conformal_quantile"),
+    }
+    if shift:
+        score = F.get("_shifts", at)
+        out[shift] = F.when(~F.isnan(score), score)
+    return joined.withColumns(out).drop("_block", "_at", "_alphas", "_steps", "_shifts")
 
 
 def variant_table(spark, variants: Sequence) -> DataFrame:
@@ -244,10 +265,8 @@ def aci_intervals(
     cal_packed: DataFrame | None = None,
 ) -> DataFrame:
     """ACI bounds per variant; alpha at a block depends on earlier blocks only."""
-    walked = walk_series(
-        test, cal, keys, variants, block, y, pred, pos, seq, None, band, cal_score, cal_packed
-    )
-    return _bounded(walked.drop("alpha_t"), pred, band)
+    walked = walk_blocks(test, cal, keys, variants, block, y, pred, pos, seq, None, band, cal_score, cal_packed)
+    return _bounded(with_walk(test, walked, keys, block, pos).drop("alpha_t", "quantile_t"), pred, band)
 
 
 def _per_variant(variants, attribute: str):
@@ -282,16 +301,19 @@ def shift_aware_intervals(
     band: tuple[str, str] | None = None,
     cal_score=None,
     cal_packed: DataFrame | None = None,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """SA-ACP bounds and per-step trace.
 
     ``test`` carries the detector score (NULL while it fills), computed for all
     rows beforehand because it does not depend on alpha.  The result has the
-    effective ``shift_score``, ``shift_flag`` and ``gamma_t`` of each variant.
+    effective ``shift_score``, ``shift_flag`` and ``gamma_t`` of each variant, and
+    ``quantile_t``, the conformal quantile at the alpha of the step.  It has the columns
+    of ``rows`` where these are given (the test rows as they were before scoring),
+    otherwise those of ``test``.
     """
-    walked = walk_series(
-        test, cal, keys, variants, block, y, pred, pos, seq, shift, band, cal_score, cal_packed
-    )
+    walked = walk_blocks(test, cal, keys, variants, block, y, pred, pos, seq, shift, band, cal_score, cal_packed)
+    walked = with_walk(test.drop(shift) if rows is None else rows, walked, keys, block, pos, shift)
     enabled = _per_variant(variants, "enable_detector")
     score = F.when(enabled, F.coalesce(F.col(shift), F.lit(0.0))).otherwise(F.lit(0.0))
     flag = enabled & F.coalesce(F.col(shift) >= _per_variant(variants, "threshold"), F.lit(False))
@@ -305,12 +327,13 @@ def shift_aware_intervals(
 
 
 def step_trace(intervals: DataFrame, y: str = "y") -> DataFrame:
-    """Add the miss indicator, coverage and width of every row to calibrator output."""
+    """Add the miss indicator, coverage and width of every row to calibrator output; a missing outcome is neither."""
     inside = covers(y, "lower", "upper")
+    known = F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))
     return intervals.withColumns(
         {
-            "err_t": F.when(inside, 0.0).otherwise(1.0),
-            "covered": inside.cast("double"),
+            "err_t": F.when(known, F.when(inside, 0.0).otherwise(1.0)),
+            "covered": F.when(known, inside.cast("double")),
             "interval_width": F.col("upper") - F.col("lower"),
         }
     )
@@ -319,8 +342,9 @@ def step_trace(intervals: DataFrame, y: str = "y") -> DataFrame:
 def block_trace(
     intervals: DataFrame, keys: Sequence[str], block: int = 48, y: str = "y", pos: str = "pos"
 ) -> DataFrame:
-    """Per (series, variant, block): alpha, quantile, mean miscoverage, coverage and mean width."""
-    inside = covers(y, "lower", "upper").cast("double")
+    """Per (series, variant, block): alpha, quantile, mean miscoverage, coverage and mean width; over known outcomes."""
+    known = F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))
+    inside = F.when(known, covers(y, "lower", "upper").cast("double"))
     group = [*keys, "variant", F.floor(F.col(pos) / block).cast("long").alias("block")]
     return intervals.groupBy(*group).agg(
         F.max("alpha_block").alias("alpha_t"),

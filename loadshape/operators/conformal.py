@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadshape.functions.columns import (
@@ -85,15 +85,38 @@ def pack_calibration(
 ) -> DataFrame:
     """One row per series: calibration scores as arrays in time order, missing ones left out.
 
-    A detector's reference is the end of the sample: ``last`` bounds the arrays to that many steps.
+    A detector's reference is the end of the sample: ``last`` bounds the arrays to that many scores.  Rows placed by
+    ``place_rows`` have their rank among the scores, so only the end is packed.
     """
-    if last is not None:
-        ends = cal.groupBy(*keys).agg(F.max(seq).alias("_end"))
-        cal = lookup(cal, ends, keys).where(F.col(seq) > F.col("_end") - last)
+    if last is not None and "rank" in cal.columns:
+        cal = cal.where(F.col("rank") >= -last)
     packed = cal.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(seq, *[c.cast("double").alias(n) for n, c in scores.items()]))).alias("_rows")
     )
-    return packed.select(*keys, *[F.filter(F.col(f"_rows.{name}"), is_score).alias(name) for name in scores])
+    kept = {name: F.filter(F.col(f"_rows.{name}"), is_score) for name in scores}
+    if last is not None:
+        kept = {n: F.slice(c, F.greatest(F.size(c) - last, F.lit(0)) + 1, F.lit(last)) for n, c in kept.items()}
+    return packed.select(*keys, *[c.alias(n) for n, c in kept.items()])
+
+
+def score_ranks(
+    df: DataFrame, keys: Sequence[str], pos: str, score: Column, out: str = "rank", chunk: int = CHUNK
+) -> DataFrame:
+    """Add how many scores of the series lie before each row; missing ones are not counted.
+
+    Rows are counted per ``chunk`` positions, the counts summed per series, and only a chunk is ordered in one task.
+    """
+    keys = list(keys)
+    one = is_score(score.cast("double")).cast("long")
+    marked = df.withColumns({"_one": F.coalesce(one, F.lit(0)), "_span": F.floor(F.col(pos) / chunk)})
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = marked.groupBy(*keys, "_span").agg(F.sum("_one").alias("_n"))
+    spans = spans.select(*keys, "_span", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_span").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    counted = marked.withColumn("_in", F.coalesce(F.sum("_one").over(inside), F.lit(0)))
+    return lookup(counted, spans, [*keys, "_span"]).withColumn(out, F.col("_before") + F.col("_in")).drop(
+        "_one", "_span", "_in", "_before"
+    )
 
 
 def calibration_pieces(
@@ -141,32 +164,45 @@ def rolling_quantiles(
     """Conformal quantile per (series, test block, window) of the last ``window`` scores before the block.
 
     ``pos`` counts test rows from 0, ``cal_pos`` counts calibration rows
-    backwards from -1.  Scores are packed per chunk together with the longest
+    backwards from -1; ``rank`` (added by ``place_rows``, counted here where it is missing) does the
+    same for scores.  A row without an outcome or a forecast has no score: it takes up
+    no place in a window.  Scores are packed per chunk together with the longest
     window before it, and every block's window is a slice of its pack: a score
     is shuffled at most twice, whatever the number of blocks and windows.
     """
     windows = sorted(set(windows))
     longest = windows[-1]
-    whole = -(-max(chunk, longest) // block) * block  # chunks hold whole blocks
-    score = absolute_residual(y, pred)
-    seeds = cal.where(F.col(cal_pos) >= -longest).select(
-        *keys, F.col(cal_pos).alias("_rel"), score.alias("_score")
+    whole = max(chunk, longest)
+    score = absolute_residual(y, pred).cast("double")
+    if "rank" not in test.columns:
+        test = score_ranks(test, keys, pos, score, "rank")
+    if "rank" not in cal.columns:
+        total = cal.groupBy(*keys).agg(F.count(F.when(is_score(score), 1)).alias("_total"))
+        cal = lookup(score_ranks(cal, keys, cal_pos, score, "rank"), total, keys)
+        cal = cal.withColumn("rank", F.col("rank") - F.col("_total"))
+    kept = [F.col("rank").cast("long").alias("_rel"), score.alias("_score")]
+    seeds = cal.where(F.col("rank") >= -longest).select(*keys, *kept)
+    scores = chunked(seeds.unionByName(test.select(*keys, *kept)).where(is_score(F.col("_score"))), longest, "_rel", whole)
+    # a block starts after so many scores; its windows lie in the chunk of the last of them, or just before it
+    starts = test.groupBy(*keys, F.floor(F.col(pos) / block).cast("long").alias("block")).agg(F.min("rank").cast("long").alias("end"))
+    marks = starts.select(
+        *keys, F.floor(F.greatest(F.col("end") - 1, F.lit(0)) / whole).cast("long").alias("_chunk"),
+        F.struct("block", "end").alias("_mark"),
     )
-    seen = test.select(*keys, F.col(pos).alias("_rel"), score.alias("_score"))
-    parts = chunked(seeds.unionByName(seen), longest, "_rel", whole).where("_chunk >= 0")
-    packs = parts.groupBy(*keys, "_chunk").agg(
-        F.sort_array(F.collect_list(F.struct("_rel", "_score"))).alias("_rows"), F.max("_rel").alias("_last")
+    entry = F.when(F.col("_score").isNotNull(), F.struct("_rel", "_score"))
+    packs = (
+        scores.where("_chunk >= 0").drop("_halo").unionByName(marks, allowMissingColumns=True)
+        .groupBy(*keys, "_chunk")
+        .agg(F.sort_array(F.collect_list(entry)).alias("_rows"), F.collect_list("_mark").alias("_marks"))
     )
-    first_block = (F.col("_chunk") * (whole // block)).cast("long")
-    last_block = F.floor(F.col("_last") / block).cast("long")
-    cells = packs.where(F.col("_last") >= F.col("_chunk") * whole).select(
+    cells = packs.select(
         *keys,
-        F.get("_rows._rel", F.lit(0)).alias("_start"),
+        F.coalesce(F.get("_rows._rel", F.lit(0)), F.lit(0)).alias("_start"),
         F.col("_rows._score").alias("_scores"),
-        F.explode(F.sequence(first_block, last_block)).alias("block"),
+        F.inline("_marks"),
     )
-    # a window of the pack: from (block start - window), or the first score there is, to the block start
-    end = F.col("block") * block - F.col("_start")
+    # a window of the pack: the last scores before the block, as many as there are
+    end = F.least(F.greatest(F.col("end") - F.col("_start"), F.lit(0)), F.size("_scores"))
     begin = F.greatest(end - F.col("window"), F.lit(0))
     sliced = cells.withColumn("window", F.explode(F.array(*[F.lit(int(w)) for w in windows]))).select(
         *keys, "block", "window",
@@ -180,7 +216,7 @@ def rolling_quantiles(
 def rolling_bands(test: DataFrame, quantiles: DataFrame, keys: Sequence[str], block: int, pred: str, pos: str) -> DataFrame:
     placed = test.withColumn("block", F.floor(F.col(pos) / block).cast("long"))
     lower, upper = point_band(pred, "conformal_quantile")
-    return placed.join(quantiles, [*keys, "block"]).withColumns({"lower": lower, "upper": upper})
+    return lookup(placed, quantiles, [*keys, "block"]).withColumns({"lower": lower, "upper": upper})
 
 
 def rolling_intervals(

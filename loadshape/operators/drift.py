@@ -26,36 +26,39 @@ from loadshape.operators.ordering import (
 
 # per-step detectors ---------------------------------------------------------
 
-def transport_distances(windows: np.ndarray, reference: np.ndarray) -> np.ndarray:
-    """1-Wasserstein distance of each row of ``windows`` to the ascending ``reference``.
+def trailing_distances(scores: np.ndarray, halo: int, window: int, least: int, reference: np.ndarray) -> np.ndarray:
+    """Distance of the trailing window at every score after the first ``halo``; NaN until ``least`` are seen.
 
-    Both empirical quantile functions are step functions with known steps, so
-    one fixed grid of probabilities serves every window of the same length.
+    All values are ranked once.  Between two neighbouring ones the distance grows by |F - G| times their gap; in units of
+    one over both sizes F - G is a whole number, which a score entering or leaving the window changes
+    by one size on the values above it.  A step is one insertion and one removal, without any sorting.
     """
-    n, m = windows.shape[1], reference.size
-    edges = np.union1d(np.arange(1, n + 1) * m, np.arange(1, m + 1) * n)  # in units of 1/(n m)
-    widths = np.diff(edges, prepend=0)
-    left = edges - widths
-    gaps = np.abs(np.sort(windows, axis=1)[:, left // m] - reference[left // n])
-    return gaps @ widths / (n * m)
-
-
-def trailing_distances(scores: np.ndarray, halo: int, window: int, least: int, reference: np.ndarray) -> np.ndarray:
-    """Distance of the trailing window at every score after the first ``halo``; NaN until ``least`` are seen."""
     out = np.full(scores.size - halo, np.nan)
-    if reference.size == 0:
+    m = reference.size
+    if m == 0 or scores.size <= halo:
         return out
-    reference = np.sort(reference)
-    for i in range(halo, min(window - 1, scores.size)):  # only at the start of a series
-        if i + 1 >= least:
-            out[i - halo] = transport_distances(scores[None, : i + 1], reference)[0]
-    if scores.size >= window:
-        full = np.lib.stride_tricks.sliding_window_view(scores, window)
-        first = max(0, halo - window + 1)
-        step = max(1, 4_000_000 // (window + reference.size))
-        for i in range(first, full.shape[0], step):
-            j = min(i + step, full.shape[0])
-            out[i + window - 1 - halo : j + window - 1 - halo] = transport_distances(full[i:j], reference)
+    grid, at = np.unique(np.concatenate([scores, reference]), return_inverse=True)
+    gaps, at = np.diff(grid), at[: scores.size]
+    below = np.searchsorted(np.sort(reference), grid[:-1], side="right").astype(float)  # of the reference
+    first = max(0, halo - window + 1)  # the window before the first own score starts here
+    count = np.zeros(len(gaps))  # of the window
+    size = 0
+    off = np.zeros(len(gaps))
+    for i in range(first, scores.size):
+        if size < window:  # only while a series starts, or at the first window of a chunk
+            size += 1
+            count[at[i] :] += 1
+            full = size == window
+            if full or i >= halo:
+                off = count * m - below * size
+        else:
+            gone, come = at[i - window], at[i]
+            if gone < come:
+                off[gone:come] -= m
+            else:
+                off[come:gone] += m
+        if i >= halo and size >= least:
+            out[i - halo] = np.abs(off) @ gaps / (size * m)
     return out
 
 

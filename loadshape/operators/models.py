@@ -43,62 +43,90 @@ def add_seasonal_naive(df: DataFrame, season_lag: int = 48, out: str = "y_pred")
 
 # ridge ----------------------------------------------------------------------
 
-def ridge_fit(
-    train: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alpha: float = 1.0
-) -> DataFrame:
-    """Ridge coefficients per series, intercept unpenalised: (keys, n_rows, intercept, coefficients).
+#: Groups that the moments of a series are merged in before they meet in one task.
+MERGES = 64
+
+
+def moments_of(z: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, mean, centred cross-products) of the rows of ``z``."""
+    mean = z.mean(axis=0)
+    c = z - mean
+    return len(z), mean, c.T @ c
 
-    Input tasks reduce their rows to one moment matrix per series; matrices are
-    summed cell by cell in Spark, and only a (p + 2)-square system per series
-    is solved in Python.
+
+def merge_moments(a, b):
+    """Moments of two samples taken together; what is lost is the rounding of the difference of their means."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
+def series_moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, n, mean, cross): mergeable moments of ``columns`` per series; rows with a missing value are left out.
+
+    Input tasks reduce their rows to one row per series, these are merged in ``MERGES`` groups per series, and the
+    groups once more: no task sees more than a few rows of arrays, however many rows a series has.
     """
-    keys, features = list(keys), list(features)
-    p = len(features) + 2  # intercept, features, target
-    partial_schema = T.StructType(
-        [train.schema[k] for k in keys] + [T.StructField("_gram", T.ArrayType(T.DoubleType()))]
+    keys, columns = list(keys), list(columns)
+    p = len(columns)
+    schema = T.StructType(
+        [df.schema[k] for k in keys]
+        + T._parse_datatype_string("_part int, n long, mean array<double>, cross array<double>").fields
     )
-    held = 1024  # series accumulated per task before their partial sums are passed on
-
-    def moments(batches):
-        sums: dict[tuple, np.ndarray] = {}
+    names = [f.name for f in schema]
+    held = 1024  # series kept in a task before their moments are passed on
 
-        def flush():
-            rows = [(*k, g.ravel()) for k, g in sums.items()]
-            sums.clear()
-            return pd.DataFrame(rows, columns=[*keys, "_gram"])
+    def as_rows(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*k, n, mean, cross.ravel()) for k, (n, mean, cross) in sums.items()], columns=names)
 
+    def reduce_rows(batches):
+        sums: dict = {}
         for pdf in batches:
-            for key, part in pdf.groupby(keys, dropna=False, sort=False):
-                z = np.column_stack([np.ones(len(part)), part[[*features, target]].to_numpy(float)])
-                sums[key] = sums.get(key, 0.0) + z.T @ z
+            for key, part in pdf.groupby([*keys, "_part"], dropna=False, sort=False):
+                own = moments_of(part[columns].to_numpy(float))
+                sums[key] = merge_moments(sums[key], own) if key in sums else own
             if len(sums) >= held:
-                yield flush()
+                yield as_rows(sums)
+                sums.clear()
         if sums:
-            yield flush()
+            yield as_rows(sums)
 
-    rows = train.select(*keys, *[F.col(c).cast("double").alias(c) for c in [*features, target]])
-    cells = rows.mapInPandas(moments, partial_schema).select(*keys, F.posexplode("_gram").alias("_at", "_v"))
-    total = cells.groupBy(*keys, "_at").agg(F.sum("_v").alias("_v"))
-    gram = total.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", "_v"))).alias("_cells"))
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["_part", "n"])  # one order, whatever the order of arrival
+        parts = [(int(n), np.asarray(m, float), np.asarray(c, float).reshape(p, p)) for n, m, c in zip(rows["n"], rows["mean"], rows["cross"])]
+        total = reduce(merge_moments, parts)
+        return as_rows({(*key[: len(keys)], int(rows["_part"].iloc[0]) % MERGES): total})
+
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).where(_complete(columns))
+    parts = rows.withColumn("_part", F.spark_partition_id()).select(*keys, *columns, "_part").mapInPandas(reduce_rows, schema)
+    some = parts.groupBy(*keys, (F.col("_part") % MERGES).alias("_group")).applyInPandas(merge, schema)
+    return some.groupBy(*keys).applyInPandas(merge, schema).drop("_part")
+
+
+def ridge_fit(
+    train: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alpha: float = 1.0
+) -> DataFrame:
+    """Ridge coefficients per series, intercept unpenalised: (keys, n_rows, intercept, coefficients).
+
+    Moments are centred before they are multiplied, so means far from 0 cost no digits; only a (p + 1)-square system
+    per series is solved in Python.  Rows whose target or a feature is missing are left out of the fit and of ``n_rows``.
+    """
+    keys, features = list(keys), list(features)
+    p = len(features)
+    moments = series_moments(train, keys, [*features, target])
 
     @F.pandas_udf("array<double>")
-    def solve(cells: pd.Series) -> pd.Series:
+    def solve(mean: pd.Series, cross: pd.Series) -> pd.Series:
         out = []
-        for c in cells:
-            g = np.asarray(c, float).reshape(p, p)
-            n, mean = g[0, 0], g[0, 1:] / g[0, 0]
-            centred = g[1:, 1:] - n * np.outer(mean, mean)
-            beta = np.linalg.solve(centred[:-1, :-1] + alpha * np.eye(p - 2), centred[:-1, -1])
-            out.append(np.concatenate([[mean[-1] - mean[:-1] @ beta], beta]))
+        for m, c in zip(mean, cross):
+            m, c = np.asarray(m, float), np.asarray(c, float).reshape(p + 1, p + 1)
+            gram = c[:-1, :-1] + alpha * np.eye(p)
+            # without a penalty, collinear features have many solutions: the shortest
+            beta = np.linalg.solve(gram, c[:-1, -1]) if alpha > 0 else np.linalg.lstsq(gram, c[:-1, -1], rcond=None)[0]
+            out.append(np.concatenate([[m[-1] - m[:-1] @ beta], beta]))
         return pd.Series(out)
 
-    return gram.select(
-        *keys,
-        F.get("_cells._v", F.lit(0)).cast("long").alias("n_rows"),
-        solve(F.col("_cells._v")).alias("_beta"),
-    ).select(
-        *keys, "n_rows", F.get("_beta", F.lit(0)).alias("intercept"),
-        F.slice("_beta", 2, len(features)).alias("coefficients"),
+    return moments.select(*keys, F.col("n").alias("n_rows"), solve("mean", "cross").alias("_beta")).select(
+        *keys, "n_rows", F.get("_beta", F.lit(0)).alias("intercept"), F.slice("_beta", 2, p).alias("coefficients")
     )
 
 
@@ -106,11 +134,13 @@ def ridge_predict(
     df: DataFrame, fitted: DataFrame, keys: Sequence[str], features: Sequence[str],
     out: str = "y_pred",
 ) -> DataFrame:
-    joined = lookup(df, fitted.select(*keys, "intercept", "coefficients"), keys)
+    """``df`` with the prediction; NULL where a feature is missing, or the series has no model."""
+    joined = lookup(df, fitted.select(*keys, "intercept", "coefficients"), keys, "left")
     pred = F.col("intercept")
     for i, f in enumerate(features):
         pred = pred + F.get("coefficients", F.lit(i)) * F.col(f)
-    return joined.withColumn(out, non_negative(pred)).drop("intercept", "coefficients")
+    found = F.when(_complete(features) & pred.isNotNull(), non_negative(pred))
+    return joined.withColumn(out, found).drop("intercept", "coefficients")
 
 
 # seasonal empirical quantiles --------------------------------------------------

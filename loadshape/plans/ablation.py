@@ -42,7 +42,7 @@ def _sa_intervals(placed, keys, variants, settings, seq):
     cal, test = placed
     packed = pack_calibration(cal, keys, {"_abs": absolute_residual("y", "y_pred")}, seq, settings.reference_length)
     scored = with_shift_scores(cal, test, keys, packed, settings)
-    return shift_aware_intervals(cal, scored, keys, variants, block=settings.block, seq=seq)
+    return shift_aware_intervals(cal, scored, keys, variants, block=settings.block, seq=seq, rows=test)
 
 
 def _static_levels(placed, keys, alphas: Mapping[str, float], seq):

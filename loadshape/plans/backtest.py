@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loadshape.functions.columns import (
@@ -18,9 +18,17 @@ from loadshape.operators.adaptive import (
     AciVariant,
     ShiftAwareVariant,
     shift_columns,
-    walk_series,
+    walk_blocks,
+    with_walk,
+)
+from loadshape.operators.conformal import (
+    calibration_pieces,
+    calibration_quantiles,
+    is_score,
+    pack_calibration,
+    rolling_intervals,
+    score_ranks,
 )
-from loadshape.operators.conformal import calibration_pieces, calibration_quantiles, pack_calibration, rolling_intervals
 from loadshape.operators.drift import mean_shift_scores, wasserstein_scores
 from loadshape.operators.ordering import lookup
 from loadshape.session import cut_lineage
@@ -50,12 +58,14 @@ class BacktestSettings:
 
 
 def place_rows(
-    forecasts: DataFrame, keys: Sequence[str], seq: str = "seq", cut: bool = True
+    forecasts: DataFrame, keys: Sequence[str], seq: str = "seq", cut: bool = True, y: str = "y", pred: str = "y_pred"
 ) -> tuple[DataFrame, DataFrame]:
     """Calibration rows with ``cal_pos`` (-1 is the last) and test rows with ``pos`` (0 is the first).
 
-    ``seq`` runs without gaps within each split of a series.  Every calibrator
-    reads these rows, so they are written once unless ``cut`` is off.
+    ``seq`` runs without gaps within each split of a series.  Both get ``rank``, which counts the same way but only the
+    rows that have a score: a missing outcome or forecast has none.  Every calibrator
+    reads these rows, so they are written once unless ``cut`` is off; where the writing has met no missing score,
+    ``rank`` is the position and nothing is counted.
     """
     used = forecasts.where(F.col("split").isin("calibration", "test"))
     is_test = F.col("split") == "test"
@@ -64,25 +74,41 @@ def place_rows(
     )
     at = F.when(is_test, F.col(seq) - F.col("_first")).otherwise(F.col(seq) - F.col("_last") - 1)
     placed = lookup(used, edges, keys).withColumn("pos", at).drop("_first", "_last")
+    score = absolute_residual(y, pred).cast("double")
+    n_missing = None
     if cut:
-        placed = cut_lineage(placed, "placed")
+        seen = Observation()
+        none = F.count_if(~F.coalesce(is_score(score), F.lit(False)))
+        placed = cut_lineage(placed.observe(seen, none.alias("n")), "placed")
+        n_missing = seen.get["n"]
     cal = placed.where(~is_test).withColumnRenamed("pos", "cal_pos")
-    return cal, placed.where(is_test)
+    test = placed.where(is_test)
+    if n_missing == 0:
+        return cal.withColumn("rank", F.col("cal_pos")), test.withColumn("rank", F.col("pos"))
+    totals = cal.groupBy(*keys).agg(F.count(F.when(is_score(score), 1)).alias("_total"))
+    cal = lookup(score_ranks(cal, keys, "cal_pos", score), totals, keys)
+    cal = cal.withColumn("rank", F.col("rank") - F.col("_total")).drop("_total")
+    return cal, score_ranks(test, keys, "pos", score)
 
 
 def with_shift_scores(
     cal: DataFrame, test: DataFrame, keys: Sequence[str], packed: DataFrame, settings: BacktestSettings
 ) -> DataFrame:
-    scored = test.withColumn("_score", absolute_residual("y", "y_pred"))
+    """The steps of ``test`` - series, ``pos``, ``y`` and ``y_pred`` - with the detector's ``shift_score``.
+
+    A missing score does not enter the detector's buffer, and its step has a NULL ``shift_score``.
+    """
+    steps = test.select(*keys, "pos", "y", "y_pred", "rank", absolute_residual("y", "y_pred").cast("double").alias("_score"))
+    scored = steps.where(is_score(F.col("_score")))
     if settings.detector == "wasserstein_1d":
         out = wasserstein_scores(
-            scored, packed, keys, "_score", "pos", settings.detector_window,
-            settings.reference_length, "_abs",
+            scored, packed, keys, "_score", "rank", settings.detector_window, settings.reference_length, "_abs",
         )
     else:
-        cal_scores = cal.withColumn("_score", absolute_residual("y", "y_pred"))
-        out = mean_shift_scores(scored, cal_scores, keys, "_score", "pos", settings.detector_window)
-    return out.drop("_score")
+        cal_scores = cal.withColumn("_score", absolute_residual("y", "y_pred")).where(is_score(F.col("_score")))
+        out = mean_shift_scores(scored, cal_scores, keys, "_score", "rank", settings.detector_window)
+    missing = steps.where(~F.coalesce(is_score(F.col("_score")), F.lit(False)))
+    return out.unionByName(missing, allowMissingColumns=True).drop("_score", "rank")
 
 
 def run_backtest(
@@ -135,13 +161,14 @@ def run_backtest(
 
     walks = [(m, v) for m, v in (("aci", s.aci), ("sa_acp", s.sa_acp)) if m in methods]
     if walks:  # one walk for all adaptive methods
-        scored, shift = test.select(*core), None
+        steps, shift = test, None
         if "sa_acp" in methods:
             packed = pack_calibration(cal, keys, {"_abs": scores["_abs"]}, seq, s.reference_length)
-            scored, shift = with_shift_scores(cal, scored, keys, packed, s), "shift_score"
+            steps, shift = with_shift_scores(cal, test, keys, packed, s), "shift_score"
         pieces = calibration_pieces(cal, keys, scores["_abs"], seq)
         variants = [replace(v, name=m) for m, v in walks]
-        walked = walk_series(scored, cal, keys, variants, s.block, seq=seq, shift=shift, cal_packed=pieces)
+        walked = walk_blocks(steps, cal, keys, variants, s.block, seq=seq, shift=shift, cal_packed=pieces)
+        walked = with_walk(test.select(*core), walked, keys, s.block, shift=shift)
         lower, upper = point_band("y_pred", "conformal_quantile")
         shown = {"alpha_t": F.col("alpha_block")}
         if "sa_acp" in methods:

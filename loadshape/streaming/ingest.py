@@ -24,12 +24,15 @@ def zone_free(micros: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def with_closing_row(rows: DataFrame, ts: str, ahead_days: int = 3650) -> DataFrame:
-    """A bounded replay with one row more, NULL but for a far later ``ts``.
+def with_closing_row(rows: DataFrame, ts: str, keys: Sequence[str] = (), ahead_days: int = 3650) -> DataFrame:
+    """A bounded replay with one row more, NULL but for a far later ``ts`` and the ``keys`` of the last row.
 
-    It moves the watermark past every other row, so that all of them come out; it stays in state itself.
+    It moves the watermark past every other row, so that all of them come out; it stays in state itself.  Streams that are
+    joined need ``keys``: Spark drops rows whose join key is NULL before it looks at their time.  For replays
+    only: on a live stream it would put the watermark years ahead, and every row after it would count as late.
     """
-    last = rows.agg(F.max(ts).alias(ts)).select((F.col(ts) + F.expr(f"interval {int(ahead_days)} days")).alias(ts))
+    last = rows.agg(F.max(ts).alias(ts), *[F.max_by(k, ts).alias(k) for k in keys])
+    last = last.withColumn(ts, F.col(ts) + F.expr(f"interval {int(ahead_days)} days"))
     return rows.unionByName(last, allowMissingColumns=True)
 
 
@@ -69,23 +72,42 @@ def cohort_load_stream(
 
 
 def join_outcomes(
-    forecasts: DataFrame, outcomes: DataFrame, keys: Sequence[str], delay: str, ts: str = "ts"
+    forecasts: DataFrame, outcomes: DataFrame, keys: Sequence[str], delay: str, ts: str = "ts", how: str = "inner"
 ) -> DataFrame:
-    """Forecasts with their outcomes as both arrive; state is dropped past the watermark."""
+    """Forecasts with their outcomes as both arrive; state is dropped past the watermark.
+
+    ``how='left'`` keeps forecasts whose outcome never comes: they come out with a NULL outcome once the watermark is past.
+    """
     f = event_time(forecasts, ts).withWatermark(ts, delay)
     o = event_time(outcomes, ts).withWatermark(ts, delay)
-    return f.join(o, [*keys, ts])
+    return f.join(o, [*keys, ts], how)
+
+
+#: State on the executors' disks, which ``transformWithState`` asks for; files as large as what is in them.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
 
 
 def run_to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Process everything available now into Parquet files (append, exactly once)."""
-    query = (
-        df.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Process everything available now into Parquet files (append, exactly once), with state in RocksDB."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in STATE_STORE}
+    try:
+        for k, v in STATE_STORE.items():
+            conf.set(k, v)
+        query = (
+            df.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:  # a query keeps the settings it was started with
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     query.awaitTermination()
     return query

@@ -199,6 +199,93 @@ def test_reference_is_the_end_of_the_sample(forecasts):
     assert ends == {k: v[-9:] for k, v in whole.items()}
 
 
+def walk_one_by_one(scores, y, p, shifts, v, block):
+    """(bounds, alphas, quantiles per step) of shift-aware calibration, steps without an outcome left out of the updates."""
+    a, out = v.alpha, []
+    for t in range(len(y)):
+        if t % block == 0:
+            q = brute.quantile(scores, a)
+        out.append((max(0.0, p[t] - q), p[t] + q, a, brute.quantile(scores, a)))
+        if np.isnan(y[t]):
+            continue
+        miss = 0.0 if out[-1][0] <= y[t] <= out[-1][1] else 1.0
+        delta = 0.0 if shifts[t] is None else shifts[t]
+        flag = shifts[t] is not None and delta >= v.threshold
+        loss = v.eta * delta * miss if flag or v.penalty == "always" else 0.0
+        a = float(np.clip(a + (v.gamma_fast if flag else v.gamma_slow) * (v.alpha - miss) - loss, v.alpha_min, v.alpha_max))
+    return np.array(out)
+
+
+def with_gaps(frame):
+    """Missing outcomes here and there, and for more than a block on end."""
+    gone = (frame["seq"] % 6 == 1) | frame["seq"].between(260, 285)
+    return frame.assign(y=frame["y"].mask(gone))
+
+
+@pytest.mark.parametrize("penalty", ["flagged", "always"])
+@pytest.mark.parametrize("k", ["a", "b"])
+def test_missing_outcomes_move_nothing(spark, frame, k, penalty):
+    own = with_gaps(frame)[lambda d: d["k"] == k]
+    v = replace(SETTINGS.sa_acp, penalty=penalty)
+    s = replace(SETTINGS, sa_acp=v)
+    df = spark.createDataFrame(own).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df = df.withColumn("y", F.when(~F.isnan("y"), F.col("y")))
+    got = backtest.run_backtest(df, ["k"], s).toPandas().sort_values(["method", "ts"])
+    cal, test = own[own["split"] == "calibration"], own[own["split"] == "test"]
+    scores = np.abs(cal["y"] - cal["y_pred"]).dropna().to_numpy()
+    y, p = test["y"].to_numpy(), test["y_pred"].to_numpy()
+    there = ~np.isnan(y)
+    bounds = lambda m: got[got["method"] == m][["lower", "upper"]].to_numpy()
+    # rolling: the last scores before the block
+    new, want = np.abs(y - p), []
+    for t in range(len(y)):
+        seen = np.concatenate([scores, new[: t // BLOCK * BLOCK][there[: t // BLOCK * BLOCK]]])
+        q = brute.quantile(seen[-s.rolling_window :], 0.1)
+        want.append((max(0.0, p[t] - q), p[t] + q))
+    np.testing.assert_allclose(bounds("rolling"), want)
+    # one alpha per block, by the mean over the outcomes there are
+    a, want = 0.1, []
+    for at in range(0, len(y), BLOCK):
+        q, part = brute.quantile(scores, a), slice(at, at + BLOCK)
+        lo, hi = np.maximum(0.0, p[part] - q), p[part] + q
+        want += list(zip(lo, hi))
+        inside = ((y[part] >= lo) & (y[part] <= hi))[there[part]]
+        a = float(np.clip(a + 0.01 * (0.1 - (1 - inside.mean())), 0.01, 0.5)) if len(inside) else a
+    np.testing.assert_allclose(bounds("aci"), want)
+    shifts = [None] * len(y)
+    for t, d in zip(np.nonzero(there)[0], brute.detector(new[there], scores, 40, 90)):
+        shifts[t] = d
+    want = walk_one_by_one(scores, y, p, shifts, v, BLOCK)
+    np.testing.assert_allclose(bounds("sa_acp"), want[:, :2])
+
+
+def test_trace_has_the_quantile_of_every_step(forecasts, frame):
+    cal, test = backtest.place_rows(forecasts, ["k"])
+    packed = conformal.pack_calibration(cal, ["k"], {"_abs": C.absolute_residual("y", "y_pred")})
+    scored = backtest.with_shift_scores(cal, test, ["k"], packed, SETTINGS)
+    got = adaptive.shift_aware_intervals(cal, scored, ["k"], [SETTINGS.sa_acp], block=BLOCK, rows=test).toPandas().sort_values(["k", "ts"])
+    for k in "ab":
+        scores, _, y, p, _ = parts(frame, k)
+        shifts = brute.detector(np.abs(y - p), scores, 40, 90)
+        want = walk_one_by_one(scores, y, p, shifts, SETTINGS.sa_acp, BLOCK)
+        own = got[got["k"] == k]
+        np.testing.assert_allclose(own[["lower", "upper", "alpha_t", "quantile_t"]].to_numpy(), want)
+    assert (got["quantile_t"] != got["conformal_quantile"]).sum() > 50
+
+
+def test_alpha_path_is_one_step_after_the_other():
+    draw = np.random.default_rng(3)
+    for scale in (0.001, 0.05, 1.0):
+        gains, losses = draw.normal(size=400) * scale, np.abs(draw.normal(size=400)) * scale * (draw.random(400) < 0.3)
+        before, after = adaptive.alpha_path(0.1, gains, losses, 0.01, 0.5)
+        a = 0.1
+        for i in range(400):
+            assert before[i] == a
+            a = adaptive.clip(a + gains[i] - losses[i], 0.01, 0.5)
+        assert after == a
+    assert adaptive.alpha_path(0.2, np.empty(0), np.empty(0), 0.0, 1.0)[1] == 0.2
+
+
 def test_missing_outcomes_have_no_score_in_either_form(spark):
     rows = [("a", i, float(i % 7) if i % 5 else None, 1.0, "calibration" if i < 60 else "test") for i in range(90)]
     df = spark.createDataFrame(rows, "k string, seq long, y double, y_pred double, split string")
@@ -220,11 +307,13 @@ def test_aci_directions_and_clipping():
 
 def test_shift_aware_rates():
     v = adaptive.ShiftAwareVariant(threshold=1.25)
-    assert adaptive.shift_aware_next(0.1, 1.0, float("nan"), v)[1:] == (0.005, False)
-    assert adaptive.shift_aware_next(0.1, 1.0, 2.0, v)[1:] == (0.035, True)
-    assert adaptive.shift_aware_next(0.2, 1.0, 2.0, v)[0] == pytest.approx(0.2 + 0.035 * -0.9 - 0.02 * 2.0)
-    always = replace(v, penalty="always")
-    assert adaptive.shift_aware_next(0.2, 1.0, 1.0, always)[0] == pytest.approx(0.2 + 0.005 * -0.9 - 0.02)
+    miss, known = np.array([True]), np.array([True])
+    moves = lambda shift, v: tuple(x[0] for x in adaptive.shift_aware_moves(miss, np.array([shift]), known, v))
+    assert moves(float("nan"), v)[2:] == (0.005, False)
+    assert moves(2.0, v)[2:] == (0.035, True)
+    assert moves(2.0, v)[:2] == (pytest.approx(0.035 * -0.9), pytest.approx(0.02 * 2.0))
+    assert moves(1.0, v)[1] == 0.0
+    assert moves(1.0, replace(v, penalty="always"))[:2] == (pytest.approx(0.005 * -0.9), pytest.approx(0.02))
 
 
 def test_static_hand_case(spark):

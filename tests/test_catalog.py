@@ -9,8 +9,11 @@ from catalog.queries import QUERIES
 from check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-# fitted by MLlib or by a 25-column solve: not expressible in SQL, tested in test_models
-WITHOUT_SQL = {"model_ridge_all_features", "model_boosted_trees", "model_quantile_forest"}
+# fitted models: not expressible in SQL, tested in test_models and test_boosting, and by the queries named ..._facts
+WITHOUT_SQL = {
+    "model_ridge_all_features", "model_boosted_trees", "model_boosted_quantiles", "model_quantile_forest", "point_four_models",
+    "backtest_boosted",
+}
 SAMPLE = (
     "source_tolerant_casts", "clean_readings_full", "audit_consumption", "cohort_halfhour_load", "split_counts",
     "feature_table", "model_ridge_two_features", "conformal_static", "conformal_aci", "conformal_shift_aware",

@@ -80,3 +80,29 @@ def test_rows_without_a_feature_are_kept_without_a_prediction(spark):
     assert trees.count() == 82 and trees.where("y_pred IS NULL").count() == 2
     forest = M.quantile_forest_predict(df, M.quantile_forest_fit(df, ["a", "b"], "y", num_trees=2, min_leaf=1), ["a", "b"])
     assert forest.count() == 82 and forest.where("q_mid IS NULL").count() == 2
+
+
+def test_ridge_far_from_zero_and_with_missing_values(spark):
+    rng = np.random.default_rng(5)
+    x = 1e8 + rng.normal(size=(400, 2)) * [3.0, 0.5]
+    y = 3 * (x[:, 0] - 1e8) - 2 * (x[:, 1] - 1e8) + rng.normal(size=400)
+    rows = [("a", float(a), float(b), float(c)) for (a, b), c in zip(x, y)]
+    odd = [("a", None, 1.0, 1.0), ("a", 1.0, float("nan"), 1.0), ("a", 1.0, 1.0, None), ("none", None, 1.0, 1.0), (None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows + odd, "k string, u double, v double, y double").repartition(7)
+    got = {r["k"]: r for r in M.ridge_fit(df, ["k"], ["u", "v"], "y", 2.0).collect()}
+    xc, yc = x - x.mean(0), y - y.mean()
+    np.testing.assert_allclose(got["a"]["coefficients"], np.linalg.solve(xc.T @ xc + 2 * np.eye(2), xc.T @ yc), rtol=1e-6)
+    assert got["a"]["n_rows"] == 400 and set(got) == {"a", None} and got[None]["coefficients"] == [0.0, 0.0]
+    out = M.ridge_predict(df, M.ridge_fit(df, ["k"], ["u", "v"], "y", 2.0), ["k"], ["u", "v"]).collect()
+    assert len(out) == 405
+    assert [r["y_pred"] for r in out if r["u"] is None or np.isnan(r["v"])] == [None] * 3
+
+
+def test_moments_merge_in_any_order():
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(90, 3)) + 1e6
+    a, b, c = (M.moments_of(p) for p in (z[:1], z[1:40], z[40:]))
+    n, mean, cross = M.merge_moments(M.merge_moments(a, b), c)
+    np.testing.assert_allclose(mean, z.mean(0))
+    np.testing.assert_allclose(cross, (z - z.mean(0)).T @ (z - z.mean(0)), atol=1e-6)
+    assert n == 90

@@ -116,12 +116,18 @@ def test_moments_ramps_and_autocorrelation(spark, samples):
     assert got["mean_pct_change"] == round((b.mean() - a.mean()) / a.mean() * 100, 2)
 
 
-def test_transport_distances_against_cdf_form():
+def test_sliding_distances_against_cdf_form():
     rng = np.random.default_rng(8)
-    for n, m in ((5, 5), (7, 31), (96, 240)):
-        windows, ref = rng.normal(size=(4, n)), np.sort(rng.normal(size=m))
-        want = [brute.wasserstein(w, ref) for w in windows]
-        np.testing.assert_allclose(drift.transport_distances(windows, ref), want)
+    for n, m in ((24, 5), (31, 240), (96, 31)):
+        scores = np.round(rng.normal(size=260), 1)  # ties
+        ref = np.round(rng.normal(size=m), 1)
+        want = [np.nan if t < 23 else brute.wasserstein(scores[max(0, t + 1 - n) : t + 1], ref) for t in range(260)]
+        np.testing.assert_allclose(drift.trailing_distances(scores, 0, n, 24, ref), want)
+        for halo in (1, 10, n - 1):
+            got = drift.trailing_distances(scores[100 - halo :], halo, n, 1, ref)
+            full = drift.trailing_distances(scores, 0, n, 1, ref)[100:]
+            np.testing.assert_allclose(got[n:], full[n:])
+    assert np.isnan(drift.trailing_distances(np.ones(30), 0, 24, 24, np.empty(0))).all()
 
 
 def detector_rows(spark, values):

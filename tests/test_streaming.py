@@ -77,20 +77,116 @@ def test_online_calibrators_replay_the_batch_backtest(spark, tmp_path):
     np.testing.assert_allclose(sa["gamma_t"], sa["gamma_t_batch"])
 
 
+class Held:
+    """The state handle of one series, in memory; ``writes`` counts what is put per part."""
+
+    def __init__(self):
+        self.parts, self.writes, self.timers, self.watermark = {}, {}, [], 0
+
+    def _part(self, name):
+        class Part:
+            def __init__(part):
+                part.items = {}
+
+            def put(part, key, value):
+                self.writes[name] = self.writes.get(name, 0) + 1
+                part.items[key] = value
+
+            exists = lambda part: bool(part.items)
+            update = lambda part, value: part.put("value", value)
+            updateValue = put
+            iterator = lambda part: iter(list(part.items.items()))
+            removeKey = lambda part, key: part.items.pop(key)
+
+            def appendList(part, values):
+                for v in values:
+                    part.put(len(part.items), v)
+
+            def get(part):
+                return part.items["value"] if "value" in part.items else iter(list(part.items.values()))
+
+        return self.parts.setdefault(name, Part())
+
+    def getValueState(self, name, *_):
+        return self._part(name)
+
+    getListState = getMapState = getValueState
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def calibrator(methods, *sizes):
+    held = Held()
+    series = K.SeriesCalibrator(["k"], methods, *sizes)
+    series.init(held)
+
+    def feed_rows(times, y, pred, is_cal):
+        rows = pd.DataFrame({"micros": [t * 1000 for t in times], "y": y, "y_pred": pred, "calibrates": is_cal})
+        list(series.handleInputRows(("x",), iter([rows]), held))
+
+    def pass_watermark(ms):
+        held.watermark = ms
+        return [f for f in series.handleExpiredTimer(("x",), held, None)]
+
+    return held, feed_rows, pass_watermark
+
+
 def test_alpha_moves_only_after_the_outcome():
-    series = K.SeriesCalibrator([("sa_acp", ShiftAwareVariant())], 50, 50, 100, 1)
-    series.hold(range(100), [2.0] * 100, [0.0] * 100, [True] * 100)
-    assert series.release(99) == []
-    series.hold([100], [50.0], [10.0], [False])
-    row = series.release(100)[0]
-    assert row[7] == 0.1 and series.alphas[0] < 0.1
-
-
-def test_rolling_state_is_a_fifo():
-    series = K.SeriesCalibrator([("rolling", AciVariant("rolling", 0.1, 0.0))], 10, 24, 100, 1)
-    series.hold(range(100), [float(i) for i in range(100)], [0.0] * 100, [True] * 100)
-    series.release(99)
-    assert series.recent == [float(i) for i in range(90, 100)]
+    held, feed_rows, pass_watermark = calibrator([("sa_acp", ShiftAwareVariant())], 50, 50, 100, 1)
+    feed_rows(range(1, 101), [2.0] * 100, [0.0] * 100, [True] * 100)
+    assert held.timers == [1] and pass_watermark(100) == []
+    feed_rows([101], [50.0], [10.0], [False])
+    row = pass_watermark(101)[0].iloc[0]
+    assert row["alpha_t"] == 0.1 and held.parts["numbers"].get()[4][0] < 0.1
+
+
+def test_rolling_state_is_a_ring_and_waiting_rows_are_timed():
+    held, feed_rows, pass_watermark = calibrator([("rolling", AciVariant("rolling", 0.1, 0.0))], 10, 8, 100, 1)
+    feed_rows(range(99, -1, -1), [float(i) for i in range(99, -1, -1)], [0.0] * 100, [True] * 100)
+    pass_watermark(49)
+    assert held.timers[-1] == 50  # the first of those that still wait
+    pass_watermark(99)
+    assert sorted(v for (v,) in held.parts["ring"].items.values()) == [float(i) for i in range(90, 100)]
+    assert not held.parts["waiting"].items
+    held.writes.clear()
+    feed_rows([100], [None], [1.0], [False])
+    feed_rows([101], [7.0], [1.0], [False])
+    rows = pass_watermark(200)[0]
+    assert len(rows) == 2 and rows["y"].isna().tolist() == [True, False]
+    # one score more: one slot of the ring is written, and nothing of the calibration sample
+    assert held.writes["ring"] == 1 and "calibration" not in held.writes
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_joined_streams_replay_the_batch_backtest(spark, tmp_path, missing):
+    pdf = forecast_rows()
+    if missing:
+        gone = (pdf["seq"] % 7 == 3) | pdf["seq"].between(100, 125)
+        pdf = pdf.assign(y=pdf["y"].mask(gone))
+    last = START + dt.timedelta(days=90)
+    ends = pdf.groupby("k").tail(1).assign(ts=last)
+    jitter = np.random.default_rng(1).uniform(0, 10, len(pdf))
+    early = pdf.assign(order=pdf["seq"] + jitter).sort_values("order")
+    late = pdf[pdf["y"].notna()].assign(order=lambda d: d["seq"] + 20).sort_values("order")
+    names = "k string, ts timestamp_ntz, "
+    f = feed(spark, pd.concat([early, ends])[["k", "ts", "y_pred", "is_calibration"]], str(tmp_path / "f"), 4, names + "y_pred double, is_calibration boolean")
+    o = feed(spark, pd.concat([late, ends.assign(y=0.0)])[["k", "ts", "y"]], str(tmp_path / "o"), 4, names + "y double")
+    out = K.online_intervals_of(
+        f, o, ["k"], "1 day", aci=AciVariant(), sa_acp=SETTINGS.sa_acp, window=48, detector_window=40, reference_length=50, block=10
+    )
+    got = drain(spark, out, tmp_path).toPandas()
+    split = np.where(pdf["is_calibration"], "calibration", "test")
+    batch_in = spark.createDataFrame(pdf.assign(split=split)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want = backtest.run_backtest(batch_in, ["k"], SETTINGS, ["rolling", "aci", "sa_acp"]).toPandas()
+    both = got.merge(want, on=["k", "method", "ts"], suffixes=("", "_batch"))
+    assert len(got) == len(want) == len(both) == 2 * 3 * 170
+    for c in ("lower", "upper", "conformal_quantile"):
+        np.testing.assert_allclose(both[c], both[f"{c}_batch"])
+    assert both["y"].isna().sum() == both["y_batch"].isna().sum() == 3 * pdf["y"].isna()[~pdf["is_calibration"]].sum()
 
 
 def test_forecasts_meet_their_outcomes(spark, tmp_path):
