@@ -21,26 +21,17 @@ def list_quantile(items: str, n: str, alpha: str) -> str:
     return f"({low} + ({h} - floor({h})) * ({high} - {low}))"
 
 
-def tagged(ranges: dict, ts: str = "ts") -> str:
-    cases = " ".join(
-        f"WHEN {ts} >= TIMESTAMP '{a}' AND {ts} < TIMESTAMP '{b}' + INTERVAL 1 DAY THEN '{name}'"
-        for name, (a, b) in ranges.items()
-    )
+def day(thirtieths: int) -> str:
+    return f"((SELECT day0 FROM span) + to_days(CAST((SELECT n_days FROM span) * {thirtieths} // 30 AS INTEGER)))"
+
+
+def tagged(cuts: dict, ts: str = "ts") -> str:
+    cases = " ".join(f"WHEN {ts} >= {day(a)} AND {ts} < {day(b)} THEN '{name}'" for name, (a, b) in cuts.items())
     return f"CASE {cases} END"
 
 
-SPLITS = {
-    "train": ("2024-01-08", "2024-01-17"),
-    "calibration": ("2024-01-18", "2024-01-22"),
-    "validation": ("2024-01-23", "2024-01-24"),
-    "test": ("2024-01-25", "2024-01-30"),
-}
-PER_SPLIT = {
-    "train": ("2024-01-01", "2024-01-13"),
-    "calibration": ("2024-01-14", "2024-01-19"),
-    "validation": ("2024-01-20", "2024-01-23"),
-    "test": ("2024-01-24", "2024-01-30"),
-}
+SPLITS = {"train": (7, 17), "calibration": (17, 22), "validation": (22, 24), "test": (24, 30)}
+PER_SPLIT = {"train": (0, 13), "calibration": (13, 19), "validation": (19, 23), "test": (23, 30)}
 WINDOW, REFERENCE, THRESHOLD = 96, 240, 0.15
 
 
@@ -107,8 +98,10 @@ CTES["cohort_readings"] = """
     SELECT 'total_population' AS cohort, * FROM halfhour
     UNION ALL SELECT 'dtou', * FROM halfhour WHERE regexp_matches(tariff_group, '(?i)tou|dynamic')
     UNION ALL SELECT 'standard', * FROM halfhour WHERE regexp_matches(tariff_group, '(?i)std|flat')"""
+CTES["span"] = """
+    SELECT date_trunc('day', min(ts))::TIMESTAMP AS day0, date_diff('day', min(ts)::DATE, max(ts)::DATE) + 1 AS n_days FROM events"""
 CTES["grid"] = """
-    SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:30:00', INTERVAL 30 MINUTE)) AS ts"""
+    SELECT unnest(generate_series(day0, day0 + to_days(CAST(n_days AS INTEGER)) - INTERVAL 30 MINUTE, INTERVAL 30 MINUTE)) AS ts FROM span"""
 CTES["metered"] = """
     SELECT cohort, time_bucket(INTERVAL 30 MINUTE, timestamp) AS ts, sum(energy_kwh) AS load_kwh FROM members GROUP BY ALL"""
 CTES["series"] = """
@@ -478,7 +471,8 @@ GROUP BY n.split""")
 oracle("split_disjoint", """
 SELECT p.a, p.b, (SELECT count(*) FROM split_series x JOIN split_series z ON x.cohort = z.cohort AND x.ts = z.ts
                   WHERE x.split = p.a AND z.split = p.b) AS shared
-FROM (VALUES ('train', 'calibration'), ('calibration', 'validation'), ('validation', 'test'), ('train', 'test')) p(a, b)""")
+FROM (VALUES ('train', 'calibration'), ('train', 'validation'), ('train', 'test'), ('calibration', 'validation'),
+             ('calibration', 'test'), ('validation', 'test')) p(a, b)""")
 oracle("slice_thirds", """
 SELECT cohort, CASE WHEN pos < n // 3 THEN 'early' ELSE 'late' END AS period, ts, round(load_kwh, 6) AS load_kwh
 FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY cohort) AS n
@@ -490,12 +484,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY ts) - 1 AS pos F
 
 # features -----------------------------------------------------------------------------
 
-CTES["holey"] = "SELECT * FROM typed WHERE hour(ts) % 5 <> 0"
 oracle("feature_regular_grid", """
 SELECT g.event_type, g.ts, round(h.load_kwh, 4) AS load_kwh,
        row_number() OVER (PARTITION BY g.event_type ORDER BY g.ts) - 1 AS seq
-FROM (SELECT event_type, unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTE)) AS ts FROM holey GROUP BY event_type) g
-LEFT JOIN holey h ON h.event_type = g.event_type AND h.ts = g.ts""")
+FROM (SELECT event_type, unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTE)) AS ts FROM typed GROUP BY event_type) g
+LEFT JOIN typed h ON h.event_type = g.event_type AND h.ts = g.ts""")
 oracle("feature_positions", """
 SELECT event_type, ts, round(load_kwh, 4) AS load_kwh, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS seq FROM typed""")
 oracle("feature_row_lags", """
@@ -503,7 +496,7 @@ SELECT event_type, ts, round(lag(load_kwh, 48) OVER w, 4) AS load_lag_48, round(
        round(lag(load_kwh, 144) OVER w, 4) AS load_lag_144, round(lag(load_kwh, 336) OVER w, 4) AS load_lag_336,
        round(lag(load_kwh, 48) OVER w, 4) AS origin_load_h48,
        round(lag(load_kwh, 48) OVER w - lag(load_kwh, 49) OVER w, 4) AS origin_ramp_h48
-FROM holey WINDOW w AS (PARTITION BY event_type ORDER BY ts)""")
+FROM typed WINDOW w AS (PARTITION BY event_type ORDER BY ts)""")
 ORIGIN = ["origin_mean_24h_h48", "origin_std_24h_h48", "origin_min_24h_h48", "origin_max_24h_h48",
           "origin_mean_7d_h48", "origin_std_7d_h48"]
 oracle("feature_origin_statistics", f"""
@@ -529,9 +522,9 @@ SELECT cohort, split, ts, {single(*PER)}
 FROM (SELECT cohort, split, ts, {load_features((48, 96), 'cohort, split')}
       FROM (SELECT *, {tagged(PER_SPLIT)} AS split FROM series) WHERE split IS NOT NULL)
 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in PER)}""")
-SCALED = ["load_lag_48", "origin_mean_24h_h48", "day_of_week", "is_bank_holiday"]
+SCALED = feature_names()
 CTES["tagged_features"] = f"""
-    SELECT *, 0.0::DOUBLE AS is_bank_holiday, {tagged(SPLITS)} AS split FROM feature_rows
+    SELECT *, 0.0::DOUBLE AS is_bank_holiday, {WAVES}, {tagged(SPLITS)} AS split FROM feature_rows
     WHERE {' AND '.join(f'{c} IS NOT NULL' for c in LOADS)}"""
 oracle("feature_scaled", f"""
 SELECT f.cohort, f.ts, f.split, {', '.join(
@@ -667,7 +660,7 @@ UNSETTLED = {
     "settled": CTES["forecasts"],
     "forecasts": """
     SELECT * EXCLUDE (y, score, violation), CASE WHEN known THEN y END AS y, CASE WHEN known THEN score END AS score, NULL::DOUBLE AS violation
-    FROM (SELECT *, (day(ts) * 24 + hour(ts)) % 5 <> 0 AND ts::DATE <> DATE '2024-01-27' AS known FROM settled)
+    FROM (SELECT *, (day(ts) * 24 + hour(ts)) % 5 <> 0 AND ts::DATE <> (""" + day(24) + """ + INTERVAL 2 DAY)::DATE AS known FROM settled)
     WHERE split IN ('calibration', 'test')""",
     "cal": """
     SELECT *, -row_number() OVER (PARTITION BY cohort ORDER BY ts DESC) AS pos FROM forecasts WHERE split = 'calibration' AND score IS NOT NULL""",
@@ -805,6 +798,32 @@ oracle("backtest_method_table", interval_metrics("""(SELECT cohort, CASE method
     WHEN 'static' THEN 'P1_Static_Split_Conformal' WHEN 'cqr' THEN 'P2_CQR' WHEN 'rolling' THEN 'P3_Rolling_Conformal'
     WHEN 'aci' THEN 'P4_ACI' ELSE 'P5_SA_ACP' END AS method, y, lower, upper FROM six)""", "cohort, method"))
 
+# long series at default windows
+DAILY = {
+    "shipped": """
+    SELECT 'g' || (l_suppkey % 4) AS cohort, CAST(l_shipdate AS TIMESTAMP) AS ts, sum(l_quantity)::DOUBLE AS y FROM lineitem GROUP BY ALL""",
+    "daily": """
+    SELECT *, row_number() OVER w - 1 AS seq, lag(y) OVER w AS y_pred, count(*) OVER (PARTITION BY cohort) AS n
+    FROM (SELECT g.cohort, g.ts, coalesce(s.y, 0.0) AS y
+          FROM (SELECT cohort, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM shipped GROUP BY cohort) g
+          LEFT JOIN shipped s ON s.cohort = g.cohort AND s.ts = g.ts)
+    WINDOW w AS (PARTITION BY cohort ORDER BY ts)""",
+    "forecasts": """
+    SELECT cohort, ts, CASE WHEN seq * 10 < n * 6 THEN 'calibration' ELSE 'test' END AS split, y, y_pred, y_pred * 0.75 AS q_lo,
+           y_pred * 1.25 AS q_hi, abs(y - y_pred) AS score, greatest(y_pred * 0.75 - y, y - y_pred * 1.25) AS violation
+    FROM daily WHERE y_pred IS NOT NULL""",
+    "sa_steps": """
+    SELECT t.*, s.delta, s.ready AND s.delta >= 1.25 AS flagged FROM test t JOIN shift_336_1344 s USING (cohort, pos)""",
+} | transport(336, 1344)
+for w in (672, 1344, 2688):
+    DAILY[f"pool_{w}"], DAILY[f"rolling_{w}"] = rolling(w)
+oracle("backtest_default_windows", interval_metrics("six", "cohort, method"), **DAILY, five=CTES["five"].replace("rolling_240", "rolling_1344"))
+oracle("shift_detector_default_windows", f"""
+SELECT cohort, ts, {single('shift_score')}, shift_flag, CAST(CAST(round(alpha_block, 12) AS FLOAT) AS DOUBLE) AS alpha_t, {single('lower', 'upper')}
+FROM sa_bounds""", **DAILY)
+oracle("ablation_window_lengths_default", interval_metrics("(" + " UNION ALL ".join(
+    f"SELECT cohort, {d}::INTEGER AS window_days, y, lower, upper FROM rolling_{48 * d}" for d in (14, 28, 56)) + ")", "cohort, window_days"), **DAILY)
+
 # evaluation ---------------------------------------------------------------------------------
 
 oracle("interval_metrics_by_supplier", interval_metrics("bands", "l_suppkey", "0.2"))
@@ -822,11 +841,11 @@ SELECT l_suppkey, CAST(ts AS DATE) AS day, count(*) AS n_obs, count(CASE WHEN y
 FROM bands GROUP BY 1, 2""")
 INSIDE = "CASE WHEN y >= lower AND y <= upper THEN 1.0 ELSE 0.0 END"
 oracle("interval_daily_diagnostics", f"""
-SELECT b.cohort, CAST(b.ts AS DATE) AS day, round(avg(CASE WHEN b.method = 'sa_acp' THEN abs(b.y - b.y_pred) END), 6) AS day_mae,
-       round(avg(CASE WHEN b.method = 'sa_acp' THEN {INSIDE.replace('y ', 'b.y ').replace('lower', 'b.lower').replace('upper', 'b.upper')} END), 6) AS day_sa_cov,
-       round(avg(CASE WHEN b.method = 'static' THEN {INSIDE.replace('y ', 'b.y ').replace('lower', 'b.lower').replace('upper', 'b.upper')} END), 6) AS day_static_cov,
+SELECT b.cohort, CAST(b.ts AS DATE) AS day, CAST(CAST(round(avg(CASE WHEN b.method = 'sa_acp' THEN abs(b.y - b.y_pred) END), 12) AS FLOAT) AS DOUBLE) AS day_mae,
+       CAST(CAST(round(avg(CASE WHEN b.method = 'sa_acp' THEN {INSIDE.replace('y ', 'b.y ').replace('lower', 'b.lower').replace('upper', 'b.upper')} END), 12) AS FLOAT) AS DOUBLE) AS day_sa_cov,
+       CAST(CAST(round(avg(CASE WHEN b.method = 'static' THEN {INSIDE.replace('y ', 'b.y ').replace('lower', 'b.lower').replace('upper', 'b.upper')} END), 12) AS FLOAT) AS DOUBLE) AS day_static_cov,
        count(CASE WHEN b.method = 'sa_acp' AND s.shift_flag THEN 1 END) AS day_flagged_steps,
-       round(abs(avg(CASE WHEN b.method = 'sa_acp' THEN {INSIDE.replace('y ', 'b.y ').replace('lower', 'b.lower').replace('upper', 'b.upper')} END) - 0.9::DOUBLE), 6) AS day_sa_ace
+       CAST(CAST(round(abs(avg(CASE WHEN b.method = 'sa_acp' THEN {INSIDE.replace('y ', 'b.y ').replace('lower', 'b.lower').replace('upper', 'b.upper')} END) - 0.9::DOUBLE), 12) AS FLOAT) AS DOUBLE) AS day_sa_ace
 FROM six b JOIN sa_bounds s ON s.cohort = b.cohort AND s.ts = b.ts GROUP BY 1, 2""")
 CTES["labelled"] = """
     SELECT b.*, r.ramp, hour(b.ts) AS h,
@@ -847,6 +866,11 @@ oracle("conditional_reliability", interval_metrics(
     "(" + " UNION ALL ".join(
         f"SELECT cohort, '{d}' AS dimension, {e} AS subgroup, y, lower, upper FROM labelled" for d, e in DIMENSIONS.items()
     ) + ")", "cohort, dimension, subgroup"))
+oracle("conditional_reliability_by_shift", interval_metrics(
+    "(" + " UNION ALL ".join(
+        f"SELECT cohort, '{d}' AS dimension, {e} AS subgroup, y, lower, upper FROM labelled"
+        for d, e in (DIMENSIONS | {"by_shift_status": "CASE WHEN shift_flag THEN 'Shift Detected' ELSE 'Normal / Low Shift' END"}).items()
+    ) + ")", "cohort, dimension, subgroup"), labelled=CTES["labelled"].replace("b_static b", "sa_bounds b"))
 oracle("conditional_reliability_suppliers", interval_metrics("""(
     SELECT b.*, region, CASE WHEN y <= q1 THEN 'Low Demand' WHEN y <= q2 THEN 'Medium Demand' ELSE 'High Demand' END AS load_regime
     FROM (SELECT *, CAST(l_suppkey % 5 AS INTEGER) AS region FROM bands) b

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +10,15 @@ from pyspark.sql import functions as F
 
 from catalog.views import (
     KEYS,
-    PER_SPLIT,
+    PER_SPLIT_CUTS,
     SETTINGS,
-    SPLITS,
     cohort_series,
+    daily_forecasts,
     dirty_readings,
     forecasts,
     halfhour_readings,
     readings,
+    split_ranges,
     split_series,
     table,
     typed_series,
@@ -331,9 +333,8 @@ def split_counts(spark, sf):
 @query
 def split_disjoint(spark, sf):
     df = split_series(spark, sf)
-    pairs = [("train", "calibration"), ("calibration", "validation"), ("validation", "test"), ("train", "test")]
     out = None
-    for a, b in pairs:
+    for a, b in itertools.combinations(("train", "calibration", "validation", "test"), 2):
         left = df.where(F.col("split") == a).select("cohort", "ts")
         shared = left.join(df.where(F.col("split") == b).select("cohort", "ts"), ["cohort", "ts"])
         one = shared.agg(F.count("*").alias("shared")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "shared")
@@ -359,8 +360,7 @@ def slice_zoom_week(spark, sf):
 
 @query
 def feature_regular_grid(spark, sf):
-    hourly = typed_series(spark, sf).where(F.hour("ts") % 5 != 0)
-    return r(features.regularise(hourly, ["event_type"]), 4, "load_kwh")
+    return r(features.regularise(typed_series(spark, sf), ["event_type"]), 4, "load_kwh")
 
 
 @query
@@ -371,7 +371,7 @@ def feature_positions(spark, sf):
 
 @query
 def feature_row_lags(spark, sf):
-    numbered = ordering.positions(typed_series(spark, sf).where(F.hour("ts") % 5 != 0), ["event_type"])
+    numbered = ordering.positions(typed_series(spark, sf), ["event_type"])
     df = features.lag_features(numbered, ["event_type"], rolling=False, chunk=500)
     cols = ["load_lag_48", "load_lag_96", "load_lag_144", "load_lag_336", "origin_load_h48", "origin_ramp_h48"]
     return r(df.select("event_type", "ts", *cols), 4, *cols)
@@ -410,21 +410,18 @@ def feature_table(spark, sf):
 
 @query
 def feature_table_per_split(spark, sf):
-    tagged = splits.tag_splits(cohort_series(spark, sf), PER_SPLIT)
+    tagged = splits.tag_splits(cohort_series(spark, sf), split_ranges(spark, sf, PER_SPLIT_CUTS))
     df = features.forecasting_table(tagged, KEYS, lags=(48, 96), warmup="per_split")
     cols = features.load_feature_names((48, 96))
     return single(df.select("cohort", "split", "ts", *cols), *cols)
 
 
-SCALED = ("load_lag_48", "origin_mean_24h_h48", "day_of_week", "is_bank_holiday")
-
-
 @query
 def feature_scaled(spark, sf):
-    tagged = splits.tag_splits(features.forecasting_table(cohort_series(spark, sf), KEYS), SPLITS)
-    scaler = features.fit_scaler(tagged.where("split = 'train'"), KEYS, SCALED)
-    df = features.scale(tagged.select("cohort", "ts", "split", *SCALED), scaler, KEYS, SCALED)
-    return r(df, 6, *SCALED)
+    tagged, names = feature_rows(spark, sf), features.feature_names()
+    scaler = features.fit_scaler(tagged.where("split = 'train'"), KEYS, names)
+    df = features.scale(tagged.select("cohort", "ts", "split", *names), scaler, KEYS, names)
+    return r(df, 6, *names)
 
 
 @query
@@ -491,7 +488,7 @@ def model_seasonal_naive(spark, sf):
 @query
 def model_ridge_one_feature(spark, sf):
     rows = features.lag_features(cohort_series(spark, sf), KEYS, lags=(48, 336), rolling=False)
-    tagged = splits.tag_splits(rows.dropna(subset=["load_lag_336"]), SPLITS)
+    tagged = splits.tag_splits(rows.dropna(subset=["load_lag_336"]), split_ranges(spark, sf))
     fitted = models.ridge_fit(tagged.where("split = 'train'"), KEYS, ["load_lag_48"], "load_kwh", 1.0)
     df = models.ridge_predict(tagged.where("split = 'test'"), fitted, KEYS, ["load_lag_48"])
     return r(df.select("cohort", "ts", "y_pred"), 6, "y_pred")
@@ -520,7 +517,7 @@ def model_ridge_large_means(spark, sf):
 
 
 def feature_rows(spark, sf) -> DataFrame:
-    tagged = splits.tag_splits(features.forecasting_table(cohort_series(spark, sf), KEYS), SPLITS)
+    tagged = splits.tag_splits(features.forecasting_table(cohort_series(spark, sf), KEYS), split_ranges(spark, sf))
     return cut_lineage(tagged, "features")
 
 
@@ -650,7 +647,7 @@ def model_quantile_interval(spark, sf):
 
 def model_table(spark, sf) -> DataFrame:
     lagged = features.lag_features(cohort_series(spark, sf), KEYS, rolling=False)
-    rows = splits.tag_splits(lagged.dropna(subset=["load_lag_336"]), SPLITS)
+    rows = splits.tag_splits(lagged.dropna(subset=["load_lag_336"]), split_ranges(spark, sf))
     fitted = models.ridge_fit(
         rows.where("split = 'train'"), KEYS, ["load_lag_48"], "load_kwh", 1.0
     )
@@ -668,7 +665,7 @@ def point_model_comparison(spark, sf):
 
 
 def experiment_forecasts(spark, sf) -> DataFrame:
-    return experiment.model_forecasts(cohort_series(spark, sf), KEYS, SPLITS)
+    return experiment.model_forecasts(cohort_series(spark, sf), KEYS, split_ranges(spark, sf))
 
 
 @query
@@ -957,6 +954,19 @@ def backtest_method_table(spark, sf):
     return metrics.interval_metrics(df, ["cohort", "method"], 0.10)
 
 
+@query
+def backtest_default_windows(spark, sf):
+    """All methods at their default windows (1344, 336, 1344) and threshold on series of some 2,500 steps."""
+    df = backtest.run_backtest(daily_forecasts(spark, sf), KEYS)
+    return metrics.interval_metrics(df, ["cohort", "method"], 0.10)
+
+
+@query
+def shift_detector_default_windows(spark, sf):
+    df = backtest.run_backtest(daily_forecasts(spark, sf), KEYS, methods=["sa_acp"])
+    return single(df.select("cohort", "ts", "shift_score", "shift_flag", "alpha_t", "lower", "upper"), "shift_score", "alpha_t", "lower", "upper")
+
+
 # evaluation ---------------------------------------------------------------------------------
 
 def all_intervals(spark, sf) -> DataFrame:
@@ -999,7 +1009,7 @@ def interval_daily_sums(spark, sf):
 def interval_daily_diagnostics(spark, sf):
     df = backtest.run_backtest(forecasts(spark, sf), KEYS, SETTINGS, ["static", "rolling", "sa_acp"])
     days = metrics.daily_diagnostics(df, KEYS, {"sa": "sa_acp", "static": "static"})
-    return r(days, 6, "day_mae", "day_sa_cov", "day_static_cov", "day_sa_ace")
+    return single(days, "day_mae", "day_sa_cov", "day_static_cov", "day_sa_ace")
 
 
 @query
@@ -1012,6 +1022,13 @@ def conditional_reliability(spark, sf):
     return reliability.conditional_reliability(df, KEYS)
 
 
+@query
+def conditional_reliability_by_shift(spark, sf):
+    """The shift-aware intervals by the flag of their own detector, next to all other dimensions."""
+    df = backtest.run_backtest(forecasts(spark, sf), KEYS, SETTINGS, ["sa_acp"])
+    return reliability.conditional_reliability(cut_lineage(df), KEYS)
+
+
 @query
 def conditional_reliability_suppliers(spark, sf):
     """Many irregular series; tertiles of groups without a known size bound."""
@@ -1145,6 +1162,12 @@ def ablation_window_lengths(spark, sf):
     return ablation.window_lengths(forecasts(spark, sf), KEYS, (1, 3, 14), settings=SETTINGS)
 
 
+@query
+def ablation_window_lengths_default(spark, sf):
+    """Windows of 14, 28 and 56 days of 48 steps."""
+    return ablation.window_lengths(daily_forecasts(spark, sf), KEYS)
+
+
 @query
 def ablation_coverage_levels(spark, sf):
     return ablation.coverage_levels(

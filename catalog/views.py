@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,20 +13,11 @@ from loadshape.operators.features import lag_features, regularise
 from loadshape.operators.models import add_seasonal_naive, seasonal_quantile_fit, seasonal_quantile_predict
 from loadshape.operators.splits import tag_splits
 from loadshape.plans.backtest import BacktestSettings
+from loadshape.session import cut_lineage
 
-GRID = ("2024-01-01 00:00:00", "2024-01-30 23:30:00")
-SPLITS = {
-    "train": ("2024-01-08", "2024-01-17"),
-    "calibration": ("2024-01-18", "2024-01-22"),
-    "validation": ("2024-01-23", "2024-01-24"),
-    "test": ("2024-01-25", "2024-01-30"),
-}
-PER_SPLIT = {
-    "train": ("2024-01-01", "2024-01-13"),
-    "calibration": ("2024-01-14", "2024-01-19"),
-    "validation": ("2024-01-20", "2024-01-23"),
-    "test": ("2024-01-24", "2024-01-30"),
-}
+#: Splits as thirtieths of the days that the readings span: with 30 days, train is days 7 to 16.
+CUTS = {"train": (7, 17), "calibration": (17, 22), "validation": (22, 24), "test": (24, 30)}
+PER_SPLIT_CUTS = {"train": (0, 13), "calibration": (13, 19), "validation": (19, 23), "test": (23, 30)}
 KEYS = ["cohort"]
 SETTINGS = BacktestSettings(
     rolling_window=240, detector_window=96, reference_length=240, sa_acp=ShiftAwareVariant(threshold=0.15)
@@ -90,12 +83,26 @@ def halfhour_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def first_day_and_days(spark: SparkSession, sf_dir: str) -> tuple[dt.date, int]:
+    """The days that the readings span."""
+    first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    return first.date(), (last.date() - first.date()).days + 1
+
+
+def split_ranges(spark: SparkSession, sf_dir: str, cuts=CUTS) -> dict[str, tuple[str, str]]:
+    first, days = first_day_and_days(spark, sf_dir)
+    day = lambda k: first + dt.timedelta(days * k // 30)
+    return {name: (str(day(a)), str(day(b) - dt.timedelta(1))) for name, (a, b) in cuts.items()}
+
+
 def cohort_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cohort, ts, load_kwh, seq) on the full half-hour grid, 0 where nothing was metered."""
+    """(cohort, ts, load_kwh, seq) on the half-hour grid of all days there are, 0 where nothing was metered."""
+    first, days = first_day_and_days(spark, sf_dir)
+    grid = f"{first} 00:00:00", f"{first + dt.timedelta(days - 1)} 23:30:00"
     r = readings(spark, sf_dir).withColumn("slot", F.window("timestamp", "30 minutes")["start"])
     load = cohort_load(r, ts="slot").select("cohort", "ts", "load_kwh")
     names = spark.createDataFrame([(c,) for c in tariff_cohorts()], "cohort string")
-    return regularise(load, KEYS, 30, fill="zero", start=GRID[0], end=GRID[1], series=names)
+    return regularise(load, KEYS, 30, fill="zero", start=grid[0], end=grid[1], series=names)
 
 
 def typed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,16 +115,17 @@ def typed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tag_splits(cohort_series(spark, sf_dir), SPLITS)
+    return tag_splits(cohort_series(spark, sf_dir), split_ranges(spark, sf_dir))
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seasonal naive points and seasonal empirical quantiles for every split row."""
     lagged = lag_features(cohort_series(spark, sf_dir), KEYS, lags=(48, 336), rolling=False)
-    rows = tag_splits(lagged.dropna(subset=["load_lag_336"]), SPLITS)
+    rows = tag_splits(lagged.dropna(subset=["load_lag_336"]), split_ranges(spark, sf_dir))
     points = add_seasonal_naive(rows).select(
         "cohort", "ts", "seq", "split", F.col("load_kwh").alias("y"), "y_pred"
     )
+    points = cut_lineage(points, "points")  # read by the quantile fit, and by all that use the forecasts
     fitted = seasonal_quantile_fit(points.where("split = 'train'"), KEYS, "y")
     return seasonal_quantile_predict(points, fitted, KEYS)
 
@@ -125,6 +133,26 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unsettled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forecasts of calibration and test, of which every fifth hour has no outcome yet, nor the third test day."""
     hours = F.dayofmonth("ts") * 24 + F.hour("ts")
-    missing = (F.pmod(hours, F.lit(5)) == 0) | (F.to_date("ts") == F.lit("2024-01-27").cast("date"))
+    third = dt.date.fromisoformat(split_ranges(spark, sf_dir)["test"][0]) + dt.timedelta(2)
+    missing = (F.pmod(hours, F.lit(5)) == 0) | (F.to_date("ts") == F.lit(str(third)).cast("date"))
     rows = forecasts(spark, sf_dir).where("split in ('calibration', 'test')")
     return rows.withColumn("y", F.when(~missing, F.col("y")))
+
+
+def daily_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long series: quantity shipped per day by four groups of suppliers, the day before as forecast, a band around it.
+
+    The first six tenths of a series are calibration, the rest is test.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    shipped = li.groupBy(
+        F.concat(F.lit("g"), (F.col("l_suppkey") % 4).cast("string")).alias("cohort"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts")
+    ).agg(F.sum("l_quantity").cast("double").alias("y"))
+    series = cut_lineage(regularise(shipped, KEYS, 1440, value="y", fill="zero"), "daily")
+    lagged = lag_features(series, KEYS, "y", horizon=1, lags=(1,), rolling=False).withColumnRenamed("load_lag_1", "y_pred")
+    length = series.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    rows = lagged.join(length, KEYS).where("y_pred IS NOT NULL")
+    split = F.when(F.col("seq") * 10 < F.col("n") * 6, "calibration").otherwise("test")
+    return rows.select(
+        "cohort", "ts", "seq", split.alias("split"), "y", "y_pred", (F.col("y_pred") * 0.75).alias("q_lo"), (F.col("y_pred") * 1.25).alias("q_hi")
+    )

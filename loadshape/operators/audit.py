@@ -89,12 +89,6 @@ def retained_households(df: DataFrame, min_history_days: float = 90, max_missing
 def consumption_summary(df: DataFrame, value: str = "energy_kwh") -> DataFrame:
     """One row: mean, std (ddof 1), min, p25, median, p75, p99, max of the non-NULL readings."""
     keyed = df.select(F.lit(0).alias("_all"), F.col(value))
-    moments = keyed.groupBy("_all").agg(
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
     levels = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99}
-    quantiles = exact_quantiles(keyed, ["_all"], value, levels)
-    return moments.join(quantiles, "_all").select("mean", "std", "min", *levels, "max")
+    moments = {"mean": F.avg("_v"), "std": F.stddev_samp("_v"), "min": F.min("_v"), "max": F.max("_v")}
+    return exact_quantiles(keyed, ["_all"], value, levels, also=moments).select("mean", "std", "min", *levels, "max")

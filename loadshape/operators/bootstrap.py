@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadshape.functions.columns import rounded
 from loadshape.operators.metrics import metrics_from_sums
@@ -42,6 +45,22 @@ def unpack_draws(draws: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+#: Resamples, and series, that meet in one task.
+RESAMPLE_BLOCK, SERIES_BLOCK = 512, 256
+
+
+def _draw_lists(sizes: DataFrame, n_resamples: int, seed: int) -> DataFrame:
+    """(n_days, b, days): the days that resample ``b`` draws, as ``day_draws`` has them, in one array."""
+    resamples = sizes.select("n_days").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
+
+    def number(k: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), k.cast("string")))
+        return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("n_days")).cast("int")
+
+    resamples = resamples.repartition("n_days", "b")  # draw in parallel
+    return resamples.withColumn("days", F.transform(F.sequence(F.lit(0), (F.col("n_days") - 1).cast("int")), number))
+
+
 def resampled_metrics(
     daily: DataFrame,
     keys: Sequence[str],
@@ -56,32 +75,57 @@ def resampled_metrics(
 ) -> DataFrame:
     """Metrics of both methods per (series, resample), on the same days for both.
 
-    ``daily`` holds ``daily_sums``; raw rows are never read again.  ``digits``
-    rounds the metrics before they are differenced (None: full precision).
+    ``daily`` holds ``daily_sums``; raw rows are never read again.  How often a resample draws each day is a row of
+    a matrix, the daily sums of a series are another, and the resampled sums are their product: a block of resamples and
+    a block of series with the same number of days meet in one task, and only one row per (series, resample) comes
+    out.  ``digits`` rounds the metrics before they are differenced (None: full precision).
     """
     keys = list(keys)
     sums = ("n_obs", "n_covered", "sum_width", "sum_score")
+    sums_of = [f"{c}_{s}" for s in "ab" for c in sums]
 
     def side(name: str, suffix: str):
-        return [F.sum(F.when(F.col(method) == name, F.col(c))).alias(f"{c}_{suffix}") for c in sums]
+        return [F.sum(F.when(F.col(method) == name, F.col(c))).cast("double").alias(f"{c}_{suffix}") for c in sums]
 
     days = daily.where(F.col(method).isin(method_a, method_b)).groupBy(*keys, day).agg(
         *side(method_a, "a"), *side(method_b, "b")
     )
-    # days of one series: bounded by the calendar, one row each
-    w = Window.partitionBy(*keys)
-    indexed = days.withColumn("day_idx", (F.row_number().over(w.orderBy(day)) - 1).cast("bigint")).withColumn(
-        "n_days", F.count("*").over(w)
+    # days of one series: bounded by the calendar, one row of arrays
+    packed = days.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(day, *sums_of))).alias("_days"))
+    packed = packed.select(*keys, F.size("_days").cast("bigint").alias("n_days"), *[F.col(f"_days.{c}").alias(c) for c in sums_of])
+    blocks = packed.groupBy("n_days").agg(F.ceil(F.count(F.lit(1)) / SERIES_BLOCK).cast("int").alias("_blocks"))
+    left = packed.join(blocks, "n_days").withColumn("_series", F.pmod(F.xxhash64(*keys), F.col("_blocks")).cast("int"))
+    last = (n_resamples - 1) // RESAMPLE_BLOCK
+    left = left.withColumn("_resamples", F.explode(F.sequence(F.lit(0), F.lit(last)))).drop("_blocks")
+    right = _draw_lists(blocks, n_resamples, seed).join(blocks.withColumnRenamed("n_days", "_n"), F.col("n_days") == F.col("_n"))
+    right = right.select(
+        F.col("n_days").alias("n_days"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_series"),
+        F.floor(F.col("b") / RESAMPLE_BLOCK).cast("int").alias("_resamples"), "b", "days",
     )
-    draws = day_draws(indexed, n_resamples, seed)
-    sums_of = [f"{c}_{s}" for s in "ab" for c in sums]
-    # The draws are 8 bytes per resample and day.  While Spark measures them below its
-    # broadcast limit, the days stay partitioned by series and no shuffle follows; larger
-    # draws have correspondingly more (n_days, day) keys to spread a shuffled join over.
-    drawn = unpack_draws(indexed.join(draws, ["n_days", "day_idx"]), *keys, "n_days", *sums_of)
-    drawn = drawn.groupBy(*keys, "n_days", "b").agg(
-        *[F.sum(F.col(c) * F.col("times")).alias(c) for c in sums_of]
+    schema = T.StructType(
+        [daily.schema[k] for k in keys] + T._parse_datatype_string(f"n_days bigint, b int, {', '.join(f'{c} double' for c in sums_of)}").fields
     )
+
+    def product(series: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        if not len(series) or not len(draws):
+            return pd.DataFrame({f.name: [] for f in schema})
+        draws = draws.sort_values("b")
+        drawn = np.stack(draws["days"].to_numpy())
+        n, k = drawn.shape
+        times = np.bincount((drawn + np.arange(n)[:, None] * k).ravel(), minlength=n * k).reshape(n, k).astype(float)
+        out = {key: np.repeat(series[key].to_numpy(), n) for key in keys}
+        out |= {"n_days": k, "b": np.tile(draws["b"].to_numpy(), len(series))}
+        for c in sums_of:
+            held = np.stack(series[c].to_numpy()).astype(float)
+            there = ~np.isnan(held)
+            total = np.where(there, held, 0.0) @ times.T
+            # a sum over days of which none has the method is missing
+            out[c] = np.where(there.astype(float) @ times.T > 0, total, np.nan).ravel()
+        return pd.DataFrame(out)
+
+    by = ["n_days", "_series", "_resamples"]
+    drawn = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(product, schema)
+    drawn = drawn.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in sums_of})
     out = []
     for s in "ab":
         m = metrics_from_sums(alpha, digits, *[f"{c}_{s}" for c in sums])

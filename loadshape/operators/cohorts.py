@@ -85,11 +85,8 @@ def step_profile(
     """Mean, std (ddof 1), p10 and p90 by step of day."""
     group = [*keys, "half_hour_idx"]
     stepped = df.select(*keys, step_of_day(ts, steps_per_day).alias("half_hour_idx"), value)
-    moments = stepped.groupBy(*group).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")
-    )
-    band = exact_quantiles(stepped, group, value, {"p10": 0.1, "p90": 0.9})
-    return moments.join(band, group)
+    moments = {"mean": F.avg("_v"), "std": F.stddev_samp("_v")}
+    return exact_quantiles(stepped, group, value, {"p10": 0.1, "p90": 0.9}, also=moments).select(*group, *moments, "p10", "p90")
 
 
 def density_histogram(

@@ -34,8 +34,9 @@ def interval_sums(
     lower: str = "lower",
     upper: str = "upper",
 ) -> DataFrame:
-    """Sufficient statistics: rows, covered rows, summed width and summed interval score."""
-    return df.groupBy(*keys).agg(
+    """Sufficient statistics: rows, covered rows, summed width and summed interval score; over rows with an outcome."""
+    known = F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))
+    return df.where(known).groupBy(*keys).agg(
         F.count("*").alias("n_obs"),
         F.count_if(covers(y, lower, upper)).alias("n_covered"),
         F.sum(F.col(upper) - F.col(lower)).alias("sum_width"),

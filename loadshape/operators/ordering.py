@@ -199,16 +199,18 @@ Level = float | Callable[[Column], Column]
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, levels: Mapping[str, Level], count: str | None = None
+    df: DataFrame, keys: Sequence[str], value: str, levels: Mapping[str, Level], count: str | None = None,
+    also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group; a level may depend on the group size.
 
     A mergeable sketch brackets the ranks that are wanted, the values below each bracket are counted, and
     only the values inside are ordered: a thousandth of the group for a plain level, a
     64th for one that depends on the size, equal values merged.  A group too small
-    for the sketch to tell its ranks apart lies in its brackets as a whole.
+    for the sketch to tell its ranks apart lies in its brackets as a whole.  ``also`` adds aggregates of the values
+    that are present, taken in the pass of the sketch.  Should a rank ever lie outside its bracket, the query stops.
     """
-    keys, names = list(keys), list(levels)
+    keys, names, also = list(keys), list(levels), dict(also or {})
     present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     points = sorted(
         {min(1.0, max(0.0, float(lv) + d)) for lv in levels.values() if not callable(lv) for d in (-MARGIN, MARGIN)}
@@ -216,7 +218,8 @@ def exact_quantiles(
     )
     total = F.col("_n")
     sketch = present.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(x) for x in points]), F.lit(ACCURACY)).alias("_q")
+        F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(x) for x in points]), F.lit(ACCURACY)).alias("_q"),
+        *[c.alias(n) for n, c in also.items()],
     )
     sure = total > ACCURACY
     ends, ranks = {}, {}
@@ -234,7 +237,7 @@ def exact_quantiles(
             high_end = F.get("_q", F.lit(points.index(high))) if high < 1 else F.lit(None)
         ends[f"_low_{i}"], ends[f"_high_{i}"] = F.when(sure, low_end), F.when(sure, high_end)
         ranks[f"_rank_{i}"] = (total - 1) * share
-    brackets = sketch.select(*keys, "_n", *[c.alias(n) for n, c in {**ends, **ranks}.items()])
+    brackets = sketch.select(*keys, "_n", *also, *[c.alias(n) for n, c in {**ends, **ranks}.items()])
     placed = lookup(present, brackets, keys)
     each = range(len(names))
     under = [F.coalesce(F.col("_v") < F.col(f"_low_{i}"), F.lit(False)) for i in each]
@@ -243,10 +246,10 @@ def exact_quantiles(
     # values inside a bracket one by one, all others merged by the brackets that they lie below
     merged = (
         placed.select(
-            *keys, "_n", *ranks, F.when(F.size(inside) > 0, F.col("_v")).alias("_v"), inside.alias("_in"), F.array(*under).alias("_under")
+            *keys, "_n", *also, *ranks, F.when(F.size(inside) > 0, F.col("_v")).alias("_v"), inside.alias("_in"), F.array(*under).alias("_under")
         )
         .groupBy(*keys, "_v", "_in", "_under")
-        .agg(F.count("*").alias("_c"), *[F.first(c).alias(c) for c in ("_n", *ranks)])
+        .agg(F.count("*").alias("_c"), *[F.first(c).alias(c) for c in ("_n", *also, *ranks)])
     )
     group = Window.partitionBy(*keys)
     upto = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -254,7 +257,7 @@ def exact_quantiles(
         merged.withColumn(
             "_below", F.array(*[F.sum(F.when(F.get("_under", F.lit(i)), F.col("_c")).otherwise(0)).over(group) for i in each])
         )
-        .withColumn("_i", F.explode("_in"))
+        .withColumn("_i", F.explode_outer("_in"))
         .withColumn("_upto", F.sum("_c").over(upto))
         .withColumn("_h", F.get(F.array(*[F.col(r) for r in ranks]), F.col("_i")))
         .withColumn("_through", F.col("_upto") + F.get("_below", F.col("_i")))
@@ -265,8 +268,8 @@ def exact_quantiles(
         return (before <= rank) & (rank < F.col("_through"))
 
     lo, hi = F.floor("_h"), F.ceil("_h")
-    found = known.where(at(lo) | at(hi)).groupBy(*keys).agg(
-        F.max("_n").alias("_count"),
+    found = known.groupBy(*keys).agg(
+        F.max("_n").alias("_count"), *[F.first(c).alias(c) for c in also],
         *[
             c
             for i in each
@@ -277,8 +280,14 @@ def exact_quantiles(
             )
         ],
     )
+    def checked(i: int) -> Column:
+        met = F.col(f"_lo_{i}").isNotNull() & F.col(f"_hi_{i}").isNotNull()
+        between = F.col(f"_lo_{i}") + F.col(f"_frac_{i}") * (F.col(f"_hi_{i}") - F.col(f"_lo_{i}"))
+        return F.when(met, between).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")))
+
     return found.select(
         *keys,
-        *[(F.col(f"_lo_{i}") + F.col(f"_frac_{i}") * (F.col(f"_hi_{i}") - F.col(f"_lo_{i}"))).alias(n) for i, n in enumerate(names)],
+        *[checked(i).alias(n) for i, n in enumerate(names)],
+        *also,
         *([F.col("_count").alias(count)] if count else []),
     )

@@ -46,11 +46,15 @@ def reliability_keys(
 ) -> tuple[DataFrame, dict[str, Column]]:
     """Rows with every subgroup label, and the dimensions available for them."""
     ramped = add_ramps(df, keys, y, seq, "ramp", chunk)
-    cuts = exact_quantiles(ramped, keys, y, TERTILES).withColumnsRenamed(
-        {"_t1": "_l1", "_t2": "_l2"}
-    )
-    ramp_cuts = exact_quantiles(ramped, keys, "ramp", TERTILES)
-    labelled = lookup(ramped, cuts.join(ramp_cuts, list(keys)), keys)
+    # both variables in one sketch and one pass over the brackets
+    both = F.inline(F.array(*[
+        F.struct(F.lit(n).alias("_of"), F.col(c).cast("double").alias("_value")) for n, c in (("_l", y), ("_t", "ramp"))
+    ]))
+    levels = exact_quantiles(ramped.select(*keys, both), [*keys, "_of"], "_value", TERTILES)
+    cuts = levels.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_of") == n, F.col(f"_t{i}"))).alias(f"{n}{i}") for n in ("_l", "_t") for i in (1, 2)
+    ])
+    labelled = lookup(ramped, cuts, keys)
     hour = F.hour(ts)
     # Names of the dimensions and subgroups
     dims: dict[str, Column] = {
