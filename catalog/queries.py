@@ -18,7 +18,7 @@ from catalog.views import (
     forecasts,
     halfhour_readings,
     readings,
-    split_ranges,
+    series_and_ranges,
     split_series,
     table,
     typed_series,
@@ -410,7 +410,7 @@ def feature_table(spark, sf):
 
 @query
 def feature_table_per_split(spark, sf):
-    tagged = splits.tag_splits(cohort_series(spark, sf), split_ranges(spark, sf, PER_SPLIT_CUTS))
+    tagged = splits.tag_splits(*series_and_ranges(spark, sf, PER_SPLIT_CUTS))
     df = features.forecasting_table(tagged, KEYS, lags=(48, 96), warmup="per_split")
     cols = features.load_feature_names((48, 96))
     return single(df.select("cohort", "split", "ts", *cols), *cols)
@@ -487,8 +487,9 @@ def model_seasonal_naive(spark, sf):
 
 @query
 def model_ridge_one_feature(spark, sf):
-    rows = features.lag_features(cohort_series(spark, sf), KEYS, lags=(48, 336), rolling=False)
-    tagged = splits.tag_splits(rows.dropna(subset=["load_lag_336"]), split_ranges(spark, sf))
+    series, ranges = series_and_ranges(spark, sf)
+    rows = features.lag_features(series, KEYS, lags=(48, 336), rolling=False)
+    tagged = splits.tag_splits(rows.dropna(subset=["load_lag_336"]), ranges)
     fitted = models.ridge_fit(tagged.where("split = 'train'"), KEYS, ["load_lag_48"], "load_kwh", 1.0)
     df = models.ridge_predict(tagged.where("split = 'test'"), fitted, KEYS, ["load_lag_48"])
     return r(df.select("cohort", "ts", "y_pred"), 6, "y_pred")
@@ -517,7 +518,8 @@ def model_ridge_large_means(spark, sf):
 
 
 def feature_rows(spark, sf) -> DataFrame:
-    tagged = splits.tag_splits(features.forecasting_table(cohort_series(spark, sf), KEYS), split_ranges(spark, sf))
+    series, ranges = series_and_ranges(spark, sf)
+    tagged = splits.tag_splits(features.forecasting_table(series, KEYS), ranges)
     return cut_lineage(tagged, "features")
 
 
@@ -646,8 +648,9 @@ def model_quantile_interval(spark, sf):
 
 
 def model_table(spark, sf) -> DataFrame:
-    lagged = features.lag_features(cohort_series(spark, sf), KEYS, rolling=False)
-    rows = splits.tag_splits(lagged.dropna(subset=["load_lag_336"]), split_ranges(spark, sf))
+    series, ranges = series_and_ranges(spark, sf)
+    lagged = features.lag_features(series, KEYS, rolling=False)
+    rows = splits.tag_splits(lagged.dropna(subset=["load_lag_336"]), ranges)
     fitted = models.ridge_fit(
         rows.where("split = 'train'"), KEYS, ["load_lag_48"], "load_kwh", 1.0
     )
@@ -665,7 +668,8 @@ def point_model_comparison(spark, sf):
 
 
 def experiment_forecasts(spark, sf) -> DataFrame:
-    return experiment.model_forecasts(cohort_series(spark, sf), KEYS, split_ranges(spark, sf))
+    series, ranges = series_and_ranges(spark, sf)
+    return experiment.model_forecasts(series, KEYS, ranges)
 
 
 @query

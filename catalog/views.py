@@ -83,26 +83,24 @@ def halfhour_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def first_day_and_days(spark: SparkSession, sf_dir: str) -> tuple[dt.date, int]:
-    """The days that the readings span."""
-    first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
-    return first.date(), (last.date() - first.date()).days + 1
+def series_and_ranges(spark: SparkSession, sf_dir: str, cuts=CUTS) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
+    """(cohort, ts, load_kwh, seq) on the half-hour grid of all days there are, 0 where nothing was metered; and splits.
 
-
-def split_ranges(spark: SparkSession, sf_dir: str, cuts=CUTS) -> dict[str, tuple[str, str]]:
-    first, days = first_day_and_days(spark, sf_dir)
+    The readings are read once, for the load per cohort and half-hour; days and splits come from that small table.
+    """
+    r = readings(spark, sf_dir).withColumn("slot", F.window("timestamp", "30 minutes")["start"])
+    load = cut_lineage(cohort_load(r, ts="slot").select("cohort", "ts", "load_kwh"), "load")
+    begin, end = load.agg(F.min("ts"), F.max("ts")).first()
+    first, days = begin.date(), (end.date() - begin.date()).days + 1
     day = lambda k: first + dt.timedelta(days * k // 30)
-    return {name: (str(day(a)), str(day(b) - dt.timedelta(1))) for name, (a, b) in cuts.items()}
+    ranges = {name: (str(day(a)), str(day(b) - dt.timedelta(1))) for name, (a, b) in cuts.items()}
+    grid = f"{first} 00:00:00", f"{day(30) - dt.timedelta(1)} 23:30:00"
+    names = spark.createDataFrame([(c,) for c in tariff_cohorts()], "cohort string")
+    return regularise(load, KEYS, 30, fill="zero", start=grid[0], end=grid[1], series=names), ranges
 
 
 def cohort_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cohort, ts, load_kwh, seq) on the half-hour grid of all days there are, 0 where nothing was metered."""
-    first, days = first_day_and_days(spark, sf_dir)
-    grid = f"{first} 00:00:00", f"{first + dt.timedelta(days - 1)} 23:30:00"
-    r = readings(spark, sf_dir).withColumn("slot", F.window("timestamp", "30 minutes")["start"])
-    load = cohort_load(r, ts="slot").select("cohort", "ts", "load_kwh")
-    names = spark.createDataFrame([(c,) for c in tariff_cohorts()], "cohort string")
-    return regularise(load, KEYS, 30, fill="zero", start=grid[0], end=grid[1], series=names)
+    return series_and_ranges(spark, sf_dir)[0]
 
 
 def typed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,13 +113,14 @@ def typed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tag_splits(cohort_series(spark, sf_dir), split_ranges(spark, sf_dir))
+    return tag_splits(*series_and_ranges(spark, sf_dir))
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seasonal naive points and seasonal empirical quantiles for every split row."""
-    lagged = lag_features(cohort_series(spark, sf_dir), KEYS, lags=(48, 336), rolling=False)
-    rows = tag_splits(lagged.dropna(subset=["load_lag_336"]), split_ranges(spark, sf_dir))
+    series, ranges = series_and_ranges(spark, sf_dir)
+    lagged = lag_features(series, KEYS, lags=(48, 336), rolling=False)
+    rows = tag_splits(lagged.dropna(subset=["load_lag_336"]), ranges)
     points = add_seasonal_naive(rows).select(
         "cohort", "ts", "seq", "split", F.col("load_kwh").alias("y"), "y_pred"
     )
@@ -133,9 +132,9 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unsettled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forecasts of calibration and test, of which every fifth hour has no outcome yet, nor the third test day."""
     hours = F.dayofmonth("ts") * 24 + F.hour("ts")
-    third = dt.date.fromisoformat(split_ranges(spark, sf_dir)["test"][0]) + dt.timedelta(2)
-    missing = (F.pmod(hours, F.lit(5)) == 0) | (F.to_date("ts") == F.lit(str(third)).cast("date"))
     rows = forecasts(spark, sf_dir).where("split in ('calibration', 'test')")
+    third = rows.where("split = 'test'").agg(F.date_add(F.min(F.to_date("ts")), 2)).first()[0]
+    missing = (F.pmod(hours, F.lit(5)) == 0) | (F.to_date("ts") == F.lit(str(third)).cast("date"))
     return rows.withColumn("y", F.when(~missing, F.col("y")))
 
 
