@@ -1,13 +1,20 @@
-"""HTML extraction by wrappers: union-free regular expressions inferred from the pages of a host."""
+"""HTML extraction by wrappers: union-free regular expressions inferred from the pages of a host.
+
+A page is a stream of tokens: blocks that open and close, and text.  Streams of one host are aligned along their open
+blocks: what is found at the same place of two pages is one item of the expression, what only some pages have becomes
+optional, what a page has several times at one place a repeated group, and text that differs a slot.  Extraction matches
+a page with its host's expression: slots and groups with text of their own are content, text that all pages share is
+template; tags and class names are hints on which items are menus, adverts and the like.
+"""
 
 from __future__ import annotations
 
 import html
 import json
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from difflib import SequenceMatcher
 
 import pandas as pd
 import xxhash
@@ -32,236 +39,320 @@ BOILER_WORDS = frozenset(
     "breadcrumbs header footer comment comments disqus notice cookie cookies consent popup modal newsletter subscribe "
     "related share social widget toolbar pagination".split()
 )
+#: Class names with one of these say what a block has or lacks, not what it is.
+HAVING = frozenset("no not with without has have is hide".split())
+#: Blocks around everything, whatever their class names.
+FRAMES = frozenset("html body main article".split())
 MAIN_TAGS = ("article", "main")
+#: Open blocks that a path names.
+DEEP = 200
 #: An opening tag that ends an open element of these kinds.
 ENDED_BY = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 P_ENDS_AT = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_TAG = re.compile(r"[a-zA-Z][^\s/>]*")
+_MARK = re.compile("[>\"']")
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, value): ('open', tag, path element), ('close', tag, ''), ('text', '', characters as they stand)."""
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            yield "text", "", page[at : m.start()]
+def _tag_end(page: str, at: int, lone: set[str]) -> int:
+    """Position after the ``>`` that ends the tag begun before ``at``, quoted ones passed over; -1 if there is none.
+
+    A quote that is never closed is a character like any other; ``lone`` remembers which kinds are, so that a page is
+    searched for each once.
+    """
+    while m := _MARK.search(page, at):
         at = m.end()
-        if m["raw"]:
-            yield "open", m["raw"].lower(), m["raw"].lower()
-            yield "close", m["raw"].lower(), ""
-        elif m["tag"]:
-            tag = m["tag"].lower()
-            if m["close"]:
-                yield "close", tag, ""
+        if m[0] == ">":
+            return at
+        if m[0] not in lone:
+            end = page.find(m[0], at)
+            if end < 0:
+                lone.add(m[0])
             else:
-                words = sorted({w for n in _NAMES.findall(m["attrs"]) for w in re.split(r"[^a-z]+", "".join(n).lower()) if w})
-                yield "open", tag, ".".join([tag, *words])
-    if at < len(page):
-        yield "text", "", page[at:]
+                at = end + 1
+    return -1
+
+
+def _names(attrs: str) -> list[str]:
+    """Class, id and role names in lower case, their numbers left out: ``post-12 no_sidebar`` gives no-sidebar, post."""
+    if "=" not in attrs:
+        return []
+    found = {"-".join(w for w in re.split("[^a-z]+", n) if w) for v in _NAMES.findall(attrs) for n in "".join(v).lower().split()}
+    return sorted(found - {""})
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, value): ('open', tag, path element), ('close', tag, ''), ('text', '', characters as they stand).
+
+    One pass from left to right: no character is looked at more than a few times, however broken the markup.  A tag that
+    is never closed ends the page.
+    """
+    text, at, lone = 0, 0, set()
+    lower = None
+    while (lt := page.find("<", at)) >= 0:
+        close = page.startswith("/", lt + 1)
+        m = _TAG.match(page, lt + 1 + close)
+        if not m:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                end = len(page) if end < 0 else end + 3
+            elif close or page[lt + 1 : lt + 2] in ("!", "?"):
+                end = page.find(">", lt) + 1 or len(page)
+            else:  # a character of the text
+                at = lt + 1
+                continue
+            if lt > text:
+                yield "text", "", page[text:lt]
+            text = at = end
+            continue
+        if lt > text:
+            yield "text", "", page[text:lt]
+        end = _tag_end(page, m.end(), lone)
+        tag = m[0].lower()
+        if end < 0:
+            return
+        if close:
+            yield "close", tag, ""
+        elif tag in RAW:
+            yield "open", tag, tag
+            yield "close", tag, ""
+            lower = page.lower() if lower is None else lower
+            # lower case may change the length of a page; then its own characters are searched
+            found = (lower if len(lower) == len(page) else page).find(f"</{tag}", end)
+            end = len(page) if found < 0 else page.find(">", found) + 1 or len(page)
+        else:
+            yield "open", tag, ".".join([tag, *_names(page[m.end() : end - 1])])
+        text = at = end
+    if text < len(page):
+        yield "text", "", page[text:]
 
 
-def walk(page: str) -> Iterator[tuple[str, str, str]]:
-    """(symbol, path, text) of a page: symbols are tags and ``#`` for text; the path names the open blocks.
+def walk(page: str) -> Iterator[tuple[bool, str, str]]:
+    """(is text, path, text) of a page: the path names the open blocks; between texts, a space where a block begins or ends.
 
-    Ends that HTML lets out are put in, ends without a beginning left out; inline elements aren't part of a path.
+    Ends that HTML lets out are put in, ends without a beginning left out; inline elements aren't part of a path.  Blocks
+    inside more than ``DEEP`` others share the path of the outer ones, but for tags that say what main text is.
     """
-    stack: list[tuple[str, str]] = []
-    path = ""
+    stack: list[tuple[str, str]] = []  # tag, and path with it
+    opened: Counter = Counter()
+
+    def path() -> str:
+        return stack[-1][1] if stack else ""
+
     for kind, tag, value in tokens(page):
         if kind == "text":
-            yield "#", path, value
+            yield True, path(), value
             continue
         if tag in INLINE or tag in VOID:
-            yield ("/" if kind == "close" else "") + tag, path, " " if tag in VOID else ""
+            yield False, path(), " " if tag in VOID else ""
             continue
         if kind == "open":
             ends = ENDED_BY.get(tag, ()) + (("p",) if tag in P_ENDS_AT else ())
             while stack and stack[-1][0] in ends:
-                stack.pop()
-            stack.append((tag, value))
-        elif any(t == tag for t, _ in stack):
-            while stack.pop()[0] != tag:
-                pass
-        path = "/".join(v for _, v in stack)
-        yield ("/" + tag if kind == "close" else value), path, " "
-
-
-def fold(symbols: Sequence[str], longest: int = 24) -> list[str]:
-    """Repeats side by side become one group ``( ... )+``, shortest first, until none is left."""
-    out = list(symbols)
-    length = 1
-    while length <= min(longest, len(out) // 2):
-        folded: list[str] = []
-        at = 0
-        while at < len(out):
-            end = at + length
-            if end < len(out) and out[at] == out[end] and out[at:end] == (group := out[end : end + length]):
-                while out[end : end + length] == group:
-                    end += length
-                # text beside text is one slot, a group beside itself one group
-                folded += group if length == 1 and (group[0] == "#" or group[0][0] == "(") else ["( " + " ".join(group) + " )+"]
-                at = end
+                opened[stack.pop()[0]] -= 1
+            outer = path()
+            if len(stack) < DEEP:
+                inner = f"{outer}/{value}" if outer else value
             else:
-                folded.append(out[at])
-                at += 1
-        # a group may make shorter repeats
-        length = 1 if len(folded) < len(out) and length > 1 else length + 1
-        out = folded
-    return out
+                told = tag in BOILER_TAGS or tag in FRAMES
+                inner = f"{outer}/{tag}" if told and tag not in outer.split("/")[DEEP:] else outer
+            stack.append((tag, inner))
+            opened[tag] += 1
+        elif opened[tag]:
+            while (last := stack.pop()[0]) != tag:
+                opened[last] -= 1
+            opened[tag] -= 1
+        yield False, path(), " "
+
+
+def text_hash(value: str) -> int:
+    """Signed 64-bit hash of a text with its white space made one space."""
+    h = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 @dataclass
 class Wrapper:
-    """What the pages of a host have in common.
+    """The expression of a host: per place (the path of its open blocks), in the order of first appearance, how many
+    pages have it, how often one page has it at most, its characters of text, and the least and greatest hash of its
+    texts (equal: a constant)."""
 
-    ``items`` is the expression: symbols, groups ``( ... )+`` and, marked ``?``, what not all pages have.
-    ``slots`` are its text slots by path: characters of text, and the least and greatest hash of a
-    whole text (equal: always the same).
-    """
-
-    items: list[str] = field(default_factory=list)
     pages: int = 0
-    slots: dict[str, list] = field(default_factory=dict)
+    places: dict[str, list] = field(default_factory=dict)
 
     def align(self, other: Wrapper) -> None:
-        """Generalise to cover ``other`` as well: equal runs stay, a group meets one of its instances as the group,
-        any other mismatch becomes optional."""
-        if not self.pages:
-            self.items, self.pages = list(other.items), other.pages
-            self.slots = {k: list(v) for k, v in other.slots.items()}
-            return
-        if other.items != self.items:
-            self.items = _aligned(self.items, other.items)
+        """Generalise to cover ``other`` as well."""
         self.pages += other.pages
-        for path, (n, low, high) in other.slots.items():
-            slot = self.slots.setdefault(path, [0, low, high])
-            slot[0] += n
-            slot[1], slot[2] = min(slot[1], low), max(slot[2], high)
-
-    def main(self) -> list[str]:
-        """Paths of the slots that hold main text.
-
-        Menus, headers, footers, adverts and the like are known by their elements.  Of the rest, slots inside an
-        article (else a main) element are the main text; where the host has neither, those of the block whose slots
-        hold the most text that differs between pages.
+        for path, (n, most, chars, low, high) in other.places.items():
+            mine = self.places.get(path)
+            if mine is None:
+                self.places[path] = [n, most, chars, low, high]
+            else:
+                mine[0] += n
+                mine[1] = max(mine[1], most)
+                mine[2] += chars
+                mine[3], mine[4] = min(mine[3], low), max(mine[4], high)
+
+    def expression(self) -> str:
+        """The expression in writing: ``( place )+`` repeats, ``?`` is optional, ``#`` a slot, ``=`` a constant text."""
+        out = []
+        for path, (n, most, _, low, high) in self.places.items():
+            item = f"{path} {'=' if low == high and self.pages > 1 else '#'}"
+            out.append((f"( {item} )+" if most > 1 else item) + ("?" if n < self.pages else ""))
+        return "\n".join(out)
+
+    def boiler(self) -> set[str]:
+        """Places inside a menu, header, footer, sidebar, notice, advert, form or comments.
+
+        Tags of that kind, and class names that are such a word as a whole, always say so.  Names made up of several words,
+        and forms, say so unless they hold most of the text of the pages.
         """
-        kept = {p: s for p, s in self.slots.items() if not any(_boiler(e) for e in p.split("/"))}
-        for tag in MAIN_TAGS:
-            inside = [p for p in kept if any(e.split(".")[0] == tag for e in p.split("/"))]
-            if inside:
-                return sorted(inside)
-        blocks: dict[str, int] = {}
-        for path, (n, low, high) in kept.items():
+        held: Counter = Counter()
+        for path, place in self.places.items():
+            at = -1
+            while (at := path.find("/", at + 1)) >= 0:
+                held[path[:at]] += place[2]
+            held[path] += place[2]
+        total = sum(place[2] for place in self.places.values())
+        out = set()
+        for path in self.places:
+            prefix = ""
+            for element in path.split("/"):
+                prefix = f"{prefix}/{element}" if prefix else element
+                if _boiler(element, 2 * held[prefix] < total):
+                    out.add(path)
+                    break
+        return out
+
+    def main(self) -> dict[str, list[str]]:
+        """Places of the main text: for pages that have one inside an article, inside a main element, and for all others.
+
+        For the others: of the blocks whose text differs between pages, the one with the most, and those beside it that
+        have a fifth as much at least, with all below them.
+        """
+        boiler = self.boiler()
+        kept = {p: s for p, s in self.places.items() if p not in boiler}
+        inside = {tag: sorted(p for p in kept if any(e.split(".")[0] == tag for e in p.split("/"))) for tag in MAIN_TAGS}
+        blocks: Counter = Counter()
+        for path, (_, _, chars, low, high) in kept.items():
             if low != high or self.pages == 1:
-                parent = path.rpartition("/")[0] or path
-                blocks[parent] = blocks.get(parent, 0) + n
-        if not blocks:
-            return sorted(kept)
-        best = max(sorted(blocks), key=lambda b: blocks[b])
-        return sorted(p for p in kept if p == best or p.startswith(best + "/"))
+                blocks[path.rpartition("/")[0]] += chars
+        most = max(blocks.values(), default=0)
+        chosen = [b for b, n in blocks.items() if 5 * n >= most] if blocks else list(kept)
+        below = lambda p, b: p == b or (p.startswith(b + "/") if b else "/" not in p)
+        return inside | {"": sorted(p for p in kept if any(below(p, b) for b in chosen))}
 
     def dump(self) -> str:
-        return json.dumps([self.items, self.pages, self.slots])
+        return json.dumps([self.pages, self.places])
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
         return cls(*json.loads(text))
 
 
-def _boiler(element: str) -> bool:
-    tag, *words = element.split(".")
-    return tag in BOILER_TAGS or any(w in BOILER_WORDS for w in words)
-
-
-def _bare(item: str) -> str:
-    return item[:-1] if item.endswith("?") else item
-
-
-def _aligned(a: list[str], b: list[str]) -> list[str]:
-    out: list[str] = []
-
-    def optional(items: Iterable[str]) -> None:
-        out.extend(i if i.endswith("?") else i + "?" for i in items)
-
-    matcher = SequenceMatcher(None, [_bare(x) for x in a], [_bare(x) for x in b], autojunk=False)
-    for how, a0, a1, b0, b1 in matcher.get_opcodes():
-        if how == "equal":
-            out += [x if x.endswith("?") else y for x, y in zip(a[a0:a1], b[b0:b1])]
-            continue
-        left, right = a[a0:a1], b[b0:b1]
-        one, other = " ".join(map(_bare, left)), " ".join(map(_bare, right))
-        if one and other and f"( {one} )+" == other:
-            out += right
-        elif one and other and f"( {other} )+" == one:
-            out += left
-        else:
-            optional(left)
-            optional(right)
-    squeezed: list[str] = []
-    for item in out:  # an optional run met twice side by side is met once
-        if not (item.endswith("?") and squeezed and squeezed[-1] == item):
-            squeezed.append(item)
-    return squeezed
-
-
-def wrap(page: str) -> Wrapper:
-    """The wrapper of a single page: its tags with repeats folded, and its text slots."""
-    symbols, slots = [], {}
-    for symbol, path, text in walk(page):
-        if symbol != "#":
-            symbols.append(symbol)
-            continue
-        value = " ".join(text.split())
-        if value:
-            symbols.append("#")
-            whole = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"))
-            slot = slots.setdefault(path, [0, whole, whole])
-            slot[0] += len(value)
-            slot[1], slot[2] = min(slot[1], whole), max(slot[2], whole)
-    return Wrapper(fold(symbols), 1, slots)
-
-
-def main_text(page: str, paths: frozenset[str]) -> str:
-    """Text of the slots at ``paths``: references decoded, white space made one space, blocks joined by a space."""
-    parts = []
-    for symbol, path, text in walk(page):
-        if symbol != "#":
-            parts.append(text)
-        elif path in paths:
-            parts.append(html.unescape(text))
-    return " ".join("".join(parts).split())
+def _boiler(element: str, is_part: bool) -> bool:
+    tag, *names = element.split(".")
+    if tag in BOILER_TAGS:
+        return tag != "form" or is_part
+    if tag in FRAMES:
+        return False
+    for name in names:
+        words = name.split("-")
+        if len(words) == 1 and name in BOILER_WORDS:
+            return True
+        if is_part and not HAVING & set(words) and BOILER_WORDS & {words[0], words[-1]}:
+            return True
+    return False
+
+
+def wrap(page: str) -> tuple[Wrapper, set[int]]:
+    """The wrapper of a single page, and the hashes of its texts outside of what is never main text."""
+    places: dict[str, list] = {}
+    texts: set[int] = set()
+    never: dict[str, bool] = {}
+    for is_text, path, text in walk(page):
+        if is_text and (value := " ".join(text.split())):
+            whole = text_hash(value)
+            place = places.setdefault(path, [1, 0, 0, whole, whole])
+            place[1] += 1
+            place[2] += len(value)
+            place[3], place[4] = min(place[3], whole), max(place[4], whole)
+            if path not in never:
+                never[path] = any(_boiler(e, False) for e in path.split("/"))
+            if not never[path]:
+                texts.add(whole)
+    return Wrapper(1, places), texts
+
+
+def main_text(page: str, places: dict[str, frozenset[str]], template: frozenset[int] = frozenset()) -> str:
+    """Text at the places of the main text: references decoded, white space made one space, blocks joined by a space.
+
+    Texts of the host's ``template`` are left out, unless they are most of what there is: then pages are alike because
+    their articles are.
+    """
+    stream = list(walk(page))
+    found = {path for is_text, path, text in stream if is_text and not text.isspace()}
+    here = next((places[tag] for tag in MAIN_TAGS if found & places[tag]), places[""])
+
+    def joined(less: frozenset[int]) -> str:
+        parts = []
+        for is_text, path, text in stream:
+            if not is_text:
+                parts.append(text)
+            elif path in here and not (less and text_hash(" ".join(text.split())) in less):
+                parts.append(html.unescape(text))
+        return " ".join("".join(parts).split())
+
+    whole = joined(frozenset())
+    if template:
+        own = joined(template)
+        return own if 2 * len(own) >= len(whole) else whole
+    return whole
 
 
 #: Partial wrappers of a host that one task merges at a time, and hosts whose wrappers are broadcast at most.
 FAN_IN, BROADCAST_HOSTS = 64, 20_000
 
 
-def infer(pages: DataFrame, host: str, page: str) -> DataFrame:
-    """(host, wrapper): per host one wrapper of all its pages.
+#: Texts of a task counted at a time; and the pages, and tenths of a host's pages, that a template's text is on at least.
+COUNTED, LEAST_PAGES, TENTHS = 200_000, 3, 9
+
+
+def infer(pages: DataFrame, host: str, page: str) -> tuple[DataFrame, DataFrame]:
+    """Per host one wrapper of all its pages (host, wrapper), and the texts of its template (host, texts).
 
     Every task aligns the pages it reads, host by host, and passes on a wrapper per host; those are merged up a tree,
-    at most ``FAN_IN`` tasks' at a time, so a host with a third of all pages is spread like any other.  Which slots
-    are main text depends on sums, minima and maxima only, so the order of merging has no part in it.
+    at most ``FAN_IN`` tasks' at a time, so a host with a third of all pages is spread like any other.  Which places
+    are main text depends on sums, minima and maxima only, so the order of merging has no part in it.  Texts are counted
+    by hash, once a page, with partial sums: those on nearly all pages of a host are its template.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        task = TaskContext.get().partitionId()
         found: dict[str, Wrapper] = {}
+        counts: Counter = Counter()
+
+        def counted() -> pd.DataFrame:
+            rows = pd.DataFrame([(h, task, None, t, n) for (h, t), n in counts.items()], columns=["host", "task", "wrapper", "text", "n"])
+            counts.clear()
+            return rows
+
         for batch in batches:
             for h, p in zip(batch["host"], batch["page"]):
-                found.setdefault(h, Wrapper()).align(wrap(p))
+                wrapper, texts = wrap(p)
+                found.setdefault(h, Wrapper()).align(wrapper)
+                counts.update((h, t) for t in texts)
+                if len(counts) >= COUNTED:
+                    yield counted()
+        if counts:
+            yield counted()
         if found:
-            task = TaskContext.get().partitionId()
-            yield pd.DataFrame({"host": list(found), "task": task, "wrapper": [w.dump() for w in found.values()]})
+            yield pd.DataFrame({"host": list(found), "task": task, "wrapper": [w.dump() for w in found.values()], "text": None, "n": [w.pages for w in found.values()]})
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         merged = Wrapper()
@@ -271,7 +362,12 @@ def infer(pages: DataFrame, host: str, page: str) -> DataFrame:
 
     schema = "host string, task int, wrapper string"
     rows = pages.select(F.col(host).alias("host"), F.col(page).alias("page"))
-    found = cut(rows.mapInPandas(partial, schema))
+    passed = cut(rows.mapInPandas(partial, f"{schema}, text long, n long"))
+    sizes = passed.where("wrapper IS NOT NULL").groupBy("host").agg(F.sum("n").alias("pages"))
+    often = passed.where("text IS NOT NULL").groupBy("host", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    often = often.join(sizes, "host").where(F.col("n") * 10 >= F.col("pages") * TENTHS)
+    template = often.groupBy("host").agg(F.collect_list("text").alias("texts"))
+    found = passed.where("wrapper IS NOT NULL").select("host", "task", "wrapper")
     most = found.agg(F.max("task")).first()[0]
     while most is not None:
         found = found.groupBy("host", F.floor(F.col("task") / FAN_IN).alias("part")).applyInPandas(lambda g: merge(g), schema)
@@ -279,7 +375,7 @@ def infer(pages: DataFrame, host: str, page: str) -> DataFrame:
             break
         most //= FAN_IN
         found = cut(found)
-    return found.select("host", "wrapper")
+    return found.select("host", "wrapper"), template
 
 
 def host_of(url: Column) -> Column:
@@ -290,25 +386,37 @@ def host_of(url: Column) -> Column:
 def extract(df: DataFrame, url: str = "url", page: str = "html", out: str = "main_text") -> DataFrame:
     """``df`` with the main text of ``page``, by the wrapper of the page's host.
 
-    A NULL or empty page has empty text; rows without url share the host ''.  Repeated rows are extracted each.
-    Pages aren't moved: the wrappers' slots come to them, by broadcast for up to ``BROADCAST_HOSTS`` hosts and by a
+    A NULL or empty page has empty text; rows without url share the host ''.  Repeated rows are extracted each.  A page
+    of any length is read in one pass whose time grows with it.  A column named ``out`` is replaced, all others kept,
+    whatever their names.  An empty table gives an empty result.
+    Pages aren't moved: the wrappers' places come to them, by broadcast for up to ``BROADCAST_HOSTS`` hosts and by a
     join, which Spark splits where one host has very many pages, beyond that.
     """
-    rows = without(df, out, "_host", "_page", "_paths").withColumns(
-        {"_host": host_of(F.col(url)), "_page": F.coalesce(F.col(page), F.lit(""))}
+    kept = without(df, out).columns
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host_of(F.col(url)).alias("host"),
+        F.coalesce(F.col(page), F.lit("")).alias("page"),
     )
 
-    @F.pandas_udf("array<string>")
-    def paths(wrappers: pd.Series) -> pd.Series:
-        return pd.Series([Wrapper.load(w).main() for w in wrappers], dtype=object)
+    @F.pandas_udf("string")
+    def places(wrappers: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(Wrapper.load(w).main()) for w in wrappers], dtype=object)
 
     @F.pandas_udf("string")
-    def texts(pages: pd.Series, chosen: pd.Series) -> pd.Series:
-        known: dict[tuple, frozenset] = {}
+    def texts(pages: pd.Series, chosen: pd.Series, templates: pd.Series) -> pd.Series:
+        known: dict[str, dict[str, frozenset]] = {}
+
+        def of(text: str) -> dict[str, frozenset]:
+            if text not in known:
+                known[text] = {k: frozenset(v) for k, v in json.loads(text).items()}
+            return known[text]
+
         return pd.Series(
-            [main_text(p, known.setdefault(t, frozenset(t))) for p, t in zip(pages, map(tuple, chosen))], dtype=object
+            [main_text(p, of(c), frozenset() if t is None else frozenset(t.tolist())) for p, c, t in zip(pages, chosen, templates)],
+            dtype=object,
         )
 
-    hosts = cut(infer(rows, "_host", "_page").select(F.col("host").alias("_host"), paths("wrapper").alias("_paths")))
+    wrappers, template = infer(rows, "host", "page")
+    hosts = cut(wrappers.select("host", places("wrapper").alias("places")).join(template, "host", "left"))
     side = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
-    return rows.join(side, "_host").withColumn(out, texts("_page", "_paths")).drop("_host", "_page", "_paths")
+    return rows.join(side, "host").select("row.*", texts("page", "places", "texts").alias(out))

@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from collections import Counter
 
 import pytest
 
@@ -233,27 +235,40 @@ def test_extracts_the_articles(spark):
         assert row.text == " ".join(want.split())
 
 
-def test_repeats_fold_into_groups():
-    assert extract.fold("ul li # /li li # /li li # /li /ul".split()) == ["ul", "( li # /li )+", "/ul"]
-    assert extract.fold(("p b # br " + "p # /p " * 2 + "p b # br " + "p # /p " * 3).split()) == ["( p b # br ( p # /p )+ )+"]
-    assert extract.fold(["#", "#", "x"]) == ["#", "x"]
+def of_host(pages):
+    """The wrapper of some pages, and the texts that its template has."""
+    wrapper, counts = extract.Wrapper(), Counter()
+    for p in pages:
+        one, texts = extract.wrap(p)
+        wrapper.align(one)
+        counts.update(texts)
+    often = {t for t, n in counts.items() if n >= extract.LEAST_PAGES and n * 10 >= wrapper.pages * extract.TENTHS}
+    return wrapper, frozenset(often)
+
+
+def texts_of(pages):
+    wrapper, template = of_host(pages)
+    places = {k: frozenset(v) for k, v in wrapper.main().items()}
+    return [extract.main_text(p, places, template) for p in pages]
 
 
 def test_wrapper_of_a_host():
-    page = "<body><div class=menu>{m}</div><div id=c><h2>{t}</h2>{p}</div><div>Same foot</div></body>"
+    page = "<body><div class=menu>{m}</div><div id=c><h2>{t}</h2>{p}</div>{o}<div>Same foot</div></body>"
     pages = [
-        page.format(m="Home About", t=f"Title {i}", p="".join(f"<p>Text {i} of {j} with many words in it</p>" for j in range(i % 3 + 1)))
+        page.format(
+            m="Home About", t=f"Title {i}", p="".join(f"<p>Text {i} of {j} with many words in it</p>" for j in range(i % 3 + 1)),
+            o="<ul><li>one</ul>" if i == 2 else "",
+        )
         for i in range(6)
     ]
-    wrapper = extract.Wrapper()
-    for p in pages:
-        wrapper.align(extract.wrap(p))
-    assert "( p # /p )+" in [extract._bare(x) for x in wrapper.items]
-    assert wrapper.main() == ["body/div.c", "body/div.c/h2", "body/div.c/p"] or wrapper.main() == ["body/div.c/h2", "body/div.c/p"]
-    other = extract.Wrapper()
-    for p in reversed(pages):
-        other.align(extract.wrap(p))
-    assert other.main() == wrapper.main() and other.slots == wrapper.slots
+    wrapper, _ = of_host(pages)
+    written = wrapper.expression().split("\n")
+    assert "( body/div.c/p # )+" in written and "body/div.c/h2 #" in written  # a repeated group, a slot
+    assert "body/div.menu =" in written and "body/div =" in written and "body/ul/li =?" in written  # constants, one optional
+    assert wrapper.main()[""] == ["body/div.c/h2", "body/div.c/p"]
+    other, _ = of_host(pages[::-1])
+    assert other.main() == wrapper.main() and other.places == wrapper.places
+    assert texts_of(pages)[4] == "Title 4 Text 4 of 0 with many words in it Text 4 of 1 with many words in it"
 
 
 def test_markup_of_all_kinds():
@@ -262,8 +277,58 @@ def test_markup_of_all_kinds():
         "<script>var x='</p>no'</script><style>p{}</style><!-- no <p>no</p> --><aside>no</aside><form>no</form>"
         "<div class='share-buttons'>no</div><div class=\"comments\"><p>no</p></div><ul><li>a<li>b</ul></article></main><footer>no"
     )
-    wrapper = extract.wrap(page)
-    assert extract.main_text(page, frozenset(wrapper.main())) == "A & B onetwo three four five a b"
+    assert texts_of([page]) == ["A & B onetwo three four five a b"]
+
+
+STORY = "<p>The story of day {i} goes on for a while, with words of its own {i}.</p><p>And then some more of it, {i}.</p>"
+
+
+def test_names_of_frames_and_of_what_blocks_lack_are_no_hints():
+    for opening, closing in (
+        ("<body class='no-sidebar'>", "</body>"), ("<body><div class='content with-sidebar'>", "</div>"),
+        ("<body><div id='social-post'>", "</div>"), ("<body><form action=x>", "</form>"), ("<body class=menu-open><div class=c>", "</div>"),
+    ):
+        pages = [f"{opening}<div class='sidebar'><p>Links {i}</p></div>{STORY.format(i=i)}{closing}" for i in range(4)]
+        for i, text in enumerate(texts_of(pages)):
+            assert text == f"The story of day {i} goes on for a while, with words of its own {i}. And then some more of it, {i}."
+
+
+def test_pages_without_article_beside_pages_with_one():
+    pages = [f"<body><article>{STORY.format(i=i)}</article></body>" for i in range(3)]
+    pages.append(f"<body><nav>Menu</nav><div class=c>{STORY.format(i=9)}</div></body>")
+    assert texts_of(pages)[3].startswith("The story of day 9") and texts_of(pages)[0].startswith("The story of day 0")
+
+
+def test_an_article_in_two_blocks_is_whole():
+    page = "<body><div class=byline>{i} May</div><div class=one><p>{a}</p></div><div class=two><p>{b}</p></div><div class=foot>Same foot</div>"
+    pages = [page.format(i=i, a=f"first part {i} " * 20, b=f"second part {i} " * 15) for i in range(4)]
+    want = " ".join((f"first part 2 " * 20 + f"second part 2 " * 15).split())
+    assert texts_of(pages)[2] == want
+
+
+def test_notices_that_all_pages_share_are_template():
+    notice = "<p>Sign up today for our letter</p>"
+    pages = [f"<body><article>{STORY.format(i=i)}{notice}</article></body>" for i in range(5)]
+    assert all("Sign up" not in t and t.endswith(f"more of it, {i}.") for i, t in enumerate(texts_of(pages)))
+    # articles that are alike as a whole stay, and two pages are not enough to tell
+    same = [f"<body><p>{i}</p><article>{STORY.format(i=1)}</article></body>" for i in range(5)]
+    assert all(t.startswith("The story of day 1") for t in texts_of(same))
+    assert all("Sign up" in t for t in texts_of(pages[:2]))
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a x=\"", "<div>", "<p><b <i '", "<!--", "<script>", "</a ", "<", "<ul><li>", "<nav>", "</div>", "<!"])
+def test_broken_markup_takes_time_in_proportion(unit):
+    start = time.perf_counter()
+    page = "<p>kept</p>" + unit * (1_000_000 // len(unit))
+    text = texts_of([page])[0]
+    assert text.startswith("kept") and time.perf_counter() - start < 25
+
+
+def test_quotes_that_never_close_and_tags_in_values():
+    assert texts_of(["<p title=\"it's\">one</p><p title='a > b'>two</p><p data-x=\">three</p>"]) == ["one two three"]
+    assert texts_of(["<p>a < b and c</p><P CLASS=x>d</P>"]) == ["a < b and c d"]
+    deep = "<div>" * 5000 + "<p>in</p><nav>no</nav>" + "</div>" * 5000 + "<p>out</p>"
+    assert texts_of([deep]) == ["in out"]
 
 
 def test_extraction_edge_cases(spark):
@@ -280,8 +345,15 @@ def test_bodies_that_begin_alike_are_no_template():
     greeting = "Dear readers of the evening edition, welcome back to our pages on all that happened today: "
     page = "<body><div class=byline><p>{d}</p></div><div class=c><p>{t}</p></div><div class=end><p>Same foot</p></div></body>"
     pages = [page.format(d=f"{i} May", t=greeting + f"story {i} " * 30) for i in range(4)]
-    wrapper = extract.Wrapper()
-    for p in pages:
-        wrapper.align(extract.wrap(p))
-    assert len(greeting) > 64 and wrapper.main() == ["body/div.c/p"]
-    assert extract.main_text(pages[2], frozenset(wrapper.main())) == " ".join((greeting + "story 2 " * 30).split())
+    wrapper, _ = of_host(pages)
+    assert len(greeting) > 64 and wrapper.main()[""] == ["body/div.c/p"]
+    assert texts_of(pages)[2] == " ".join((greeting + "story 2 " * 30).split())
+
+
+def test_clashing_names_and_templates_in_spark(spark):
+    notice = "<p>Sign up today for our letter</p>"
+    rows = [(i, "http://h/x", f"<body><article>{STORY.format(i=i)}{notice}</article></body>", "k") for i in range(12)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "page_id long, url string, html string, host string, row int, places int, texts int")
+    found = extract.extract(df.repartition(5), out="text")
+    assert found.columns == [*df.columns, "text"]
+    assert all(r.text.endswith(f"more of it, {r.page_id}.") and r.host == "k" for r in found.collect())
