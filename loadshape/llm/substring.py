@@ -7,22 +7,44 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadshape.llm.common import cut, without
 
-#: Bytes of text, and words, worked on at a time.
+#: Words worked on at a time.
 CHUNK = 1 << 18
+#: Words of short texts worked on side by side.
+BUFFER = 1 << 15
 #: Documents whose windows are compared at a time.
 SLICE_ROWS = 2000
-_BASE = 0x9E3779B97F4A7C15
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Distinct words whose hashes a task keeps.
+KNOWN_WORDS = 1 << 20
+_BASE, _SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: The filter of repeated grams is a bitmap of 2^16 to 2^30 bits, 16 for each gram while they last.
 MIN_BITS, MAX_BITS = 16, 30
 
 
+class _Words(dict):
+    """XXH64 of each word met so far: words repeat, so most are looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_known = _Words()
+
+
+def words(raw: bytes) -> np.ndarray:
+    """64-bit hash (XXH64) of each word (a run without ASCII white space)."""
+    parts = raw.split()
+    return np.fromiter(map(_known.__getitem__, parts), np.uint64, len(parts))
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -36,50 +58,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64))
-_UP = _powers(_BASE, CHUNK + 1)
-_DOWN = _powers(pow(_BASE, -1, 1 << 64), CHUNK + 1)
+_UP, _DOWN = ([_powers(b if up else pow(b, -1, 1 << 64), CHUNK + 1) for b in (_BASE, _SECOND)] for up in (True, False))
 
 
-def _slices(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of values[begin:end] for each pair, from running sums; at most CHUNK values."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _UP[: len(values)], dtype=np.uint64)])
-    return _mix((sums[ends] - sums[begins]) * _DOWN[begins] + (ends - begins).astype(np.uint64))
+def _slices(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Polynomial hash of values[begin:end] for each pair, from running sums; at most CHUNK values, 64 mixed bits each."""
+    up, down = _UP[which], _DOWN[which]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)])
+    return _mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
 
 
-def words(raw: bytes) -> np.ndarray:
-    """64-bit hash of each word (a run without ASCII white space)."""
-    found, at = [], 0
-    while at < len(raw):
-        end = min(len(raw), at + CHUNK)
-        while end < len(raw) and end > at and not _SPACE[raw[end]]:  # not within a word
-            end -= 1
-        if end == at:  # a word longer than a chunk
-            end = at + CHUNK
-            while end < len(raw) and not _SPACE[raw[end]]:
-                end += 1
-            found.append(np.frombuffer(pd.util.hash_array(np.array([raw[at:end]], object)).tobytes(), np.uint64))
-            at = end
-            continue
-        data = np.frombuffer(raw, np.uint8, end - at, at)
-        edge = np.diff(np.concatenate([[True], _SPACE[data], [True]]).astype(np.int8))
-        found.append(_slices(_BYTE[data], np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)))
-        at = end
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
-
-
-def grams(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n words."""
+def grams(ids: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+    """Hash of each run of n words; ``which`` 1 is a second one, over other hashes of the words."""
     if len(ids) < n:
         return np.zeros(0, np.uint64)
+    ids = _mix(ids + np.uint64(_SECOND)) if which else ids
     out = []
     for at in range(0, len(ids) - n + 1, CHUNK - n + 1):
         part = ids[at : at + CHUNK]
         begins = np.arange(len(part) - n + 1)
-        out.append(_slices(part, begins, begins + n))
+        out.append(_slices(part, begins, begins + n, which))
     return np.concatenate(out)
 
 
+def checks(ids: np.ndarray, n: int) -> np.ndarray:
+    """32 bits of the second hash of each run of n words: with the first, a run has 96."""
+    return (grams(ids, n, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def least_of(values: np.ndarray, span: int) -> np.ndarray:
     """Minimum of each run of ``span`` values."""
     out, have = values, 1
@@ -90,45 +96,47 @@ def least_of(values: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-def _hashes(text: str | None, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per window of a text its hash, and its anchor: the least hash of the half-windows in it."""
-    ids = words((text or "").encode("utf-8", "surrogatepass"))
+Hashed = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _of(ids: np.ndarray, window: int) -> Hashed:
     half = (window + 1) // 2
     if len(ids) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return grams(ids, window), least_of(grams(ids, half), window - half + 1)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    return grams(ids, window), checks(ids, window), least_of(grams(ids, half), window - half + 1)
+
+
+def _hashes(text: str | None, window: int) -> Hashed:
+    """Per window of a text its hash, its check, and its anchor: the least hash of the half-windows in it."""
+    return _of(words((text or "").encode("utf-8", "surrogatepass")), window)
 
 
-def _many(texts: list[str | None], window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _many(texts: list[str | None], window: int) -> Iterator[Hashed]:
     """``_hashes`` of each text; short texts are worked on side by side in one buffer."""
-    half = (window + 1) // 2
 
-    def together(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-        edge = np.diff(np.concatenate([[True], _SPACE[data]]).astype(np.int8))
-        begins, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        ids = _slices(_BYTE[data], begins, ends)
-        owner = np.searchsorted(np.cumsum([0] + [len(x) + 1 for x in raw]), begins, side="right") - 1
+    def together(found: list[np.ndarray]) -> Iterator[Hashed]:
+        ids = np.concatenate(found)
         if len(ids) < window:
-            yield from ((np.zeros(0, np.uint64), np.zeros(0, np.uint64)) for _ in raw)
+            yield from (_of(np.zeros(0, np.uint64), window) for _ in found)
             return
+        owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
         own = owner[: len(ids) - window + 1]
         whole = own == owner[window - 1 :]  # not across two texts
-        hashes, anchors = grams(ids, window)[whole], least_of(grams(ids, half), window - half + 1)[whole]
-        cuts = np.searchsorted(own[whole], np.arange(len(raw) + 1))
-        yield from ((hashes[i:j], anchors[i:j]) for i, j in zip(cuts[:-1], cuts[1:]))
+        parts = [x[whole] for x in _of(ids, window)]
+        cuts = np.searchsorted(own[whole], np.arange(len(found) + 1))
+        yield from (tuple(x[i:j] for x in parts) for i, j in zip(cuts[:-1], cuts[1:]))
 
     held, size = [], 0
     for text in texts:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if held and size + len(raw) + 1 > CHUNK:
+        ids = words((text or "").encode("utf-8", "surrogatepass"))
+        if held and size + len(ids) > BUFFER:
             yield from together(held)
             held, size = [], 0
-        if len(raw) + 1 > CHUNK:
-            yield _hashes(text, window)
+        if len(ids) > BUFFER:
+            yield _of(ids, window)
         else:
-            held.append(raw)
-            size += len(raw) + 1
+            held.append(ids)
+            size += len(ids)
     if held:
         yield from together(held)
 
@@ -151,7 +159,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
-            found = [np.unique(anchors) for _, anchors in _many(batch.column("text").to_pylist(), window)]
+            found = [np.unique(anchors) for _, _, anchors in _many(batch.column("text").to_pylist(), window)]
             yield _extremes(found, batch.column("key").to_pylist(), ("anchor", "low", "high"))
 
     return (
@@ -187,13 +195,36 @@ def _is_set(bits: np.ndarray, power: int, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _candidates(texts: list[str | None], window: int, filtered: tuple[np.ndarray, int]) -> list[np.ndarray]:
-    """Per text the distinct hashes of its windows whose anchor passes the filter."""
-    return [np.unique(hashes[_is_set(*filtered, anchors)]) for hashes, anchors in _many(texts, window)]
+def _distinct(hashes: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((check, hashes))
+    hashes, check = hashes[order], check[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])
+    return hashes[new], check[new]
+
+
+def _candidates(texts: list[str | None], window: int, filtered: tuple[np.ndarray, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text the distinct windows, by hash and check, whose anchor passes the filter."""
+    out = []
+    for hashes, check, anchors in _many(texts, window):
+        met = _is_set(*filtered, anchors)
+        out.append(_distinct(hashes[met], check[met]))
+    return out
+
+
+def _among(hashes: np.ndarray, check: np.ndarray, of: np.ndarray, of_check: np.ndarray) -> np.ndarray:
+    """Which windows are among those of ``of``, by hash and check."""
+    of, of_check = _distinct(of, of_check)
+    out = np.zeros(len(hashes), bool)
+    low, high = np.searchsorted(of, hashes, "left"), np.searchsorted(of, hashes, "right")
+    for k in range(int((high - low).max(initial=0))):  # more than one step only if two windows share the first hash
+        there = low + k < high
+        out[there] |= of_check[(low + k)[there]] == check[there]
+    return out
 
 
 def earlier_windows(docs: DataFrame, window: int, sent) -> DataFrame:
-    """(key, earlier): per document the hashes of its windows that a document with a smaller key has too.
+    """(key, earlier, checks): per document the hashes and checks of its windows that a document with a smaller key has too.
 
     Equal windows have equal anchors, so only windows whose anchor passes the broadcast filter ``sent`` are looked
     at.  Of the documents of a batch that share a window all but the smallest key have an earlier one
@@ -205,50 +236,57 @@ def earlier_windows(docs: DataFrame, window: int, sent) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
                 found = _candidates(batch.column("text").to_pylist(), window, sent.value)
-                every = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                owner = np.repeat(np.array(batch.column("key").to_pylist(), np.int64), [len(x) for x in found])
+                every = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
+                check = np.concatenate([c for _, c in found]) if found else np.zeros(0, np.int32)
+                owner = np.repeat(np.array(batch.column("key").to_pylist(), np.int64), [len(h) for h, _ in found])
                 del found
-                order = np.lexsort((owner, every))
-                every, owner = every[order], owner[order]
-                first = np.concatenate([[True], every[1:] != every[:-1]])[: len(every)]
+                order = np.lexsort((owner, check, every))
+                every, check, owner = every[order], check[order], owner[order]
+                first = np.concatenate([[True], (every[1:] != every[:-1]) | (check[1:] != check[:-1])])[: len(every)]
                 least = owner[first][np.cumsum(first) - 1] if len(every) else owner
                 pick = first if smallest else owner > least
-                yield pa.RecordBatch.from_arrays([pa.array(every[pick].view(np.int64)), pa.array(owner[pick])], names=["hash", "key"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(every[pick].view(np.int64)), pa.array(check[pick]), pa.array(owner[pick])], names=["hash", "check", "key"]
+                )
 
-        return docs.mapInArrow(run, "hash long, key long")
+        return docs.mapInArrow(run, "hash long, check int, key long")
 
-    across = split(smallest=True).withColumn("low", F.min("key").over(Window.partitionBy("hash")))
-    met = across.where("low < key").select("hash", "key").unionByName(split(smallest=False))
-    return met.groupBy("key").agg(F.collect_set("hash").alias("earlier"))
+    across = split(smallest=True).withColumn("low", F.min("key").over(Window.partitionBy("hash", "check")))
+    met = across.where("low < key").select("hash", "check", "key").unionByName(split(smallest=False))
+    found = met.groupBy("key").agg(F.collect_set(F.struct("hash", "check")).alias("w"))
+    return found.select("key", F.col("w.hash").alias("earlier"), F.col("w.check").alias("checks"))
 
 
 def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = 50) -> DataFrame:
     """``df`` with ``kept`` (the words that stay, joined by a space), ``n_words`` and ``removed``, an array of
     (start, end) word ranges.
 
-    A window is ``window`` consecutive words (runs without ASCII white space, compared byte by byte through 64-bit
-    hashes).  Words covered by a window that also starts in a document with a smaller ``key`` are removed; windows
+    A window is ``window`` consecutive words (runs without ASCII white space), compared through 96 bits of two hashes over
+    the words' XXH64.  Words covered by a window that also starts in a document with a smaller ``key`` are removed; windows
     are judged on the input.  The ranges are the maximal runs of such words.  ``key`` is an integer; rows without key
     lose no word and cost no other row one.  Rows that share a key are judged alike.  NULL and empty texts have
     no words.  Columns of the names added are replaced, all others kept.
     """
-    rows = without(df, "kept", "n_words", "removed", "_earlier", "_of")
+    rows = without(df, "kept", "n_words", "removed", "_earlier", "_checks", "_of")
     keyed = rows.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
     # documents without a window whose anchor repeats lose nothing and need not meet the others
     sent = df.sparkSession.sparkContext.broadcast(bitmap(repeated_anchors(keyed, window), "anchor"))
-    earlier = earlier_windows(keyed, window, sent).select(F.col("key").alias("_of"), F.col("earlier").alias("_earlier"))
+    earlier = earlier_windows(keyed, window, sent).select(
+        F.col("key").alias("_of"), F.col("earlier").alias("_earlier"), F.col("checks").alias("_checks")
+    )
 
     @F.pandas_udf("kept string, n_words long, removed array<struct<start:long,end:long>>")
-    def trimmed(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+    def trimmed(texts: pd.Series, found: pd.Series, marks: pd.Series) -> pd.DataFrame:
         out = []
-        for text, hashes in zip(texts, found):
+        for text, hashes, check in zip(texts, found, marks):
             raw = (text or "").encode("utf-8", "surrogatepass")
             parts = raw.split()
             ranges: list[dict[str, int]] = []
             if hashes is not None and len(hashes):
-                own = _hashes(text, window)[0]
+                own, own_check, _ = _hashes(text, window)
                 steps = np.zeros(len(parts) + 1, np.int64)
-                begins = np.flatnonzero(np.isin(own, np.asarray(hashes, np.int64).view(np.uint64)))
+                of = np.asarray(hashes, np.int64).view(np.uint64), np.asarray(check, np.int32)
+                begins = np.flatnonzero(_among(own, own_check, *of))
                 np.add.at(steps, begins, 1)
                 np.add.at(steps, begins + window, -1)
                 covered = np.concatenate([[0], (np.cumsum(steps[:-1]) > 0).astype(np.int8), [0]])
@@ -266,11 +304,11 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = 50
 
     @F.pandas_udf("boolean")
     def shares(texts: pd.Series) -> pd.Series:
-        return pd.Series([_is_set(*sent.value, anchors).any() for _, anchors in _many(texts.tolist(), window)], dtype="bool")
+        return pd.Series([_is_set(*sent.value, anchors).any() for _, _, anchors in _many(texts.tolist(), window)], dtype="bool")
 
     names = rows.columns
     meeting = rows.where(shares(F.col(text))).join(earlier, F.col(key).cast("long") == F.col("_of"), "left").drop("_of")
-    meeting = meeting.withColumn("_trimmed", trimmed(F.col(text), F.col("_earlier"))).select(*names, "_trimmed.*")
+    meeting = meeting.withColumn("_trimmed", trimmed(F.col(text), F.col("_earlier"), F.col("_checks"))).select(*names, "_trimmed.*")
     held = F.coalesce(F.col(text), F.lit(""))
     alone = rows.where(~shares(F.col(text))).select(
         *names,
