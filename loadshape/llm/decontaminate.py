@@ -19,6 +19,8 @@ EDIT_RATE = 0.1
 BLOCK_CHARS = 4_000_000
 #: Characters of text searched at a time.
 SLICE = 1 << 19
+#: Passages above ``SLICE`` characters are searched for in pieces of this many.
+PIECE = 1 << 13
 #: Not a code point: stands between texts and for what lies outside one.
 BORDER = 0x110000
 _FILTER_BITS = 22
@@ -204,6 +206,14 @@ def search(texts: Sequence[str | None], index: Index) -> list[tuple[int, int, in
     return sorted(found)
 
 
+def pieces_of(text: str) -> list[str]:
+    """A long passage in pieces of about ``PIECE`` characters."""
+    text = normalised(text)
+    n = max(1, -(-len(text) // PIECE))
+    at = [len(text) * i // n for i in range(n + 1)]
+    return [text[a:b] for a, b in zip(at, at[1:])]
+
+
 def find(
     docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str, edit_rate: float = EDIT_RATE
 ) -> DataFrame:
@@ -211,7 +221,8 @@ def find(
 
     A row says that characters start to end (exclusive) of the normalised text (lower case, white space as one space)
     are the whole passage but for ``edits`` insertions, deletions and replacements, at most ``edit_rate`` of
-    its length.  Of overlapping finds of a passage the closest stays.  Passages below ``Q`` characters, empty and
+    its length.  A passage above ``SLICE`` characters is cut into pieces of about ``PIECE``, each a passage of its own under
+    the same key.  Of overlapping finds of a passage the closest stays.  Passages below ``Q`` characters, empty and
     NULL ones aren't searched for, NULL and empty documents have no finds; repeated passages and rows are each found.
 
     Documents aren't moved.  The benchmark is dealt to blocks of about ``BLOCK_CHARS`` characters by a hash; each is
@@ -219,9 +230,16 @@ def find(
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_key).alias("k"), F.col(item_text).alias("t"))
-    chars, longest = items.agg(F.sum(F.length("t")), F.max(F.length("t"))).first()
-    if (longest or 0) > SLICE:
-        raise ValueError(f"a passage of more than {SLICE} characters")
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(k, piece) for k, t in zip(batch["k"], batch["t"]) for piece in pieces_of(t)]
+            yield pd.DataFrame(found, columns=["k", "t"])
+
+    long = F.coalesce(F.length("t"), F.lit(0)) > SLICE
+    chars, n_long = items.agg(F.sum(F.length("t")), F.count_if(long)).first()
+    if n_long:
+        items = items.where(~long).unionByName(items.where(long).mapInPandas(cut_up, items.schema))
     rounds = max(1, math.ceil((chars or 0) / BLOCK_CHARS))
     kind, item_kind = (dict(d.dtypes)[k] for d, k in ((docs, key), (benchmark, item_key)))
     schema = f"`{key}` {kind}, `{item_key}` {item_kind}, start int, `end` int, edits int, item_chars int"

@@ -219,6 +219,18 @@ def test_benchmark_in_several_rounds(spark, monkeypatch, docs):
     assert sorted(one) == sorted(more) and len(one) > 0
 
 
+def test_passages_longer_than_a_slice_are_searched_in_pieces(spark):
+    draw = random.Random(9)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=7)) for _ in range(90_000)]
+    passage = " ".join(words)
+    assert len(passage) > decontaminate.SLICE
+    docs = spark.createDataFrame([(1, "so " + passage[30_000:60_000] + " it"), (2, " ".join(words[::-1][:4000]))], "d long, t string")
+    items = spark.createDataFrame([(7, passage), (8, "a short passage of some words that is not there")], "i long, p string")
+    found = decontaminate.find(docs, items, "d", "t", "i", "p").collect()
+    assert {(r.d, r.i) for r in found} == {(1, 7)} and len(found) in (2, 3)
+    assert all(r.edits == 0 and abs(r.item_chars - decontaminate.PIECE) < 200 for r in found)
+
+
 # extraction ----------------------------------------------------------------------
 
 
