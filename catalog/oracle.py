@@ -742,9 +742,16 @@ def two_sample(source: str, key: str, value: str, period: str, pre: str, post: s
 
 
 SPLIT_TESTS = two_sample("split_series", "cohort", "load_kwh", "split", "train", "test")
+# the same published fit of erfc
+_T = "(1.0::DOUBLE / (1.0 + greatest(mann_whitney_z, 0.0) / sqrt(2.0::DOUBLE) / 2.0))"
+_POWER = "0.17087277::DOUBLE"
+for _c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+    _POWER = f"({_POWER} * {_T} + {_c}::DOUBLE)"
+CTES["ts_both"] = f"""
+    SELECT *, least(1.0, {_T} * exp({_POWER} - pow(greatest(mann_whitney_z, 0.0) / sqrt(2.0::DOUBLE), 2))) AS mann_whitney_p_value FROM ts_p"""
 oracle("shift_two_sample", f"""
-SELECT k AS cohort, n_pre, n_post, {rounded(6, 'tie_term', 'wasserstein_1d', 'ks_statistic', 'ks_p_value', 'u_statistic', 'mann_whitney_z')},
-       ks_p_value < 0.01 AS significant_shift FROM ts_p""", **SPLIT_TESTS)
+SELECT k AS cohort, n_pre, n_post, {rounded(6, 'tie_term', 'wasserstein_1d', 'ks_statistic', 'ks_p_value', 'u_statistic', 'mann_whitney_z', 'mann_whitney_p_value')},
+       ks_p_value < 0.01 AS significant_shift FROM ts_both""", **SPLIT_TESTS)
 oracle("shift_two_sample_large_groups", f"""
 SELECT k AS l_linestatus, n_pre, n_post, {rounded(4, 'wasserstein_1d', 'ks_statistic', 'u_statistic', 'mann_whitney_z')} FROM ts_stats""",
        **two_sample("lineitem", "l_linestatus", "l_extendedprice", "l_returnflag", "A", "N"))
@@ -776,10 +783,10 @@ SELECT a.cohort, a.n AS n_pre, b.n AS n_post, {', '.join(f'round(a.{c}, 4) AS {c
        {', '.join(f"CASE WHEN least(x.reach, z.reach) >= {k} THEN round({t}.acf_{k}, 4) END AS acf_{k}_{s}"
                   for k in (48, 336) for t, s in (('x', 'pre'), ('z', 'post')))},
        round(p.wasserstein_1d, 4) AS wasserstein_1d, round(p.ks_statistic, 4) AS ks_statistic, round(p.ks_p_value, 4) AS ks_p_value,
-       p.ks_p_value < 0.01 AS significant_shift
+       round(p.mann_whitney_p_value, 4) AS mann_whitney_p_value, p.ks_p_value < 0.01 AS significant_shift
 FROM moments a JOIN moments b ON b.cohort = a.cohort AND b.split = 'test'
 JOIN acf x ON x.cohort = a.cohort AND x.split = 'train' JOIN acf z ON z.cohort = a.cohort AND z.split = 'test'
-JOIN ts_p p ON p.k = a.cohort WHERE a.split = 'train'""", **SPLIT_TESTS)
+JOIN ts_both p ON p.k = a.cohort WHERE a.split = 'train'""", **SPLIT_TESTS)
 
 # backtest -----------------------------------------------------------------------------------
 
@@ -957,6 +964,16 @@ oracle("bootstrap_draws", "SELECT n_days, day_idx, b, times FROM bs_draws",
 oracle("bootstrap_samples", "SELECT * FROM bs_samples", **bootstrap("two_methods", "cohort", "cqr", "static", 300, 42, 4))
 oracle("bootstrap_comparison", bootstrap_result("cohort"), **bootstrap("two_methods", "cohort", "cqr", "static", 2000, 42, 4))
 oracle("bootstrap_unrounded", bootstrap_result("cohort"), **bootstrap("two_methods", "cohort", "cqr", "static", 500, 7, None))
+oracle("bootstrap_table", """
+SELECT cohort, metric, round(avg(a), 4) AS mean_a, round(avg(z), 4) AS mean_b, round(avg(d), 4) AS mean_diff,
+       printf('[%.4f, %.4f]', round(quantile_cont(d, 0.025), 4), round(quantile_cont(d, 0.975), 4)) AS ci_95,
+       round(least(1.0, 2.0 * least(avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN d >= 0 THEN 1.0 ELSE 0.0 END))), 4) AS p_value,
+       CASE WHEN quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 THEN 'Yes' ELSE 'No' END AS significant
+FROM bs_long GROUP BY cohort, metric""", **bootstrap("two_methods", "cohort", "cqr", "static", 499, 42, 4))
+oracle("bootstrap_few_days", """
+SELECT cohort, m AS metric, NULL::DOUBLE AS mean_a, NULL::DOUBLE AS mean_b, NULL::DOUBLE AS mean_diff, NULL::DOUBLE AS ci_lower,
+       NULL::DOUBLE AS ci_upper, NULL::DOUBLE AS p_value, NULL::BOOLEAN AS is_significant_05, 50::BIGINT AS n_resamples, 4::BIGINT AS n_days
+FROM (SELECT DISTINCT cohort FROM test) CROSS JOIN (SELECT unnest(['ace', 'interval_score', 'mpiw', 'empirical_coverage']) AS m)""")
 CTES["two_bands"] = """
     SELECT l_suppkey, 'narrow' AS method, date_trunc('month', ts) AS day, y, lower, upper FROM bands
     UNION ALL SELECT l_suppkey, 'wide', date_trunc('month', ts), y, lower, upper * 1.1 FROM bands"""

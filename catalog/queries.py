@@ -896,7 +896,7 @@ def shift_two_sample(spark, sf):
     df = drift.two_sample_statistics(
         split_series(spark, sf), KEYS, "load_kwh", "split", "train", "test"
     )
-    cols = ["wasserstein_1d", "ks_statistic", "ks_p_value", "u_statistic", "mann_whitney_z"]
+    cols = ["wasserstein_1d", "ks_statistic", "ks_p_value", "u_statistic", "mann_whitney_z", "mann_whitney_p_value"]
     out = df.select("cohort", "n_pre", "n_post", "tie_term", *cols, "significant_shift")
     return r(out, 6, "tie_term", *cols)
 
@@ -933,7 +933,7 @@ def shift_characterisation(spark, sf):
     df = drift.characterise_shift(
         split_series(spark, sf), KEYS, "load_kwh", "split", "train", "test", digits=4,
     )
-    return r(df.drop("mann_whitney_p_value"), 4, "ks_p_value")
+    return r(df, 4, "ks_p_value", "mann_whitney_p_value")
 
 
 # backtest -----------------------------------------------------------------------------------
@@ -1129,6 +1129,21 @@ def bootstrap_comparison(spark, sf):
     return single(bootstrap.paired_bootstrap(daily, KEYS, "cqr", "static", 0.10, 2000, 42, digits=None), *BOOT)
 
 
+@query
+def bootstrap_table(spark, sf):
+    """The result table of the paired bootstrap, intervals and verdicts in writing."""
+    results = bootstrap.paired_bootstrap(static_and_cqr_days(spark, sf), KEYS, "cqr", "static", 0.10, 499, 42)
+    return bootstrap.formatted_bootstrap(results, KEYS)
+
+
+@query
+def bootstrap_few_days(spark, sf):
+    """Fewer than five days: every statistic is NULL."""
+    days = static_and_cqr_days(spark, sf)
+    few = days.join(days.groupBy("cohort").agg(F.min("day").alias("first")), "cohort").where(F.date_diff("day", "first") < 4)
+    return single(bootstrap.paired_bootstrap(few.drop("first"), KEYS, "cqr", "static", 0.10, 50, 42, digits=None), *BOOT)
+
+
 @query
 def bootstrap_unrounded(spark, sf):
     daily = static_and_cqr_days(spark, sf)

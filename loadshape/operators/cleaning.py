@@ -104,5 +104,5 @@ def sample_households(df: DataFrame, n: int = 50, seed: int = 42, household: str
 
 
 def sample_readings(df: DataFrame, n: int = 50, seed: int = 42, household: str = "household_id") -> DataFrame:
-    """All readings of a seeded household sample; at most ``n`` ids are broadcast."""
-    return df.join(F.broadcast(sample_households(df, n, seed, household)), household, "left_semi")
+    """All readings of a seeded household sample of any size; Spark broadcasts the ids where they are measured to be few."""
+    return df.join(sample_households(df, n, seed, household), household, "left_semi")

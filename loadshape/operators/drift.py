@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadshape.functions.columns import rounded
+from loadshape.functions.columns import rounded, two_sided_normal
 from loadshape.operators.ordering import (
     CHUNK,
     HOT_MIN,
@@ -201,17 +200,13 @@ def two_sample_statistics(
     )
     ks_p = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
 
-    @F.pandas_udf("double")
-    def two_sided(z: pd.Series) -> pd.Series:
-        return z.map(lambda x: min(1.0, math.erfc(x / math.sqrt(2.0))), na_action="ignore")
-
     return (
         sums.withColumn("u_statistic", u1)
         .withColumn("mann_whitney_z", F.try_divide(F.greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5, sd))
         .withColumn("_lam", lam)
         # below 0.2 the alternating series is 1 to machine precision but slow to settle
         .withColumn("ks_p_value", F.when(F.col("_lam") < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ks_p))))
-        .withColumn("mann_whitney_p_value", two_sided("mann_whitney_z"))
+        .withColumn("mann_whitney_p_value", two_sided_normal("mann_whitney_z"))
         .withColumn("significant_shift", F.col("ks_p_value") < 0.01)
         .drop("_rank_sum", "_lam")
     )

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -63,3 +64,11 @@ def test_bands(row):
 def test_tertile_bins_are_right_closed(row):
     label = lambda v: one(row, C.tertile(F.lit(v), F.lit(1.0), F.lit(2.0)))
     assert [label(v) for v in (1.0, 1.5, 2.0, 2.1)] == ["Low", "Medium", "Medium", "High"]
+
+
+def test_two_sided_normal(spark):
+    z = [0.0, 1e-9, 0.3, 1.0, 1.959963984540054, 3.0, 6.0, 12.0, -1.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in z] + [(None,)], "z double").select(C.two_sided_normal("z")).collect()]
+    for value, p in zip(z, got):
+        assert p == pytest.approx(min(1.0, math.erfc(max(value, 0.0) / math.sqrt(2))), rel=2e-7)
+    assert got[-1] is None
