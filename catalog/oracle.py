@@ -655,6 +655,20 @@ SELECT cohort, ts, CAST(CAST(round(alpha, 12) AS FLOAT) AS DOUBLE) AS alpha_t,
 FROM sa_bounds b JOIN cal_lists c USING (cohort)""")
 oracle("conformal_detector_off", SA, sa_walk=sa_walk("'off'"))
 
+CTES["mean_96"] = """
+    SELECT t.cohort, t.pos, least(t.pos + 1, 96) AS n, abs(avg(t.score) OVER w - r.mu) / (r.sd / sqrt(least(t.pos + 1, 96))) AS z
+    FROM test t JOIN (SELECT cohort, avg(score) AS mu, greatest(stddev_pop(score), 1e-6) AS sd FROM cal GROUP BY cohort) r USING (cohort)
+    WINDOW w AS (PARTITION BY t.cohort ORDER BY t.pos ROWS BETWEEN 95 PRECEDING AND CURRENT ROW)"""
+oracle("conformal_shift_aware_mean_detector", SA, sa_steps="""
+    SELECT t.*, CASE WHEN d.n >= 24 THEN d.z ELSE 0.0 END AS delta, d.n >= 24 AND d.z >= 2.0 AS flagged
+    FROM test t JOIN mean_96 d USING (cohort, pos)""")
+oracle("conformal_shift_aware_always_penalised", SA, sa_walk=sa_walk("'main'").replace(
+    " - CASE WHEN (v.enabled AND t.flagged) THEN 0.02", " - CASE WHEN v.enabled THEN 0.02"))
+_LOW, _HIGH = "greatest(0.0, t.q_lo - a.q)", "greatest(greatest(0.0, t.q_lo - a.q), t.q_hi + a.q)"
+oracle("conformal_shift_aware_band", SA, sa_walk=sa_walk("'main'").replace("c.s[", "c.v[").replace(
+    "t.y >= greatest(0.0, t.y_pred - a.q) AND t.y <= t.y_pred + a.q", f"t.y >= {_LOW} AND t.y <= {_HIGH}"),
+    sa_bounds=CTES["sa_bounds"].replace("greatest(0.0, t.y_pred - a.q) AS lower, t.y_pred + a.q AS upper", f"{_LOW} AS lower, {_HIGH} AS upper"))
+
 # missing outcomes: ranks count scores, and steps without one move nothing
 UNSETTLED = {
     "settled": CTES["forecasts"],

@@ -856,6 +856,36 @@ def conformal_detector_off(spark, sf):
     return single(out, "alpha_t", "gamma_t", "shift_score", "lower", "upper")
 
 
+def sa_shown(df: DataFrame) -> DataFrame:
+    out = df.select("cohort", "ts", "alpha_t", "gamma_t", "shift_score", "shift_flag", "lower", "upper")
+    return single(out, "alpha_t", "gamma_t", "shift_score", "lower", "upper")
+
+
+@query
+def conformal_shift_aware_mean_detector(spark, sf):
+    """The detector of standardised means at its threshold of 2."""
+    settings = replace(SETTINGS, detector="standardized_residual", sa_acp=replace(SETTINGS.sa_acp, threshold=2.0))
+    return sa_shown(backtest.run_backtest(forecasts(spark, sf), KEYS, settings, ["sa_acp"]))
+
+
+@query
+def conformal_shift_aware_always_penalised(spark, sf):
+    """A miss costs in proportion to the shift score, flagged or not."""
+    return sa_shown(sa_rows(spark, sf, replace(SETTINGS.sa_acp, penalty="always")))
+
+
+@query
+def conformal_shift_aware_band(spark, sf):
+    """Adjusts the quantile band instead of the point forecast."""
+    cal, test = backtest.place_rows(forecasts(spark, sf), KEYS)
+    packed = conformal.pack_calibration(cal, KEYS, {"_abs": C.absolute_residual("y", "y_pred")})
+    scored = backtest.with_shift_scores(cal, test, KEYS, packed, SETTINGS, also=("q_lo", "q_hi"))
+    df = adaptive.shift_aware_intervals(
+        cal, scored, KEYS, [SETTINGS.sa_acp], band=("q_lo", "q_hi"), cal_score=C.band_violation("y", "q_lo", "q_hi"), rows=test
+    )
+    return sa_shown(df.withColumn("alpha_t", F.col("alpha_block")))
+
+
 @query
 def rolling_with_missing_outcomes(spark, sf):
     """Windows of the last scores; an outcome that is not there takes up no place."""

@@ -92,13 +92,14 @@ def place_rows(
 
 
 def with_shift_scores(
-    cal: DataFrame, test: DataFrame, keys: Sequence[str], packed: DataFrame, settings: BacktestSettings
+    cal: DataFrame, test: DataFrame, keys: Sequence[str], packed: DataFrame, settings: BacktestSettings,
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """The steps of ``test`` - series, ``pos``, ``y`` and ``y_pred`` - with the detector's ``shift_score``.
+    """The steps of ``test`` - series, ``pos``, ``y``, ``y_pred`` and ``also`` - with the detector's ``shift_score``.
 
     A missing score does not enter the detector's buffer, and its step has a NULL ``shift_score``.
     """
-    steps = test.select(*keys, "pos", "y", "y_pred", "rank", absolute_residual("y", "y_pred").cast("double").alias("_score"))
+    steps = test.select(*keys, "pos", "y", "y_pred", *also, "rank", absolute_residual("y", "y_pred").cast("double").alias("_score"))
     scored = steps.where(is_score(F.col("_score")))
     if settings.detector == "wasserstein_1d":
         out = wasserstein_scores(
