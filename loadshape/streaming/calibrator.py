@@ -58,8 +58,9 @@ class SeriesCalibrator(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
-            for us, y, pred, is_cal in zip(pdf["micros"], pdf["y"], pdf["y_pred"], pdf["calibrates"]):
-                self.waiting.updateValue((int(us),), (float(y), float(pred), bool(is_cal) if is_cal is not None else False))
+            values = pdf[["y", "y_pred"]].astype(float)  # what is missing is NaN
+            for us, y, pred, is_cal in zip(pdf["micros"], values["y"], values["y_pred"], pdf["calibrates"]):
+                self.waiting.updateValue((int(us),), (float(y), float(pred), bool(is_cal)))
                 first = int(us) if first is None else min(first, int(us))
         if first is not None:
             self._call_at(first, timerValues)
