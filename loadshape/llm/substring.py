@@ -13,38 +13,19 @@ from pyspark.sql import functions as F
 
 from loadshape.llm.common import cut, without
 
-#: Words worked on at a time.
+#: Bytes of text, and words, worked on at a time.
 CHUNK = 1 << 18
-#: Words of short texts worked on side by side.
-BUFFER = 1 << 15
 #: Documents whose windows are compared at a time.
 SLICE_ROWS = 2000
-#: Distinct words whose hashes a task keeps.
-KNOWN_WORDS = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE, _SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: The filter of repeated grams is a bitmap of 2^16 to 2^30 bits, 16 for each gram while they last.
 MIN_BITS, MAX_BITS = 16, 30
 
 
-class _Words(dict):
-    """XXH64 of each word met so far: words repeat, so most are looked up."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_known = _Words()
-
-
-def words(raw: bytes) -> np.ndarray:
-    """64-bit hash (XXH64) of each word (a run without ASCII white space)."""
-    parts = raw.split()
-    return np.fromiter(map(_known.__getitem__, parts), np.uint64, len(parts))
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -68,6 +49,49 @@ def _slices(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, which: int
     return _mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
 
 
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word of some bytes, and where it begins.
+
+    A word is taken eight bytes at a time, each mixed into what came before; that is one to one for words of up to eight
+    bytes of a length.  Words of more than ``LONG_WORD`` bytes have their XXH64.
+    """
+    data = np.frombuffer(raw + bytes(8), np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACE[data[: len(raw)]], [True]]).astype(np.int8))
+    begins, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    length = ends - begins
+    eights = np.ndarray((len(raw) + 1,), "<u8", data, strides=(1,))
+    out = _mix(length.astype(np.uint64) + np.uint64(_SECOND))
+    here = np.flatnonzero(length <= LONG_WORD)
+    at = 0
+    while len(here):
+        left = length[here] - at
+        part = eights[begins[here] + at]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[here] = _mix((out[here] ^ part) * np.uint64(_BASE) + np.uint64(at))
+        at += 8
+        here = here[left > 8]
+    for i in np.flatnonzero(length > LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(raw[begins[i] : ends[i]])
+    return out, begins
+
+
+def words(raw: bytes) -> np.ndarray:
+    """64-bit hash of each word (a run without ASCII white space) of a text of any length."""
+    found, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + CHUNK)
+        while end < len(raw) and end > at and not _SPACE[raw[end]]:  # not within a word
+            end -= 1
+        if end == at:  # a word longer than a chunk
+            end = at + CHUNK
+            while end < len(raw) and not _SPACE[raw[end]]:
+                end += 1
+        found.append(_word_hashes(raw[at:end])[0])
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def grams(ids: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     """Hash of each run of n words; ``which`` 1 is a second one, over other hashes of the words."""
     if len(ids) < n:
@@ -96,47 +120,52 @@ def least_of(values: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-Hashed = tuple[np.ndarray, np.ndarray, np.ndarray]
+Hashed = tuple[np.ndarray, ...]
 
 
-def _of(ids: np.ndarray, window: int) -> Hashed:
+def _of(ids: np.ndarray, window: int, what: str) -> Hashed:
+    """Per window what is asked for: its ``h``ash, its ``c``heck, its ``a``nchor - the least hash of its half-windows."""
     half = (window + 1) // 2
+    kinds = {"h": np.uint64, "c": np.int32, "a": np.uint64}
     if len(ids) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
-    return grams(ids, window), checks(ids, window), least_of(grams(ids, half), window - half + 1)
+        return tuple(np.zeros(0, kinds[w]) for w in what)
+    made = {
+        "h": lambda: grams(ids, window), "c": lambda: checks(ids, window),
+        "a": lambda: least_of(grams(ids, half), window - half + 1),
+    }
+    return tuple(made[w]() for w in what)
 
 
-def _hashes(text: str | None, window: int) -> Hashed:
-    """Per window of a text its hash, its check, and its anchor: the least hash of the half-windows in it."""
-    return _of(words((text or "").encode("utf-8", "surrogatepass")), window)
+def _hashes(text: str | None, window: int, what: str = "hca") -> Hashed:
+    return _of(words((text or "").encode("utf-8", "surrogatepass")), window, what)
 
 
-def _many(texts: list[str | None], window: int) -> Iterator[Hashed]:
+def _many(texts: list[str | None], window: int, what: str = "hca") -> Iterator[Hashed]:
     """``_hashes`` of each text; short texts are worked on side by side in one buffer."""
 
-    def together(found: list[np.ndarray]) -> Iterator[Hashed]:
-        ids = np.concatenate(found)
+    def together(raw: list[bytes]) -> Iterator[Hashed]:
+        ids, begins = _word_hashes(b"\n".join(raw))
+        owner = np.searchsorted(np.cumsum([0] + [len(x) + 1 for x in raw]), begins, side="right") - 1
         if len(ids) < window:
-            yield from (_of(np.zeros(0, np.uint64), window) for _ in found)
+            yield from (_of(ids[:0], window, what) for _ in raw)
             return
-        owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
         own = owner[: len(ids) - window + 1]
         whole = own == owner[window - 1 :]  # not across two texts
-        parts = [x[whole] for x in _of(ids, window)]
-        cuts = np.searchsorted(own[whole], np.arange(len(found) + 1))
+        parts = [x[whole] for x in _of(ids, window, what)]
+        cuts = np.searchsorted(own[whole], np.arange(len(raw) + 1))
         yield from (tuple(x[i:j] for x in parts) for i, j in zip(cuts[:-1], cuts[1:]))
 
     held, size = [], 0
     for text in texts:
-        ids = words((text or "").encode("utf-8", "surrogatepass"))
-        if held and size + len(ids) > BUFFER:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if held and size + len(raw) + 1 > CHUNK:
             yield from together(held)
             held, size = [], 0
-        if len(ids) > BUFFER:
-            yield _of(ids, window)
+        if len(raw) + 1 > CHUNK:
+            yield _of(words(raw), window, what)
         else:
-            held.append(ids)
-            size += len(ids)
+            held.append(raw)
+            size += len(raw) + 1
     if held:
         yield from together(held)
 
@@ -159,7 +188,7 @@ def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
-            found = [np.unique(anchors) for _, _, anchors in _many(batch.column("text").to_pylist(), window)]
+            found = [np.unique(anchors) for (anchors,) in _many(batch.column("text").to_pylist(), window, "a")]
             yield _extremes(found, batch.column("key").to_pylist(), ("anchor", "low", "high"))
 
     return (
@@ -262,7 +291,7 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = 50
     (start, end) word ranges.
 
     A window is ``window`` consecutive words (runs without ASCII white space), compared through 96 bits of two hashes over
-    the words' XXH64.  Words covered by a window that also starts in a document with a smaller ``key`` are removed; windows
+    64-bit hashes of the words.  Words covered by a window that also starts in a document with a smaller ``key`` are removed; windows
     are judged on the input.  The ranges are the maximal runs of such words.  ``key`` is an integer; rows without key
     lose no word and cost no other row one.  Rows that share a key are judged alike.  NULL and empty texts have
     no words.  Columns of the names added are replaced, all others kept.
@@ -283,7 +312,7 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = 50
             parts = raw.split()
             ranges: list[dict[str, int]] = []
             if hashes is not None and len(hashes):
-                own, own_check, _ = _hashes(text, window)
+                own, own_check = _hashes(text, window, "hc")
                 steps = np.zeros(len(parts) + 1, np.int64)
                 of = np.asarray(hashes, np.int64).view(np.uint64), np.asarray(check, np.int32)
                 begins = np.flatnonzero(_among(own, own_check, *of))
@@ -304,7 +333,7 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", window: int = 50
 
     @F.pandas_udf("boolean")
     def shares(texts: pd.Series) -> pd.Series:
-        return pd.Series([_is_set(*sent.value, anchors).any() for _, _, anchors in _many(texts.tolist(), window)], dtype="bool")
+        return pd.Series([_is_set(*sent.value, anchors).any() for (anchors,) in _many(texts.tolist(), window, "a")], dtype="bool")
 
     names = rows.columns
     meeting = rows.where(shares(F.col(text))).join(earlier, F.col(key).cast("long") == F.col("_of"), "left").drop("_of")

@@ -184,10 +184,8 @@ def test_words_and_grams_in_chunks(monkeypatch):
     assert len(whole) == len(text.split()) and len(set(whole.tolist())) == len(set(text.split()))
     runs, marks = substring.grams(whole, 5), substring.checks(whole, 5)
     monkeypatch.setattr(substring, "CHUNK", 256)
-    monkeypatch.setattr(substring, "KNOWN_WORDS", 20)
     assert (substring.words(text) == whole).all()
     assert (substring.grams(whole, 5) == runs).all() and (substring.checks(whole, 5) == marks).all()
-    monkeypatch.setattr(substring, "BUFFER", 400)
     texts = ["a b c d e f", None, " ", "x " * 300, "c d e f a b c", "d e", text.decode(), "a b c"] * 3
     for found, one in zip(substring._many(texts, 3), texts, strict=True):
         assert all((x == y).all() for x, y in zip(found, substring._hashes(one, 3), strict=True))
@@ -206,6 +204,18 @@ def test_words_that_polynomials_confuse_are_different(spark):
     assert got[1] == [] and got[2] == [] and [(x.start, x.end) for x in got[3]] == [(0, 31)]
 
 
+def test_word_hashes_take_in_every_byte():
+    draw = random.Random(2)
+    seen = {}
+    for n in [*range(1, 30), 63, 64, 65, 200]:
+        for _ in range(200):
+            word = "".join(draw.choices("ab", k=n)).encode()
+            seen.setdefault(word, set()).add(int(substring.words(b" x " + word + b"\ty")[1]))
+    assert all(len(h) == 1 for h in seen.values()) and len({h for s in seen.values() for h in s}) == len(seen)
+    assert substring.words(b"a\x00 a").tolist()[0] != substring.words(b"a a").tolist()[0]
+    assert len(substring.words(b"")) == len(substring.words(b" \n")) == 0
+
+
 def test_windows_are_told_apart_by_the_second_hash_too():
     h, c = np.array([5, 5, 7, 9], np.uint64), np.array([1, 2, 3, 4], np.int32)
     of = np.array([7, 5, 9, 5], np.uint64), np.array([3, 2, 5, 8], np.int32)
