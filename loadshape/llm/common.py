@@ -22,6 +22,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a frame that ``cut`` has kept and that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadshape.llm.common import cut, without
+from loadshape.llm.common import cut, release, without
 
 #: Bytes of text, and words, worked on at a time.
 CHUNK = 1 << 18
@@ -216,6 +216,7 @@ def bitmap(hashes: DataFrame, column: str) -> tuple[np.ndarray, int]:
     out = np.zeros(1 << power, bool) if power < 15 else np.zeros((1 << power) // 8, np.uint8)
     for row in parts.toLocalIterator():
         out[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    release(hashes)
     return out, power
 
 

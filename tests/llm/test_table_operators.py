@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loadshape.llm import exact, mixing, sharding, simhash, substring, warc
-from loadshape.llm.common import components, shared_path
+from loadshape.llm.common import components, cut, shared_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -204,6 +204,16 @@ def test_words_that_polynomials_confuse_are_different(spark):
     assert got[1] == [] and got[2] == [] and [(x.start, x.end) for x in got[3]] == [(0, 31)]
 
 
+def test_bitmaps_leave_no_files(spark):
+    import glob
+
+    cut(spark.range(3))  # makes the folder
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(f"{folder}/rdd-*"))
+    bits, power = substring.bitmap(spark.range(50).select(F.xxhash64("id").alias("h")), "h")
+    assert set(glob.glob(f"{folder}/rdd-*")) == before and bits.any() and power >= 16
+
+
 def test_word_hashes_take_in_every_byte():
     draw = random.Random(2)
     seen = {}
