@@ -274,7 +274,8 @@ def earlier_windows(docs: DataFrame, window: int, sent) -> DataFrame:
                 every, check, owner = every[order], check[order], owner[order]
                 first = np.concatenate([[True], (every[1:] != every[:-1]) | (check[1:] != check[:-1])])[: len(every)]
                 least = owner[first][np.cumsum(first) - 1] if len(every) else owner
-                pick = first if smallest else owner > least
+                pick = np.flatnonzero(first if smallest else owner > least)
+                pick = pick[np.argsort(owner[pick], kind="stable")]  # runs of one key take less room in the shuffle
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(every[pick].view(np.int64)), pa.array(check[pick]), pa.array(owner[pick])], names=["hash", "check", "key"]
                 )
