@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadshape.session import cut_lineage
+
 CHUNK = 4096
 # Distinct values that one task orders, about: larger groups are cut into slices of this many.
 HOT_MIN = 50_000
@@ -31,7 +33,7 @@ MAX_SLICES = 1 << 20
 ACCURACY = 10_000
 MARGIN = 4 / ACCURACY
 # Steps in which a level that depends on the sample's size is bracketed.
-GRID = 128
+GRID = 1024
 
 
 def _all(conditions: Sequence[Column]) -> Column:
@@ -205,39 +207,41 @@ def exact_quantiles(
     """Linear-interpolation quantiles per group; a level may depend on the group size.
 
     A mergeable sketch brackets the ranks that are wanted, the values below each bracket are counted, and
-    only the values inside are ordered: a thousandth of the group for a plain level, a
-    64th for one that depends on the size, equal values merged.  A group too small
+    only the values inside are ordered: a thousandth of the group for a plain level, three
+    thousandths for one that depends on the size, equal values merged.  A group too small
     for the sketch to tell its ranks apart lies in its brackets as a whole.  ``also`` adds aggregates of the values
     that are present, taken in the pass of the sketch.  Should a rank ever lie outside its bracket, the query stops.
+
+    The sketch runs when this is called: its brackets, a row per group, are written, so that Spark knows their size
+    when it joins them to the rows, and no task sorts a whole group where there are few.
     """
     keys, names, also = list(keys), list(levels), dict(also or {})
     present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    points = sorted(
-        {min(1.0, max(0.0, float(lv) + d)) for lv in levels.values() if not callable(lv) for d in (-MARGIN, MARGIN)}
-        | ({i / GRID for i in range(GRID + 1)} if any(callable(lv) for lv in levels.values()) else set())
-    )
+    points = sorted({min(1.0, max(0.0, float(lv) + d)) for lv in levels.values() if not callable(lv) for d in (-MARGIN, MARGIN)})
+    grid = len(points)  # place of the grid's first step
+    if any(callable(lv) for lv in levels.values()):
+        points += [i / GRID for i in range(GRID + 1)]
     total = F.col("_n")
+    wanted = F.expr(f"array({', '.join(f'{x!r}D' for x in points)})")
     sketch = present.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(x) for x in points]), F.lit(ACCURACY)).alias("_q"),
+        F.count("*").alias("_n"), F.percentile_approx("_v", wanted, F.lit(ACCURACY)).alias("_q"),
         *[c.alias(n) for n, c in also.items()],
     )
     sure = total > ACCURACY
     ends, ranks = {}, {}
     for i, (name, level) in enumerate(levels.items()):
         if callable(level):
-            where = {x: points.index(x / GRID) for x in range(GRID + 1)}
-            at = F.array(*[F.lit(where[x]) for x in range(GRID + 1)])
             share = level(total)
-            low, high = F.floor(share * GRID) - 1, F.ceil(share * GRID) + 1
-            low_end = F.when(low >= 0, F.get("_q", F.get(at, F.greatest(low, F.lit(0)).cast("int"))))
-            high_end = F.when(high <= GRID, F.get("_q", F.get(at, F.least(high, F.lit(GRID)).cast("int"))))
+            low, high = F.floor((share - MARGIN) * GRID).cast("int"), F.ceil((share + MARGIN) * GRID).cast("int")
+            low_end = F.when(low >= 0, F.get("_q", low + grid))
+            high_end = F.when(high <= GRID, F.get("_q", high + grid))
         else:
             share, low, high = F.lit(float(level)), float(level) - MARGIN, float(level) + MARGIN
             low_end = F.get("_q", F.lit(points.index(low))) if low > 0 else F.lit(None)
             high_end = F.get("_q", F.lit(points.index(high))) if high < 1 else F.lit(None)
         ends[f"_low_{i}"], ends[f"_high_{i}"] = F.when(sure, low_end), F.when(sure, high_end)
         ranks[f"_rank_{i}"] = (total - 1) * share
-    brackets = sketch.select(*keys, "_n", *also, *[c.alias(n) for n, c in {**ends, **ranks}.items()])
+    brackets = cut_lineage(sketch.select(*keys, "_n", *also, *[c.alias(n) for n, c in {**ends, **ranks}.items()]), "brackets")
     placed = lookup(present, brackets, keys)
     each = range(len(names))
     under = [F.coalesce(F.col("_v") < F.col(f"_low_{i}"), F.lit(False)) for i in each]

@@ -121,3 +121,37 @@ def test_partition_count_does_not_matter(spark):
         O.exact_quantiles(df.repartition(n), ["k"], "v", {"m": 0.37}).orderBy("k").collect() for n in (1, 8)
     ]
     assert results[0] == results[1]
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """A megabyte of rows counts as large, a table of a few groups as small; far more partitions than groups."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "100KB", "spark.sql.shuffle.partitions": "64"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_rows_of_few_large_groups_are_not_sorted_to_meet_their_brackets(spark, small_broadcasts):
+    size = 300_000
+    df = spark.range(size).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 300_007).cast("double").alias("v"))
+    levels = {"m": 0.5, "c": lambda n: F.least(F.lit(1.0), F.ceil((n + 1) * 0.9) / n)}
+    got = O.exact_quantiles(df, ["k"], "v", levels)
+    assert "SortMergeJoin" not in final_plan(got)
+    values = np.arange(size) * 7919 % 300_007
+    for row in got.collect():
+        v = values[row["k"]::2]
+        assert [row["m"], row["c"]] == pytest.approx([np.quantile(v, 0.5), np.quantile(v, np.ceil((len(v) + 1) * 0.9) / len(v))])
+
+
+def test_quantiles_of_no_rows(spark):
+    empty = spark.createDataFrame([], "k string, v double")
+    assert O.exact_quantiles(empty, ["k"], "v", {"m": 0.5, "c": lambda n: F.lit(0.3)}).collect() == []
