@@ -20,6 +20,7 @@ from loadshape.functions.columns import (
     quantile_band,
 )
 from loadshape.operators.ordering import CHUNK, chunked, exact_quantiles, lookup
+from loadshape.session import cut_lineage
 
 # Calibration scores in one row of a sample that is handed over in pieces.
 PIECE = 65_536
@@ -46,7 +47,8 @@ def calibration_quantiles(
 
 
 def _with_quantile(test, cal, keys, score, alpha):
-    q = calibration_quantiles(cal, keys, score, {"conformal_quantile": alpha})
+    # written, so that the join to all test rows knows how few they are
+    q = cut_lineage(calibration_quantiles(cal, keys, score, {"conformal_quantile": alpha}), "quantiles")
     joined = lookup(test, q, keys, "left")
     # a series without calibration scores has quantile 0
     return joined.withColumn(

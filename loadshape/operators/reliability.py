@@ -17,6 +17,7 @@ from loadshape.operators.ordering import (
     lookup,
     unchunk,
 )
+from loadshape.session import cut_lineage
 
 # Tertile levels of the load and ramp regimes.
 TERTILES = {"_t1": 0.333, "_t2": 0.667}
@@ -36,8 +37,11 @@ def add_ramps(
 def add_regime(
     df: DataFrame, keys: Sequence[str], value: str, out: str, labels: tuple[str, str, str],
 ) -> DataFrame:
-    """Tertile label of ``value`` within its series."""
-    cuts = exact_quantiles(df, keys, value, TERTILES)
+    """Tertile label of ``value`` within its series.
+
+    The tertiles, a row per series, are found and written when this is called, so that their size is known to the join.
+    """
+    cuts = cut_lineage(exact_quantiles(df, keys, value, TERTILES), "tertiles")
     return lookup(df, cuts, keys).withColumn(out, tertile(value, "_t1", "_t2", labels)).drop("_t1", "_t2")
 
 
@@ -54,7 +58,7 @@ def reliability_keys(
     cuts = levels.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_of") == n, F.col(f"_t{i}"))).alias(f"{n}{i}") for n in ("_l", "_t") for i in (1, 2)
     ])
-    labelled = lookup(ramped, cuts, keys)
+    labelled = lookup(ramped, cut_lineage(cuts, "tertiles"), keys)
     hour = F.hour(ts)
     # Names of the dimensions and subgroups
     dims: dict[str, Column] = {

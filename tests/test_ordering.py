@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loadshape.operators import conformal, reliability
 from loadshape.operators import ordering as O
 
 START = dt.datetime(2024, 1, 20)
@@ -155,3 +156,18 @@ def test_rows_of_few_large_groups_are_not_sorted_to_meet_their_brackets(spark, s
 def test_quantiles_of_no_rows(spark):
     empty = spark.createDataFrame([], "k string, v double")
     assert O.exact_quantiles(empty, ["k"], "v", {"m": 0.5, "c": lambda n: F.lit(0.3)}).collect() == []
+
+
+def test_rows_of_few_large_groups_get_their_quantiles_where_they_are(spark, small_broadcasts):
+    """Neither sorted nor shuffled: a shuffle by a key of two values would make two tasks of all rows."""
+    df = spark.range(300_000).select(
+        "id", (F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 300_007).cast("double").alias("y"), F.lit(0.0).alias("y_pred")
+    )
+    labelled = reliability.add_regime(df, ["k"], "y", "regime", ("Low", "Medium", "High"))
+    assert "hashpartitioning" not in final_plan(labelled)
+    got, pdf = labelled.toPandas().sort_values("id"), df.toPandas()
+    cuts = pdf.groupby("k")["y"].quantile([0.333, 0.667]).unstack()
+    low, high = (pdf["k"].map(cuts[x]) for x in (0.333, 0.667))
+    want = np.where(pdf["y"] <= low, "Low", np.where(pdf["y"] <= high, "Medium", "High"))
+    assert got["regime"].tolist() == want.tolist()
+    assert "hashpartitioning" not in final_plan(conformal.static_intervals(df, df, ["k"]))
